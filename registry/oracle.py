@@ -54,7 +54,7 @@ SHARED = {
           CASE WHEN p_partkey % 13 = 0 THEN NULL WHEN p_partkey % 13 = 6 THEN ' ' ELSE p_name END AS category_name_3,
           CAST(p_partkey % 7 + 1 AS VARCHAR) || 'F' AS floor_name,
           CAST(p_size AS DOUBLE) * 1.5 AS rentable_area,
-          CASE WHEN p_type = 'ECONOMY' AND p_size = 50 THEN NULL ELSE CAST(p_size AS DOUBLE) END AS actual_area,
+          CASE WHEN p_type = 'ECONOMY' AND p_size = 50 THEN NULL ELSE p_size * CAST(1.7 AS DOUBLE) END AS actual_area,
           p_retailprice AS zx_price, p_retailprice * 30 AS month_amount,
           DATE '1995-01-01' + CAST(p_partkey * 37 % 1500 AS INTEGER) AS begin_date,
           DATE '1995-01-01' + CAST(p_partkey * 37 % 1500 + 365 + p_partkey * 53 % 1500 AS INTEGER) AS finish_date
@@ -83,7 +83,10 @@ SHARED = {
           shop_name, shop_id, brand_name, series_name, contract_code, contract_duration,
           begin_date, finish_date, CAST(sum(act_amt) AS DOUBLE) / actual_area AS saleperarea,
           CAST(sum(act_amt) AS DOUBLE) AS sale, count(*) AS order_num
-        FROM m_joined GROUP BY ALL, actual_area""",
+        FROM m_joined
+        GROUP BY month_id, category_name_3, floor_name, booth_code, booth_name, booth_grade, house_no,
+          shop_name, shop_id, brand_name, series_name, contract_code, contract_duration,
+          begin_date, finish_date, actual_area""",
     "m_stall_sum": """
         WITH r AS (SELECT * FROM m_stall_month WHERE month_id >= '1998-01'),
         base AS (
@@ -107,10 +110,13 @@ SHARED = {
           SELECT quantile_cont(saleperarea, [0, .125, .25, .375, .5, .625, .75, .875, 1]) AS a,
             quantile_cont(saleperareaperduration, [0, .125, .25, .375, .5, .625, .75, .875, 1]) AS b
           FROM m_stall_sum)
-        SELECT s.*, NULLIF(len(list_filter(q.a, x -> x < s.saleperarea)), 0) AS saleperareainterval,
-          CASE WHEN saleperareaperduration IS NOT NULL THEN
-            NULLIF(len(list_filter(q.b, x -> x < s.saleperareaperduration)), 0) END AS saleperareaperdurationinterval
-        FROM m_stall_sum s, q""",
+        SELECT s.*, NULLIF({}, 0) AS saleperareainterval, NULLIF({}, 0) AS saleperareaperdurationinterval
+        FROM m_stall_sum s, q""".format(
+        *[
+            " + ".join(f"CAST({v} > q.{a}[{i}] AS INTEGER)" for i in range(1, 10))
+            for a, v in (("a", "saleperarea"), ("b", "saleperareaperduration"))
+        ]
+    ),
     "m_totals": """
         SELECT partner_code, CAST(count(act_amt) AS BIGINT) AS freq,
           CAST(sum(act_amt) AS DOUBLE) / 10000 AS sum_act_amt, max(partner_name) AS partner_name
@@ -296,12 +302,10 @@ SHARED = {
         SELECT category_2_edit, ifweekend, sale, area, sale / area AS saleperarea FROM s LEFT JOIN a USING (category_2_edit)""",
     "m_brands": """
         SELECT category_2_edit, series_name, brand_name, category_name_1,
-          CASE WHEN actual_area IS NULL AND contract_code IS NOT NULL THEN 1 ELSE 0 END AS unknown,
           CAST(sum(act_amt) AS DOUBLE) / actual_area AS saleperarea, CAST(sum(act_amt) AS DOUBLE) AS sale, count(*) AS n
-        FROM m_joined GROUP BY ALL, contract_code, actual_area""",
+        FROM m_joined GROUP BY category_2_edit, series_name, brand_name, category_name_1, contract_code, actual_area""",
 }
 
-KEYS = "partner_code"
 SQL = {
     "valid_orders": """
         SELECT ordr_id, date_id, month_id, shop_id, contract_code, CAST(act_amt AS DOUBLE) AS act_amt FROM m_valid
@@ -405,7 +409,7 @@ SQL = {
         FROM m_sales GROUP BY month_id""",
     "sale_per_area_period": """
         SELECT category_2_edit, sale, area, round(saleperarea, 6) AS saleperarea,
-          row_number() OVER (ORDER BY saleperarea DESC NULLS LAST, category_2_edit) AS id FROM m_period""",
+          row_number() OVER (ORDER BY saleperarea DESC NULLS LAST, category_2_edit NULLS FIRST) AS id FROM m_period""",
     "stall_month": """
         SELECT * EXCLUDE (house_no, shop_name) REPLACE (round(saleperarea, 6) AS saleperarea) FROM m_stall_month""",
     "stall_metrics": """
@@ -452,11 +456,9 @@ SQL = {
         WITH b AS (SELECT category_2_edit, series_name, CASE WHEN count(*) = count(saleperarea) THEN sum(saleperarea) END AS v,
                      sum(sale) AS sale, CAST(sum(n) AS BIGINT) AS record_num FROM m_brands GROUP BY ALL),
         m AS (SELECT category_2_edit, median(v) AS m FROM b GROUP BY ALL)
-        SELECT category_2_edit, series_name, round(v, 6) AS saleperarea, round(sale, 6) AS sale, record_num,
+        SELECT b.category_2_edit, series_name, round(v, 6) AS saleperarea, round(sale, 6) AS sale, record_num,
           round(m, 6) AS saleperarea_median, round(v / m, 6) AS brand_index
-        FROM b LEFT JOIN m ON b.category_2_edit IS NOT DISTINCT FROM m.category_2_edit""".replace(
-        "SELECT category_2_edit, series_name, round(v", "SELECT b.category_2_edit, series_name, round(v"
-    ),
+        FROM b LEFT JOIN m ON b.category_2_edit IS NOT DISTINCT FROM m.category_2_edit""",
     "best_brands": """
         SELECT category_name_1, brand_name, round(CASE WHEN count(*) = count(saleperarea) THEN sum(saleperarea) END, 6) AS saleperarea,
           round(sum(sale), 6) AS sale, CAST(sum(n) AS BIGINT) AS record_num FROM m_brands

@@ -40,7 +40,7 @@ def tidy(df: DataFrame) -> DataFrame:
         if isinstance(f.dataType, T.DecimalType):
             c = c.cast("double")
         if isinstance(f.dataType, (T.DoubleType, T.FloatType, T.DecimalType)):
-            c = F.round(c, 6) + F.lit(0.0)
+            c = F.round(c * 1e6) / 1e6 + F.lit(0.0)
         elif isinstance(f.dataType, (T.IntegerType, T.ShortType, T.ByteType)):
             c = c.cast("bigint")
         out.append(c.alias(f.name))
