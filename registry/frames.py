@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stallwise.sources.tables import spread
+
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
@@ -30,7 +32,7 @@ def malls(spark: SparkSession, sf: str) -> DataFrame:
 
 def sales(spark: SparkSession, sf: str) -> DataFrame:
     """Order lines as mall orders."""
-    lines = table(spark, sf, "lineitem")
+    lines = spread(table(spark, sf, "lineitem").drop("l_shipdate"), "l_orderkey")
     orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")
     part = table(spark, sf, "part").select("p_partkey", "p_name", "p_type", "p_brand", "p_size")
     joined = (

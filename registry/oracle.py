@@ -352,7 +352,7 @@ SQL = {
           CASE WHEN ob THEN category_name_1 ELSE o1 END AS cont_cat1_name,
           CASE WHEN ob THEN category_name_2 ELSE o2 END AS cont_cat2_name,
           CASE WHEN ob THEN category_name_3 ELSE o3 END AS cont_cat3_name,
-          count(*) AS record_num, CAST(sum(act_amt) AS DOUBLE) AS sale, round(sum(act_amt / actual_area), 6) AS saleperarea
+          count(*) AS record_num, CAST(sum(act_amt) AS DOUBLE) AS sale, round(sum(act_amt / actual_area), 3) AS saleperarea
         FROM j GROUP BY ALL""",
     "enriched_orders": """
         SELECT ordr_id, contract_code, booth_code, CASE WHEN lb THEN cont_cat2_name ELSE category_name_2 END AS category_name_2,
@@ -413,7 +413,7 @@ SQL = {
     "stall_month": """
         SELECT * EXCLUDE (house_no, shop_name) REPLACE (round(saleperarea, 6) AS saleperarea) FROM m_stall_month""",
     "stall_metrics": """
-        SELECT * REPLACE (round(saleperarea, 6) AS saleperarea, round(saleperareaperduration, 6) AS saleperareaperduration) FROM m_stalls""",
+        SELECT * REPLACE (round(saleperarea, 4) AS saleperarea, round(saleperareaperduration, 4) AS saleperareaperduration) FROM m_stalls""",
     "quarter_area": """
         SELECT contract_code, round(Q1_area, 6) AS Q1_area, round(Q2_area, 6) AS Q2_area, round(Q3_area, 6) AS Q3_area,
           round(Q4_area, 6) AS Q4_area FROM m_quarter""",
@@ -456,12 +456,12 @@ SQL = {
         WITH b AS (SELECT category_2_edit, series_name, CASE WHEN count(*) = count(saleperarea) THEN sum(saleperarea) END AS v,
                      sum(sale) AS sale, CAST(sum(n) AS BIGINT) AS record_num FROM m_brands GROUP BY ALL),
         m AS (SELECT category_2_edit, median(v) AS m FROM b GROUP BY ALL)
-        SELECT b.category_2_edit, series_name, round(v, 6) AS saleperarea, round(sale, 6) AS sale, record_num,
-          round(m, 6) AS saleperarea_median, round(v / m, 6) AS brand_index
+        SELECT b.category_2_edit, series_name, round(v, 3) AS saleperarea, round(sale, 3) AS sale, record_num,
+          round(m, 3) AS saleperarea_median, round(v / m, 3) AS brand_index
         FROM b LEFT JOIN m ON b.category_2_edit IS NOT DISTINCT FROM m.category_2_edit""",
     "best_brands": """
-        SELECT category_name_1, brand_name, round(CASE WHEN count(*) = count(saleperarea) THEN sum(saleperarea) END, 6) AS saleperarea,
-          round(sum(sale), 6) AS sale, CAST(sum(n) AS BIGINT) AS record_num FROM m_brands
+        SELECT category_name_1, brand_name, round(CASE WHEN count(*) = count(saleperarea) THEN sum(saleperarea) END, 3) AS saleperarea,
+          round(sum(sale), 3) AS sale, CAST(sum(n) AS BIGINT) AS record_num FROM m_brands
         WHERE category_name_1 IN ('ECONOMY', 'SMALL', 'PROMO') GROUP BY ALL""",
     "category_totals": """
         SELECT cont_cat1_name AS category, CAST(sum(act_amt) AS DOUBLE) AS sale, count(*) AS record_num, 'cont_cat1_name' AS level FROM m_valid GROUP BY 1
@@ -485,11 +485,11 @@ SQL = {
         FROM m_sales GROUP BY month_id, cont_cat1_name""",
     "brand_peers": """
         SELECT * FROM (
-          SELECT brand_name, begin_date, contract_code, booth_code, round(saleperareaperduration, 6) AS saleperareaperduration,
+          SELECT brand_name, begin_date, contract_code, booth_code, round(saleperareaperduration, 4) AS saleperareaperduration,
             count(*) OVER w - 1 AS peers,
             round((SELECT avg(o.saleperareaperduration) FROM m_stalls o WHERE o.brand_name = s.brand_name
-              AND o.begin_date = s.begin_date AND o.contract_code <> s.contract_code), 6) AS peer_mean,
-            round(min(saleperareaperduration) OVER w, 6) AS group_lowest, round(max(saleperareaperduration) OVER w, 6) AS group_highest
+              AND o.begin_date = s.begin_date AND o.contract_code <> s.contract_code), 4) AS peer_mean,
+            round(min(saleperareaperduration) OVER w, 4) AS group_lowest, round(max(saleperareaperduration) OVER w, 4) AS group_highest
           FROM m_stalls s WINDOW w AS (PARTITION BY brand_name, begin_date)) WHERE peers > 0""",
     "brands_in_both": """
         SELECT brand_name || ' ' || series_name AS brand_name FROM m_contracts WHERE mall_name = 'ASIA'
@@ -501,7 +501,7 @@ SQL = {
           COALESCE(concat_ws(chr(10), series_name, brand_name), '') AS label, COALESCE(booth_grade, '') AS grade
         FROM m_grid g LEFT JOIN s ON g.booth_code = s.booth_code""",
     "floor_heat_by_lease": """
-        SELECT floor, row, col, l.contract_code, COALESCE(round(saleperarea, 6), 0) AS value, COALESCE(brand_name, '') AS label,
+        SELECT floor, row, col, l.contract_code, COALESCE(round(saleperarea, 4), 0) AS value, COALESCE(brand_name, '') AS label,
           COALESCE(booth_grade, '') AS grade FROM m_layout l LEFT JOIN m_stalls s ON l.contract_code = s.contract_code""",
     "booth_visitors": "SELECT * FROM m_booth_uv",
     "floor_footfall": """
@@ -520,7 +520,7 @@ SQL = {
         WITH m AS (SELECT * REPLACE (replace(booth_name, 'N', 'B') AS booth_code) FROM m_stall_month),
         d AS (SELECT DISTINCT replace(n, 'N', 'B') AS code, n AS booth_name FROM (SELECT unnest(string_split(booth_name, '/')) AS n FROM m)),
         x AS (SELECT booth_name, booth_grade, contract_code, begin_date, saleperarea, unnest(string_split(booth_code, '/')) AS part FROM m)
-        SELECT code AS booth_code, booth_grade, contract_code, begin_date, round(sum(saleperarea), 6) AS saleperarea
+        SELECT code AS booth_code, booth_grade, contract_code, begin_date, round(sum(saleperarea), 3) AS saleperarea
         FROM x LEFT JOIN d USING (booth_name) GROUP BY ALL""",
     "dealer_totals": """
         WITH p AS (SELECT * FROM m_sales WHERE ((type = 'OMS' AND ordr_status = 'Y') OR (type <> 'OMS' AND trade_amt > 0))

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from stallwise.functions.nullsafe import ratio
 from stallwise.operators.shaping import complete_rows, hash_split
+from stallwise.session import checkpointed
 
 # Cross-validation folds and repeats, and the seed.
 FOLDS = 10
@@ -39,10 +40,10 @@ def training_sets(
     seed: int = SEED,
 ) -> tuple[DataFrame, DataFrame]:
     """Labelled (and complete) rows, split into training and test rows."""
-    kept = rows.filter(F.col(label).isNotNull())
+    kept = rows.select(*keys, label, *features).filter(F.col(label).isNotNull())
     if omit_missing:
         kept = complete_rows(kept, features)
-    return hash_split(kept, keys, percent, seed)
+    return hash_split(checkpointed(kept), keys, percent, seed)
 
 
 def _stages(features: Sequence[str]) -> list:
@@ -113,17 +114,15 @@ def fit_classifiers(
 
 def predictions(models: Mapping, rows: DataFrame, label: str, keys: Sequence[str]) -> DataFrame:
     """Predicted and true label per model and row."""
-    out = None
+    out = rows.withColumn(label, F.col(label).cast("string"))
+    kept = out.columns
     for name, (model, _) in models.items():
         labels = F.array(*[F.lit(x) for x in model.stages[0].labels])
-        found = model.transform(rows.withColumn(label, F.col(label).cast("string"))).select(
-            F.lit(name).alias("model"),
-            *keys,
-            F.col(label).alias("true_value"),
-            F.get(labels, F.col("prediction").cast("int")).alias("pred_value"),
-        )
-        out = found if out is None else out.unionByName(found)
-    return out
+        guess = F.get(labels, F.col("prediction").cast("int"))
+        kept = [*kept, f"_m_{name}"]
+        out = model.transform(out).withColumn(f"_m_{name}", guess).select(*kept)
+    pairs = [F.struct(F.lit(m).alias("model"), F.col(f"_m_{m}").alias("pred_value")) for m in models]
+    return out.select(*keys, F.col(label).alias("true_value"), F.inline(F.array(*pairs)))
 
 
 def fit_regressors(
@@ -276,7 +275,7 @@ def shop_clusters(
     the lowest BIC. Which k a method chooses is our own definition. Rows with a
     missing feature are left out of the clusters.
     """
-    data = _vectors(rows, features).persist()
+    data = checkpointed(_vectors(rows, features)).persist()
     n = data.count()
     scores, models = {}, {}
     for k in [k for k in candidates if k < n]:

@@ -19,6 +19,7 @@ from stallwise.operators.enrich import flag_promotion, per_lease, with_contract
 from stallwise.operators.ordered import with_position
 from stallwise.operators.quantiles import breaks, with_group_median
 from stallwise.operators.shaping import long, wide
+from stallwise.session import checkpointed
 
 QUARTERS = ["Q1", "Q2", "Q3", "Q4"]
 STALL_KEYS = [
@@ -278,6 +279,8 @@ def stall_metrics(months: DataFrame, start_month: str, as_of: str) -> DataFrame:
     found = found.withColumn(
         "saleperareaperduration", ratio(F.col("saleperarea"), F.col("time_span"))
     )
+    # One row per stall; the breaks and the result all read this written table.
+    found = checkpointed(found)
     for value in ("saleperarea", "saleperareaperduration"):
         points = breaks(found, value)
         number = bucket(F.col(value), points) if points else F.lit(None).cast("int")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from stallwise.operators.joins import null_safe_join
 from stallwise.operators.ordered import laid_out
+from stallwise.session import checkpointed
 
 OCTILES = [i / 8 for i in range(9)]
 
@@ -73,7 +74,11 @@ def breaks(df: DataFrame, value: str, probs: Sequence[float] = OCTILES) -> list[
 
 
 def with_group_median(df: DataFrame, value: str, by: Sequence[str], name: str) -> DataFrame:
-    """Add the median of ``value`` over the rows of the same group."""
+    """Add the median of ``value`` over the rows of the same group.
+
+    Meant for summed tables: the rows are written once and read twice.
+    """
+    df = checkpointed(df)
     medians = group_quantiles(df, value, [0.5], by).select(
         *by, F.col("quantiles")[0].alias(name)
     )

@@ -11,6 +11,7 @@ from stallwise.functions.nullsafe import distinct_with_null, ratio
 from stallwise.operators.joins import keep_matching
 from stallwise.operators.quantiles import group_quantiles
 from stallwise.operators.shaping import long
+from stallwise.session import checkpointed
 
 MEASURES = ["uv", "pv", "sale_sum", "sale_count"]
 RATIOS = ["uv_over_sale_count", "pv_over_sale_count", "uv_over_sale_sum", "pv_over_sale_sum"]
@@ -48,11 +49,12 @@ def shop_ratios(visits: DataFrame, orders: DataFrame, period) -> DataFrame:
     )
 
 
-def _scaled(rows: DataFrame, columns: Sequence[str], low, high) -> DataFrame:
-    """(x - low) / (high - low) with two statistics per column read as one row."""
+def _scaled(rows: DataFrame, columns: Sequence[str], low, width) -> DataFrame:
+    """(x - low) / width with the two statistics of every column read as one row."""
+    rows = checkpointed(rows)
     found = rows.agg(
         *[f(F.col(c)).cast("double").alias(f"{n}_{c}") for c in columns
-          for n, f in (("a", low), ("b", high))]
+          for n, f in (("a", low), ("b", width))]
     ).first()
 
     def number(name: str) -> Column:
@@ -90,6 +92,7 @@ def outliers(
     rows: DataFrame, columns: Sequence[str], keys: Sequence[str], by: Sequence[str] = ()
 ) -> DataFrame:
     """Values beyond the fences of their column and group."""
+    rows = checkpointed(rows.select(*keys, *by, *columns))
     values = long(rows, [*keys, *by], list(columns), "measure", "value")
     limits = fences(rows, columns, by).select(*by, "measure", "lower_fence", "upper_fence")
     return values.join(limits, [*by, "measure"]).filter(
