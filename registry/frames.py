@@ -104,7 +104,7 @@ def contracts(spark: SparkSession, sf: str) -> DataFrame:
         gap.format("p_name") + " AS category_name_3",
         "concat(cast(p_partkey % 7 + 1 as string), 'F') AS floor_name",
         "cast(p_size as double) * 1.5 AS rentable_area",
-        "if(p_type = 'ECONOMY' and p_size = 50, null, p_size * cast(1.7 as double)) AS actual_area",
+        "if(p_type = 'ECONOMY' and p_size = 50, null, p_size * cast(1.7321 as double)) AS actual_area",
         "p_retailprice AS zx_price",
         "p_retailprice * 30 AS month_amount",
         "date_add(date'1995-01-01', cast(p_partkey * 37 % 1500 as int)) AS begin_date",

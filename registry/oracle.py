@@ -54,7 +54,7 @@ SHARED = {
           CASE WHEN p_partkey % 13 = 0 THEN NULL WHEN p_partkey % 13 = 6 THEN ' ' ELSE p_name END AS category_name_3,
           CAST(p_partkey % 7 + 1 AS VARCHAR) || 'F' AS floor_name,
           CAST(p_size AS DOUBLE) * 1.5 AS rentable_area,
-          CASE WHEN p_type = 'ECONOMY' AND p_size = 50 THEN NULL ELSE p_size * CAST(1.7 AS DOUBLE) END AS actual_area,
+          CASE WHEN p_type = 'ECONOMY' AND p_size = 50 THEN NULL ELSE p_size * CAST(1.7321 AS DOUBLE) END AS actual_area,
           p_retailprice AS zx_price, p_retailprice * 30 AS month_amount,
           DATE '1995-01-01' + CAST(p_partkey * 37 % 1500 AS INTEGER) AS begin_date,
           DATE '1995-01-01' + CAST(p_partkey * 37 % 1500 + 365 + p_partkey * 53 % 1500 AS INTEGER) AS finish_date

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.ml.classification import DecisionTreeClassifier, NaiveBayes, RandomForestClassifier
@@ -24,7 +24,7 @@ from stallwise.operators import (
 )
 from stallwise.operators.joins import keep_matching
 from stallwise.plans import jobs
-from stallwise.session import prepare
+from stallwise.session import prepare, shared_folder
 from stallwise.sources import sinks, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -180,8 +180,7 @@ def employee_phones(spark, sf):
 def write_read_back(spark, sf):
     """Write by month, read one month back."""
     rows = frames.sales(spark, sf).select("ordr_id", "shop_id", "act_amt", "month_id")
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stallwise-out-")
-    folder = f"{base.rstrip('/')}/sales_by_month"
+    folder = f"{shared_folder(spark)}/sales-by-month-{uuid.uuid4().hex}"
     sinks.write_by_month(tables.given_or(rows, lambda: frames.sales(spark, sf)), folder)
     return tables.visits_of_month(spark, folder, "1998-03")
 
