@@ -600,10 +600,7 @@ def dealer_gap_statistics(spark, sf):
 @query
 def dealer_longest_run(spark, sf):
     gaps = dealers.order_gaps(frames.event_orders(spark, sf))
-    runs = dealers.longest_run(gaps, "max_cont_hit")
-    return runs.join(
-        dealers.longest_run(gaps, "max_cont_hit_nozero", zero_counts=False), "partner_code"
-    )
+    return dealers.longest_runs(gaps, dealers.RUNS)
 
 
 @query
@@ -611,10 +608,8 @@ def customer_longest_run(spark, sf):
     """The same per customer and day: many short sequences with equal times."""
     rows = frames.sales(spark, sf).withColumn("partner_code", F.col("cust_name"))
     gaps = dealers.order_gaps(rows)
-    runs = dealers.longest_run(gaps, "max_cont_hit", 2 * 86400)
-    return runs.join(
-        dealers.longest_run(gaps, "max_cont_hit_nozero", 2 * 86400, False), "partner_code"
-    )
+    kinds = {"max_cont_hit": (2 * 86400, True), "max_cont_hit_nozero": (2 * 86400, False)}
+    return dealers.longest_runs(gaps, kinds)
 
 
 @query

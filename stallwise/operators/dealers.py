@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +19,7 @@ from stallwise.functions.nullsafe import (
 from stallwise.operators.joins import match_any
 from stallwise.operators.ordered import with_neighbours, with_running_sums
 from stallwise.operators.shaping import without_texts
+from stallwise.session import checkpointed
 from stallwise.sources.tables import valid_order
 
 # Seconds in a day, the gap that still counts as a run, a big order.
@@ -31,6 +32,8 @@ SURVEY_UNIT = 10000
 STATES = ["1", "12", "14", "15", "17", "19", "3", "7", "Y"]
 AGREED_STATES = ["15", "3", "Y"]
 
+RUNS = {"max_cont_hit": (SHORT_GAP, True), "max_cont_hit_nozero": (SHORT_GAP, False)}
+
 KEY = "partner_code"
 
 
@@ -178,34 +181,53 @@ def gap_statistics(gaps: DataFrame) -> DataFrame:
     )
 
 
-def longest_run(
-    gaps: DataFrame, name: str, shorter_than: int = SHORT_GAP, zero_counts: bool = True
-) -> DataFrame:
-    """Longest run of consecutive short gaps per dealer.
+def longest_runs(gaps: DataFrame, kinds: Mapping[str, tuple[int, bool]]) -> DataFrame:
+    """Longest runs of consecutive short gaps per dealer, one column per kind.
 
-    With ``zero_counts=False`` a zero gap ends a run. Every gap that does not
-    count ends the current island; islands are numbered by a running count.
+    A kind is (seconds a gap has to stay below, whether a zero gap counts).
+    Every gap that does not count ends the current island; islands are numbered
+    by a running count, all kinds in one pass.
     """
-    hit = F.coalesce(F.col("gap") < shorter_than, F.lit(False)).cast("int")
-    missed = F.coalesce(F.col("gap") >= shorter_than, F.lit(False)).cast("int")
-    if zero_counts:
-        hits, ends_after = hit + F.col("zero_gaps"), F.lit(0)
-    else:
-        hits, ends_after = hit, (F.col("zero_gaps") > 0).cast("int")
-    rows = gaps.select(KEY, "day", "at", "zero_gaps", "gap", hits.alias("hits"), ends_after.alias("after"))
-    rows = with_running_sums(rows, [KEY], "day", "at", {"ends": missed + F.col("after")})
-    islands = rows.groupBy(KEY, (F.col("ends") - F.col("after")).alias("island")).agg(
-        F.sum("hits").alias("hits"),
-        (F.count("gap") + F.sum("zero_gaps")).alias("gaps"),
+    columns, ends, tokens = {}, {}, []
+    for name, (below, zero_counts) in kinds.items():
+        hit = F.coalesce(F.col("gap") < below, F.lit(False)).cast("int")
+        missed = F.coalesce(F.col("gap") >= below, F.lit(False)).cast("int")
+        zero = F.col("zero_gaps")
+        columns[f"hits_{name}"] = hit + zero if zero_counts else hit
+        columns[f"after_{name}"] = F.lit(0) if zero_counts else (zero > 0).cast("int")
+        ends[f"ends_{name}"] = missed + F.col(f"after_{name}")
+        tokens.append(
+            F.struct(
+                F.lit(name).alias("kind"),
+                (F.col(f"ends_{name}") - F.col(f"after_{name}")).alias("island"),
+                F.col(f"hits_{name}").cast("bigint").alias("hits"),
+            )
+        )
+    rows = with_running_sums(gaps.withColumns(columns), [KEY], "day", "at", ends)
+    number = (F.col("gap").isNotNull().cast("int") + F.col("zero_gaps")).alias("gaps")
+    islands = (
+        rows.select(KEY, number, F.inline(F.array(*tokens)))
+        .groupBy(KEY, "kind", "island")
+        .agg(F.sum("hits").alias("hits"), F.sum("gaps").alias("gaps"))
     )
     return (
         islands.groupBy(KEY)
-        .agg(F.max("hits").alias(name), F.sum("gaps").alias("_gaps"))
+        .agg(
+            *[F.max(F.when(F.col("kind") == n, F.col("hits"))).alias(n) for n in kinds],
+            F.sum("gaps").alias("_gaps"),
+        )
         .filter("_gaps > 0")
         .drop("_gaps")
     )
 
 
+def longest_run(
+    gaps: DataFrame, name: str, shorter_than: int = SHORT_GAP, zero_counts: bool = True
+) -> DataFrame:
+    """Longest run of gaps below ``shorter_than`` seconds per dealer."""
+    return longest_runs(gaps, {name: (shorter_than, zero_counts)})
+
+
 def isolated_orders(gaps: DataFrame, farther_than: int = SHORT_GAP) -> DataFrame:
     """Number and share of orders with no other order close by, per dealer."""
     before = F.coalesce(F.col("gap") > farther_than, F.lit(True))
@@ -313,11 +335,11 @@ def dealer_features(
     states: Sequence[str] = STATES,
 ) -> DataFrame:
     """All behaviour features of a dealer in one row."""
-    gaps = order_gaps(orders, ts)
+    # Read three times; one row per dealer and second.
+    gaps = checkpointed(order_gaps(orders, ts))
     pieces = [
         gap_statistics(gaps),
-        longest_run(gaps, "max_cont_hit"),
-        longest_run(gaps, "max_cont_hit_nozero", zero_counts=False),
+        longest_runs(gaps, RUNS),
         isolated_orders(gaps).select(KEY, "isolated_perc"),
         big_share(orders),
         booth_count(orders),

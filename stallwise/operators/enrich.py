@@ -70,13 +70,15 @@ def with_contract(orders: DataFrame, contracts: DataFrame) -> DataFrame:
     return joined.withColumn("avg_amt", ratio(F.col("act_amt"), F.col("actual_area")))
 
 
-def per_lease(orders: DataFrame, extra: Sequence[str | Column] = ()) -> DataFrame:
+def per_lease(
+    orders: DataFrame, extra: Sequence[str | Column] = (), levels: Sequence[str] = ORDER_LEVELS
+) -> DataFrame:
     """Sum amount and count of orders per lease code, order categories and extras.
 
     The sums combine on the map side, so a lease with most of the orders is one
     row per task when it is shuffled.
     """
-    return orders.groupBy("contract_code", *ORDER_LEVELS, *extra).agg(
+    return orders.groupBy("contract_code", *levels, *extra).agg(
         strict_sum(F.col("act_amt")).alias("act_amt"), F.count(F.lit(1)).alias("order_num")
     )
 

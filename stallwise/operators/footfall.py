@@ -17,6 +17,7 @@ from stallwise.functions.dates import minutes_between, month, second_of_day
 from stallwise.functions.nullsafe import distinct_with_null, ratio
 from stallwise.operators.intervals import blocks_of_interval, blocks_of_point
 from stallwise.operators.joins import keep_unmatched, small
+from stallwise.session import checkpointed
 
 # The event of a stay, minutes of a customer's stay, minutes of a counted visitor.
 STAY_EVENT = 0
@@ -233,7 +234,8 @@ def order_visit_features(
     persons with a visit during any order of the shop-day. The bodies of these
     two are our own definition.
     """
-    line = timeline(visits, orders, minutes)
+    # Read three times; at most one row per shop, day and second.
+    line = checkpointed(timeline(visits, orders, minutes))
     people = person_days(visits, line)
     shop_day = people.groupBy(*SHOP_DAY).agg(
         F.sum("visits").alias("visits"),

@@ -9,13 +9,15 @@ from pyspark.sql import functions as F
 
 from stallwise.functions.dates import days_between, quarter_label, weekend_label
 from stallwise.functions.nullsafe import (
+    blank,
     bucket,
     ratio,
     strict_greatest,
     strict_least,
     strict_sum,
 )
-from stallwise.operators.enrich import flag_promotion, per_lease, with_contract
+from stallwise.operators.enrich import flag_promotion, per_lease
+from stallwise.operators.joins import small
 from stallwise.operators.ordered import with_position
 from stallwise.operators.quantiles import breaks, with_group_median
 from stallwise.operators.shaping import long, wide
@@ -244,16 +246,31 @@ def month_by_category(sales: DataFrame, level: str, labels: Sequence[str]) -> Da
 
 
 def stall_months(orders: DataFrame, contracts: DataFrame) -> DataFrame:
-    """Sale per area, sale and number of orders per stall and month."""
-    summed = per_lease(orders, ["month_id", "house_no", "shop_name", "shop_id"])
-    return (
-        with_contract(summed, contracts)
-        .groupBy(*STALL_KEYS)
-        .agg(
-            strict_sum(F.col("avg_amt")).alias("saleperarea"),
-            strict_sum(F.col("act_amt")).cast("double").alias("sale"),
-            F.sum("order_num").alias("order_num"),
-        )
+    """Sale per area, sale and number of orders per stall and month.
+
+    Most of the stall columns follow from the lease code, so the sums are
+    grouped by the code alone and the other lease columns are joined last.
+    Lease codes are unique (``joins.unique_on`` checks a table for it).
+    """
+    contracts = small(contracts)
+    shop = ["month_id", "house_no", "shop_name", "shop_id"]
+    own = per_lease(orders, shop, levels=["cont_cat3_name"])
+    lease = contracts.select("contract_code", "category_name_1", "category_name_3", "actual_area")
+    filled = F.when(blank(F.col("category_name_1")), F.col("cont_cat3_name")).otherwise(
+        F.col("category_name_3")
+    )
+    summed = (
+        own.join(lease, "contract_code", "left")
+        .withColumn("category_name_3", filled)
+        .groupBy("contract_code", *shop, "category_name_3", "actual_area")
+        .agg(strict_sum(F.col("act_amt")).alias("act_amt"), F.sum("order_num").alias("order_num"))
+    )
+    found = summed.join(contracts.drop("actual_area", "category_name_3"), "contract_code", "left")
+    return found.select(
+        *STALL_KEYS,
+        ratio(F.col("act_amt"), F.col("actual_area")).alias("saleperarea"),
+        F.col("act_amt").cast("double").alias("sale"),
+        "order_num",
     )
 
 
