@@ -186,13 +186,21 @@ def longest_stay_around(visits: DataFrame, orders: DataFrame) -> DataFrame:
     """Longest stay among the visits under way at every second with an order.
 
     Of the visits entering in one second only the longest can win, so a
-    shop-day has at most one interval per second.
+    shop-day has at most one interval per second; and none can win that ends
+    before one that began earlier.
     """
+    earlier = (
+        Window.partitionBy(*SHOP_DAY)
+        .orderBy("enter_s")
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
     longest = (
         _placed(visits)
         .filter("exit_s >= enter_s")
         .groupBy(*SHOP_DAY, "enter_s")
         .agg(F.max("exit_s").alias("exit_s"))
+        .withColumn("_ends", F.max("exit_s").over(earlier))
+        .filter("_ends is null or exit_s > _ends")
     )
     blocks = (
         longest.select(

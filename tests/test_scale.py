@@ -109,7 +109,7 @@ def test_interval_blocks(spark):
     for r in df.collect():
         covered = []
         for size, block in r["blocks"] or []:
-            covered.append((block << size, ((block + 1) << size) - 1))
+            covered.append((block << 2 * size, ((block + 1) << 2 * size) - 1))
         covered.sort()
         if r["hi"] < r["lo"]:
             assert not covered
