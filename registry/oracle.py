@@ -209,9 +209,13 @@ SHARED = {
           (epoch_us(ts) + CAST(CAST(value AS DECIMAL(18,2)) * 60000000 AS BIGINT)) // 1000000
             - epoch_us(ts) // 1000000 AS stay_s
         FROM events""",
+    "m_profiles": """
+        SELECT DISTINCT CAST(user_id AS VARCHAR) AS rs_profile_id, 1 AS is_valid,
+          CASE WHEN user_id % 7 = 0 THEN 1 ELSE 0 END AS is_staff FROM events""",
     "m_visits": """
         SELECT *, stay_s / 60.0 AS duration FROM m_track
-        WHERE event_type = 0 AND user_id NOT IN (SELECT user_id FROM events WHERE user_id % 7 = 0)""",
+        WHERE event_type = 0 AND profile_id NOT IN (
+          SELECT rs_profile_id FROM m_profiles WHERE is_valid = 1 AND is_staff = 1)""",
     "m_shop_orders": """
         SELECT CAST(event_id AS VARCHAR) AS ordr_id, CAST(user_id // 5 AS VARCHAR) AS shop_id,
           CAST(ts AS DATE) AS date_id, date_trunc('second', ts) AS ordr_date, CAST(value AS DECIMAL(18,2)) AS act_amt,

@@ -28,7 +28,8 @@ def stalls(
         found = found.filter(F.col("month_id") <= last_month)
     if predicate is not None:
         found = found.filter(predicate)
-    return found.orderBy("month_id")
+    # All columns sort, so that one busy month can be spread over several tasks.
+    return found.orderBy("month_id", *[c for c in found.columns if c != "month_id"])
 
 
 def of_years(rows: DataFrame, years: Sequence[int]) -> DataFrame:
