@@ -73,10 +73,10 @@ def leases(spark, sf):
     return enrich.apply_category_dict(found, frames.category_dict(spark, sf), frames.OVERRIDES)
 
 
-def summed(spark, sf, *extra):
+def summed(spark, sf, *extra, levels=()):
     """Sums per lease with the lease's columns."""
     rows = tables.mall_sales(frames.sales(spark, sf))
-    return enrich.with_contract(enrich.per_lease(rows, extra), leases(spark, sf))
+    return enrich.with_contract(enrich.per_lease(rows, extra, levels), leases(spark, sf))
 
 
 def stall_months_of(spark, sf):
@@ -395,7 +395,8 @@ def brand_index(spark, sf):
 
 @query
 def best_brands(spark, sf):
-    totals = productivity.brand_totals(summed(spark, sf), "category_name_1", "brand_name")
+    rows = summed(spark, sf, levels=enrich.ORDER_LEVELS)
+    totals = productivity.brand_totals(rows, "category_name_1", "brand_name")
     return productivity.brands_of(totals, ["ECONOMY", "SMALL", "PROMO"], "category_name_1")
 
 

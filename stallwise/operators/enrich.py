@@ -64,9 +64,12 @@ def with_contract(orders: DataFrame, contracts: DataFrame) -> DataFrame:
 
     ``avg_amt`` is the amount per square metre. Callers that only need sums
     should sum per lease code first (``per_lease``): that leaves one row per
-    lease instead of one per order to be joined.
+    lease instead of one per order to be joined. Sums kept without the order's
+    own categories have nothing to fill from.
     """
-    joined = fill_categories(lookup(orders, contracts, "contract_code"))
+    joined = lookup(orders, contracts, "contract_code")
+    if set(ORDER_LEVELS) <= set(orders.columns):
+        joined = fill_categories(joined)
     return joined.withColumn("avg_amt", ratio(F.col("act_amt"), F.col("actual_area")))
 
 
@@ -75,6 +78,8 @@ def per_lease(
 ) -> DataFrame:
     """Sum amount and count of orders per lease code, order categories and extras.
 
+    Pass ``levels=()`` where only the lease's edited category is asked for.
+
     The sums combine on the map side, so a lease with most of the orders is one
     row per task when it is shuffled.
     """

@@ -35,7 +35,9 @@ def category_productivity(
         tables.mall_contracts(contracts, mall), category_dict, overrides
     )
     calendar = tables.promotions(promotion_calendar)
-    daily = enrich.with_contract(enrich.per_lease(sales, ["month_id", "date_id"]), leases)
+    daily = enrich.with_contract(
+        enrich.per_lease(sales, ["month_id", "date_id"], levels=()), leases
+    )
     period = productivity.sale_per_area_in_period(daily, leases, month_begin, month_finish)
     stalls = productivity.stall_metrics(
         productivity.stall_months(sales, leases), start_month, as_of
