@@ -113,7 +113,7 @@ SHARED = {
         SELECT s.*, NULLIF({}, 0) AS saleperareainterval, NULLIF({}, 0) AS saleperareaperdurationinterval
         FROM m_stall_sum s, q""".format(
         *[
-            " + ".join(f"CAST({v} > q.{a}[{i}] AS INTEGER)" for i in range(1, 10))
+            " + ".join(f"CAST({v} > q.{a}[{i}] AS BIGINT)" for i in range(1, 10))
             for a, v in (("a", "saleperarea"), ("b", "saleperareaperduration"))
         ]
     ),
@@ -131,11 +131,11 @@ SHARED = {
               FROM m_sales GROUP BY partner_code, partner_name)""",
     "m_labelled": """
         SELECT partner_code, freq, sum_act_amt, t.partner_name, mall_sale_estimated, total_sale_estimated,
-          CASE WHEN round(mall_sale_estimated / sum_act_amt, 9) > 1 THEN 1
-               WHEN round(mall_sale_estimated / sum_act_amt, 9) = 1 THEN 0 ELSE -1 END AS relation_record_estimate,
+          CAST(CASE WHEN round(mall_sale_estimated / sum_act_amt, 9) > 1 THEN 1
+               WHEN round(mall_sale_estimated / sum_act_amt, 9) = 1 THEN 0 ELSE -1 END AS BIGINT) AS relation_record_estimate,
           mall_sale_estimated / sum_act_amt AS relation_record_estimate_value,
-          CASE WHEN round(mall_sale_estimated / sum_act_amt, 9) <= 1.8
-                AND round(mall_sale_estimated / sum_act_amt, 9) > 0.8 THEN 1 ELSE 0 END AS relation_record_estimate_real
+          CAST(CASE WHEN round(mall_sale_estimated / sum_act_amt, 9) <= 1.8
+                AND round(mall_sale_estimated / sum_act_amt, 9) > 0.8 THEN 1 ELSE 0 END AS BIGINT) AS relation_record_estimate_real
         FROM m_totals t JOIN m_survey s USING (partner_code)""",
     "m_event_orders": """
         SELECT event_id, CAST(event_id AS VARCHAR) AS ordr_id,

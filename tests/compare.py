@@ -8,6 +8,10 @@ import math
 
 import duckdb
 
+KINDS = {
+    "BIGINT": "bigint", "DOUBLE": "double", "VARCHAR": "string", "DATE": "date",
+    "BOOLEAN": "boolean", "TIMESTAMP": "timestamp",
+}
 TABLES = "region nation customer supplier part orders lineitem events".split()
 
 
@@ -45,6 +49,10 @@ def differences(df, con, sql: str, limit: int = 4) -> list[str]:
     ours = df.collect()
     if sorted(names) != sorted(df.columns):
         return [f"columns {sorted(df.columns)} vs {sorted(names)}"]
+    kinds = {d[0]: KINDS.get(str(d[1]), str(d[1])) for d in cursor.description}
+    wrong = [(n, t, kinds[n]) for n, t in df.dtypes if t != kinds[n]]
+    if wrong:
+        return [f"types {wrong}"]
     a, b = rows_of(df.columns, ours), rows_of(names, theirs)
     if a == b:
         return []
