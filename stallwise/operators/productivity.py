@@ -278,7 +278,8 @@ def stall_metrics(months: DataFrame, start_month: str, as_of: str) -> DataFrame:
     """Sale per area (and per leased day) of every stall since a month, with octiles.
 
     Series, category and brand are the most frequent ones over the stall's
-    monthly rows; the lowest wins a tie. The leased days end at ``as_of``.
+    monthly rows; the lowest wins a tie. They come from fixed lists, so the
+    counts kept per stall are few. The leased days end at ``as_of``.
     """
     found = (
         months.filter(F.col("month_id") >= start_month)

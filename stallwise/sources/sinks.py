@@ -6,14 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def write_by_month(df: DataFrame, folder: str, key: str = "month_id", spread: int = 16) -> None:
+def write_by_month(df: DataFrame, folder: str, key: str = "month_id") -> None:
     """One parquet folder per month, overwritten as a whole.
 
-    Each month goes to ``spread`` tasks, so a month holding most of the rows is
-    not written by one task and a small one does not leave a file per task.
+    Rows are rebalanced on the month: small months share a task, and a month
+    with most of the rows is split by size instead of being written by one task.
     """
-    part = F.pmod(F.xxhash64(*df.columns), F.lit(spread))
-    laid = df.withColumn("_part", part).repartition(key, "_part").drop("_part")
+    laid = df.hint("rebalance", F.col(key))
     laid.write.mode("overwrite").partitionBy(key).parquet(folder)
 
 
