@@ -74,9 +74,10 @@ def leases(spark, sf):
 
 
 def summed(spark, sf, *extra, levels=()):
-    """Sums per lease with the lease's columns."""
+    """Sums per lease with the lease's columns, and the leases."""
     rows = tables.mall_sales(frames.sales(spark, sf))
-    return enrich.with_contract(enrich.per_lease(rows, extra, levels), leases(spark, sf))
+    area = leases(spark, sf)
+    return enrich.with_contract(enrich.per_lease(rows, extra, levels), area), area
 
 
 def stall_months_of(spark, sf):
@@ -319,7 +320,7 @@ def math_functions(spark, sf):
 @query
 def sale_per_area_period(spark, sf):
     return productivity.sale_per_area_in_period(
-        summed(spark, sf, "month_id"), leases(spark, sf), BEGIN, FINISH
+        *summed(spark, sf, "month_id"), BEGIN, FINISH
     )
 
 
@@ -347,42 +348,42 @@ def year_area(spark, sf):
 @query
 def seasonal_sale_per_area(spark, sf):
     return productivity.seasonal_sale_per_area(
-        summed(spark, sf, "month_id"), leases(spark, sf), YEAR
+        *summed(spark, sf, "month_id"), YEAR
     )
 
 
 @query
 def yearly_sale_per_area(spark, sf):
     return productivity.yearly_sale_per_area(
-        summed(spark, sf, "month_id", "shop_id"), leases(spark, sf), YEAR, also_by=["shop_id"]
+        *summed(spark, sf, "month_id", "shop_id"), YEAR, also_by=["shop_id"]
     )
 
 
 @query
 def weekend_split(spark, sf):
     return productivity.weekend_split(
-        summed(spark, sf, "month_id", "date_id"), leases(spark, sf), "1998-07-01", "1998-07-31"
+        *summed(spark, sf, "month_id", "date_id"), "1998-07-01", "1998-07-31"
     )
 
 
 @query
 def weekend_index(spark, sf):
     return productivity.weekend_index(
-        summed(spark, sf, "month_id", "date_id"), leases(spark, sf), "1998-07-01", "1998-07-31"
+        *summed(spark, sf, "month_id", "date_id"), "1998-07-01", "1998-07-31"
     )
 
 
 @query
 def promo_index(spark, sf):
     return productivity.promotion_index(
-        summed(spark, sf, "month_id", "date_id"), leases(spark, sf), calendar(spark, sf), YEAR
+        *summed(spark, sf, "month_id", "date_id"), calendar(spark, sf), YEAR
     )
 
 
 @query
 def category_index(spark, sf):
     found = productivity.period_ratio(
-        summed(spark, sf, "month_id"), leases(spark, sf), BEGIN, FINISH,
+        *summed(spark, sf, "month_id"), BEGIN, FINISH,
         ["category_2_edit"], "category_2_edit",
     )
     return productivity.category_index(found)
@@ -390,12 +391,12 @@ def category_index(spark, sf):
 
 @query
 def brand_index(spark, sf):
-    return productivity.brand_index(productivity.brand_totals(summed(spark, sf)))
+    return productivity.brand_index(productivity.brand_totals(summed(spark, sf)[0]))
 
 
 @query
 def best_brands(spark, sf):
-    rows = summed(spark, sf, levels=enrich.ORDER_LEVELS)
+    rows = summed(spark, sf, levels=enrich.ORDER_LEVELS)[0]
     totals = productivity.brand_totals(rows, "category_name_1", "brand_name")
     return productivity.brands_of(totals, ["ECONOMY", "SMALL", "PROMO"], "category_name_1")
 
@@ -413,7 +414,7 @@ def category_totals(spark, sf):
 
 @query
 def floor_totals(spark, sf):
-    rows = summed(spark, sf)
+    rows = summed(spark, sf)[0]
     found = rows.groupBy("floor_name").agg(
         F.sum("act_amt").alias("sale"), F.sum("order_num").alias("record_num")
     )
