@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stallwise.llm import packing, sharding, vocabularies
+from stallwise.llm import line_dedup, packing, sharding, simhash, vocabularies
 from stallwise.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,3 +41,37 @@ def op2_packing(spark, sf_dir):
     """All documents in sequences of 1024 tokens."""
     docs = table(spark, sf_dir, "documents")
     return packing.pack_documents(docs, SEQUENCE, 0, vocabularies.byte_tokens)
+
+
+@query
+def op3_line_dedup(spark, sf_dir):
+    """Lines of at least 20 characters in at least 3 documents stay in the largest one only."""
+    cleaned = line_dedup.dedup_lines(table(spark, sf_dir, "documents"), 3, 20)
+    return cleaned.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+SQL["op3_line_dedup"] = """
+WITH lines AS (
+    SELECT doc_id, i, string_split(coalesce(text, ''), chr(10))[i] AS line
+    FROM documents, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS u(i)
+), keyed AS (
+    SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+    FROM lines
+), often AS (
+    SELECT key, max(doc_id) AS keeper FROM keyed WHERE length(key) >= 20
+    GROUP BY key HAVING count(DISTINCT doc_id) >= 3
+), marked AS (
+    SELECT k.*, o.key IS NOT NULL AND k.doc_id <> o.keeper AS gone FROM keyed k LEFT JOIN often o ON k.key = o.key
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
+
+
+@query
+def op9_simhash(spark, sf_dir):
+    """Fingerprints of all documents and the groups they form within two bits."""
+    found = simhash.linked(table(spark, sf_dir, "documents"), 3)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("mark"), 16, "0")).alias("fingerprint"), "component_id")
