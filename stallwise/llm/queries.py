@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stallwise.llm import line_dedup, packing, sharding, simhash, vocabularies
+from stallwise.llm import line_dedup, packing, sharding, simhash, topk, vantage, vocabularies
 from stallwise.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,3 +75,37 @@ def op9_simhash(spark, sf_dir):
     """Fingerprints of all documents and the groups they form within two bits."""
     found = simhash.linked(table(spark, sf_dir, "documents"), 3)
     return found.select("doc_id", F.lower(F.lpad(F.hex("mark"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def embeddings(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+
+
+@query
+def op4_exact_topk(spark, sf_dir):
+    """The 20 highest integer inner products of every 20th vector, against all rows."""
+    return topk.exact_top(embeddings(spark, sf_dir), "id % 20 = 0", 20, 64)
+
+
+SQL["op4_exact_topk"] = """
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 64)) AS q
+    FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+    SELECT a.vec_id AS query_id, b.vec_id, list_dot_product(a.q, b.q)::BIGINT AS score
+    FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0
+), r AS (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+# How much stronger than the triangle inequality the trees prune.
+PRUNING = 1.5
+
+
+@query
+def op10_vantage_trees(spark, sf_dir):
+    """The 20 nearest of every 20th vector by inner product, from trees over all rows."""
+    return vantage.nearest(embeddings(spark, sf_dir), "id % 20 = 0", 20, PRUNING)
