@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stallwise.llm import line_dedup, packing, sharding, simhash, topk, vantage, vocabularies
+from stallwise.llm import bpe, html_text, line_dedup, packing, sharding, simhash, topk, vantage, vocabularies
 from stallwise.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,3 +109,22 @@ PRUNING = 1.5
 def op10_vantage_trees(spark, sf_dir):
     """The 20 nearest of every 20th vector by inner product, from trees over all rows."""
     return vantage.nearest(embeddings(spark, sf_dir), "id % 20 = 0", 20, PRUNING)
+
+
+@query
+def op6_bpe(spark, sf_dir):
+    """Ids of every whole text under the word vocabulary, and what they decode to."""
+    found = bpe.round_trip(table(spark, sf_dir, "documents"), vocabularies.word_pieces)
+    return found.select(
+        "doc_id",
+        F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+@query
+def op7_html_text(spark, sf_dir):
+    """Main text of every page."""
+    found = html_text.main_texts(table(spark, sf_dir, "pages"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))

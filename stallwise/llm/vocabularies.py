@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+from stallwise.llm.bpe import WordPieces
 from stallwise.llm.tokens import ByteTokens
 
 
@@ -15,3 +16,9 @@ def byte_tokens() -> ByteTokens:
     return ByteTokens(
         public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, {x["content"]: x["id"] for x in added}
     )
+
+
+def word_pieces() -> WordPieces:
+    import public_tokenizers
+
+    return WordPieces(public_tokenizers.path("word_bpe_49k.json"))
