@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stallwise.llm import bpe, html_text, line_dedup, packing, sharding, simhash, topk, vantage, vocabularies
+from stallwise.llm import bpe, html_text, line_dedup, packing, quality, sharding, simhash, topk, vantage, vocabularies
 from stallwise.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -128,3 +128,15 @@ def op7_html_text(spark, sf_dir):
     """Main text of every page."""
     found = html_text.main_texts(table(spark, sf_dir, "pages"))
     return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
+GOOD = 0.3
+
+
+@query
+def op8_quality(spark, sf_dir):
+    """Quality score of every document; labels of held-out documents are not used."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.learned(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))
+    found = quality.scored(docs, model).select("doc.doc_id", "score")
+    return found.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= GOOD).cast("int").alias("predicted"))
