@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stallwise.llm import bpe, html_text, line_dedup, packing, quality, sharding, simhash, topk, vantage, vocabularies
+from stallwise.llm import bpe, html_text, line_dedup, packing, quality, sharding, simhash, substring, topk, vantage, vocabularies
 from stallwise.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -140,3 +140,31 @@ def op8_quality(spark, sf_dir):
     model = quality.learned(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))
     found = quality.scored(docs, model).select("doc.doc_id", "score")
     return found.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= GOOD).cast("int").alias("predicted"))
+
+
+@query
+def op5_substring_dedup(spark, sf_dir):
+    """Words of 13-word windows that a smaller document also has are removed."""
+    found = substring.dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"), 13)
+    return found.select("doc.doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+SQL["op5_substring_dedup"] = r"""
+WITH w AS (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), s AS (
+    SELECT doc_id, i, array_to_string(words[i:i + 12], ' ') AS seq
+    FROM w, unnest(range(1, len(words) - 11)) AS u(i) WHERE len(words) >= 13
+), f AS (
+    SELECT seq, min(doc_id) AS first FROM s GROUP BY seq
+), gone AS (
+    SELECT DISTINCT s.doc_id, s.i + k AS i FROM s JOIN f ON s.seq = f.seq, unnest(range(0, 13)) AS v(k) WHERE f.first < s.doc_id
+), each AS (
+    SELECT w.doc_id, u.i, words[u.i] AS word FROM w, unnest(range(1, len(words) + 1)) AS u(i)
+), kept AS (
+    SELECT e.doc_id, count(g.i) AS n_removed, string_agg(e.word, ' ' ORDER BY e.i) FILTER (g.i IS NULL) AS text
+    FROM each e LEFT JOIN gone g ON e.doc_id = g.doc_id AND e.i = g.i GROUP BY e.doc_id
+)
+SELECT w.doc_id, len(w.words)::BIGINT AS n_words, coalesce(k.n_removed, 0) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
+FROM w LEFT JOIN kept k ON w.doc_id = k.doc_id
+"""
