@@ -165,22 +165,21 @@ def dropped_keys(state: LineState, docs: DataFrame) -> DataFrame:
 
 
 def clean_lines(docs: DataFrame, state: LineState) -> DataFrame:
-    """``docs`` with kept_text, n_lines and n_dropped by ``state``."""
-    lost = dropped_keys(state, docs)
+    """(doc, n_lines, n_dropped, kept_text): every row of ``docs`` as a struct, cleaned by ``state``."""
+    rows = docs.select(F.struct("*").alias("doc"), "doc_id", "text").join(dropped_keys(state, docs), "doc_id", "left")
     parts = lines_of(F.col("text"))
     rest = F.filter(parts, lambda x: ~F.array_contains("dropped", F.md5(key_text(x).cast("binary"))))
     kept = F.when(F.col("dropped").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(rest, "\n"))
     n_kept = F.when(F.col("dropped").isNull(), F.size(parts)).otherwise(F.size(rest))
-    return (
-        docs.join(lost, "doc_id", "left")
-        .withColumns({"kept_text": kept, "n_lines": F.size(parts).cast("long"), "n_dropped": (F.size(parts) - n_kept).cast("long")})
-        .drop("dropped")
+    return rows.select(
+        "doc", F.size(parts).cast("long").alias("n_lines"), (F.size(parts) - n_kept).cast("long").alias("n_dropped"), kept.alias("kept_text")
     )
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20) -> DataFrame:
     """Drops lines held by ``min_docs`` documents or more, except in the largest doc_id.
 
-    ``docs`` needs doc_id and text; other columns stay. Nothing is dropped from an empty table.
+    ``docs`` needs doc_id and text; all columns of the input are in ``doc``, whatever their names.
+    Nothing is dropped from an empty table.
     """
     return clean_lines(docs, line_state(docs, min_docs, min_chars))

@@ -1,0 +1,159 @@
+"""Near copies by word shingles: SimHash balls find pairs, the shingles themselves decide.
+
+One fingerprint cannot reach a similarity of 0.8, which is a dozen of 64 bits. So a text gets
+several short fingerprints, of word pairs, which an edit disturbs less than longer shingles.
+Each emits its variants within one bit; texts that meet at a variant are at most two bits
+apart in that fingerprint and are compared exactly.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from stallwise.llm.common import LAST_ID, staged
+from stallwise.llm.components import components
+from stallwise.llm.rolling import Powers, Words, mixed
+from stallwise.llm.simhash import BITS, bit_counts
+
+# Chance to miss a pair at exactly the wanted similarity.
+MISSED = 0.01
+WIDTH = 28
+# Pairs whose fingerprints differ in more bits than so many standard deviations above what the
+# wanted similarity gives are not compared word by word.
+DEVIATIONS = 4.0
+
+
+def differing(similarity: float, shingle: int) -> float:
+    """The chance that a fingerprint bit differs between texts of this similarity.
+
+    Single changed words spare a share of the long shingles that follows from the similarity;
+    the share of word pairs spared gives the angle between the texts, and that the chance.
+    """
+    spared = (2 * similarity / (1 + similarity)) ** (2 / shingle)
+    return math.acos(min(1.0, spared)) / math.pi
+
+
+def tables_for(similarity: float, shingle: int, width: int = WIDTH, missed: float = MISSED) -> int:
+    """How many fingerprints of ``width`` bits find pairs of the wanted similarity."""
+    p = differing(similarity, shingle)
+    met = sum(math.comb(width, i) * p**i * (1 - p) ** (width - i) for i in range(3))
+    return max(1, math.ceil(math.log(missed) / math.log(1 - met))) if met < 1 else 1
+
+
+def sketch(words: Words, tables: int, width: int) -> list[int]:
+    """``tables`` fingerprints of ``width`` bits over the text's word pairs."""
+    hashes = words.grams(2) if words.count > 1 else words.grams(1)
+    bits = []
+    for turn in range(-(-tables * width // BITS)):
+        salted = mixed(hashes ^ np.uint64(turn * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
+        bits.append(2 * bit_counts(salted) > len(salted))
+    chosen = np.concatenate(bits)[: tables * width].reshape(tables, width)
+    return (chosen @ (1 << np.arange(width))).tolist()
+
+
+def split(text: str | None) -> list[bytes]:
+    return (text or "").encode().lower().split()
+
+
+def sketching(tables: int, width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = Powers()
+        for batch in batches:
+            marks = [sketch(Words(split(x.as_py()), powers), tables, width) for x in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(marks, pa.list_(pa.int64()))], ["doc", "marks"])
+
+    return run
+
+
+def shingling(size: int):
+    """The hashes of a text's distinct word shingles; fewer words are one shingle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = Powers()
+        for batch in batches:
+            sets = []
+            for text in batch.column("text"):
+                words = Words(split(text.as_py()), powers)
+                sets.append(np.unique(words.grams(min(size, max(1, words.count)))).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(sets, pa.list_(pa.int64()))], ["doc", "shingles"])
+
+    return run
+
+
+def met_pairs(marks: DataFrame, width: int) -> DataFrame:
+    """Pairs (a, b) that share a variant of a fingerprint: each text with the smallest and the previous one there."""
+    masks = F.array(F.lit(0).cast("long"), *[F.lit(1 << i).cast("long") for i in range(width)])
+    each = marks.select("doc", F.posexplode("marks").alias("table", "mark"))
+    spread = each.select("doc", "table", "mark", F.explode(masks).alias("mask"))
+    spread = spread.select("doc", (F.col("mark").bitwiseXOR(F.col("mask")) + F.col("table").cast("long") * (1 << width)).alias("variant"))
+    order = Window.partitionBy("variant").orderBy("doc")
+    met = spread.withColumns({"least": F.min("doc").over(order), "before": F.lag("doc").over(order)}).filter("least != doc")
+    return met.select(F.col("doc").alias("b"), F.explode(F.array("least", "before")).alias("a")).filter("a < b").distinct()
+
+
+def alike(pairs: DataFrame, marks: DataFrame, most: float) -> DataFrame:
+    """The pairs whose fingerprints differ in at most ``most`` bits altogether."""
+    one, other = (marks.select(F.col("doc").alias(x), F.col("marks").alias(f"marks_{x}")) for x in "ab")
+    apart = F.zip_with("marks_a", "marks_b", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    both = pairs.join(one, "a").join(other, "b")
+    return both.filter(F.aggregate(apart, F.lit(0), lambda s, x: s + x) <= most).select("a", "b")
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    return docs.select(
+        F.struct("*").alias("row"),
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("id"),
+        F.xxhash64(F.md5(text.cast("binary"))).alias("node"),
+        text.alias("text"),
+    )
+
+
+def _groups(rows: DataFrame, similarity: float, shingle: int, width: int) -> DataFrame:
+    """(node, root, first): every distinct text, its group, and its smallest id."""
+    nodes = staged(rows.groupBy("node").agg(F.min("id").alias("first")), "texts")
+    tables = tables_for(similarity, shingle, width)
+    marks = rows.select(F.col("node").alias("doc"), "text").mapInArrow(sketching(tables, width), "doc long, marks array<long>")
+    marks = staged(marks.dropDuplicates(["doc"]), "marks")
+    p, bits = differing(similarity, shingle), tables * width
+    most = bits * p + DEVIATIONS * math.sqrt(bits * p * (1 - p))
+    pairs = staged(alike(met_pairs(marks, width), marks, most), "pairs")
+    named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    texts = rows.select("node", "text").join(named, "node", "left_semi").dropDuplicates(["node"]).withColumnRenamed("node", "doc")
+    sets = staged(texts.mapInArrow(shingling(shingle), "doc long, shingles array<long>"), "shingles")
+    one, other = (sets.select(F.col("doc").alias(x), F.col("shingles").alias(f"of_{x}")) for x in "ab")
+    common = F.size(F.array_intersect("of_a", "of_b"))
+    union = F.size("of_a") + F.size("of_b") - common
+    share = F.when(union == 0, 1.0).otherwise(common / F.nullif(union, F.lit(0)))
+    edges = pairs.join(one, "a").join(other, "b").filter(share >= similarity).select("a", "b")
+    joined = nodes.join(components(edges), "node", "left")
+    return staged(joined.select("node", F.coalesce("component", "node").alias("root"), "first"), "groups")
+
+
+def near_copy_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, width: int = WIDTH) -> DataFrame:
+    """(doc, first): every row of ``docs`` as a struct, and the smallest doc_id of its group.
+
+    Groups join equal texts, and texts whose sets of word shingles (lower case) have a Jaccard
+    similarity of at least ``similarity``. Null and empty texts are one group. A null doc_id
+    counts as the largest; ``first`` is null where a group has no other.
+    """
+    rows = _rows(docs)
+    groups = _groups(rows, similarity, shingle, width)
+    least = groups.join(groups.groupBy("root").agg(F.min("first").alias("least")), "root").select("node", "least")
+    least = least.select("node", F.when(F.col("least") != LAST_ID, F.col("least")).alias("first"))
+    return rows.select(F.col("row").alias("doc"), "node").join(least, "node").select("doc", "first")
+
+
+def without_near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, width: int = WIDTH) -> DataFrame:
+    """``docs`` with one row of each group: the smallest doc_id, one of rows that are equal."""
+    rows = _rows(docs)
+    groups = _groups(rows, similarity, shingle, width)
+    kept = groups.groupBy("root").agg(F.min(F.struct("first", "node")).alias("kept")).select("kept.first", "kept.node")
+    rows = rows.select("row", "id", "node").join(kept.withColumnRenamed("first", "id"), ["id", "node"], "left_semi")
+    return rows.dropDuplicates(["id", "node"]).select("row.*")

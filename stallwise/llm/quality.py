@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stallwise.llm.rolling import Powers, Words
 
@@ -196,5 +197,5 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     like any other.
     """
     rows = docs.select(F.struct("*").alias("doc"), "text")
-    schema = f"doc {rows.schema['doc'].dataType.simpleString()}, score double"
+    schema = T.StructType([rows.schema["doc"], T.StructField("score", T.DoubleType())])
     return rows.mapInArrow(scoring(model), schema)

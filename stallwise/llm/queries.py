@@ -46,8 +46,8 @@ def op2_packing(spark, sf_dir):
 @query
 def op3_line_dedup(spark, sf_dir):
     """Lines of at least 20 characters in at least 3 documents stay in the largest one only."""
-    cleaned = line_dedup.dedup_lines(table(spark, sf_dir, "documents"), 3, 20)
-    return cleaned.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+    cleaned = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), 3, 20)
+    return cleaned.select("doc.doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
 SQL["op3_line_dedup"] = """

@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stallwise.llm.common import LAST_ID, staged
 from stallwise.llm.rolling import Powers, Words, mixed
@@ -332,5 +333,8 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     )
     spans = covered_windows(rows, window, gram)
     joined = rows.join(spans, ["doc", "text_key"], "left").select("row", "text", "spans")
-    schema = f"doc {rows.schema['row'].dataType.simpleString()}, n_words long, n_removed long, kept_text string"
+    schema = (
+        T.StructType([T.StructField("doc", rows.schema["row"].dataType)])
+        .add("n_words", "long").add("n_removed", "long").add("kept_text", "string")
+    )
     return joined.mapInArrow(removing(window), schema)

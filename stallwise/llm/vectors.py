@@ -68,7 +68,7 @@ def blocks(rows: DataFrame, count: int, size: int, name: str) -> DataFrame:
 
 def numbers(objs: bytes, data: bytes) -> tuple[np.ndarray, np.ndarray]:
     ids = np.frombuffer(objs, np.int64)
-    return ids, np.frombuffer(data, np.float64).reshape(len(ids), -1)
+    return ids, np.frombuffer(data, np.float64).reshape(len(ids), len(data) // 8 // max(1, len(ids)))
 
 
 def pairs(left: DataFrame, right: DataFrame, n_right: int, parallel: int) -> DataFrame:
