@@ -140,8 +140,8 @@ def near_copy_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5,
     """(doc, first): every row of ``docs`` as a struct, and the smallest doc_id of its group.
 
     Groups join equal texts, and texts whose sets of word shingles (lower case) have a Jaccard
-    similarity of at least ``similarity``. Null and empty texts are one group. A null doc_id
-    counts as the largest; ``first`` is null where a group has no other.
+    similarity of at least ``similarity``. Texts without words, null and empty ones too, are one
+    group. A null doc_id counts as the largest; ``first`` is null where a group has no other.
     """
     rows = _rows(docs)
     groups = _groups(rows, similarity, shingle, width)
