@@ -16,6 +16,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +33,7 @@ REGION = 16
 STRETCH = 1 << 17
 # Fixed size of the bit field of repeated anchors: 2**26 bits are 8 MB, whatever the input.
 FIELD = 26
+BLOCK_WORDS = 1 << 13
 # Regions of one anchor, and words of all regions, that one automaton holds.
 ANCHOR_REGIONS = 4_000
 SHARD_WORDS = 100_000
@@ -90,14 +92,24 @@ def probes(anchor):
     return anchor & mask, (anchor >> FIELD) & mask
 
 
+def packed_bits(key: tuple, words: pd.DataFrame) -> pd.DataFrame:
+    """The words of one block of the bit field as bytes."""
+    block = np.zeros(BLOCK_WORDS, np.int64)
+    block[words["word"].to_numpy() % BLOCK_WORDS] = words["bits"].to_numpy()
+    return pd.DataFrame({"block": [key[0]], "data": [block.tobytes()]})
+
+
 def bit_field(repeated: DataFrame) -> np.ndarray:
     """The places of the repeated anchors as bits; its size does not depend on their number."""
-    low, high = (p.cast("long") for p in (F.col("anchor").bitwiseAND((1 << FIELD) - 1), F.shiftright("anchor", FIELD).bitwiseAND((1 << FIELD) - 1)))
-    at = repeated.select(F.explode(F.array(low, high)).alias("at"))
+    mask = (1 << FIELD) - 1
+    places = F.array(F.col("anchor").bitwiseAND(mask), F.shiftright("anchor", FIELD).bitwiseAND(mask))
     bits = F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))"))
-    words = at.groupBy(F.expr("at div 64").alias("word")).agg(bits.alias("bits")).toPandas()
+    words = repeated.select(F.explode(places).alias("at")).groupBy(F.expr("at div 64").alias("word")).agg(bits.alias("bits"))
+    blocks = words.groupBy(F.expr(f"word div {BLOCK_WORDS}").alias("block")).applyInPandas(packed_bits, "block long, data binary")
     field = np.zeros(1 << (FIELD - 6), np.uint64)
-    field[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
+    for row in blocks.collect():
+        at = row["block"] * BLOCK_WORDS
+        field[at : at + BLOCK_WORDS] = np.frombuffer(row["data"], np.uint64)
     return field
 
 
