@@ -8,11 +8,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stallwise.sources.tables import spread
+from stallwise.sources.tables import read
+
+# Column types of the delivered tables; nothing is inferred on read.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey long, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": """o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double,
+        o_orderdate timestamp_ntz, o_orderpriority string""",
+    "lineitem": """l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double,
+        l_extendedprice double, l_discount double, l_tax double, l_returnflag string,
+        l_linestatus string, l_shipdate timestamp_ntz""",
+    "events": "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string",
+}
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    return read(spark, f"{sf}/{name}.parquet", SCHEMAS[name])
 
 
 def malls(spark: SparkSession, sf: str) -> DataFrame:
@@ -32,7 +47,7 @@ def malls(spark: SparkSession, sf: str) -> DataFrame:
 
 def sales(spark: SparkSession, sf: str) -> DataFrame:
     """Order lines as mall orders."""
-    lines = spread(table(spark, sf, "lineitem").drop("l_shipdate"), "l_orderkey")
+    lines = table(spark, sf, "lineitem").drop("l_shipdate")
     orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")
     part = table(spark, sf, "part").select("p_partkey", "p_name", "p_type", "p_brand", "p_size")
     joined = (
@@ -153,6 +168,30 @@ def dealer_survey(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def patchy_survey(spark: SparkSession, sf: str) -> DataFrame:
+    """The survey with missing, repeated and blank codes and blank names."""
+    n = "cast(business_num as bigint)"
+    return dealer_survey(spark, sf).selectExpr(
+        f"""CASE WHEN {n} % 7 = 0 THEN NULL WHEN {n} % 7 = 1 THEN lpad(cast({n} - 1 as string), 10, '0')
+            WHEN {n} % 7 = 2 THEN ' ' ELSE business_num END AS business_num""",
+        f"if({n} % 11 = 0, ' ', business_name) AS business_name",
+        "link_name",
+        "sell_amount_mall",
+        "sell_amount_total",
+    )
+
+
+def shared_contracts(spark: SparkSession, sf: str) -> DataFrame:
+    """The leases, of which every seventh code has a second stall of its own area."""
+    rows = contracts(spark, sf)
+    second = rows.filter("cast(contract_code as bigint) % 7 = 0").selectExpr(
+        "* EXCEPT (booth_code, actual_area)",
+        "concat('X', booth_code) AS booth_code",
+        "actual_area * 2 AS actual_area",
+    )
+    return rows.unionByName(second)
+
+
 def event_orders(spark: SparkSession, sf: str) -> DataFrame:
     """Events as orders with a time, for the dealer features."""
     return table(spark, sf, "events").selectExpr(

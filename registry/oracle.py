@@ -117,6 +117,12 @@ SHARED = {
             for a, v in (("a", "saleperarea"), ("b", "saleperareaperduration"))
         ]
     ),
+    "m_split_month": """
+        SELECT x.* EXCLUDE (booth_code, part), code AS booth_code
+        FROM (SELECT *, unnest(string_split(booth_code, '/')) AS part FROM (
+                SELECT * REPLACE (replace(booth_name, 'N', 'B') AS booth_code) FROM m_stall_month)) x
+        LEFT JOIN (SELECT DISTINCT replace(n, 'N', 'B') AS code, n AS booth_name FROM (
+                SELECT unnest(string_split(booth_name, '/')) AS n FROM m_stall_month)) USING (booth_name)""",
     "m_totals": """
         SELECT partner_code, CAST(count(act_amt) AS BIGINT) AS freq,
           CAST(sum(act_amt) AS DOUBLE) / 10000 AS sum_act_amt, max(partner_name) AS partner_name
@@ -140,7 +146,7 @@ SHARED = {
     "m_event_orders": """
         SELECT event_id, CAST(event_id AS VARCHAR) AS ordr_id,
           lpad(CAST(user_id // 15 AS VARCHAR), 10, '0') AS partner_code, CAST(ts AS DATE) AS date_id,
-          ts AS ordr_date, epoch_us(ts) // 1000000 AS sec, CAST(value AS DECIMAL(18,2)) AS act_amt,
+          ts AS ordr_date, epoch_us(ts) AS us, CAST(value AS DECIMAL(18,2)) AS act_amt,
           CASE WHEN value < 2 THEN NULL ELSE 'B' || CAST(user_id % 30 AS VARCHAR) END AS booth_id,
           CAST(user_id AS VARCHAR) AS cust_name,
           CASE WHEN value > 200 THEN NULL ELSE event_type END AS cont_cat3_name,
@@ -150,11 +156,11 @@ SHARED = {
             WHEN 'error' THEN '7' ELSE 'N' END AS ordr_status
         FROM events""",
     "m_gaps": """
-        SELECT partner_code, event_id, sec, sec - lag(sec) OVER w AS gap, lead(sec) OVER w - sec AS next_gap
-        FROM m_event_orders WINDOW w AS (PARTITION BY partner_code ORDER BY sec, event_id)""",
+        SELECT partner_code, event_id, us, (us - lag(us) OVER w) / 1e6 AS gap, (lead(us) OVER w - us) / 1e6 AS next_gap
+        FROM m_event_orders WINDOW w AS (PARTITION BY partner_code ORDER BY us, event_id)""",
     "m_gap_stats": """
         SELECT partner_code, avg(CASE WHEN gap % 86400 = 0 THEN 1.0 ELSE 0.0 END) AS reg_time_perc,
-          min(gap) AS min_time_space, COALESCE(min(gap) FILTER (WHERE gap > 0), 86400) AS min_time_space_nonzero
+          min(gap) AS min_time_space, COALESCE(min(gap) FILTER (WHERE gap > 0), 86400.0) AS min_time_space_nonzero
         FROM m_gaps WHERE gap IS NOT NULL GROUP BY partner_code""",
     "m_runs": """
         SELECT partner_code, max(a) AS max_cont_hit, max(b) AS max_cont_hit_nozero FROM (
@@ -163,7 +169,7 @@ SHARED = {
           FROM (SELECT *, sum(CASE WHEN gap < 300 THEN 0 ELSE 1 END) OVER w AS ia,
                   sum(CASE WHEN gap < 300 AND gap <> 0 THEN 0 ELSE 1 END) OVER w AS ib
                 FROM m_gaps WHERE gap IS NOT NULL
-                WINDOW w AS (PARTITION BY partner_code ORDER BY sec, event_id ROWS UNBOUNDED PRECEDING)))
+                WINDOW w AS (PARTITION BY partner_code ORDER BY us, event_id ROWS UNBOUNDED PRECEDING)))
         GROUP BY partner_code""",
     "m_isolated": """
         SELECT partner_code, count(*) FILTER (WHERE COALESCE(gap, 1000) > 300 AND COALESCE(next_gap, 1000) > 300) AS isolated,
@@ -204,26 +210,25 @@ SHARED = {
           CAST(user_id AS VARCHAR) AS pid, CAST(user_id // 5 AS VARCHAR) AS store_id,
           'Shop ' || CAST((user_id + CASE WHEN user_id % 3 = 0 THEN 1 ELSE 0 END) // 5 AS VARCHAR) AS store_name,
           CASE WHEN event_type IN ('view', 'click') THEN 0 ELSE 1 END AS event_type,
-          CAST(ts AS DATE) AS enter_date, strftime(ts, '%Y%m%d') AS dt, date_trunc('second', ts) AS enter_time,
-          date_trunc('second', ts + to_microseconds(CAST(CAST(value AS DECIMAL(18,2)) * 60000000 AS BIGINT))) AS exit_time,
-          (epoch_us(ts) + CAST(CAST(value AS DECIMAL(18,2)) * 60000000 AS BIGINT)) // 1000000
-            - epoch_us(ts) // 1000000 AS stay_s
+          CAST(ts AS DATE) AS enter_date, strftime(ts, '%Y%m%d') AS dt, CAST(ts AS TIMESTAMP) AS enter_time,
+          CAST(ts AS TIMESTAMP) + to_microseconds(CAST(CAST(value AS DECIMAL(18,2)) * 60000000 AS BIGINT)) AS exit_time,
+          CAST(CAST(value AS DECIMAL(18,2)) * 60000000 AS BIGINT) AS stay_us
         FROM events""",
     "m_profiles": """
         SELECT DISTINCT CAST(user_id AS VARCHAR) AS rs_profile_id, 1 AS is_valid,
           CASE WHEN user_id % 7 = 0 THEN 1 ELSE 0 END AS is_staff FROM events""",
     "m_visits": """
-        SELECT *, stay_s / 60.0 AS duration FROM m_track
+        SELECT *, stay_us / 6e7 AS duration FROM m_track
         WHERE event_type = 0 AND profile_id NOT IN (
           SELECT rs_profile_id FROM m_profiles WHERE is_valid = 1 AND is_staff = 1)""",
     "m_shop_orders": """
         SELECT CAST(event_id AS VARCHAR) AS ordr_id, CAST(user_id // 5 AS VARCHAR) AS shop_id,
-          CAST(ts AS DATE) AS date_id, date_trunc('second', ts) AS ordr_date, CAST(value AS DECIMAL(18,2)) AS act_amt,
+          CAST(ts AS DATE) AS date_id, CAST(ts AS TIMESTAMP) AS ordr_date, CAST(value AS DECIMAL(18,2)) AS act_amt,
           'P' || CAST(user_id % 5 AS VARCHAR) AS prod_name, 'C' || CAST(user_id % 3 AS VARCHAR) AS cont_cat3_name,
           'M' || CAST(user_id % 2 AS VARCHAR) AS cont_main_brand_name
         FROM events WHERE event_type = 'purchase'""",
     "m_pairs": """
-        SELECT o.*, v.id AS visit_id, v.profile_id, v.enter_time, v.exit_time, v.stay_s, v.duration,
+        SELECT o.*, v.id AS visit_id, v.profile_id, v.enter_time, v.exit_time, v.stay_us, v.duration,
           CASE WHEN o.ordr_date BETWEEN v.enter_time AND v.exit_time THEN 1 ELSE 0 END AS person_related
         FROM m_shop_orders o JOIN m_visits v ON o.shop_id = v.store_id AND o.date_id = v.enter_date""",
     "m_related": """
@@ -232,18 +237,18 @@ SHARED = {
         WHERE k = 1 AND person_related = 1""",
     "m_traffic": """
         SELECT store_id AS shop_id, week(enter_date) AS period, count(DISTINCT (enter_date, profile_id)) AS total_uv,
-          count(DISTINCT enter_time) AS total_pv, median(stay_s) / 60.0 AS median_duration, avg(stay_s) / 60.0 AS avg_duration
+          count(DISTINCT enter_time) AS total_pv, median(stay_us) / 6e7 AS median_duration, avg(stay_us) / 6e7 AS avg_duration
         FROM m_visits GROUP BY ALL""",
     "m_related_traffic": """
         SELECT shop_id, week(date_id) AS period, count(DISTINCT profile_id) AS total_related_uv, count(*) AS total_related_pv,
-          median(stay_s) / 60.0 AS median_related_duration, avg(stay_s) / 60.0 AS avg_related_duration
+          median(stay_us) / 6e7 AS median_related_duration, avg(stay_us) / 6e7 AS avg_related_duration
         FROM m_related GROUP BY ALL""",
     "m_order_num": """
         SELECT shop_id, cont_cat3_name, cont_main_brand_name, week(date_id) AS period, count(*) AS order_num
         FROM m_shop_orders GROUP BY ALL""",
     "m_uv": """
         SELECT store_id, count(DISTINCT pid) AS month_uv,
-          count(DISTINCT CASE WHEN stay_s > 120 THEN dt || '/' || pid END) AS month_daily_uv
+          count(DISTINCT CASE WHEN stay_us > 120000000 THEN dt || '/' || pid END) AS month_daily_uv
         FROM m_track WHERE event_type = 0 GROUP BY store_id""",
     "m_booths": """
         SELECT booth_code, shop_id, min(shop_name) AS shop_name FROM (
@@ -310,6 +315,9 @@ SHARED = {
         FROM m_joined GROUP BY category_2_edit, series_name, brand_name, category_name_1, contract_code, actual_area""",
 }
 
+for _name, _source in (("m_split_sum", "m_stall_sum"), ("m_split_stalls", "m_stalls")):
+    SHARED[_name] = SHARED[_source].replace("m_stall_sum", "m_split_sum").replace("m_stall_month", "m_split_month")
+
 SQL = {
     "valid_orders": """
         SELECT ordr_id, date_id, month_id, shop_id, contract_code, CAST(act_amt AS DOUBLE) AS act_amt FROM m_valid
@@ -356,7 +364,7 @@ SQL = {
           CASE WHEN ob THEN category_name_1 ELSE o1 END AS cont_cat1_name,
           CASE WHEN ob THEN category_name_2 ELSE o2 END AS cont_cat2_name,
           CASE WHEN ob THEN category_name_3 ELSE o3 END AS cont_cat3_name,
-          count(*) AS record_num, CAST(sum(act_amt) AS DOUBLE) AS sale, round(sum(act_amt / actual_area), 3) AS saleperarea
+          count(*) AS record_num, CAST(sum(act_amt) AS DOUBLE) AS sale, round(CASE WHEN count(*) = count(act_amt / actual_area) THEN sum(act_amt / actual_area) END, 3) AS saleperarea
         FROM j GROUP BY ALL""",
     "enriched_orders": """
         SELECT ordr_id, contract_code, booth_code, CASE WHEN lb THEN cont_cat2_name ELSE category_name_2 END AS category_name_2,
@@ -524,8 +532,22 @@ SQL = {
         WITH m AS (SELECT * REPLACE (replace(booth_name, 'N', 'B') AS booth_code) FROM m_stall_month),
         d AS (SELECT DISTINCT replace(n, 'N', 'B') AS code, n AS booth_name FROM (SELECT unnest(string_split(booth_name, '/')) AS n FROM m)),
         x AS (SELECT booth_name, booth_grade, contract_code, begin_date, saleperarea, unnest(string_split(booth_code, '/')) AS part FROM m)
-        SELECT code AS booth_code, booth_grade, contract_code, begin_date, round(sum(saleperarea), 3) AS saleperarea
+        SELECT code AS booth_code, booth_grade, contract_code, begin_date,
+          round(CASE WHEN count(*) = count(saleperarea) THEN sum(saleperarea) END, 3) AS saleperarea
         FROM x LEFT JOIN d USING (booth_name) GROUP BY ALL""",
+    "split_booth_metrics": """
+        SELECT * REPLACE (round(saleperarea, 4) AS saleperarea, round(saleperareaperduration, 4) AS saleperareaperduration) FROM m_split_stalls""",
+    "stall_month_shared": """
+        SELECT month_id, shop_id, contract_code, booth_code, category_name_3, round(CAST(sum(act_amt) AS DOUBLE) / actual_area, 6) AS saleperarea,
+          CAST(sum(act_amt) AS DOUBLE) AS sale, count(*) AS order_num
+        FROM (SELECT s.*, c.booth_code, c.actual_area, c.floor_name, c.booth_name, c.booth_grade, c.brand_name, c.series_name, c.begin_date, c.finish_date,
+                CASE WHEN trim(c.category_name_1) = '' OR c.category_name_1 IS NULL THEN s.cont_cat3_name ELSE c.category_name_3 END AS category_name_3
+              FROM m_valid s LEFT JOIN (
+                SELECT * FROM m_contracts UNION ALL
+                SELECT * REPLACE ('X' || booth_code AS booth_code, actual_area * 2 AS actual_area) FROM m_contracts
+                WHERE CAST(contract_code AS BIGINT) % 7 = 0) c USING (contract_code))
+        GROUP BY month_id, category_name_3, floor_name, booth_code, booth_name, booth_grade, house_no, shop_name, shop_id, brand_name,
+          series_name, contract_code, begin_date, finish_date, actual_area""",
     "dealer_totals": """
         WITH p AS (SELECT * FROM m_sales WHERE ((type = 'OMS' AND ordr_status = 'Y') OR (type <> 'OMS' AND trade_amt > 0))
                    AND date_id BETWEEN DATE '1996-01-01' AND DATE '1998-12-31')
@@ -550,10 +572,47 @@ SQL = {
           round(mall_sale_estimated, 6) AS mall_sale_estimated, round(total_sale_estimated, 6) AS total_sale_estimated,
           s.partner_name AS survey_name, contact_name
         FROM m_totals t JOIN m_survey s ON t.partner_code = s.partner_code OR t.partner_name IN (s.partner_name, s.contact_name)""",
+    "dealer_or_match_patchy": """
+        SELECT t.partner_code, s.partner_code AS survey_code, freq, round(sum_act_amt, 6) AS sum_act_amt, t.partner_name,
+          round(mall_sale_estimated, 6) AS mall_sale_estimated, round(total_sale_estimated, 6) AS total_sale_estimated,
+          s.partner_name AS survey_name, contact_name
+        FROM m_totals t JOIN (
+          SELECT * REPLACE (CASE WHEN CAST(partner_code AS BIGINT) % 7 = 0 THEN NULL
+              WHEN CAST(partner_code AS BIGINT) % 7 = 1 THEN lpad(CAST(CAST(partner_code AS BIGINT) - 1 AS VARCHAR), 10, '0')
+              WHEN CAST(partner_code AS BIGINT) % 7 = 2 THEN ' ' ELSE partner_code END AS partner_code,
+            CASE WHEN CAST(partner_code AS BIGINT) % 11 = 0 THEN ' ' ELSE partner_name END AS partner_name)
+          FROM m_survey) s
+        ON t.partner_code = s.partner_code OR t.partner_name = s.partner_name OR t.partner_name = s.contact_name""",
+    "rmse": """
+        SELECT round(sqrt(avg((l_quantity * 1000 - l_extendedprice) ** 2)), 6) AS by_quantity_rmse,
+          round(sqrt(avg((l_quantity * 1000 * (1 - l_discount) - l_extendedprice) ** 2)), 6) AS by_discount_rmse FROM lineitem""",
+    "next_period_rows": """
+        SELECT f.shop_id, CAST(f.shop_id AS BIGINT) % 3 AS cluster, n.period, n.uv, n.pv, n.sale_sum, n.sale_count
+        FROM m_ratios f JOIN m_ratios n ON f.shop_id = n.shop_id WHERE f.period = 1 AND n.period = 2""",
+    "training_rows": """
+        SELECT contract_code, CASE WHEN CAST('0x' || substr(md5('666|' || contract_code), 1, 8) AS BIGINT) % 100 < 90
+            THEN 'train' ELSE 'test' END AS part
+        FROM m_contracts WHERE category_name_1 IS NOT NULL AND rentable_area IS NOT NULL AND actual_area IS NOT NULL""",
+    "split": """
+        WITH s AS (SELECT CAST('0x' || substr(md5('666|' || ordr_id), 1, 8) AS BIGINT) % 100 < 90 AS first FROM m_sales)
+        SELECT 'train' AS part, count(*) AS n FROM s WHERE first UNION ALL SELECT 'test', count(*) FROM s WHERE NOT first
+        UNION ALL SELECT 'both', 0""",
+    "nearest_mean_error": """
+        WITH p AS (SELECT l_returnflag AS t, l_linenumber AS i, l_quantity / 50 AS q, l_extendedprice / 100000 AS x FROM lineitem),
+        m AS (SELECT t AS label, avg(q) AS mq, avg(x) AS mx FROM p WHERE i = 1 GROUP BY 1),
+        w AS (SELECT max(mq) FILTER (WHERE label = 'A') AS aq, max(mx) FILTER (WHERE label = 'A') AS ax,
+                max(mq) FILTER (WHERE label = 'N') AS nq, max(mx) FILTER (WHERE label = 'N') AS nx,
+                max(mq) FILTER (WHERE label = 'R') AS rq, max(mx) FILTER (WHERE label = 'R') AS rx FROM m),
+        d AS (SELECT t, (q - aq) * (q - aq) + (x - ax) * (x - ax) AS a, (q - nq) * (q - nq) + (x - nx) * (x - nx) AS n,
+                (q - rq) * (q - rq) + (x - rx) * (x - rx) AS r FROM p, w)
+        SELECT round(avg(CASE WHEN CASE WHEN a <= n AND a <= r THEN 'A' WHEN n <= r THEN 'N' ELSE 'R' END <> t THEN 1.0 ELSE 0.0 END), 6)
+          AS error_rate FROM d""",
     "duplicate_names": """
         SELECT * REPLACE (round(sum_act_amt, 6) AS sum_act_amt), count(*) OVER (PARTITION BY partner_name) > 1 AS often FROM m_totals""",
-    "dealer_gaps": "SELECT partner_code, gap, count(*) AS n FROM m_gaps WHERE gap IS NOT NULL GROUP BY ALL",
-    "dealer_gap_statistics": "SELECT * REPLACE (round(reg_time_perc, 6) AS reg_time_perc) FROM m_gap_stats",
+    "dealer_gaps": "SELECT partner_code, round(gap, 6) AS gap, count(*) AS n FROM m_gaps WHERE gap IS NOT NULL GROUP BY ALL",
+    "dealer_gap_statistics": """
+        SELECT * REPLACE (round(reg_time_perc, 6) AS reg_time_perc, round(min_time_space, 6) AS min_time_space,
+          round(min_time_space_nonzero, 6) AS min_time_space_nonzero) FROM m_gap_stats""",
     "dealer_longest_run": "SELECT partner_code, CAST(max_cont_hit AS BIGINT) AS max_cont_hit, CAST(max_cont_hit_nozero AS BIGINT) AS max_cont_hit_nozero FROM m_runs",
     "customer_longest_run": """
         WITH g AS (SELECT cust_name, date_id, i, date_id - lag(date_id) OVER (PARTITION BY cust_name ORDER BY date_id, i) AS gap
@@ -606,21 +665,23 @@ SQL = {
     ),
     "dealer_features": """
         SELECT * REPLACE (round(reg_time_perc, 6) AS reg_time_perc, round(isolated_perc, 6) AS isolated_perc,
+          round(min_time_space, 6) AS min_time_space, round(min_time_space_nonzero, 6) AS min_time_space_nonzero,
           CAST(max_cont_hit AS BIGINT) AS max_cont_hit, CAST(max_cont_hit_nozero AS BIGINT) AS max_cont_hit_nozero,
           round(big_sale_percentage, 6) AS big_sale_percentage, round(cust_entropy, 6) AS cust_entropy,
           round(cat3_perc_value, 6) AS cat3_perc_value, round(missing_house_no, 6) AS missing_house_no,
           round(missing_cont_unit_price, 6) AS missing_cont_unit_price, round("15", 6) AS "15", round("3", 6) AS "3",
           round("7", 6) AS "7", round("Y", 6) AS "Y") FROM m_features""",
     "model_table": """
-        SELECT partner_code, max_freq_in_day, round(reg_time_perc, 6) AS reg_time_perc, min_time_space, min_time_space_nonzero,
+        SELECT partner_code, max_freq_in_day, round(reg_time_perc, 6) AS reg_time_perc,
+          round(min_time_space, 6) AS min_time_space, round(min_time_space_nonzero, 6) AS min_time_space_nonzero,
           CAST(max_cont_hit AS BIGINT) AS max_cont_hit, CAST(max_cont_hit_nozero AS BIGINT) AS max_cont_hit_nozero,
           round(isolated_perc, 6) AS isolated_perc, over_500_sum, below_500_sum, round(big_sale_percentage, 6) AS big_sale_percentage,
           num_booth, category_num, round(cust_entropy, 6) AS cust_entropy, round(cat3_perc_value, 6) AS cat3_perc_value,
           round(missing_house_no, 6) AS missing_house_no, round(missing_cont_unit_price, 6) AS missing_cont_unit_price,
           round(COALESCE("15", 0) + COALESCE("3", 0) + COALESCE("Y", 0), 6) AS agree_degree FROM m_features""",
     "visit_prep": """
-        SELECT id, profile_id, store_id, enter_date, enter_time, round(stay_s / 60.0, 6) AS duration FROM m_track WHERE event_type = 0 AND stay_s >= 300""",
-    "visits_of_one_shop": "SELECT id, profile_id, round(stay_s / 60.0, 6) AS duration FROM m_track WHERE event_type = 0 AND store_id = '2'",
+        SELECT id, profile_id, store_id, enter_date, enter_time, round(stay_us / 6e7, 6) AS duration FROM m_track WHERE event_type = 0 AND stay_us >= 300000000""",
+    "visits_of_one_shop": "SELECT id, profile_id, round(stay_us / 6e7, 6) AS duration FROM m_track WHERE event_type = 0 AND store_id = '2'",
     "visits_without_staff": "SELECT id, profile_id, store_id, round(duration, 6) AS duration FROM m_visits",
     "unmatched_orders": """
         SELECT ordr_id, 'shop and day' AS kind FROM m_shop_orders o WHERE NOT EXISTS (
@@ -634,7 +695,7 @@ SQL = {
     "person_days": """
         SELECT store_id AS shop_id, enter_date AS date_id, profile_id, count(DISTINCT v.id) AS visits,
           (SELECT count(*) FROM m_pairs p WHERE p.person_related = 1 AND p.shop_id = v.store_id AND p.date_id = v.enter_date
-            AND p.profile_id = v.profile_id) AS related_sum, CAST(sum(stay_s) AS BIGINT) AS stay_s
+            AND p.profile_id = v.profile_id) AS related_sum, CAST(sum(stay_us) AS BIGINT) AS stay_us
         FROM m_visits v GROUP BY ALL""",
     "shop_traffic": "SELECT * REPLACE (round(median_duration, 6) AS median_duration, round(avg_duration, 6) AS avg_duration) FROM m_traffic",
     "shop_orders": "SELECT * FROM m_order_num",
@@ -649,19 +710,19 @@ SQL = {
         WITH p AS (SELECT *, sum(person_related) OVER (PARTITION BY shop_id, date_id, profile_id) AS related_sum FROM m_pairs),
         n AS (SELECT shop_id, date_id, count(DISTINCT ordr_id) AS order_num_perday FROM m_pairs GROUP BY ALL)
         SELECT ordr_id, prod_name, cont_cat3_name, CAST(act_amt AS DOUBLE) AS act_amt, order_num_perday, count(*) AS visit_times,
-          CAST(sum(person_related) AS BIGINT) AS related_visit_times, round(max(stay_s) / 60.0, 6) AS max_duration,
-          round(sum(stay_s) / count(*) / 60.0, 6) AS mean_duration,
-          round(sum(stay_s) FILTER (WHERE person_related = 1) / count(*) FILTER (WHERE person_related = 1) / 60.0, 6) AS related_mean_duration,
-          round(max(stay_s) FILTER (WHERE person_related = 1) / 60.0, 6) AS related_max_duration,
-          round(min(GREATEST(0, epoch(enter_time) - epoch(ordr_date), epoch(ordr_date) - epoch(exit_time))) FILTER (WHERE stay_s >= 300) / 60.0, 6) AS time_distance,
-          round(COALESCE(sum(stay_s) FILTER (WHERE related_sum > 0), 0) / 60.0, 6) AS related_person_duration_sum,
+          CAST(sum(person_related) AS BIGINT) AS related_visit_times, round(max(stay_us) / 6e7, 6) AS max_duration,
+          round(sum(stay_us) / count(*) / 6e7, 6) AS mean_duration,
+          round(sum(stay_us) FILTER (WHERE person_related = 1) / count(*) FILTER (WHERE person_related = 1) / 6e7, 6) AS related_mean_duration,
+          round(max(stay_us) FILTER (WHERE person_related = 1) / 6e7, 6) AS related_max_duration,
+          round(min(GREATEST(0, epoch_us(enter_time) - epoch_us(ordr_date), epoch_us(ordr_date) - epoch_us(exit_time))) FILTER (WHERE stay_us >= 300000000) / 6e7, 6) AS time_distance,
+          round(COALESCE(sum(stay_us) FILTER (WHERE related_sum > 0), 0) / 6e7, 6) AS related_person_duration_sum,
           round(count(*) / order_num_perday, 6) AS visit_per_order
         FROM p JOIN n USING (shop_id, date_id) GROUP BY ordr_id, prod_name, cont_cat3_name, act_amt, order_num_perday""",
     "monthly_uv": "SELECT * FROM m_uv",
     "dedupe_shop_booth": "SELECT * FROM m_booths",
     "distinct_visit_times": "SELECT count(*) AS pairs FROM (SELECT DISTINCT enter_time, exit_time FROM m_track)",
     "shops_only_in_sales": """
-        SELECT DISTINCT shop_id, CASE WHEN shop_id IN (SELECT store_id FROM m_visits WHERE stay_s >= 18000) THEN 'present' ELSE 'absent' END AS kind
+        SELECT DISTINCT shop_id, CASE WHEN shop_id IN (SELECT store_id FROM m_visits WHERE stay_us >= 18000000000) THEN 'present' ELSE 'absent' END AS kind
         FROM m_shop_orders""",
     "id_name_audit": """
         SELECT min(store_id) AS store_id, store_name, 'names' AS kind FROM m_track WHERE store_id IN (

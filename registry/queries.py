@@ -36,7 +36,7 @@ BEGIN, FINISH, YEAR = "1998-03-01", "1998-03-31", 1998
 # the order of addition.
 PLACES = {
     "category_backfill": 3, "brand_index": 3, "best_brands": 3, "booth_many_to_many": 3,
-    "stall_metrics": 4, "floor_heat_by_lease": 4, "brand_peers": 4,
+    "stall_metrics": 4, "split_booth_metrics": 4, "floor_heat_by_lease": 4, "brand_peers": 4,
 }
 
 
@@ -198,7 +198,7 @@ def category_backfill(spark, sf):
     return rows.groupBy(*enrich.LEASE_LEVELS, *enrich.ORDER_LEVELS).agg(
         F.sum("order_num").alias("record_num"),
         F.sum("act_amt").alias("sale"),
-        F.sum("avg_amt").alias("saleperarea"),
+        nullsafe.strict_sum(F.col("avg_amt")).alias("saleperarea"),
     )
 
 
@@ -329,6 +329,16 @@ def stall_month(spark, sf):
     return stall_months_of(spark, sf).drop("house_no", "shop_name")
 
 
+@query
+def stall_month_shared(spark, sf):
+    """The same where a lease code has two leases."""
+    area = enrich.apply_category_dict(
+        tables.mall_contracts(frames.shared_contracts(spark, sf)), frames.category_dict(spark, sf), frames.OVERRIDES
+    )
+    found = productivity.stall_months(tables.mall_sales(frames.sales(spark, sf)), area)
+    return found.select("month_id", "shop_id", "contract_code", "booth_code", "category_name_3", "saleperarea", "sale", "order_num")
+
+
 @query
 def stall_metrics(spark, sf):
     return stalls_of(spark, sf)
@@ -403,13 +413,12 @@ def best_brands(spark, sf):
 
 @query
 def category_totals(spark, sf):
+    """All levels in one pass over the orders."""
     rows = tables.mall_sales(frames.sales(spark, sf))
-    out = None
-    for level in enrich.ORDER_LEVELS:
-        found = productivity.totals_by(rows, level).withColumnRenamed(level, "category")
-        found = found.withColumn("level", F.lit(level))
-        out = found if out is None else out.unionByName(found)
-    return out
+    levels = [F.struct(F.lit(c).alias("level"), F.col(c).alias("category")) for c in enrich.ORDER_LEVELS]
+    return rows.select("act_amt", F.inline(F.array(*levels))).groupBy("level", "category").agg(
+        F.sum("act_amt").alias("sale"), F.count(F.lit(1)).alias("record_num")
+    )
 
 
 @query
@@ -437,13 +446,10 @@ def top_categories(spark, sf):
 @query
 def months_union(spark, sf):
     """Quarters cut out, put together again and turned long."""
-    rows = frames.sales(spark, sf)
-    sale = None
-    for q in productivity.QUARTERS:
-        part = rows.filter(F.quarter("date_id") == int(q[1]))
-        part = part.groupBy("cont_cat1_name").agg(F.sum("act_amt").cast("double").alias("sale"))
-        part = part.withColumn("quarter", F.lit(q))
-        sale = part if sale is None else sale.unionByName(part)
+    quarter = dates.quarter_label(F.col("date_id")).alias("quarter")
+    sale = frames.sales(spark, sf).groupBy("cont_cat1_name", quarter).agg(
+        F.sum("act_amt").cast("double").alias("sale")
+    )
     table = shaping.wide(sale, ["cont_cat1_name"], "quarter", "sale", productivity.QUARTERS)
     return shaping.long(table, ["cont_cat1_name"], productivity.QUARTERS, "quarter", "sale")
 
@@ -540,6 +546,14 @@ def booth_many_to_many(spark, sf):
     return floors.stalls_by_split_booth(rows, floors.booth_dictionary(rows))
 
 
+@query
+def split_booth_metrics(spark, sf):
+    rows = stall_months_of(spark, sf).withColumn(
+        "booth_code", F.regexp_replace("booth_name", "N", "B")
+    )
+    return floors.split_booth_metrics(rows, floors.booth_dictionary(rows), "1998-01", "1999-06-30")
+
+
 # ---- dealers -----------------------------------------------------------------
 
 
@@ -575,12 +589,17 @@ def dealer_or_match(spark, sf):
     return dealers.survey_matches(totals, tables.dealer_survey(frames.dealer_survey(spark, sf)))
 
 
+@query
+def dealer_or_match_patchy(spark, sf):
+    """The same with missing, repeated and blank codes and names in the survey."""
+    totals = dealers.dealer_totals(frames.sales(spark, sf))
+    return dealers.survey_matches(totals, tables.dealer_survey(frames.patchy_survey(spark, sf)))
+
+
 @query
 def duplicate_names(spark, sf):
     totals = dealers.dealer_totals(frames.sales(spark, sf))
-    twice = shaping.repeated(totals, "partner_name").withColumn("often", F.lit(True))
-    once = shaping.not_repeated(totals, "partner_name").withColumn("often", F.lit(False))
-    return twice.unionByName(once)
+    return shaping.with_repeats(totals, "partner_name", "often")
 
 
 @query
@@ -589,7 +608,7 @@ def dealer_gaps(spark, sf):
     gaps = dealers.order_gaps(frames.event_orders(spark, sf))
     real = gaps.filter("gap is not null").select("partner_code", "gap", F.lit(1).alias("n"))
     zero = gaps.filter("zero_gaps > 0").select(
-        "partner_code", F.lit(0).alias("gap"), F.col("zero_gaps").alias("n")
+        "partner_code", F.lit(0.0).alias("gap"), F.col("zero_gaps").alias("n")
     )
     return real.unionByName(zero).groupBy("partner_code", "gap").agg(F.sum("n").alias("n"))
 
@@ -828,7 +847,7 @@ def shop_clusters(spark, sf):
     rows = segments.min_max_scaled(ratios(spark, sf), segments.RATIOS)
     out = None
     for method in ("sse", "calinski", "gaussian"):
-        found, _ = learning.shop_clusters(rows, segments.RATIOS, method, range(2, 6))
+        found, _ = learning.shop_clusters(rows, segments.RATIOS, method)
         found = found.select("shop_id", "period", "cluster").withColumn("method", F.lit(method))
         out = found if out is None else out.unionByName(found)
     return out
@@ -897,6 +916,41 @@ def self_training(spark, sf):
     return learning.confusion(found)
 
 
+@query
+def rmse(spark, sf):
+    """Two guesses of a line's price."""
+    rows = frames.table(spark, sf, "lineitem").selectExpr(
+        "l_extendedprice AS real", "l_quantity * 1000 AS by_quantity", "l_quantity * 1000 * (1 - l_discount) AS by_discount"
+    )
+    return learning.rmse(rows, ["by_quantity", "by_discount"], "real")
+
+
+@query
+def nearest_mean_error(spark, sf):
+    """Error of the class means of the first lines over all lines."""
+    rows = line_points(spark, sf).withColumn(
+        "label", F.expr("if(l_linenumber = 1, true_value, null)")
+    )
+    return learning.error_rate(learning.nearest_mean(rows, "label", LINE_FEATURES), "pred_value", "true_value")
+
+
+@query
+def next_period_rows(spark, sf):
+    """Shops of one week with a label, and their ratios of the next week."""
+    rows = ratios(spark, sf).drop("uv_over_sale_count", "pv_over_sale_count", "uv_over_sale_sum", "pv_over_sale_sum")
+    first = rows.filter("period = 1").select("shop_id", F.expr("cast(shop_id as bigint) % 3").alias("cluster"))
+    return segments.next_period_test(first, rows.filter("period = 2"))
+
+
+@query
+def training_rows(spark, sf):
+    """Which labelled and complete leases train, and which test."""
+    rows = frames.contracts(spark, sf).select("contract_code", "category_name_1", "rentable_area", "actual_area")
+    parts = learning.training_sets(rows, "category_name_1", ["rentable_area", "actual_area"], ["contract_code"])
+    train, test = (part.select("contract_code", F.lit(n).alias("part")) for part, n in zip(parts, ("train", "test")))
+    return train.unionByName(test)
+
+
 @query
 def split(spark, sf):
     """Sizes of a 90/10 split, and keys that fall on both sides (none)."""

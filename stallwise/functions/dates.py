@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from stallwise.functions.texts import DAY_PATTERN
 
+# Microseconds in a second and in a minute.
+SECOND = 1_000_000
+MINUTE = 60 * SECOND
+
 
 def day(text: Column) -> Column:
     """First yyyy-mm-dd inside a text as a date; null where none can be read."""
@@ -44,13 +48,13 @@ def minutes_between(begin: Column, end: Column) -> Column:
     return (F.unix_micros(end) - F.unix_micros(begin)) / F.lit(6e7)
 
 
-def second_of(value: Column) -> Column:
-    """Whole seconds since the epoch; order and visit times are kept to the second."""
-    return F.unix_seconds(value.cast("timestamp"))
+def micros_of(value: Column) -> Column:
+    """Microseconds since the epoch: the exact time of an order or a visit."""
+    return F.unix_micros(value.cast("timestamp"))
 
 
-def second_of_day(value: Column, date: Column) -> Column:
-    return second_of(value) - second_of(date.cast("timestamp"))
+def micros_of_day(value: Column, date: Column) -> Column:
+    return micros_of(value) - micros_of(date)
 
 
 def days(spark: SparkSession, first: str, last: str, name: str = "date_id") -> DataFrame:

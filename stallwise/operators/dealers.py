@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stallwise.functions.dates import second_of
+from stallwise.functions.dates import MINUTE, SECOND, micros_of
 from stallwise.functions.nullsafe import (
     bigger_side,
     distinct_with_null,
@@ -106,8 +106,6 @@ def survey_matches(totals: DataFrame, survey: DataFrame) -> DataFrame:
         totals,
         right,
         [(KEY, "survey_code"), ("partner_name", "survey_name"), ("partner_name", "contact_name")],
-        [KEY],
-        ["survey_code"],
     )
 
 
@@ -127,35 +125,32 @@ def survey_points(labelled: DataFrame) -> DataFrame:
 # ---- order times -------------------------------------------------------------
 
 
-def order_seconds(orders: DataFrame, ts: str = "ordr_date") -> DataFrame:
-    """One row per dealer and second with its number of orders, cut into days.
-
-    Order times are whole seconds, so a dealer and day hold at most 86,400 rows
-    no matter how many orders there are.
-    """
+def order_moments(orders: DataFrame, ts: str = "ordr_date") -> DataFrame:
+    """One row per dealer and instant with its number of orders, cut into minutes."""
     return (
-        orders.select(KEY, second_of(F.col(ts)).alias("at"))
+        orders.select(KEY, micros_of(F.col(ts)).alias("at"))
         .na.drop()
         .groupBy(KEY, "at")
         .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("day", F.floor(F.col("at") / DAY_SECONDS))
+        .withColumn("minute", F.floor(F.col("at") / MINUTE))
     )
 
 
 def order_gaps(orders: DataFrame, ts: str = "ordr_date") -> DataFrame:
-    """Gaps to the previous order per dealer, equal gaps of one second counted.
+    """Gaps to the previous order per dealer, orders of one instant counted.
 
-    Per dealer and second: ``gap`` seconds to the previous second with orders
-    (null for the first) and ``zero_gaps`` between the orders of that second.
+    Per dealer and instant: ``gap`` seconds, exact to the microsecond, to the
+    previous instant with orders (null for the first), and ``zero_gaps`` between
+    the orders of that instant.
     """
-    rows = with_neighbours(order_seconds(orders, ts), [KEY], "day", "at")
+    rows = with_neighbours(order_moments(orders, ts), [KEY], "minute", "at")
     return rows.select(
         KEY,
-        "day",
+        "minute",
         "at",
         "n",
-        (F.col("at") - F.col("previous")).alias("gap"),
-        (F.col("next") - F.col("at")).alias("next_gap"),
+        ((F.col("at") - F.col("previous")) / SECOND).alias("gap"),
+        ((F.col("next") - F.col("at")) / SECOND).alias("next_gap"),
         (F.col("n") - 1).alias("zero_gaps"),
     )
 
@@ -167,13 +162,13 @@ def gap_statistics(gaps: DataFrame) -> DataFrame:
     """
     whole_days = F.count(F.when(F.col("gap") % DAY_SECONDS == 0, 1)) + F.sum("zero_gaps")
     number = F.count("gap") + F.sum("zero_gaps")
-    shortest = F.when(F.sum("zero_gaps") > 0, F.lit(0)).otherwise(F.min("gap"))
+    shortest = F.when(F.sum("zero_gaps") > 0, F.lit(0.0)).otherwise(F.min("gap"))
     return (
         gaps.groupBy(KEY)
         .agg(
             ratio(whole_days, number).alias("reg_time_perc"),
-            shortest.cast("bigint").alias("min_time_space"),
-            F.coalesce(F.min("gap"), F.lit(DAY_SECONDS)).cast("bigint").alias("min_time_space_nonzero"),
+            shortest.alias("min_time_space"),
+            F.coalesce(F.min("gap"), F.lit(float(DAY_SECONDS))).alias("min_time_space_nonzero"),
             number.alias("_gaps"),
         )
         .filter("_gaps > 0")
@@ -203,7 +198,7 @@ def longest_runs(gaps: DataFrame, kinds: Mapping[str, tuple[int, bool]]) -> Data
                 F.col(f"hits_{name}").cast("bigint").alias("hits"),
             )
         )
-    rows = with_running_sums(gaps.withColumns(columns), [KEY], "day", "at", ends)
+    rows = with_running_sums(gaps.withColumns(columns), [KEY], "minute", "at", ends)
     number = (F.col("gap").isNotNull().cast("int") + F.col("zero_gaps")).alias("gaps")
     islands = (
         rows.select(KEY, number, F.inline(F.array(*tokens)))
@@ -335,7 +330,7 @@ def dealer_features(
     states: Sequence[str] = STATES,
 ) -> DataFrame:
     """All behaviour features of a dealer in one row."""
-    # Read three times; one row per dealer and second.
+    # Read three times; one row per dealer and instant.
     gaps = checkpointed(order_gaps(orders, ts))
     pieces = [
         gap_statistics(gaps),

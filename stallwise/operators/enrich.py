@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from stallwise.functions.nullsafe import blank, ratio, strict_sum
 from stallwise.functions.texts import LEASE_BY_SHOP_TEXT, filled_code
-from stallwise.operators.joins import lookup, small
+from stallwise.operators.joins import lookup
 
 ORDER_LEVELS = ["cont_cat1_name", "cont_cat2_name", "cont_cat3_name"]
 LEASE_LEVELS = ["category_name_1", "category_name_2", "category_name_3"]
@@ -100,7 +100,7 @@ def promotion_days(promotions: DataFrame) -> DataFrame:
 def flag_promotion(orders: DataFrame, promotions: DataFrame, name: str = "onsale") -> DataFrame:
     """Add whether the order day lies in any promotion, both ends included."""
     days = promotion_days(promotions).withColumn("_hit", F.lit(True))
-    flagged = orders.join(small(days), "date_id", "left")
+    flagged = orders.join(days, "date_id", "left")
     return flagged.withColumn(name, F.coalesce("_hit", F.lit(False))).drop("_hit")
 
 
@@ -119,4 +119,4 @@ def trusted_sales(
         F.col("date_id").between(F.lit(begin).cast("date"), F.lit(finish).cast("date"))
     )
     names = dealers.select("partner_name").distinct()
-    return period.join(small(names), "partner_name", "left_semi")
+    return period.join(names, "partner_name", "left_semi")

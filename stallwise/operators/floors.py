@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stallwise.functions.texts import lines
+from stallwise.functions.nullsafe import strict_sum
 from stallwise.operators.joins import lookup
+from stallwise.operators.productivity import stall_metrics
 from stallwise.operators.shaping import first_per_key, latest_per_key, split_cells
 
 
@@ -98,21 +100,35 @@ def booth_dictionary(rows: DataFrame) -> DataFrame:
     ).distinct()
 
 
+def _of_split_booths(months: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """Stall rows once for every booth code that their booth name stands for."""
+    names = dictionary.select("booth_name", "booth_code")
+    rows = split_cells(months, ["booth_code"]).drop("booth_code")
+    return rows.join(names, "booth_name", "left")
+
+
 def stalls_by_split_booth(months: DataFrame, dictionary: DataFrame) -> DataFrame:
     """Sale per area of every booth code, shared booths split into their parts.
 
-    A stall counts fully for every code its booth name stands for. The stalls
-    are summed before they meet the dictionary.
+    A stall counts fully for every code its booth name stands for; a missing value
+    makes the sum missing. The stalls are summed before they meet the dictionary.
     """
     keys = ["booth_name", "booth_grade", "contract_code", "begin_date"]
     summed = (
         split_cells(months, ["booth_code"])
         .groupBy(*keys)
-        .agg(F.sum("saleperarea").alias("saleperarea"))
+        .agg(strict_sum(F.col("saleperarea")).alias("saleperarea"))
     )
     names = dictionary.select("booth_name", "booth_code")
     return (
         summed.join(names, "booth_name", "left")
         .groupBy("booth_code", "booth_grade", "contract_code", "begin_date")
-        .agg(F.sum("saleperarea").alias("saleperarea"))
+        .agg(strict_sum(F.col("saleperarea")).alias("saleperarea"))
     )
+
+
+def split_booth_metrics(
+    months: DataFrame, dictionary: DataFrame, start_month: str, as_of: str
+) -> DataFrame:
+    """``productivity.stall_metrics`` with shared booths split into their parts."""
+    return stall_metrics(_of_split_booths(months, dictionary), start_month, as_of)

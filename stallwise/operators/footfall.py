@@ -1,22 +1,25 @@
 """Store visits, their link to orders, and features per shop and per order.
 
 Orders and visits meet on shop and day, and a busy shop-day would have orders
-times visits pairs. No step lists those pairs. Times are whole seconds, so a
-shop-day is first reduced to one row per second (at most 86,400) and everything
-about "visits around this order" is read from running totals over these rows.
+times visits pairs. A shop-day is reduced to one row per instant, and everything
+about "visits around this order" is read from running totals over these rows. Times
+are exact to the microsecond; totals run inside seconds, and what crosses a second is
+carried by one row per second, so no task holds a whole shop-day.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stallwise.functions.dates import minutes_between, month, second_of_day
+from stallwise.functions.dates import MINUTE, SECOND, micros_of_day, minutes_between, month
 from stallwise.functions.nullsafe import distinct_with_null, ratio
 from stallwise.operators.intervals import blocks_of_interval, blocks_of_point
-from stallwise.operators.joins import keep_unmatched, small
+from stallwise.operators.joins import keep_unmatched, null_safe_join
+from stallwise.operators.ordered import with_extremes, with_running_sums
+from stallwise.operators.quantiles import group_quantiles
 from stallwise.session import checkpointed
 
 # The event of a stay, minutes of a customer's stay, minutes of a counted visitor.
@@ -28,24 +31,23 @@ SHOP_DAY = ["shop_id", "date_id"]
 
 
 def prepare_visits(track: DataFrame) -> DataFrame:
-    """Visit log with times to the second, stay in minutes, day and text shop id.
+    """Visit log with stay in minutes, day and text shop id.
 
-    ``enter_s``, ``exit_s`` and ``stay_s`` are seconds; the first two count
-    from midnight of the day of entry.
+    ``enter_us``, ``exit_us`` and ``stay_us`` are microseconds; the first two
+    count from midnight of the day of entry.
     """
-    enter = F.date_trunc("second", F.col("enter_time").cast("timestamp"))
-    leave = F.date_trunc("second", F.col("exit_time").cast("timestamp"))
-    rows = track.withColumns({"enter_time": enter, "exit_time": leave})
-    rows = rows.withColumns(
+    rows = track.withColumns(
+        {c: F.col(c).cast("timestamp") for c in ("enter_time", "exit_time")}
+    ).withColumns(
         {
             "duration": minutes_between(F.col("enter_time"), F.col("exit_time")),
             "enter_date": F.to_date("enter_time"),
             "store_id": F.col("store_id").cast("string"),
         }
     )
-    begin = second_of_day(F.col("enter_time"), F.col("enter_date"))
-    end = second_of_day(F.col("exit_time"), F.col("enter_date"))
-    return rows.withColumns({"enter_s": begin, "exit_s": end, "stay_s": end - begin})
+    begin = micros_of_day(F.col("enter_time"), F.col("enter_date"))
+    end = micros_of_day(F.col("exit_time"), F.col("enter_date"))
+    return rows.withColumns({"enter_us": begin, "exit_us": end, "stay_us": end - begin})
 
 
 def stays(visits: DataFrame) -> DataFrame:
@@ -59,7 +61,7 @@ def customers(visits: DataFrame, minutes: float = CUSTOMER_MINUTES) -> DataFrame
 
 def without_staff(visits: DataFrame, staff: DataFrame) -> DataFrame:
     """Visits of persons that are not staff; unknown persons stay in."""
-    return visits.join(small(staff.select("profile_id").distinct()), "profile_id", "left_anti")
+    return visits.join(staff.select("profile_id").distinct(), "profile_id", "left_anti")
 
 
 def of_shop(visits: DataFrame, store_id: str, event_type: int = STAY_EVENT) -> DataFrame:
@@ -67,8 +69,8 @@ def of_shop(visits: DataFrame, store_id: str, event_type: int = STAY_EVENT) -> D
 
 
 def prepare_orders(orders: DataFrame, ts: str = "ordr_date") -> DataFrame:
-    """Orders with ``order_s``, the second of their day."""
-    return orders.withColumn("order_s", second_of_day(F.col(ts), F.col("date_id")))
+    """Orders with ``order_us``, the microsecond of their day."""
+    return orders.withColumn("order_us", micros_of_day(F.col(ts), F.col("date_id")))
 
 
 def unmatched_orders(orders: DataFrame, visits: DataFrame, same_day: bool = True) -> DataFrame:
@@ -77,7 +79,7 @@ def unmatched_orders(orders: DataFrame, visits: DataFrame, same_day: bool = True
     return keep_unmatched(orders, ids, SHOP_DAY if same_day else ["shop_id"])
 
 
-# ---- one row per shop, day and second ----------------------------------------
+# ---- one row per shop, day and instant ---------------------------------------
 
 
 def _placed(visits: DataFrame) -> DataFrame:
@@ -85,12 +87,12 @@ def _placed(visits: DataFrame) -> DataFrame:
 
 
 def timeline(visits: DataFrame, orders: DataFrame, minutes: float = CUSTOMER_MINUTES) -> DataFrame:
-    """Running totals at every second of a shop-day where something happens.
+    """Running totals at every instant of a shop-day where something happens.
 
-    ``inside`` visits are under way at that second (both ends included) with
-    ``inside_stay`` seconds of stay in total; ``distance`` is the number of
-    seconds to the nearest visit of at least ``minutes``; ``orders_before`` and
-    ``orders_upto`` count the orders of the shop-day up to the second.
+    ``inside`` visits are under way at that instant (both ends included) with
+    ``inside_stay`` microseconds of stay in total; ``distance`` is the time to the
+    nearest visit of at least ``minutes``; ``orders_before`` and ``orders_upto``
+    count the orders of the shop-day up to the instant.
     """
     lasting = (F.col("duration") >= minutes).cast("int")
     none = F.lit(0).cast("bigint")
@@ -100,23 +102,23 @@ def timeline(visits: DataFrame, orders: DataFrame, minutes: float = CUSTOMER_MIN
             F.col(at).alias("at"),
             enters.cast("bigint").alias("enters"),
             exits.cast("bigint").alias("exits"),
-            (enters * F.col("stay_s")).cast("bigint").alias("enter_stay"),
-            (exits * F.col("stay_s")).cast("bigint").alias("exit_stay"),
+            (enters * F.col("stay_us")).cast("bigint").alias("enter_stay"),
+            (exits * F.col("stay_us")).cast("bigint").alias("exit_stay"),
             (enters * lasting).cast("bigint").alias("long_enters"),
             (exits * lasting).cast("bigint").alias("long_exits"),
         )
 
-    ends = F.array(point("enter_s", F.lit(1), F.lit(0)), point("exit_s", F.lit(0), F.lit(1)))
+    ends = F.array(point("enter_us", F.lit(1), F.lit(0)), point("exit_us", F.lit(0), F.lit(1)))
     from_visits = (
         _placed(visits)
-        .filter("exit_s >= enter_s")
+        .filter("exit_us >= enter_us")
         .select(*SHOP_DAY, F.inline(ends))
         .withColumn("orders", none)
     )
     counts = ["enters", "exits", "enter_stay", "exit_stay", "long_enters", "long_exits"]
-    from_orders = orders.filter("order_s is not null").select(
+    from_orders = orders.filter("order_us is not null").select(
         *SHOP_DAY,
-        F.col("order_s").alias("at"),
+        F.col("order_us").alias("at"),
         *[none.alias(c) for c in counts],
         F.lit(1).cast("bigint").alias("orders"),
     )
@@ -126,46 +128,45 @@ def timeline(visits: DataFrame, orders: DataFrame, minutes: float = CUSTOMER_MIN
         .agg(*[F.sum(c).alias(c) for c in [*counts, "orders"]])
     )
 
-    forward = Window.partitionBy(*SHOP_DAY).orderBy("at")
-    upto = forward.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = forward.rowsBetween(Window.unboundedPreceding, -1)
-    later = (
-        Window.partitionBy(*SHOP_DAY)
-        .orderBy(F.col("at").desc())
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
+    rows = rows.na.drop(subset=SHOP_DAY).withColumn("second", F.floor(F.col("at") / SECOND))
+    sums = {f"upto_{c}": F.col(c) for c in [*counts, "orders"]}
+    rows = with_running_sums(rows, SHOP_DAY, "second", "at", sums)
+    rows = with_extremes(
+        rows, SHOP_DAY, "second", "at",
+        {"left_at": F.when(F.col("long_exits") > 0, F.col("at"))},
+        {"comes_at": F.when(F.col("long_enters") > 0, F.col("at"))},
+    )
+
+    def upto(c: str) -> Column:
+        return F.col(f"upto_{c}")
 
-    def sofar(c: str) -> Column:
-        return F.coalesce(F.sum(c).over(before), F.lit(0))
+    def before(c: str) -> Column:
+        return upto(c) - F.col(c)
 
-    rows = rows.select(
+    nearest = F.least(F.col("at") - F.col("left_at"), F.col("comes_at") - F.col("at"))
+    under_way = upto("long_enters") - before("long_exits") > 0
+    return rows.select(
         *SHOP_DAY,
         "at",
         "orders",
-        sofar("orders").alias("orders_before"),
-        F.sum("orders").over(upto).alias("orders_upto"),
-        (F.sum("enters").over(upto) - sofar("exits")).alias("inside"),
-        (F.sum("enter_stay").over(upto) - sofar("exit_stay")).alias("inside_stay"),
-        (F.sum("long_enters").over(upto) - sofar("long_exits")).alias("long_inside"),
-        F.max(F.when(F.col("long_exits") > 0, F.col("at"))).over(before).alias("left_at"),
-        F.min(F.when(F.col("long_enters") > 0, F.col("at"))).over(later).alias("comes_at"),
+        before("orders").alias("orders_before"),
+        upto("orders").alias("orders_upto"),
+        (upto("enters") - before("exits")).alias("inside"),
+        (upto("enter_stay") - before("exit_stay")).alias("inside_stay"),
+        F.when(under_way, F.lit(0)).otherwise(nearest).alias("distance"),
     )
-    nearest = F.least(F.col("at") - F.col("left_at"), F.col("comes_at") - F.col("at"))
-    return rows.withColumn(
-        "distance", F.when(F.col("long_inside") > 0, F.lit(0)).otherwise(nearest)
-    ).drop("long_inside", "left_at", "comes_at")
 
 
 def orders_per_visit(visits: DataFrame, line: DataFrame) -> DataFrame:
     """Visits with ``related``: the orders of the shop-day made during the visit."""
-    start = line.select(*SHOP_DAY, F.col("at").alias("enter_s"), "orders_before")
-    end = line.select(*SHOP_DAY, F.col("at").alias("exit_s"), "orders_upto")
+    start = line.select(*SHOP_DAY, F.col("at").alias("enter_us"), "orders_before")
+    end = line.select(*SHOP_DAY, F.col("at").alias("exit_us"), "orders_upto")
     rows = _placed(visits)
-    joined = rows.join(start, [*SHOP_DAY, "enter_s"], "left").join(
-        end, [*SHOP_DAY, "exit_s"], "left"
+    joined = rows.join(start, [*SHOP_DAY, "enter_us"], "left").join(
+        end, [*SHOP_DAY, "exit_us"], "left"
     )
     made = F.coalesce(F.col("orders_upto") - F.col("orders_before"), F.lit(0))
-    related = F.when(F.col("exit_s") >= F.col("enter_s"), made).otherwise(0)
+    related = F.when(F.col("exit_us") >= F.col("enter_us"), made).otherwise(0)
     return joined.select(*rows.columns, related.cast("bigint").alias("related"))
 
 
@@ -177,42 +178,39 @@ def person_days(visits: DataFrame, line: DataFrame) -> DataFrame:
         .agg(
             F.sum("related").alias("related_sum"),
             F.count(F.lit(1)).alias("visits"),
-            F.sum("stay_s").alias("stay_s"),
+            F.sum("stay_us").alias("stay_us"),
         )
     )
 
 
 def longest_stay_around(visits: DataFrame, orders: DataFrame) -> DataFrame:
-    """Longest stay among the visits under way at every second with an order.
+    """Longest stay among the visits under way at every instant with an order.
 
-    Of the visits entering in one second only the longest can win, so a
-    shop-day has at most one interval per second; and none can win that ends
-    before one that began earlier.
+    Of the visits entering at one instant only the longest can win, and none can
+    win that ends before one that began earlier.
     """
-    earlier = (
-        Window.partitionBy(*SHOP_DAY)
-        .orderBy("enter_s")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
     longest = (
         _placed(visits)
-        .filter("exit_s >= enter_s")
-        .groupBy(*SHOP_DAY, "enter_s")
-        .agg(F.max("exit_s").alias("exit_s"))
-        .withColumn("_ends", F.max("exit_s").over(earlier))
-        .filter("_ends is null or exit_s > _ends")
+        .filter("exit_us >= enter_us")
+        .na.drop(subset=SHOP_DAY)
+        .groupBy(*SHOP_DAY, "enter_us")
+        .agg(F.max("exit_us").alias("exit_us"))
+        .withColumn("second", F.floor(F.col("enter_us") / SECOND))
     )
+    longest = with_extremes(
+        longest, SHOP_DAY, "second", "enter_us", {"_ends": F.col("exit_us")}
+    ).filter("_ends is null or exit_us > _ends")
     blocks = (
         longest.select(
             *SHOP_DAY,
-            (F.col("exit_s") - F.col("enter_s")).alias("stay"),
-            F.inline(blocks_of_interval("enter_s", "exit_s")),
+            (F.col("exit_us") - F.col("enter_us")).alias("stay"),
+            F.inline(blocks_of_interval("enter_us", "exit_us")),
         )
         .groupBy(*SHOP_DAY, "size", "block")
         .agg(F.max("stay").alias("stay"))
     )
-    seconds = orders.select(*SHOP_DAY, F.col("order_s").alias("at")).na.drop().distinct()
-    placed = seconds.select("*", F.inline(blocks_of_point("at")))
+    moments = orders.select(*SHOP_DAY, F.col("order_us").alias("at")).na.drop().distinct()
+    placed = moments.select("*", F.inline(blocks_of_point("at")))
     return (
         placed.join(blocks, [*SHOP_DAY, "size", "block"])
         .groupBy(*SHOP_DAY, "at")
@@ -222,9 +220,9 @@ def longest_stay_around(visits: DataFrame, orders: DataFrame) -> DataFrame:
 
 def contained_pairs(orders: DataFrame, visits: DataFrame) -> DataFrame:
     """Orders with each visit that was under way in their shop at their time."""
-    covered = _placed(visits).filter("exit_s >= enter_s")
-    covered = covered.select("*", F.inline(blocks_of_interval("enter_s", "exit_s")))
-    placed = orders.filter("order_s is not null").select("*", F.inline(blocks_of_point("order_s")))
+    covered = _placed(visits).filter("exit_us >= enter_us")
+    covered = covered.select("*", F.inline(blocks_of_interval("enter_us", "exit_us")))
+    placed = orders.filter("order_us is not null").select("*", F.inline(blocks_of_point("order_us")))
     return placed.join(covered, [*SHOP_DAY, "size", "block"]).drop("size", "block")
 
 
@@ -242,20 +240,20 @@ def order_visit_features(
     persons with a visit during any order of the shop-day. The bodies of these
     two are our own definition.
     """
-    # Read three times; at most one row per shop, day and second.
+    # Read three times; one row per shop, day and instant.
     line = checkpointed(timeline(visits, orders, minutes))
     people = person_days(visits, line)
     shop_day = people.groupBy(*SHOP_DAY).agg(
         F.sum("visits").alias("visits"),
-        F.sum("stay_s").alias("stay"),
-        F.coalesce(F.sum(F.when(F.col("related_sum") > 0, F.col("stay_s"))), F.lit(0)).alias(
+        F.sum("stay_us").alias("stay"),
+        F.coalesce(F.sum(F.when(F.col("related_sum") > 0, F.col("stay_us"))), F.lit(0)).alias(
             "person_stay"
         ),
     )
-    longest = _placed(visits).groupBy(*SHOP_DAY).agg(F.max("stay_s").alias("max_stay"))
+    longest = _placed(visits).groupBy(*SHOP_DAY).agg(F.max("stay_us").alias("max_stay"))
     numbers = orders.groupBy(*SHOP_DAY).agg(F.count_distinct("ordr_id").alias("order_num_perday"))
-    # Everything about the shop-day goes to its order seconds first, so that the
-    # join with the orders themselves is on the second and not on a busy day.
+    # Everything about the shop-day goes to the instants of its orders first, so that
+    # the join with the orders themselves is on the instant and not on a busy day.
     moments = (
         line.filter("orders > 0")
         .select(*SHOP_DAY, "at", "inside", "inside_stay", "distance")
@@ -263,10 +261,10 @@ def order_visit_features(
         .join(longest, SHOP_DAY)
         .join(numbers, SHOP_DAY)
         .join(longest_stay_around(visits, orders), [*SHOP_DAY, "at"], "left")
-        .withColumnRenamed("at", "order_s")
+        .withColumnRenamed("at", "order_us")
     )
-    rows = orders.join(moments, [*SHOP_DAY, "order_s"])
-    minute = F.lit(60.0)
+    rows = orders.join(moments, [*SHOP_DAY, "order_us"])
+    minute = F.lit(float(MINUTE))
     found = rows.groupBy(*keys, "order_num_perday").agg(
         F.sum("visits").alias("visit_times"),
         F.sum("inside").alias("related_visit_times"),
@@ -285,21 +283,26 @@ def order_visit_features(
 # ---- per shop ----------------------------------------------------------------
 
 
-def _stay_statistics(prefix: str) -> list[Column]:
-    # Stays are whole seconds, so the counting buffer of the percentile is bounded.
-    return [
-        (F.percentile("stay_s", F.lit(0.5)) / 60.0).alias(f"median_{prefix}duration"),
-        (F.avg("stay_s") / 60.0).alias(f"avg_{prefix}duration"),
-    ]
+def _with_median_stay(found: DataFrame, visits: DataFrame, name: str) -> DataFrame:
+    """Add the exact median stay in minutes per shop and period."""
+    keys = ["shop_id", "period"]
+    medians = group_quantiles(visits, "stay_us", [0.5], keys)
+    median = medians.select(*keys, (F.col("quantiles")[0] / MINUTE).alias(name))
+    return null_safe_join(found, median, keys, "left")
 
 
 def shop_traffic(visits: DataFrame, period: Column) -> DataFrame:
     """Visitors (per day), entries and stays of a shop in a period."""
-    return visits.groupBy(F.col("store_id").alias("shop_id"), period.alias("period")).agg(
+    rows = visits.select(
+        F.col("store_id").alias("shop_id"), period.alias("period"),
+        "enter_date", "profile_id", "enter_time", "stay_us",
+    )
+    found = rows.groupBy("shop_id", "period").agg(
         F.count_distinct(F.struct("enter_date", "profile_id")).alias("total_uv"),
         distinct_with_null(F.col("enter_time")).alias("total_pv"),
-        *_stay_statistics(""),
+        (F.avg("stay_us") / MINUTE).alias("avg_duration"),
     )
+    return _with_median_stay(found, rows, "median_duration")
 
 
 def shop_orders(
@@ -320,12 +323,12 @@ def related_visits(orders: DataFrame, visits: DataFrame) -> DataFrame:
     that instant with the first order of the shop-day, so minima are enough.
     """
     first_order = orders.groupBy(*SHOP_DAY).agg(
-        F.min(F.struct("order_s", "ordr_id")).alias("order")
+        F.min(F.struct("order_us", "ordr_id")).alias("order")
     )
     entries = (
         _placed(visits)
         .groupBy(*SHOP_DAY, "enter_time")
-        .agg(F.min(F.struct("profile_id", "enter_s", "exit_s", "stay_s")).alias("visit"))
+        .agg(F.min(F.struct("profile_id", "enter_us", "exit_us", "stay_us")).alias("visit"))
     )
     first = (
         entries.join(first_order, SHOP_DAY)
@@ -334,16 +337,18 @@ def related_visits(orders: DataFrame, visits: DataFrame) -> DataFrame:
         .select("enter_time", "f.*")
         .select("enter_time", *SHOP_DAY, "order.*", "visit.*")
     )
-    return first.filter("order_s between enter_s and exit_s")
+    return first.filter("order_us between enter_us and exit_us")
 
 
 def related_traffic(related: DataFrame, period: Column) -> DataFrame:
     """Visitors, entries and stays of a shop among the related visits."""
-    return related.groupBy("shop_id", period.alias("period")).agg(
+    rows = related.select("shop_id", period.alias("period"), "profile_id", "stay_us")
+    found = rows.groupBy("shop_id", "period").agg(
         distinct_with_null(F.col("profile_id")).alias("total_related_uv"),
         F.count(F.lit(1)).alias("total_related_pv"),
-        *_stay_statistics("related_"),
+        (F.avg("stay_us") / MINUTE).alias("avg_related_duration"),
     )
+    return _with_median_stay(found, rows, "median_related_duration")
 
 
 def shop_analysis(orders: DataFrame, visits: DataFrame, period=month) -> DataFrame:

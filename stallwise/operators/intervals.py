@@ -1,6 +1,6 @@
 """Points in intervals by equi joins.
 
-The seconds are cut into blocks of 1, 4, 16, ... An interval is the disjoint
+Whole numbers (microseconds) are cut into blocks of 1, 4, 16, ... An interval is the disjoint
 union of a few blocks, and a point lies in one block per size. A point is in an
 interval exactly when one block is shared, so containment becomes an equality
 on (size, block): no range condition, no pair is tried in vain, and every pair
@@ -12,11 +12,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-TOP = 8  # largest block: 4**8 seconds, most of a day
+TOP = 18  # largest block: 4**18 microseconds, most of a day
 
 
 def blocks_of_interval(low: str, high: str) -> Column:
-    """Array of (size, block) whose disjoint union is the seconds low..high.
+    """Array of (size, block) whose disjoint union is low..high.
 
     Empty when ``high`` is below ``low``. Per size the blocks in front of the
     first and behind the last larger block are taken, at most three each.
@@ -48,7 +48,7 @@ def blocks_of_interval(low: str, high: str) -> Column:
 
 
 def blocks_of_point(at: str) -> Column:
-    """Array of the (size, block) that hold one second."""
+    """Array of the (size, block) that hold one number."""
     return F.expr(
         f"transform(sequence(0, {TOP}), k -> "
         f"named_struct('size', k, 'block', shiftright({at}, 2 * k)))"

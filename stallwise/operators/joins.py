@@ -1,9 +1,9 @@
 """Join helpers.
 
-Fact tables may have one key on a third of their rows, so a dimension is
-broadcast only after a count has shown that it is small. A larger one goes
-through an ordinary shuffle join, whose hot partitions the adaptive planner
-splits (``stallwise.session``).
+Fact tables may have one key on a third of their rows. No side is marked for
+broadcast here: adaptive execution knows the real size of a dimension when it joins
+it, broadcasts a small one and splits the hot partitions of a shuffle join
+(``stallwise.session``).
 """
 
 from __future__ import annotations
@@ -13,17 +13,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 100_000
+from stallwise.functions.nullsafe import blank
 
 
-def small(dim: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark ``dim`` for broadcast if it has at most ``max_rows`` rows."""
-    return F.broadcast(dim) if dim.count() <= max_rows else dim
-
-
-def lookup(facts: DataFrame, dim: DataFrame, on, how: str = "left") -> DataFrame:
-    """Join facts with a dimension that is broadcast only when counted small."""
-    return facts.join(small(dim), on, how)
+def lookup(facts: DataFrame, dim: DataFrame, on) -> DataFrame:
+    """Facts with the columns of a dimension; a fact without an entry stays."""
+    return facts.join(dim, on, "left")
 
 
 def null_safe_join(
@@ -54,24 +49,29 @@ def keep_unmatched(rows: DataFrame, ids: DataFrame, on: Sequence[str]) -> DataFr
     return rows.join(ids.select(*on).distinct(), list(on), "left_anti")
 
 
-def match_any(
-    left: DataFrame,
-    right: DataFrame,
-    pairs: Sequence[tuple[str, str]],
-    left_id: Sequence[str],
-    right_id: Sequence[str],
-) -> DataFrame:
+def match_any(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     """Rows matching on at least one of several column pairs, each match once.
 
-    An OR of equalities would be a nested loop; here every pair is its own
-    equi join on row ids, and the distinct union is joined back. The columns of
-    ``right`` must not share names with those of ``left``.
+    An OR of equalities would be a nested loop. Here both sides are read once and
+    laid out as (pair, value) rows for one equi join, and a match counts for the first
+    of its pairs. Missing and blank values match nothing. The columns of ``right`` must
+    not share names with those of ``left``.
     """
-    found = None
-    for a, b in pairs:
-        ids = left.select(*left_id, F.col(a).alias("_a")).join(
-            right.select(*right_id, F.col(b).alias("_b")), F.col("_a") == F.col("_b")
-        )
-        ids = ids.select(*left_id, *right_id)
-        found = ids if found is None else found.unionByName(ids)
-    return found.distinct().join(left, list(left_id)).join(right, list(right_id))
+
+    def sides(rows: DataFrame, columns: Sequence[str], name: str) -> DataFrame:
+        values = [
+            F.struct(F.lit(i).alias("_pair"), F.col(c).cast("string").alias("_value"))
+            for i, c in enumerate(columns)
+        ]
+        laid = rows.select(F.struct("*").alias(name), F.inline(F.array(*values)))
+        return laid.filter(~blank(F.col("_value")))
+
+    joined = sides(left, [a for a, _ in pairs], "_left").join(
+        sides(right, [b for _, b in pairs], "_right"), ["_pair", "_value"]
+    )
+    earlier = F.lit(False)
+    for i, (a, b) in enumerate(pairs):
+        mine, other = F.col(f"_left.{a}"), F.col(f"_right.{b}")
+        same = F.coalesce((mine == other) & ~blank(mine), F.lit(False))
+        earlier = earlier | ((F.col("_pair") > i) & same)
+    return joined.filter(~earlier).select("_left.*", "_right.*")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from math import isclose, log
+from math import log
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
@@ -17,7 +17,7 @@ from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionE
 from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.regression import DecisionTreeRegressor, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stallwise.functions.nullsafe import ratio
@@ -52,7 +52,12 @@ def _stages(features: Sequence[str]) -> list:
     return [gather, scale]
 
 
-def classifiers(seed: int = SEED) -> dict:
+def _in_order(rows: DataFrame) -> DataFrame:
+    """Rows sorted by all columns: a forest's samples must not depend on how they were laid out."""
+    return rows.orderBy(*[F.col(f"`{c}`") for c in rows.columns])
+
+
+def classifiers(seed: int = SEED, boosts: int = 20) -> dict:
     """The classifiers of the sweep; boosted trees handle two classes only."""
     return {
         "decision_tree": DecisionTreeClassifier(labelCol="_label", seed=seed),
@@ -60,7 +65,7 @@ def classifiers(seed: int = SEED) -> dict:
         "bagged_trees": RandomForestClassifier(
             labelCol="_label", featureSubsetStrategy="all", seed=seed
         ),
-        "boosted_trees": GBTClassifier(labelCol="_label", maxIter=10, seed=seed),
+        "boosted_trees": GBTClassifier(labelCol="_label", maxIter=boosts, seed=seed),
         "naive_bayes": NaiveBayes(labelCol="_label", modelType="gaussian"),
     }
 
@@ -89,7 +94,7 @@ def fit_classifiers(
         inputCol=label, outputCol="_label", handleInvalid="keep", stringOrderType="alphabetAsc"
     ).fit(train.withColumn(label, F.col(label).cast("string")))
     classes = len(index.labels)
-    data = train.withColumn(label, F.col(label).cast("string")).persist()
+    data = _in_order(train.withColumn(label, F.col(label).cast("string"))).persist()
     judge = MulticlassClassificationEvaluator(labelCol="_label", metricName="accuracy")
     fitted = {}
     for name, estimator in (estimators or classifiers(seed)).items():
@@ -104,7 +109,7 @@ def fit_classifiers(
                 evaluator=judge,
                 numFolds=folds,
                 seed=seed + repeat,
-                parallelism=4,
+                parallelism=8,
             )
             scores.append(folded.fit(data).avgMetrics[0])
         fitted[name] = (line.fit(data), sum(scores) / len(scores) if scores else float("nan"))
@@ -132,7 +137,7 @@ def fit_regressors(
     estimators: Mapping | None = None,
 ) -> dict[str, PipelineModel]:
     """Fit every regressor on scaled features."""
-    data = train.withColumn("_label", F.col(label).cast("double")).persist()
+    data = _in_order(train.withColumn("_label", F.col(label).cast("double"))).persist()
     models = {
         name: Pipeline(stages=[*_stages(features), estimator]).fit(data)
         for name, estimator in (estimators or regressors()).items()
@@ -146,14 +151,14 @@ def cross_validated_rmse(
     repeats: int = REPEATS, seed: int = SEED,
 ) -> float:
     """Mean RMSE of a regressor over repeated folds."""
-    data = train.withColumn("_label", F.col(label).cast("double")).persist()
+    data = _in_order(train.withColumn("_label", F.col(label).cast("double"))).persist()
     judge = RegressionEvaluator(labelCol="_label", metricName="rmse")
     line = Pipeline(stages=[*_stages(features), estimator])
     scores = []
     for repeat in range(repeats):
         folded = CrossValidator(
             estimator=line, estimatorParamMaps=ParamGridBuilder().build(), evaluator=judge,
-            numFolds=folds, seed=seed + repeat, parallelism=4,
+            numFolds=folds, seed=seed + repeat, parallelism=8,
         )
         scores.append(folded.fit(data).avgMetrics[0])
     data.unpersist()
@@ -277,8 +282,13 @@ def shop_clusters(
     """
     data = checkpointed(_vectors(rows, features)).persist()
     n = data.count()
+    wanted = sorted(set(candidates))
+    if not wanted or wanted[0] < 2 or wanted[-1] >= n:
+        raise ValueError(f"numbers of clusters must be from 2 to {n - 1}, below the {n} complete rows")
+    if method == "sse" and len(wanted) < 3:
+        raise ValueError("the elbow needs at least three numbers of clusters")
     scores, models = {}, {}
-    for k in [k for k in candidates if k < n]:
+    for k in wanted:
         if method == "gaussian":
             model = GaussianMixture(k=k, seed=seed, predictionCol="cluster").fit(data)
             d = len(features)
@@ -304,8 +314,6 @@ def _chosen(method: str, scores: Mapping[int, float]) -> int:
     if method == "calinski":
         return max(scores, key=scores.get)
     ks = sorted(scores)
-    if len(ks) < 3:
-        return ks[0]
     bends = {
         b: scores[a] - 2 * scores[b] + scores[c] for a, b, c in zip(ks, ks[1:], ks[2:])
     }
@@ -315,68 +323,85 @@ def _chosen(method: str, scores: Mapping[int, float]) -> int:
 # ---- nearest mean ------------------------------------------------------------
 
 
-def class_means(
-    rows: DataFrame, label: str | Column, features: Sequence[str], most: int = 1000
-) -> dict[str, list[float]]:
-    """Mean of every feature per class: the fitted nearest-mean model."""
+# Classes that meet the rows at a time.
+CLASS_BLOCK = 10_000
+
+
+def class_means(rows: DataFrame, label: str | Column, features: Sequence[str]) -> DataFrame:
+    """(label, means): the fitted nearest-mean model, one row per class."""
     name = F.col(label) if isinstance(label, str) else label
-    found = (
+    return (
         rows.select(name.cast("string").alias("_label"), *features)
         .filter("_label is not null")
         .groupBy("_label")
-        .agg(*[F.avg(c).alias(c) for c in features])
-        .limit(most + 1)
-        .collect()
+        .agg(F.array(*[F.avg(c) for c in features]).alias("means"))
+        .withColumnRenamed("_label", "label")
     )
-    if len(found) > most:
-        raise ValueError(f"more than {most} classes")
-    return {r["_label"]: [r[c] for c in features] for r in sorted(found, key=lambda r: r["_label"])}
 
 
-def nearest_class(means: Mapping[str, Sequence[float]], features: Sequence[str]) -> Column:
-    """Class with the closest mean; the first label wins a tie, missing features give null."""
-    distances = [
-        F.struct(
-            sum((F.col(c) - F.lit(m)) * (F.col(c) - F.lit(m)) for c, m in zip(features, mean)).alias("d"),
-            F.lit(label).alias("label"),
+def with_nearest_class(
+    rows: DataFrame, means: DataFrame, features: Sequence[str], name: str = "pred_value"
+) -> DataFrame:
+    """Add the class with the closest mean; the first label wins a tie.
+
+    Missing features give null. The classes meet the rows as one row of arrays, a
+    block of classes at a time, so their number is not limited.
+    """
+    best, nth = F.lit(None).cast("struct<d double, label string>"), Window.orderBy("label")
+    found = rows.withColumn("_best", best)
+    number = means.count()
+    placed = means.withColumn("_block", F.floor((F.row_number().over(nth) - 1) / CLASS_BLOCK))
+    own = F.array(*[F.col(c).cast("double") for c in features])
+
+    def distance(x: Column) -> Column:
+        parts = F.zip_with(own, x["means"], lambda a, b: (a - b) * (a - b))
+        return F.struct(F.aggregate(parts, F.lit(0.0), lambda s, d: s + d).alias("d"), x["label"].alias("label"))
+
+    for block in range(-(-number // CLASS_BLOCK)):
+        classes = placed.filter(F.col("_block") == block).agg(
+            F.collect_list(F.struct("label", "means")).alias("_classes")
         )
-        for label, mean in means.items()
-    ]
+        found = found.crossJoin(F.broadcast(classes))  # one row
+        closest = F.array_min(F.transform("_classes", distance))
+        found = found.withColumn("_best", F.least("_best", closest)).drop("_classes")
     complete = F.lit(True)
     for c in features:
         complete = complete & F.col(c).isNotNull()
-    best = F.array_min(F.array(*distances))["label"]
-    return F.when(complete, best)
+    return found.withColumn(name, F.when(complete, F.col("_best.label"))).drop("_best")
 
 
 def nearest_mean(rows: DataFrame, label: str, features: Sequence[str]) -> DataFrame:
     """Rows with the label predicted from the class means of the labelled rows."""
-    return rows.withColumn("pred_value", nearest_class(class_means(rows, label, features), features))
+    return with_nearest_class(rows, checkpointed(class_means(rows, label, features)), features)
 
 
-def self_training(
-    rows: DataFrame, label: str, features: Sequence[str], rounds: int = 50
-) -> tuple[DataFrame, int]:
+def self_training(rows: DataFrame, label: str, features: Sequence[str]) -> tuple[DataFrame, int]:
     """Label the unlabelled rows by nearest mean and refit until nothing moves.
 
-    Given labels never change. The state is the table of class means; every
-    round is one aggregation over the input, so the plan does not grow.
-    Returns the rows with ``pred_value`` and the rounds used.
+    Given labels never change. The state is the written table of class means; every
+    round is one aggregation over the input, so the plan does not grow. Returns the
+    rows with ``pred_value`` and the rounds used.
     """
-    means = class_means(rows, label, features)
-    for used in range(1, rounds + 1):
-        guess = F.coalesce(F.col(label).cast("string"), nearest_class(means, features))
-        moved = class_means(rows, guess, features)
-        if _close(moved, means):
-            break
+    means = checkpointed(class_means(rows, label, features))
+    used = 0
+    while True:
+        used += 1
+        guessed = with_nearest_class(rows, means, features, "_guess")
+        guess = F.coalesce(F.col(label).cast("string"), F.col("_guess"))
+        moved = checkpointed(class_means(guessed, guess, features))
+        if _same_means(means, moved):
+            return with_nearest_class(rows, moved, features), used
         means = moved
-    return rows.withColumn("pred_value", nearest_class(means, features)), used
 
 
-def _close(a: Mapping[str, Sequence[float]], b: Mapping[str, Sequence[float]]) -> bool:
-    return a.keys() == b.keys() and all(
-        isclose(x, y, rel_tol=1e-12, abs_tol=1e-15) for k in a for x, y in zip(a[k], b[k])
-    )
+def _same_means(a: DataFrame, b: DataFrame) -> bool:
+    """Whether two tables have the same classes with equal means, up to rounding."""
+    both = a.join(b.withColumnRenamed("means", "others"), "label", "full")
+    close = F.zip_with(
+        "means", "others",
+        lambda x, y: F.abs(x - y) <= F.greatest(F.greatest(F.abs(x), F.abs(y)) * 1e-12, F.lit(1e-15)),
+    )
+    return both.filter(~F.coalesce(F.forall(close, lambda c: c), F.lit(False))).isEmpty()
 
 
 def error_rate(rows: DataFrame, predicted: str, true: str) -> DataFrame:

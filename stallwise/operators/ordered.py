@@ -69,6 +69,40 @@ def with_running_sums(
     )
 
 
+def with_extremes(
+    df: DataFrame,
+    keys: Sequence[str],
+    segment: str,
+    at: str,
+    last: Mapping[str, Column],
+    first: Mapping[str, Column] | None = None,
+) -> DataFrame:
+    """Add, per name, the highest ``last`` of the rows before and the lowest ``first`` of those after."""
+    first = first or {}
+    upto = (Window.unboundedPreceding, -1)
+
+    def windows(*by: str, order: str) -> dict:
+        line = Window.partitionBy(*by)
+        return {
+            "last": line.orderBy(order).rowsBetween(*upto),
+            "first": line.orderBy(F.col(order).desc()).rowsBetween(*upto),
+        }
+
+    valued = df.select("*", *[v.alias(f"_v_{n}") for n, v in [*last.items(), *first.items()]])
+    kinds = [("last", F.max, F.greatest, n) for n in last] + [("first", F.min, F.least, n) for n in first]
+    across = windows(*keys, order=segment)
+    borders = valued.groupBy(*keys, segment).agg(*[f(f"_v_{n}").alias(f"_t_{n}") for _, f, _, n in kinds])
+    borders = borders.select(
+        *keys, segment, *[f(f"_t_{n}").over(across[k]).alias(f"_b_{n}") for k, f, _, n in kinds]
+    )
+    inside = windows(*keys, segment, order=at)
+    rows = valued.select("*", *[f(f"_v_{n}").over(inside[k]).alias(f"_w_{n}") for k, f, _, n in kinds])
+    joined = rows.join(borders, [*keys, segment])
+    return joined.select(
+        *df.columns, *[best(F.col(f"_b_{n}"), F.col(f"_w_{n}")).alias(n) for _, _, best, n in kinds]
+    )
+
+
 def laid_out(df: DataFrame, order: Sequence) -> DataFrame:
     """Sort over the cluster and number the rows inside each sorted partition.
 

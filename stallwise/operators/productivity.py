@@ -17,9 +17,8 @@ from stallwise.functions.nullsafe import (
     strict_sum,
 )
 from stallwise.operators.enrich import flag_promotion, per_lease
-from stallwise.operators.joins import small
 from stallwise.operators.ordered import with_position
-from stallwise.operators.quantiles import breaks, with_group_median
+from stallwise.operators.quantiles import OCTILES, group_quantiles, with_group_median
 from stallwise.operators.shaping import long, wide
 from stallwise.session import checkpointed
 
@@ -248,24 +247,20 @@ def month_by_category(sales: DataFrame, level: str, labels: Sequence[str]) -> Da
 def stall_months(orders: DataFrame, contracts: DataFrame) -> DataFrame:
     """Sale per area, sale and number of orders per stall and month.
 
-    Most of the stall columns follow from the lease code, so the sums are
-    grouped by the code alone and the other lease columns are joined last.
-    Lease codes are unique (``joins.unique_on`` checks a table for it).
+    The orders are summed per lease code and these sums meet the leases once. A code
+    with several leases counts in full for each of their stalls.
     """
-    contracts = small(contracts)
     shop = ["month_id", "house_no", "shop_name", "shop_id"]
     own = per_lease(orders, shop, levels=["cont_cat3_name"])
-    lease = contracts.select("contract_code", "category_name_1", "category_name_3", "actual_area")
     filled = F.when(blank(F.col("category_name_1")), F.col("cont_cat3_name")).otherwise(
         F.col("category_name_3")
     )
-    summed = (
-        own.join(lease, "contract_code", "left")
+    found = (
+        own.join(contracts, "contract_code", "left")
         .withColumn("category_name_3", filled)
-        .groupBy("contract_code", *shop, "category_name_3", "actual_area")
+        .groupBy(*STALL_KEYS, "actual_area")
         .agg(strict_sum(F.col("act_amt")).alias("act_amt"), F.sum("order_num").alias("order_num"))
     )
-    found = summed.join(contracts.drop("actual_area", "category_name_3"), "contract_code", "left")
     return found.select(
         *STALL_KEYS,
         ratio(F.col("act_amt"), F.col("actual_area")).alias("saleperarea"),
@@ -297,11 +292,13 @@ def stall_metrics(months: DataFrame, start_month: str, as_of: str) -> DataFrame:
     found = found.withColumn(
         "saleperareaperduration", ratio(F.col("saleperarea"), F.col("time_span"))
     )
-    # One row per stall; the breaks and the result all read this written table.
+    # One row per stall; the breaks of both values and the result read this written table.
     found = checkpointed(found)
-    for value in ("saleperarea", "saleperareaperduration"):
-        points = breaks(found, value)
-        number = bucket(F.col(value), points) if points else F.lit(None).cast("int")
+    values = ["saleperarea", "saleperareaperduration"]
+    points = group_quantiles(long(found, [], values, "measure", "value"), "value", OCTILES, ["measure"])
+    breaks = {r["measure"]: list(r["quantiles"]) for r in points.collect()}
+    for value in values:
+        number = bucket(F.col(value), breaks[value]) if value in breaks else F.lit(None).cast("int")
         found = found.withColumn(f"{value}interval", number)
     return found
 

@@ -96,6 +96,12 @@ def not_repeated(rows: DataFrame, key: str) -> DataFrame:
     return null_safe_join(rows, once, [key]).drop("_c")
 
 
+def with_repeats(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """Add whether the row's key value occurs more than once; missing keys count as one value."""
+    often = rows.groupBy(key).agg((F.count(F.lit(1)) > 1).alias(name))
+    return null_safe_join(rows, often, [key])
+
+
 def month_index(rows: DataFrame, name: str = "month_no") -> DataFrame:
     """Add the ordinal number of the row's month among the months present."""
     # One row per calendar month: the window and the broadcast stay small.
@@ -121,5 +127,6 @@ def hash_split(
     rows: DataFrame, keys: Sequence[str], percent: int, seed: int = 666
 ) -> tuple[DataFrame, DataFrame]:
     """Split by a hash of the keys; the same key always falls on the same side."""
-    slot = F.pmod(F.xxhash64(F.lit(seed), *[F.col(k) for k in keys]), F.lit(100))
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys])
+    slot = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint") % 100
     return rows.filter(slot < percent), rows.filter(slot >= percent)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,7 +27,8 @@ def prepare(spark: SparkSession) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
-    Only a local session without that setting gets a temporary folder.
+    Only a local session without that setting gets a temporary folder, one for the
+    whole session.
     """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
@@ -34,12 +36,26 @@ def shared_folder(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    return tempfile.mkdtemp(prefix="stallwise-")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="stallwise-"))
+    return context.getCheckpointDir()
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new folder name in the shared folder; what is written there goes with the session."""
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    context = spark.sparkContext
+    place = context._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder and read it back."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+    """``df`` written as Parquet to the shared folder and read back.
+
+    Cuts the lineage and outlives a lost executor; later reads prune columns and push
+    filters down, which a row checkpoint does not.
+    """
+    spark = df.sparkSession
+    path = scratch(spark, "staged")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -38,15 +38,6 @@ def read(
     return (reader.schema(schema) if schema else reader).load(source)
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Spread a scan by a key when its files give fewer splits than there are cores.
-
-    A table of many files is returned as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
-
-
 def given_or(given: DataFrame | None, fetch: Callable[[], DataFrame]) -> DataFrame:
     """The supplied table, or the one the reader returns."""
     return given if given is not None else fetch()

@@ -163,3 +163,16 @@ def test_split_is_stable(spark):
     a = {r[0] for r in shaping.hash_split(blobs(spark), ["id"], 90)[0].select("id").collect()}
     b = {r[0] for r in shaping.hash_split(blobs(spark).repartition(7), ["id"], 90)[0].select("id").collect()}
     assert a == b
+
+
+def test_more_classes_than_a_block(spark, monkeypatch):
+    monkeypatch.setattr(learning, "CLASS_BLOCK", 400)
+    rows = spark.range(2010).select(F.col("id").cast("string").alias("g"), F.col("id").cast("double").alias("x"))
+    found = learning.nearest_mean(rows, "g", ["x"])
+    assert found.filter("pred_value = g").count() == 2010
+
+
+@pytest.mark.parametrize("method, ks", [("sse", [2, 3]), ("calinski", []), ("calinski", [2, 300]), ("gaussian", [1, 2])])
+def test_unusable_numbers_of_clusters_are_reported(spark, method, ks):
+    with pytest.raises(ValueError):
+        learning.shop_clusters(blobs(spark), ["x", "y"], method, ks)

@@ -278,3 +278,61 @@ def test_event_table_gaps(spark):
     df = spark.createDataFrame([(str(s), dt.datetime.fromtimestamp(p, dt.timezone.utc)) for s, p in rows], "partner_code string, ordr_date timestamp")
     found = dealers.order_gaps(df).filter("gap is not null").groupBy("partner_code").agg(F.sum("gap").alias("s"))
     assert values(found, "partner_code", "s") == [("1", 3), ("2", 15), ("3", 2)]
+
+
+def test_gaps_below_a_second(spark):
+    at = [0, 299_999_999, 599_999_999, 599_999_999, 599_999_999 + 1]
+    rows = [("d", dt.datetime(2019, 1, 1) + dt.timedelta(microseconds=m)) for m in at]
+    gaps = dealers.order_gaps(spark.createDataFrame(rows, "partner_code string, ordr_date timestamp"))
+    assert [r["gap"] for r in gaps.orderBy("at").collect()] == [None, 299.999999, 300.0, 0.000001]
+    assert one(dealers.longest_run(gaps, "r").select("r")) == 2  # the zero gap and the one after it
+    found = dealers.gap_statistics(gaps).first()
+    assert (found["min_time_space"], found["min_time_space_nonzero"]) == (0.0, 0.000001)
+
+
+def test_containment_to_the_microsecond(spark):
+    enter, leave = dt.datetime(2019, 1, 1, 10, 0, 0, 500), dt.datetime(2019, 1, 1, 11, 0, 0, 500)
+    track = spark.createDataFrame(
+        [("v", "1", "p", enter, leave, 0)],
+        "id string, store_id string, profile_id string, enter_time timestamp, exit_time timestamp, event_type int",
+    )
+    tick = dt.timedelta(microseconds=1)
+    rows = [(str(i), "1", day("2019-01-01"), t) for i, t in enumerate([enter - tick, enter, leave, leave + tick])]
+    orders = footfall.prepare_orders(spark.createDataFrame(rows, "ordr_id string, shop_id string, date_id date, ordr_date timestamp"))
+    visits = footfall.prepare_visits(track)
+    assert values(footfall.contained_pairs(orders, visits), "ordr_id") == [("1",), ("2",)]
+    line = footfall.timeline(visits, orders)
+    assert footfall.orders_per_visit(visits, line).first()["related"] == 2
+    assert sorted(r["distance"] for r in line.filter("orders > 0").collect()) == [0, 0, 1, 1]
+
+
+def test_a_code_with_two_leases_counts_once_for_each(spark):
+    lease = "contract_code string, booth_code string, actual_area double, category_name_1 string, category_name_3 string"
+    rest = ["floor_name", "booth_name", "booth_grade", "brand_name", "series_name", "begin_date", "finish_date"]
+    leases = spark.createDataFrame([("c", "B1", 4.0, "x", "y"), ("c", "B2", 4.0, "x", "y")], lease)
+    leases = leases.withColumns({c: F.lit(None).cast("string") for c in rest} | {"contract_duration": F.lit(1)})
+    order = "contract_code string, month_id string, house_no string, shop_name string, shop_id string, cont_cat3_name string, act_amt decimal(18,2)"
+    from decimal import Decimal
+
+    orders = spark.createDataFrame([("c", "2018-01", "h", "s", "1", "z", Decimal(100))], order)
+    found = productivity.stall_months(orders, leases)
+    assert values(found, "booth_code", "sale", "order_num") == [("B1", 100.0, 1), ("B2", 100.0, 1)]
+
+
+def test_any_match_keeps_rows_without_a_code(spark):
+    totals = spark.createDataFrame([("D1", "X"), ("C9", "W"), ("D3", " ")], "partner_code string, partner_name string")
+    survey = spark.createDataFrame(
+        [(None, "X", None), ("C9", "Z", None), ("C9", "Y", "W"), (" ", " ", " ")],
+        "partner_code string, partner_name string, contact_name string",
+    )
+    found = values(dealers.survey_matches(totals, survey), "partner_code", "survey_name")
+    assert found == [("C9", "Y"), ("C9", "Z"), ("D1", "X")]
+
+
+def test_split_booth_sum_is_strict(spark):
+    rows = spark.createDataFrame(
+        [("B1", "B1", "A", "c", day("2018-01-01"), 5.0), ("B1", "B1", "A", "c", day("2018-01-01"), None), ("B2", "B2", "A", "d", day("2018-01-01"), 5.0)],
+        "booth_code string, booth_name string, booth_grade string, contract_code string, begin_date date, saleperarea double",
+    )
+    found = floors.stalls_by_split_booth(rows, floors.booth_dictionary(rows))
+    assert values(found, "booth_code", "saleperarea") == [("B1", None), ("B2", 5.0)]
