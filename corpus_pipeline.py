@@ -6,15 +6,13 @@ and lines and words that it drops are gone. ``n_chars`` follows the text.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stallwise.llm import line_dedup, near_copies, packing, quality, substring, vocabularies
 from stallwise.llm.common import ready, table
 from stallwise.llm.queries import GOOD, SEQUENCE
-from stallwise.session import shared_folder
+from stallwise.session import scratch
 
 
 def with_text(df: DataFrame, docs: DataFrame) -> DataFrame:
@@ -74,7 +72,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents; each is written as Parquet and read by the next."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        path = f"{shared_folder(spark)}/pipeline-{name.replace(' ', '-')}-{uuid.uuid4().hex}"
+        path = scratch(spark, f"pipeline-{name.replace(' ', '-')}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stallwise.session import prepare, shared_folder
+from stallwise.session import prepare, scratch
 
 # Rows per Arrow batch: whole texts travel in them, so batches stay short.
 BATCH_ROWS = "1000"
@@ -28,10 +26,10 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back.
 
     The files outlive a lost executor and cut the lineage; unlike a checkpoint they
-    keep column pruning and pushed filters.
+    keep column pruning and pushed filters. They go with the session.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    path = scratch(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
