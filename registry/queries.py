@@ -5,7 +5,6 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.ml.classification import DecisionTreeClassifier, NaiveBayes, RandomForestClassifier
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -857,14 +856,11 @@ def shop_clusters(spark, sf):
 def cross_month_test(spark, sf):
     """Shops sampled in the first weeks with their cluster, tested on a later week."""
     rows = segments.min_max_scaled(ratios(spark, sf), segments.RATIOS)
-    clustered, _ = learning.shop_clusters(rows.filter("period <= 2"), segments.RATIOS, "calinski", [3])
+    clustered, _ = learning.shop_clusters(rows.filter("period <= 2"), segments.RATIOS)
     first = clustered.groupBy("shop_id").agg(F.max_by("cluster", "period").alias("cluster"))
     train_ids, test_ids = shaping.hash_split(first, ["shop_id"], 80)
     train = keep_matching(clustered, train_ids, ["shop_id"])
-    models = learning.fit_classifiers(
-        train, "cluster", segments.RATIOS,
-        {"decision_tree": DecisionTreeClassifier(labelCol="_label", seed=1)}, folds=2, repeats=1,
-    )
+    models = learning.fit_classifiers(train, "cluster", segments.RATIOS)
     test = segments.next_period_test(test_ids, rows.filter("period = 3"))
     return learning.predictions(models, test, "cluster", ["shop_id"])
 
@@ -964,32 +960,14 @@ def split(spark, sf):
     return out
 
 
-def dealer_points(spark, sf):
-    """Dealers with simple features and whether the survey accepts their record."""
-    rows = frames.sales(spark, sf)
-    found = labelled(spark, sf)
-    for piece in (dealers.big_share(rows, 20000), dealers.customer_entropy(rows),
-                  dealers.booth_count(rows)):
-        found = found.join(piece, "partner_code")
-    return found
-
-
-DEALER_FEATURES = ["freq", "sum_act_amt", "big_sale_percentage", "cust_entropy", "num_booth"]
-
-
 @query
 def classifier_sweep(spark, sf):
-    label = "relation_record_estimate_real"
-    train, test = learning.training_sets(
-        dealer_points(spark, sf), label, DEALER_FEATURES, ["partner_code"]
-    )
-    wanted = {
-        "decision_tree": DecisionTreeClassifier(labelCol="_label", seed=1),
-        "random_forest": RandomForestClassifier(labelCol="_label", numTrees=10, seed=1),
-        "naive_bayes": NaiveBayes(labelCol="_label", modelType="gaussian"),
-    }
-    models = learning.fit_classifiers(train, label, DEALER_FEATURES, wanted, folds=2, repeats=1)
-    return learning.predictions(models, test, label, ["partner_code"])
+    """All classifiers on the whole model table, repeated folds, scores over the held-out dealers."""
+    survey = tables.dealer_survey(frames.dealer_survey(spark, sf))
+    found = jobs.reported_sales(frames.sales(spark, sf), survey, None, "1996-01-01", "1998-12-31")
+    swept = jobs.reported_models(found["model"])
+    validated = F.create_map(*[F.lit(x) for pair in swept["validated"].items() for x in pair])
+    return swept["scores"].withColumn("validated", validated[F.col("model")])
 
 
 @query

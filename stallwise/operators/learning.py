@@ -237,6 +237,16 @@ def agreement(table: DataFrame) -> DataFrame:
     )
 
 
+def model_scores(rows: DataFrame) -> DataFrame:
+    """Accuracy, kappa and Rand indices per model of ``predictions``."""
+    names = sorted(r["model"] for r in rows.select("model").distinct().collect())  # a handful
+    out = None
+    for name in names:
+        found = agreement(confusion(rows.filter(F.col("model") == name))).withColumn("model", F.lit(name))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 # ---- clustering --------------------------------------------------------------
 
 

@@ -73,10 +73,13 @@ def trusted_productivity(
 
 
 def reported_sales(
-    orders: DataFrame, survey: DataFrame, city: str, begin: str, finish: str
+    orders: DataFrame, survey: DataFrame, city: str | None, begin: str, finish: str
 ) -> dict[str, DataFrame]:
-    """Dealer features with the survey labels, the trusted dealers, and a model table."""
-    rows = dealers.city_orders(orders, city, begin, finish)
+    """Dealer features with the survey labels, the trusted dealers, and a model table.
+
+    Without a city all orders count.
+    """
+    rows = orders if city is None else dealers.city_orders(orders, city, begin, finish)
     labelled = dealers.survey_labels(dealers.dealer_totals(rows), survey)
     features = dealers.dealer_features(rows)
     merged = features.join(labelled, dealers.KEY, "left")
@@ -87,6 +90,36 @@ def reported_sales(
     }
 
 
+# Columns of the model table that say what the survey says.
+REPORTED = [
+    dealers.KEY, "relation_record_estimate", "relation_record_estimate_value",
+    "relation_record_estimate_real",
+]
+
+
+def reported_models(
+    model: DataFrame,
+    label: str = "relation_record_estimate_real",
+    folds: int = learning.FOLDS,
+    repeats: int = learning.REPEATS,
+) -> dict[str, object]:
+    """All classifiers trained on the model table, tested on the rows held out.
+
+    Every number of the table but the survey's own is a feature. ``scores`` has accuracy,
+    kappa and Rand index per model, ``validated`` the cross-validated accuracy.
+    """
+    features = [c for c in model.columns if c not in REPORTED]
+    train, test = learning.training_sets(model, label, features, [dealers.KEY])
+    models = learning.fit_classifiers(train, label, features, folds=folds, repeats=repeats)
+    predicted = learning.predictions(models, test, label, [dealers.KEY])
+    return {
+        "models": models,
+        "validated": {name: accuracy for name, (_, accuracy) in models.items()},
+        "predictions": predicted,
+        "scores": learning.model_scores(predicted),
+    }
+
+
 def footfall_link(
     orders: DataFrame, track: DataFrame, staff_profiles: DataFrame, period=month
 ) -> dict[str, DataFrame]:
@@ -108,15 +141,24 @@ SHOP_FEATURES = [
 ]
 
 
-def order_number_model(shops: DataFrame, test_period) -> tuple[dict, DataFrame, DataFrame]:
-    """Predict a shop's orders from its traffic; one period is held out."""
+def order_number_model(
+    shops: DataFrame, test_period, folds: int = learning.FOLDS, repeats: int = learning.REPEATS
+) -> tuple[dict, DataFrame, DataFrame]:
+    """Predict a shop's orders from its traffic; one period is held out.
+
+    The score has each model's RMSE over the held-out period and over repeated folds of
+    the others; no folds leave the second out.
+    """
     rows = shops.na.drop(subset=SHOP_FEATURES)
     test = rows.filter(F.col("period") == test_period)
-    models = learning.fit_regressors(
-        rows.filter(F.col("period") != test_period), "order_num", SHOP_FEATURES
-    )
+    train = rows.filter(F.col("period") != test_period)
+    models = learning.fit_regressors(train, "order_num", SHOP_FEATURES)
     compared = learning.comparison(models, test, "order_num", ["shop_id"])
     score = learning.rmse(compared, [f"{m}_predict" for m in models], "real")
+    if folds:
+        for name, estimator in learning.regressors().items():
+            found = learning.cross_validated_rmse(train, "order_num", SHOP_FEATURES, estimator, folds, repeats)
+            score = score.withColumn(f"{name}_validated_rmse", F.lit(found))
     return models, compared, score
 
 

@@ -92,7 +92,7 @@ def test_footfall_job(spark):
         frames.shop_orders(spark, SF), frames.track(spark, SF), frames.staff_profiles(spark, SF), dates.iso_week
     )
     assert all(t.count() > 0 for t in found.values())
-    _, compared, score = jobs.order_number_model(found["shops"], 5)
+    _, compared, score = jobs.order_number_model(found["shops"], 5, folds=0)
     mean = found["shops"].filter("period <> 5").agg(F.avg("order_num")).first()[0]
     naive = compared.agg(F.sqrt(F.avg(F.pow(F.col("real") - mean, 2)))).first()[0]
     assert score.first()["random_forest_predict_rmse"] < naive * 1.5
@@ -176,3 +176,16 @@ def test_more_classes_than_a_block(spark, monkeypatch):
 def test_unusable_numbers_of_clusters_are_reported(spark, method, ks):
     with pytest.raises(ValueError):
         learning.shop_clusters(blobs(spark), ["x", "y"], method, ks)
+
+
+def test_reported_models_end_to_end(spark):
+    """From orders and survey to scores; few folds, the query runs all."""
+    from registry.frames import dealer_survey
+
+    found = jobs.reported_sales(
+        frames.sales(spark, SF), tables.dealer_survey(dealer_survey(spark, SF)), None, "1996-01-01", "1998-12-31"
+    )
+    swept = jobs.reported_models(found["model"], folds=2, repeats=1)
+    scores = {r["model"]: r["accuracy"] for r in swept["scores"].collect()}
+    assert set(scores) == set(swept["validated"]) == set(learning.classifiers())
+    assert all(0 <= x <= 1 for x in scores.values())
