@@ -659,12 +659,8 @@ def dealer_entropy(spark, sf):
 
 @query
 def dealer_top_category(spark, sf):
-    rows = frames.dirty_sales(spark, sf)
-    out = None
-    for i, level in enumerate(enrich.ORDER_LEVELS, 1):
-        found = dealers.top_category(rows, level, "ordr_date", f"cat{i}")
-        out = found if out is None else out.join(found, "partner_code")
-    return out
+    levels = {level: f"cat{i}" for i, level in enumerate(enrich.ORDER_LEVELS, 1)}
+    return dealers.top_categories(frames.dirty_sales(spark, sf), levels, "ordr_date")
 
 
 @query

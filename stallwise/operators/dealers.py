@@ -245,20 +245,50 @@ def peak_day(orders: DataFrame) -> DataFrame:
     return daily.groupBy(KEY).agg(F.max("freq_per_day").alias("max_freq_in_day"))
 
 
-def big_share(orders: DataFrame, split: float = BIG_ORDER) -> DataFrame:
-    """Orders above and up to the split, and the share above."""
+def _big_orders(split: float) -> list[Column]:
     amount = F.col("act_amt")
-    counts = orders.groupBy(KEY).agg(
+    return [
         F.count(F.when(amount > split, 1)).alias("over_500_sum"),
         F.count(F.when(amount <= split, 1)).alias("below_500_sum"),
-    )
+    ]
+
+
+def _with_big_share(counts: DataFrame) -> DataFrame:
     total = F.col("over_500_sum") + F.col("below_500_sum")
     return counts.withColumn("big_sale_percentage", ratio(F.col("over_500_sum"), total))
 
 
+def _booths() -> Column:
+    return distinct_with_null(F.col("booth_id")).alias("num_booth")
+
+
+def _missing(columns: Sequence[str]) -> list[Column]:
+    return [F.avg(F.col(c).isNull().cast("int")).alias(f"missing_{c}") for c in columns]
+
+
+def _states(states: Sequence[str]) -> list[Column]:
+    number = [F.count(F.when(F.col("ordr_status") == s, 1)) for s in states]
+    return [F.when(n > 0, ratio(n, F.count(F.lit(1)))).alias(s) for s, n in zip(states, number)]
+
+
+def big_share(orders: DataFrame, split: float = BIG_ORDER) -> DataFrame:
+    """Orders above and up to the split, and the share above."""
+    return _with_big_share(orders.groupBy(KEY).agg(*_big_orders(split)))
+
+
 def booth_count(orders: DataFrame) -> DataFrame:
     """Distinct booths per dealer; an unknown booth counts as one."""
-    return orders.groupBy(KEY).agg(distinct_with_null(F.col("booth_id")).alias("num_booth"))
+    return orders.groupBy(KEY).agg(_booths())
+
+
+def counted_features(
+    orders: DataFrame, missing: Sequence[str], states: Sequence[str], split: float = BIG_ORDER
+) -> DataFrame:
+    """Big orders, booths, missing values and state shares of every dealer in one pass."""
+    found = orders.groupBy(KEY).agg(
+        *_big_orders(split), _booths(), *_missing(missing), *_states(states)
+    )
+    return _with_big_share(found)
 
 
 def customer_entropy(orders: DataFrame, customer: str = "cust_name") -> DataFrame:
@@ -277,32 +307,40 @@ def customer_entropy(orders: DataFrame, customer: str = "cust_name") -> DataFram
     return sums.select(KEY, "category_num", ratio(entropy, F.col("category_num")).alias("cust_entropy"))
 
 
-def top_category(orders: DataFrame, level: str, ts: str, prefix: str) -> DataFrame:
-    """Most frequent category of a dealer and its share of the orders.
+def top_categories(orders: DataFrame, levels: Mapping[str, str], ts: str) -> DataFrame:
+    """Most frequent category of a dealer per level and its share of the orders.
 
-    The category seen first wins a tie, then the name; a missing category is
+    ``levels`` maps a level to the prefix of its share; all levels are counted in one
+    pass. The category seen first wins a tie, then the name; a missing category is
     one of the categories.
     """
-    counts = orders.groupBy(KEY, level).agg(
-        F.count(F.lit(1)).alias("c"), F.min(ts).alias("first")
+    entries = [
+        F.struct(F.lit(level).alias("_level"), F.col(level).alias("_category")) for level in levels
+    ]
+    laid = orders.select(KEY, F.col(ts).alias("_ts"), F.inline(F.array(*entries)))
+    counts = laid.groupBy(KEY, "_level", "_category").agg(
+        F.count(F.lit(1)).alias("c"), F.min("_ts").alias("first")
     )
-    best = F.min(F.struct((-F.col("c")).alias("o"), "first", level))
-    return (
-        counts.groupBy(KEY)
-        .agg(best.alias("best"), F.max("c").alias("m"), F.sum("c").alias("s"))
-        .select(
-            KEY,
-            F.col("best")[level].alias(level),
-            ratio(F.col("m"), F.col("s")).alias(f"{prefix}_perc_value"),
-        )
+    best = F.min(F.struct((-F.col("c")).alias("o"), "first", "_category"))
+    tops = counts.groupBy(KEY, "_level").agg(
+        best.alias("best"), ratio(F.max("c"), F.sum("c")).alias("share")
     )
+    wanted = []
+    for level, prefix in levels.items():
+        here = F.col("_level") == level
+        wanted.append(F.max(F.when(here, F.col("best._category"))).alias(level))
+        wanted.append(F.max(F.when(here, F.col("share"))).alias(f"{prefix}_perc_value"))
+    return tops.groupBy(KEY).agg(*wanted)
+
+
+def top_category(orders: DataFrame, level: str, ts: str, prefix: str) -> DataFrame:
+    """Most frequent category of a dealer and its share of the orders."""
+    return top_categories(orders, {level: prefix}, ts)
 
 
 def missing_shares(orders: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Share of missing values of some columns per dealer."""
-    return orders.groupBy(KEY).agg(
-        *[F.avg(F.col(c).isNull().cast("int")).alias(f"missing_{c}") for c in columns]
-    )
+    return orders.groupBy(KEY).agg(*_missing(columns))
 
 
 def status_shares(
@@ -314,13 +352,7 @@ def status_shares(
     state the dealer never had is null.
     """
     rows = orders if within is None else orders.filter(within)
-    number = [F.count(F.when(F.col("ordr_status") == s, 1)) for s in states]
-    return rows.groupBy(KEY).agg(
-        *[
-            F.when(n > 0, ratio(n, F.count(F.lit(1)))).alias(s)
-            for s, n in zip(states, number)
-        ]
-    )
+    return rows.groupBy(KEY).agg(*_states(states))
 
 
 def dealer_features(
@@ -330,20 +362,20 @@ def dealer_features(
     states: Sequence[str] = STATES,
 ) -> DataFrame:
     """All behaviour features of a dealer in one row."""
+    needed = [KEY, ts, "date_id", "act_amt", "booth_id", "cust_name", "cont_cat3_name", "ordr_status"]
+    # The orders are read once; every step reads its columns of the written projection.
+    rows = checkpointed(orders.select(*dict.fromkeys([*needed, *missing])))
     # Read three times; one row per dealer and instant.
-    gaps = checkpointed(order_gaps(orders, ts))
+    gaps = checkpointed(order_gaps(rows, ts))
     pieces = [
         gap_statistics(gaps),
         longest_runs(gaps, RUNS),
         isolated_orders(gaps).select(KEY, "isolated_perc"),
-        big_share(orders),
-        booth_count(orders),
-        customer_entropy(orders),
-        top_category(orders, "cont_cat3_name", ts, "cat3"),
-        missing_shares(orders, missing),
-        status_shares(orders, states),
+        counted_features(rows, missing, states),
+        customer_entropy(rows),
+        top_category(rows, "cont_cat3_name", ts, "cat3"),
     ]
-    table = peak_day(orders)
+    table = peak_day(rows)
     for piece in pieces:
         table = table.join(piece, KEY, "left")
     return table

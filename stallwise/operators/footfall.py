@@ -240,17 +240,33 @@ def order_visit_features(
     persons with a visit during any order of the shop-day. The bodies of these
     two are our own definition.
     """
+    # Visits and orders are prepared once; the steps read the written columns.
+    visits = checkpointed(
+        visits.select(
+            "store_id", "enter_date", "profile_id", "enter_us", "exit_us", "stay_us", "duration"
+        )
+    )
+    orders = checkpointed(orders.select(*SHOP_DAY, "order_us", *dict.fromkeys(["ordr_id", *keys])))
     # Read three times; one row per shop, day and instant.
     line = checkpointed(timeline(visits, orders, minutes))
-    people = person_days(visits, line)
+    people = (
+        orders_per_visit(visits, line)
+        .groupBy(*SHOP_DAY, "profile_id")
+        .agg(
+            F.sum("related").alias("related_sum"),
+            F.count(F.lit(1)).alias("visits"),
+            F.sum("stay_us").alias("stay_us"),
+            F.max("stay_us").alias("max_stay"),
+        )
+    )
     shop_day = people.groupBy(*SHOP_DAY).agg(
         F.sum("visits").alias("visits"),
         F.sum("stay_us").alias("stay"),
+        F.max("max_stay").alias("max_stay"),
         F.coalesce(F.sum(F.when(F.col("related_sum") > 0, F.col("stay_us"))), F.lit(0)).alias(
             "person_stay"
         ),
     )
-    longest = _placed(visits).groupBy(*SHOP_DAY).agg(F.max("stay_us").alias("max_stay"))
     numbers = orders.groupBy(*SHOP_DAY).agg(F.count_distinct("ordr_id").alias("order_num_perday"))
     # Everything about the shop-day goes to the instants of its orders first, so that
     # the join with the orders themselves is on the instant and not on a busy day.
@@ -258,7 +274,6 @@ def order_visit_features(
         line.filter("orders > 0")
         .select(*SHOP_DAY, "at", "inside", "inside_stay", "distance")
         .join(shop_day, SHOP_DAY)
-        .join(longest, SHOP_DAY)
         .join(numbers, SHOP_DAY)
         .join(longest_stay_around(visits, orders), [*SHOP_DAY, "at"], "left")
         .withColumnRenamed("at", "order_us")
