@@ -87,14 +87,20 @@ def shingling(size: int):
 
 
 def met_pairs(marks: DataFrame, width: int) -> DataFrame:
-    """Pairs (a, b) that share a variant of a fingerprint: each text with the smallest and the previous one there."""
+    """Pairs (a, b) that share a variant of a fingerprint.
+
+    Every text is paired with the smallest one at each of its variants, and with the previous
+    one at its own fingerprints, so that a large group gives a few pairs per text.
+    """
     masks = F.array(F.lit(0).cast("long"), *[F.lit(1 << i).cast("long") for i in range(width)])
     each = marks.select("doc", F.posexplode("marks").alias("table", "mark"))
     spread = each.select("doc", "table", "mark", F.explode(masks).alias("mask"))
-    spread = spread.select("doc", (F.col("mark").bitwiseXOR(F.col("mask")) + F.col("table").cast("long") * (1 << width)).alias("variant"))
+    variant = F.col("mark").bitwiseXOR(F.col("mask")) + F.col("table").cast("long") * (1 << width)
+    spread = spread.select("doc", variant.alias("variant"), (F.col("mask") == 0).alias("own"))
     order = Window.partitionBy("variant").orderBy("doc")
     met = spread.withColumns({"least": F.min("doc").over(order), "before": F.lag("doc").over(order)}).filter("least != doc")
-    return met.select(F.col("doc").alias("b"), F.explode(F.array("least", "before")).alias("a")).filter("a < b").distinct()
+    others = F.array("least", F.when(F.col("own"), F.col("before")).otherwise(F.col("least")))
+    return met.select(F.col("doc").alias("b"), F.explode(F.array_distinct(others)).alias("a")).distinct()
 
 
 def alike(pairs: DataFrame, marks: DataFrame, most: float) -> DataFrame:
