@@ -40,15 +40,27 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def _place(spark: SparkSession, path: str):
+    """A path and the file system it is on."""
+    context = spark.sparkContext
+    place = context._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(context._jsc.hadoopConfiguration())
+
+
 def scratch(spark: SparkSession, label: str) -> str:
     """A new folder name in the shared folder; what is written there goes with the session."""
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    context = spark.sparkContext
-    place = context._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(place)
+    place, system = _place(spark, path)
+    system.deleteOnExit(place)
     return path
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a scratch folder that nothing reads any more."""
+    place, system = _place(spark, path)
+    system.delete(place, True)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back.
 
@@ -57,5 +69,5 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch(spark, "staged")
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
