@@ -2,12 +2,12 @@
 
 The components of the vectors are cut into parts, and every (part, block of objects) is a
 node that knows only its own partial scores. Phase one gathers each node's best local scores
-of a query and adds up what is known; the k-th best sum is a lower bound. Phase two sends the
-bound, divided by the number of parts, to all nodes, and each returns every object whose
-partial score reaches it: an object that no node returns cannot be among the best. Phase
-three drops objects whose upper bound is too low and asks the nodes for what is missing of
-the others. Partial scores are shifted by their least value per query, so that an unknown
-part is at least zero.
+of a query and has the objects on these lists added up; the k-th best sum is a lower bound.
+Phase two sends the bound, divided by the number of parts, to all nodes, and each returns
+every object whose partial score reaches it: an object that no node returns cannot be among
+the best. Phase three drops objects whose upper bound is too low and asks the nodes for what
+is missing of the others. Partial scores are shifted by their least value per query, so that
+an unknown part is at least zero.
 """
 
 from __future__ import annotations
@@ -91,27 +91,15 @@ def node_answers(parts: int):
     return run
 
 
-def _known(lists: pd.DataFrame, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Objects, their blocks, shifted partial scores (NaN: unknown) and the shifts of a query."""
-    objs = [np.frombuffer(x, np.int64) for x in lists["objs"]]
-    ids, place = np.unique(np.concatenate(objs), return_inverse=True)
-    table = np.full((len(ids), parts), np.nan)
-    where = np.zeros(len(ids), np.int32)
-    shifts = lists.groupby("part")["least"].min().reindex(range(parts)).to_numpy()
-    seen = 0
-    for found, part, block, scores in zip(objs, lists["part"], lists["block"], lists["scores"], strict=True):
-        mine = place[seen : seen + len(found)]
-        table[mine, part] = np.frombuffer(scores, np.float64) - shifts[part]
-        where[mine] = block
-        seen += len(found)
-    return ids, where, table, shifts
-
-
 def cutoff_of(parts: int, keep: int):
+    """The cutoffs of a query from whole scores (some twice) and the least scores per part."""
+
     def run(key: tuple, lists: pd.DataFrame) -> pd.DataFrame:
-        _, _, table, shifts = _known(lists, parts)
-        sums = np.sort(np.nansum(table, 1))
-        bound = sums[-keep] if len(sums) >= keep else 0.0
+        objs = np.concatenate([np.frombuffer(x, np.int64) for x in lists["objs"]])
+        scores = np.concatenate([np.frombuffer(x, np.float64) for x in lists["scores"]])
+        scores = np.sort(scores[np.unique(objs, return_index=True)[1]])
+        shifts = np.array(lists["shifts"].iloc[0], float)
+        bound = scores[-keep] - shifts.sum() if len(scores) >= keep else 0.0
         return pd.DataFrame({"qobj": [key[0]], "cutoff": [(np.floor(bound / parts) + shifts).tobytes()]})
 
     return run
@@ -122,14 +110,20 @@ def needs_of(parts: int, keep: int):
 
     def run(key: tuple, lists: pd.DataFrame) -> pd.DataFrame:
         cutoffs = np.frombuffer(lists["cutoff"].iloc[0], np.float64)
-        lists = lists.assign(least=[cutoffs[p] for p in lists["part"]])
-        objs, where, table, _ = _known(lists, parts)
-        # Scores are now relative to the cutoff: an unknown part lies below zero.
+        found = [np.frombuffer(x, np.int64) for x in lists["objs"]]
+        objs, place = np.unique(np.concatenate(found), return_inverse=True)
+        # Scores relative to the cutoff: an unknown part lies below zero.
+        table = np.full((len(objs), parts), np.nan)
+        where = np.zeros(len(objs), np.int32)
+        seen = 0
+        for ids, part, block, scores in zip(found, lists["part"], lists["block"], lists["scores"], strict=True):
+            mine = place[seen : seen + len(ids)]
+            table[mine, part] = np.frombuffer(scores, np.float64) - cutoffs[part]
+            where[mine] = block
+            seen += len(ids)
         upper = np.nansum(table, 1)
-        whole = ~np.isnan(table).any(1)
-        sums = np.sort(upper[whole])
-        bound = sums[-keep] if len(sums) >= keep else -np.inf
-        left = upper >= bound
+        sums = np.sort(upper[~np.isnan(table).any(1)])
+        left = upper >= (sums[-keep] if len(sums) >= keep else -np.inf)
         order = np.argsort(where[left], kind="stable")
         blocks_, first = np.unique(where[left][order], return_index=True)
         groups = np.split(objs[left][order], first[1:])
@@ -175,17 +169,21 @@ def exact_top(vectors: DataFrame, is_query, keep: int, factor: int = 64, parts:
     by_query = F.pmod(F.xxhash64("qobj"), F.lit(n_blocks)).cast("int").alias("query")
     most = parallelism(spark)
 
-    first = pairs(left, right, n_blocks, most).mapInArrow(node_lists(parts, keep + 1), LISTS)
-    cutoffs = staged(first.groupBy("qobj").applyInPandas(cutoff_of(parts, keep + 1), "qobj long, cutoff binary"), "cutoffs")
+    def answers(needs: DataFrame) -> DataFrame:
+        asking = needs.groupBy("block", by_query).agg(F.collect_list(F.struct("qobj", "objs")).alias("needs"))
+        return pairs(left, right, n_blocks, most).join(asking, ["block", "query"]).mapInArrow(node_answers(parts), LISTS)
+
+    first = staged(pairs(left, right, n_blocks, most).mapInArrow(node_lists(parts, keep + 1), LISTS), "local-lists")
+    least = first.groupBy("qobj", "part").agg(F.min("least").alias("least"))
+    shifts = least.groupBy("qobj").agg(F.sort_array(F.collect_list(F.struct("part", "least"))).alias("by_part"))
+    known = answers(first.select("qobj", "block", "objs")).join(shifts.select("qobj", F.col("by_part.least").alias("shifts")), "qobj")
+    cutoffs = staged(known.groupBy("qobj").applyInPandas(cutoff_of(parts, keep + 1), "qobj long, cutoff binary"), "cutoffs")
 
     named = cutoffs.groupBy(by_query).agg(F.map_from_entries(F.collect_list(F.struct("qobj", "cutoff"))).alias("known"))
     sent = right.join(named, "query").mapInArrow(with_cutoffs, "query int, query_objs binary, query_data binary, cutoffs binary")
     second = pairs(left, sent, n_blocks, most).mapInArrow(node_lists(parts, None), LISTS).join(cutoffs, "qobj")
     needs = second.groupBy("qobj").applyInPandas(needs_of(parts, keep + 1), "qobj long, block int, objs binary")
-
-    asking = needs.groupBy("block", by_query).agg(F.collect_list(F.struct("qobj", "objs")).alias("needs"))
-    third = pairs(left, right, n_blocks, most).join(asking, ["block", "query"]).mapInArrow(node_answers(parts), LISTS)
-    found = third.groupBy("qobj").applyInPandas(best_of(keep + 1), "qobj long, obj long, score long")
+    found = answers(needs).groupBy("qobj").applyInPandas(best_of(keep + 1), "qobj long, obj long, score long")
     return ranked(found, objs, asked, keep)
 
 
