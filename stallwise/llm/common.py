@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stallwise.session import prepare, scratch
+from stallwise.session import discard, prepare, scratch
 
 # Rows per Arrow batch: whole texts travel in them, so batches stay short.
 BATCH_ROWS = "1000"
@@ -30,8 +30,15 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
+
+
+def dropped(df: DataFrame) -> None:
+    """Deletes a staged table early; all that was made of it must be staged itself."""
+    discard(df.sparkSession, df.staged_path)
 
 
 def cells_for(rows: int, groups: int, per_cell: int = 50_000) -> int:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stallwise.llm.common import LAST_ID, staged
+from stallwise.llm.common import LAST_ID, dropped, staged
 from stallwise.llm.rolling import Powers, Words, mixed
 
 WINDOW = 13
@@ -34,6 +34,8 @@ STRETCH = 1 << 17
 # Fixed size of the bit field of repeated anchors: 2**26 bits are 8 MB, whatever the input.
 FIELD = 26
 BLOCK_WORDS = 1 << 13
+# Regions that a task remembers to have sent.
+REMEMBERED = 1_000_000
 # Regions of one anchor, and words of all regions, that one automaton holds.
 ANCHOR_REGIONS = 4_000
 SHARD_WORDS = 100_000
@@ -113,22 +115,38 @@ def bit_field(repeated: DataFrame) -> np.ndarray:
     return field
 
 
+def hits(bits: np.ndarray, anchors: np.ndarray) -> np.ndarray:
+    """Which anchors may be in a bit field."""
+    found = [bits[p >> 6] >> (p & 63).astype(np.uint64) & np.uint64(1) for p in probes(anchors)]
+    return (found[0] & found[1]).astype(bool)
+
+
+def holding(field):
+    """Rows whose anchor may be in the field."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(hits(field.value, batch.column("anchor").to_numpy())))
+
+    return run
+
+
 def listing(field, window: int, gram: int):
-    """The regions whose anchor may be repeated; equal regions of a batch carry their words once."""
+    """The regions whose anchor may be repeated; equal regions of a task carry their words once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers, bits = Powers(), field.value
+        seen: set[int] = set()
         for batch in batches:
             out: dict[str, list] = {k: [] for k in ("doc", "text_key", "anchor", "region", "start", "windows", "words")}
-            seen: dict[int, int] = {}
+            if len(seen) > REMEMBERED:
+                seen.clear()
             docs, keys = batch.column("doc").to_pylist(), batch.column("text_key").to_pylist()
             for doc, key, text in zip(docs, keys, batch.column("text"), strict=True):
                 for at, piece in stretches((text.as_py() or "").encode().split(), window):
                     words = Words(piece, powers)
                     anchors, first, n = anchored(words, window, gram)
-                    places = probes(anchors.view(np.int64))
-                    hit = [bits[p >> 6] >> (p & 63).astype(np.uint64) & np.uint64(1) for p in places]
-                    keep = np.flatnonzero(hit[0] & hit[1])
+                    keep = np.flatnonzero(hits(bits, anchors.view(np.int64)))
                     if not len(keep):
                         continue
                     anchors, first, n = anchors[keep], first[keep], n[keep]
@@ -137,8 +155,7 @@ def listing(field, window: int, gram: int):
                     begins, ends = words.starts[first].tolist(), words.ends[last].tolist()
                     for a, r, f, w, b, e in zip(anchors.view(np.int64).tolist(), regions.tolist(), first.tolist(), n.tolist(), begins, ends, strict=True):
                         new = r not in seen
-                        if new:
-                            seen[r] = 1
+                        seen.add(r)
                         for k, v in zip(out, (doc, key, a, r, at + f, w, words.joined[b:e] if new else None), strict=True):
                             out[k].append(v)
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
@@ -265,10 +282,18 @@ def windowing(window: int):
     return run
 
 
-def masks_of(regions: DataFrame, window: int) -> DataFrame:
-    """(anchor, region, mask): windows of each region that a smaller document has in another region."""
-    per = regions.groupBy("anchor").agg(F.count(F.lit(1)).alias("regions")).filter("regions > 1")
-    several = staged(regions.join(per, "anchor"), "several")
+def masks_of(found: DataFrame, regions: DataFrame, window: int) -> DataFrame:
+    """(anchor, region, mask): windows of each region that a smaller document has in another region.
+
+    Only regions of anchors with several regions need their words; a bit field of these
+    anchors keeps the others out of the shuffle.
+    """
+    per = regions.groupBy("anchor").agg(F.count(F.lit(1)).alias("regions"), F.min("first").alias("low"), F.max("last").alias("high"))
+    per = staged(per.filter("regions > 1 AND low < high").select("anchor", "regions"), "several")
+    field = found.sparkSession.sparkContext.broadcast(bit_field(per))
+    rows = found.select("anchor", "region", "doc", "words").mapInArrow(holding(field), "anchor long, region long, doc long, words binary")
+    worded = rows.groupBy("anchor", "region").agg(F.min("doc").alias("first"), F.max("words").alias("words"))
+    several = staged(worded.join(per, "anchor"), "worded")
     few = several.filter(F.col("regions") <= ANCHOR_REGIONS).select("anchor", "first", "region", "words")
     shards = few.repartition("anchor").sortWithinPartitions("anchor", "first", "region")
     by_automaton = shards.mapInArrow(matching(window), "anchor long, region long, mask int")
@@ -277,7 +302,9 @@ def masks_of(regions: DataFrame, window: int) -> DataFrame:
     least = each.groupBy("window").agg(F.min("first").alias("least"))
     late = each.join(least, "window").filter("least < first")
     by_count = late.groupBy("anchor", "region").agg(F.bit_or(F.expr("shiftleft(1, nth)")).alias("mask"))
-    return by_automaton.unionByName(by_count)
+    masks = staged(by_automaton.unionByName(by_count), "masks")
+    dropped(several)
+    return masks
 
 
 def covered_windows(docs: DataFrame, window: int, gram: int) -> DataFrame:
@@ -286,12 +313,9 @@ def covered_windows(docs: DataFrame, window: int, gram: int) -> DataFrame:
     twice = anchors.groupBy("anchor").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high")
     field = docs.sparkSession.sparkContext.broadcast(bit_field(twice.select("anchor")))
     found = staged(docs.select("doc", "text_key", "text").mapInArrow(listing(field, window, gram), REGIONS), "regions")
-    regions = staged(
-        found.groupBy("anchor", "region").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.max("words").alias("words")),
-        "distinct-regions",
-    )
-    masks = staged(masks_of(regions.drop("last"), window), "masks")
-    known = regions.select("anchor", "region", "first", "last").join(masks, ["anchor", "region"], "left").filter("mask IS NOT NULL OR first < last")
+    regions = staged(found.groupBy("anchor", "region").agg(F.min("doc").alias("first"), F.max("doc").alias("last")), "distinct-regions")
+    masks = masks_of(found, regions, window)
+    known = regions.join(masks, ["anchor", "region"], "left").filter("mask IS NOT NULL OR first < last")
     whole = F.expr("cast(shiftleft(1L, windows) - 1 as int)")
     covered = (
         found.drop("words")
