@@ -1,9 +1,10 @@
-"""Near copies by word shingles: SimHash balls find pairs, the shingles themselves decide.
+"""Near copies by word shingles: SimHash balls link the large groups, a prefix join does the rest.
 
-One fingerprint cannot reach a similarity of 0.8, which is a dozen of 64 bits. So a text gets
-several short fingerprints, of word pairs, which an edit disturbs less than longer shingles.
-Each emits its variants within one bit; texts that meet at a variant are at most two bits
-apart in that fingerprint and are compared exactly.
+A text gets several short fingerprints, of word pairs. Each emits its variants within one bit,
+and a text is compared with the smallest one at each of its variants. That links copies early
+and decides nothing: whatever is not linked by then meets again at the rarest shingles of a
+text, which two texts of the wanted similarity must share, and every pair of texts that meet
+there and are not in one group is compared by its shingles. So no pair is missed.
 """
 
 from __future__ import annotations
@@ -27,6 +28,9 @@ WIDTH = 28
 # Pairs whose fingerprints differ in more bits than so many standard deviations above what the
 # wanted similarity gives are not compared word by word.
 DEVIATIONS = 4.0
+# Shingles are counted in one of so many texts, and so many of the commonest are told apart.
+SAMPLED = 16
+COMMON = 200_000
 
 
 def differing(similarity: float, shingle: int) -> float:
@@ -87,20 +91,13 @@ def shingling(size: int):
 
 
 def met_pairs(marks: DataFrame, width: int) -> DataFrame:
-    """Pairs (a, b) that share a variant of a fingerprint.
-
-    Every text is paired with the smallest one at each of its variants, and with the previous
-    one at its own fingerprints, so that a large group gives a few pairs per text.
-    """
+    """Pairs (a, b) that share a variant of a fingerprint: each text with the smallest one there."""
     masks = F.array(F.lit(0).cast("long"), *[F.lit(1 << i).cast("long") for i in range(width)])
     each = marks.select("doc", F.posexplode("marks").alias("table", "mark"))
     spread = each.select("doc", "table", "mark", F.explode(masks).alias("mask"))
     variant = F.col("mark").bitwiseXOR(F.col("mask")) + F.col("table").cast("long") * (1 << width)
-    spread = spread.select("doc", variant.alias("variant"), (F.col("mask") == 0).alias("own"))
-    order = Window.partitionBy("variant").orderBy("doc")
-    met = spread.withColumns({"least": F.min("doc").over(order), "before": F.lag("doc").over(order)}).filter("least != doc")
-    others = F.array("least", F.when(F.col("own"), F.col("before")).otherwise(F.col("least")))
-    return met.select(F.col("doc").alias("b"), F.explode(F.array_distinct(others)).alias("a")).distinct()
+    met = spread.select("doc", F.min("doc").over(Window.partitionBy(variant)).alias("least"))
+    return met.filter("least != doc").select(F.col("least").alias("a"), F.col("doc").alias("b")).distinct()
 
 
 def alike(pairs: DataFrame, marks: DataFrame, most: float) -> DataFrame:
@@ -111,6 +108,87 @@ def alike(pairs: DataFrame, marks: DataFrame, most: float) -> DataFrame:
     return both.filter(F.aggregate(apart, F.lit(0), lambda s, x: s + x) <= most).select("a", "b")
 
 
+def common_shingles(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that many texts have, sorted, and their counts in a sixteenth of the texts.
+
+    They only say which shingles come last in the order of prefixes. Any order gives the same
+    pairs, so that sampling and the limit change the work and not the result.
+    """
+    some = texts.filter(F.pmod("doc", F.lit(SAMPLED)) == 0).mapInArrow(shingling(shingle), "doc long, shingles array<long>")
+    counts = some.select(F.explode("shingles").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 2")
+    found = counts.orderBy(F.desc("n"), "key").limit(COMMON).toArrow()
+    keys, n = found["key"].to_numpy().astype(np.int64), found["n"].to_numpy().astype(np.int64)
+    order = np.argsort(keys)
+    return keys[order], n[order]
+
+
+def prefixing(similarity: float, size: int, common: np.ndarray, counts: np.ndarray):
+    """(key, doc, root, size, place): the rarest shingles of a text, one of which any like text shares.
+
+    Of n shingles a like text has similarity * n at least, so it cannot lack more than the rest,
+    and one more is enough. ``place`` is the place of ``key`` in the order of all shingles.
+    """
+    schema = ["key", "doc", "root", "size", "place"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = Powers()
+        for batch in batches:
+            keys, sizes, taken = [np.zeros(0, np.int64)], [], []
+            for text in batch.column("text"):
+                words = Words(split(text.as_py()), powers)
+                found = np.unique(words.grams(min(size, max(1, words.count)))).view(np.int64)
+                n = len(found)
+                if len(common) and n:
+                    at = np.minimum(np.searchsorted(common, found), len(common) - 1)
+                    weight = np.where(common[at] == found, counts[at], 0)
+                    found = found[np.argsort(weight, kind="stable")]
+                # Texts without shingles meet at one key of their own.
+                first = found[: n - math.ceil(similarity * n - 1e-9) + 1] if n else np.zeros(1, np.int64)
+                keys.append(first)
+                sizes.append(n)
+                taken.append(len(first))
+            taken = np.array(taken, np.int64)
+            starts = np.cumsum(taken) - taken
+            doc, root = (np.repeat(batch.column(x).to_numpy(), taken) for x in ("doc", "root"))
+            places = np.arange(taken.sum()) - np.repeat(starts, taken)
+            columns = [np.concatenate(keys), doc, root, np.repeat(np.array(sizes, np.int64), taken), places]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], schema)
+
+    return run
+
+
+def apart(postings: DataFrame) -> DataFrame:
+    """``postings`` of keys at which texts of several groups meet."""
+    at_key = Window.partitionBy("key")
+    both = postings.withColumns({"_low": F.min("root").over(at_key), "_high": F.max("root").over(at_key)})
+    return both.filter("_low != _high").drop("_low", "_high")
+
+
+def unlinked_pairs(postings: DataFrame, similarity: float) -> DataFrame:
+    """All pairs (a, b) of different groups that meet at a key and can be similar enough.
+
+    At the first shingle that two texts share, they have at most what follows it in common;
+    a like pair passes there, so that the bound may be used at every key.
+    """
+    one, other = (postings.select("key", *[F.col(x).alias(f"{x}_{y}") for x in ("doc", "root", "size", "place")]) for y in "ab")
+    left = F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b"))
+    wanted = (F.col("size_a") + F.col("size_b")) * (similarity / (1 + similarity)) - 1e-6
+    met = one.join(other, "key").filter("root_a != root_b AND doc_a < doc_b").filter(left >= wanted)
+    return met.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")).distinct()
+
+
+def similar(pairs: DataFrame, texts: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """The pairs whose shingles have the wanted Jaccard similarity; two empty sets have it."""
+    named = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
+    some = texts.join(named, "doc", "left_semi")
+    sets = staged(some.mapInArrow(shingling(shingle), "doc long, shingles array<long>"), "shingles")
+    one, other = (sets.select(F.col("doc").alias(x), F.col("shingles").alias(f"of_{x}")) for x in "ab")
+    common = F.size(F.array_intersect("of_a", "of_b"))
+    union = F.size("of_a") + F.size("of_b") - common
+    share = F.when(union == 0, 1.0).otherwise(common / F.nullif(union, F.lit(0)))
+    return pairs.join(one, "a").join(other, "b").filter(share >= similarity).select("a", "b")
+
+
 def _rows(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     return docs.select(
@@ -123,22 +201,21 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 def _groups(rows: DataFrame, similarity: float, shingle: int, width: int) -> DataFrame:
     """(node, root, first): every distinct text, its group, and its smallest id."""
-    nodes = staged(rows.groupBy("node").agg(F.min("id").alias("first")), "texts")
+    nodes = staged(rows.groupBy("node").agg(F.min("id").alias("first"), F.first("text").alias("text")), "texts")
+    texts = nodes.select(F.col("node").alias("doc"), "text")
     tables = tables_for(similarity, shingle, width)
-    marks = rows.select(F.col("node").alias("doc"), "text").mapInArrow(sketching(tables, width), "doc long, marks array<long>")
-    marks = staged(marks.dropDuplicates(["doc"]), "marks")
+    marks = staged(texts.mapInArrow(sketching(tables, width), "doc long, marks array<long>"), "marks")
     p, bits = differing(similarity, shingle), tables * width
     most = bits * p + DEVIATIONS * math.sqrt(bits * p * (1 - p))
     pairs = staged(alike(met_pairs(marks, width), marks, most), "pairs")
-    named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = rows.select("node", "text").join(named, "node", "left_semi").dropDuplicates(["node"]).withColumnRenamed("node", "doc")
-    sets = staged(texts.mapInArrow(shingling(shingle), "doc long, shingles array<long>"), "shingles")
-    one, other = (sets.select(F.col("doc").alias(x), F.col("shingles").alias(f"of_{x}")) for x in "ab")
-    common = F.size(F.array_intersect("of_a", "of_b"))
-    union = F.size("of_a") + F.size("of_b") - common
-    share = F.when(union == 0, 1.0).otherwise(common / F.nullif(union, F.lit(0)))
-    edges = pairs.join(one, "a").join(other, "b").filter(share >= similarity).select("a", "b")
-    joined = nodes.join(components(edges), "node", "left")
+    edges = staged(similar(pairs, texts, similarity, shingle), "near")
+    linked = staged(components(edges), "linked").withColumnRenamed("node", "doc")
+    rooted = texts.join(linked, "doc", "left").select("doc", F.coalesce("component", "doc").alias("root"), "text")
+    prefixes = prefixing(similarity, shingle, *common_shingles(texts, shingle))
+    postings = rooted.mapInArrow(prefixes, "key long, doc long, root long, size long, place long")
+    rest = staged(unlinked_pairs(staged(apart(postings), "postings"), similarity), "pairs")
+    edges = edges.unionByName(similar(rest, texts, similarity, shingle))
+    joined = nodes.drop("text").join(components(edges), "node", "left")
     return staged(joined.select("node", F.coalesce("component", "node").alias("root"), "first"), "groups")
 
 

@@ -254,3 +254,26 @@ def test_near_copies_of_odd_and_no_rows(odd_docs, no_docs):
     assert sorted(x for x in ids if x is not None) == [1, 3, 4, 7, 8, 9, 10, 11] and len(ids) == 9
     assert near_copies.without_near_copies(no_docs).count() == 0
     assert near_copies.near_copy_groups(odd_docs).filter(F.col("doc.text").isNull()).select("first").distinct().collect()[0][0] == 4
+
+
+def grouped_by_hand(spark, rows, **how):
+    """The groups found, and those by hand, as the smallest id of each row's group."""
+    group = near_by_hand(rows)
+    least = {g: min(rows[i][0] for i in range(len(rows)) if group[i] == g) for g in set(group)}
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    found = {r["doc"]["doc_id"]: r["first"] for r in near_copies.near_copy_groups(docs, **how).collect()}
+    return found, {rows[i][0]: least[group[i]] for i in range(len(rows))}
+
+
+def test_near_copies_beside_an_unlike_leader_are_found(spark):
+    # Fingerprints of four bits: all texts share a few variants, whose smallest text is like almost none.
+    rng = random.Random(31)
+    rows = []
+    for i in range(30):
+        words = [f"u{rng.randint(0, 5000)}" for _ in range(120)]
+        rows.append((2 * i, " ".join(words)))
+        words[rng.randint(0, 119)] = "other"
+        rows.append((2 * i + 1, " ".join(words)))
+    found, want = grouped_by_hand(spark, rows, width=4)
+    assert len(set(want.values())) == 30
+    assert found == want
