@@ -46,6 +46,11 @@ ENDS = {
     "tbody": (frozenset(["thead", "tbody", "tfoot", "tr", "td", "th"]), frozenset(["table"])),
 }
 ENDS |= {"thead": ENDS["tbody"], "tfoot": ENDS["tbody"]}
+#: What may stand in a head; anything else ends it.
+HEAD_CONTENT = frozenset("html head base basefont bgsound link meta title style script noscript template".split())
+TABLE_PARTS = frozenset("table caption thead tbody tfoot tr td th".split())
+#: Inside furniture, elements that the closing tag of an element around them does not end.
+SCOPES = frozenset("table caption td th object template svg".split())
 #: Words that name furniture in a class, an id or a role.
 FURNITURE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar side-bar nav navbar"
@@ -58,10 +63,10 @@ CORE_WORDS = frozenset(["article", "main", "content", "post", "entry", "story"])
 
 
 class Element:
-    __slots__ = ("tag", "parent", "parts", "chars", "tags", "link_chars", "link_tags", "density", "total", "marked", "core")
+    __slots__ = ("tag", "parent", "parts", "chars", "tags", "link_chars", "link_tags", "density", "total", "marked", "core", "cut")
 
-    def __init__(self, tag: str, parent: Element | None, core: bool = False):
-        self.tag, self.parent, self.core = tag, parent, core
+    def __init__(self, tag: str, parent: Element | None, core: bool = False, cut: bool = False):
+        self.tag, self.parent, self.core, self.cut = tag, parent, core, cut
         self.parts: list[str | Element] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
@@ -93,20 +98,41 @@ def is_furniture(tag: str, text: str, inside_core: bool) -> bool:
     return bool(words & FURNITURE_WORDS) and not words & CORE_WORDS
 
 
+def closed(here: Element, tag: str) -> Element | None:
+    """The open element that a closing tag ends, if any; the root stays open.
+
+    The end of an element around furniture ends the furniture too, but for tables and the like
+    in between, and an inline element does not end a block of the furniture.
+    """
+    walls = frozenset(["table", "template"]) if tag in TABLE_PARTS else SCOPES
+    if tag == "li":
+        walls = walls | ENDS["li"][1]
+    inline = tag not in BLOCKS and tag not in FURNITURE
+    node, walled = here, False
+    while node.parent is not None:
+        if node.tag == tag and not (walled and not node.cut):
+            return node
+        if node.cut:
+            walled = walled or node.tag in walls or inline and node.tag in BLOCKS
+        node = node.parent
+    return None
+
+
 def parsed(page: str) -> Element:
     """The tree of a page, furniture left out; unclosed and stray tags do no harm.
 
-    Works without recursion, so that the depth of a page is no limit. ``skipped`` counts the
-    open elements inside furniture.
+    Works without recursion, so that the depth of a page is no limit. Furniture is opened and
+    closed like anything else, but hangs on no parent: its elements are ``cut``.
     """
     root = body = Element("body", None)
-    at, here, skipped, core = 0, root, [], 0
+    at, here, core = 0, root, 0
     found = MARKUP.search(page)
     while True:
-        if not skipped:
-            text = page[at : found.start() if found else len(page)]
-            if text:
-                here.parts.append(html.unescape(text) if "&" in text else text)
+        text = page[at : found.start() if found else len(page)]
+        if here.tag == "head" and text.strip():
+            here = here.parent
+        if text and not here.cut:
+            here.parts.append(html.unescape(text) if "&" in text else text)
         if not found:
             return body
         at = found.end()
@@ -116,29 +142,25 @@ def parsed(page: str) -> Element:
             continue
         tag = tag.lower()
         if closing:
-            if skipped:
-                if tag in skipped:
-                    while skipped.pop() != tag:
-                        pass
-            else:
-                node = here
-                while node is not root and node.tag != tag:
-                    node = node.parent
-                if node is not root:
-                    while here is not node.parent:
-                        core -= here.core
-                        here = here.parent
+            node = closed(here, tag)
+            if node is not None:
+                while here is not node.parent:
+                    core -= here.core
+                    here = here.parent
         else:
             bare = rest.endswith("/") or tag in VOID
             if tag in RAW and not bare:
                 end = re.compile(rf"</{re.escape(tag)}\b", re.IGNORECASE).search(page, at)
                 at = end.start() if end else len(page)
-            if skipped:
-                # An unclosed paragraph or item must not swallow what follows the furniture.
-                if not bare and tag not in ("p", "li", "dt", "dd", "option", "tr", "td", "th"):
-                    skipped.append(tag)
-            elif tag == "br" or tag == "wbr":
-                here.parts.append(" " if tag == "br" else "")
+            if here.cut and (tag == "body" or here.tag == "head" and tag not in HEAD_CONTENT):
+                node = here
+                while node is not root and node.tag != "head":
+                    node = node.parent
+                if node is not root:
+                    here = node.parent
+            if tag == "br" or tag == "wbr":
+                if not here.cut:
+                    here.parts.append(" " if tag == "br" else "")
             elif tag not in ("html", "body") and not bare:
                 ends, stops = ENDS.get(tag, (frozenset(), frozenset()))
                 if tag in BLOCKS:
@@ -147,23 +169,25 @@ def parsed(page: str) -> Element:
                 while ends and node is not root and node.tag not in stops:
                     if node.tag in ends:
                         last = node
-                    if node.tag in BLOCKS and node.tag not in ends and node.tag != "p":
+                    elif node.tag in BLOCKS or node.cut and not node.parent.cut:
                         break
                     node = node.parent
                 if last is not None:
                     while here is not last.parent:
                         core -= here.core
                         here = here.parent
-                if is_furniture(tag, rest, core > 0):
-                    skipped.append(tag)
+                if here.cut:
+                    here = Element(tag, here, cut=True)
+                elif is_furniture(tag, rest, core > 0):
                     if tag in BLOCKS:
                         here.parts.append(Element("hr", here))
+                    here = Element(tag, here, cut=True)
                 else:
                     child = Element(tag, here, tag in ("article", "main"))
                     core += child.core
                     here.parts.append(child)
                     here = child
-            elif tag == "hr":
+            elif tag == "hr" and not here.cut:
                 here.parts.append(Element("hr", here))
         found = MARKUP.search(page, at)
 
@@ -213,7 +237,7 @@ def marked(nodes: list[Element]) -> list[Element]:
     for node in reversed(nodes):
         best = node
         for x in node.parts:
-            if not isinstance(x, str) and peak[id(x)].total >= best.total:
+            if not isinstance(x, str) and x.chars and peak[id(x)].total >= best.total:
                 best = peak[id(x)]
         peak[id(node)] = best
     top = peak[id(body)]

@@ -118,6 +118,44 @@ def test_odd_pages(page, text):
     assert html_text.main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<html><head><title>T</title><meta charset=utf-8><body><p>real text</body></html>",
+        "<html><head><title>T</title><p>real text</html>",
+        "<head><script>x</script>real text",
+        "<head><noscript><link href=x><body>real text",
+        "<p class=notice>cookies<p>real text",
+        "<p class=notice><b>cookies</b> here<div>real text</div>",
+        "<ul><li class=share>share<li>real text</ul>",
+        "<div><ul><li class=share>share</ul>real text</div>",
+        "<table><tr><td class=sidebar>side<td>real text</table>",
+        "<table><tr class=ad><td>buy<tr><td>real text</table>",
+        "<div><table><tr><td class=sidebar>side</table>real text</div>",
+        "<dl><dt class=ad>buy<dd>real text</dl>",
+        "<div><p class=notice>cookies</div>real text",
+        "<p>real <span class=ad>buy</p>text",
+        "<div><nav>menu<ul><li>a</div>real text",
+    ],
+)
+def test_unclosed_furniture_ends_where_html_ends_it(page):
+    assert html_text.main_text(page).split() == ["real", "text"]
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<section><div class=ad><table><tr><td>buy</section>this</table>now</div>real text</section>",
+        "<p>real <span class=ad><div>buy</div> this</span> text</p>",
+        "<nav><p>one<p>two<ul><li>a<li>b</ul>three</nav>real text",
+        "<a href=x>real <div class=ad>buy</a> this</div>text",
+        "<head><template><p>x</template></head>real text",
+    ],
+)
+def test_closed_furniture_ends_only_there(page):
+    assert html_text.main_text(page).split() == ["real", "text"]
+
+
 def test_pages_of_the_table(spark):
     found = QUERIES["op7_html_text"](spark, SF)
     rows = found.join(spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "html"), "page_id").collect()
