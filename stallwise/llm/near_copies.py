@@ -22,11 +22,11 @@ from stallwise.llm.components import components
 from stallwise.llm.rolling import Powers, Words, mixed
 from stallwise.llm.simhash import BITS, bit_counts
 
-# Chance to miss a pair at exactly the wanted similarity.
+# Chance that the fingerprints do not link a pair at exactly the wanted similarity, if single words differ.
 MISSED = 0.01
 WIDTH = 28
 # Pairs whose fingerprints differ in more bits than so many standard deviations above what the
-# wanted similarity gives are not compared word by word.
+# wanted similarity gives are not compared at this step; they meet again at their shingles.
 DEVIATIONS = 4.0
 # Shingles are counted in one of so many texts, and so many of the commonest are told apart.
 SAMPLED = 16
@@ -37,22 +37,23 @@ def differing(similarity: float, shingle: int) -> float:
     """The chance that a fingerprint bit differs between texts of this similarity.
 
     Single changed words spare a share of the long shingles that follows from the similarity;
-    the share of word pairs spared gives the angle between the texts, and that the chance.
+    the share of word pairs spared gives the angle between the texts, and that the chance. Edits
+    in one block spare fewer word pairs and more bits differ: no result may rest on this.
     """
     spared = (2 * similarity / (1 + similarity)) ** (2 / shingle)
     return math.acos(min(1.0, spared)) / math.pi
 
 
 def tables_for(similarity: float, shingle: int, width: int = WIDTH, missed: float = MISSED) -> int:
-    """How many fingerprints of ``width`` bits find pairs of the wanted similarity."""
+    """How many fingerprints of ``width`` bits link most pairs of the wanted similarity."""
     p = differing(similarity, shingle)
     met = sum(math.comb(width, i) * p**i * (1 - p) ** (width - i) for i in range(3))
     return max(1, math.ceil(math.log(missed) / math.log(1 - met))) if met < 1 else 1
 
 
 def sketch(words: Words, tables: int, width: int) -> list[int]:
-    """``tables`` fingerprints of ``width`` bits over the text's word pairs."""
-    hashes = words.grams(2) if words.count > 1 else words.grams(1)
+    """``tables`` fingerprints of ``width`` bits over the text's distinct word pairs."""
+    hashes = np.unique(words.grams(2) if words.count > 1 else words.grams(1))
     bits = []
     for turn in range(-(-tables * width // BITS)):
         salted = mixed(hashes ^ np.uint64(turn * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
@@ -101,7 +102,7 @@ def met_pairs(marks: DataFrame, width: int) -> DataFrame:
 
 
 def alike(pairs: DataFrame, marks: DataFrame, most: float) -> DataFrame:
-    """The pairs whose fingerprints differ in at most ``most`` bits altogether."""
+    """The pairs whose fingerprints differ in at most ``most`` bits altogether; others are left to the prefix join."""
     one, other = (marks.select(F.col("doc").alias(x), F.col("marks").alias(f"marks_{x}")) for x in "ab")
     apart = F.zip_with("marks_a", "marks_b", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
     both = pairs.join(one, "a").join(other, "b")

@@ -2,6 +2,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -277,3 +278,29 @@ def test_near_copies_beside_an_unlike_leader_are_found(spark):
     found, want = grouped_by_hand(spark, rows, width=4)
     assert len(set(want.values())) == 30
     assert found == want
+
+
+def edited(rng, kind):
+    """A text, and a copy of similarity 0.8 to 0.85 edited in one block or with repeated passages."""
+    words = [f"v{rng.randint(0, 9000)}" for _ in range(200)]
+    new = [f"n{rng.randint(0, 9000)}" for _ in range(45)]
+    at = rng.randint(20, 150)
+    if kind == "replaced":
+        return words, words[:at] + new[:16] + words[at + 16 :]
+    if kind == "appended":
+        return words, words + new[: rng.randint(36, 45)]
+    return words, words + new[:32] * 12
+
+
+@pytest.mark.parametrize("kind", ["replaced", "appended", "repeated"])
+def test_near_copies_by_block_edits_are_found(spark, kind):
+    rng = random.Random(kind)
+    rows = []
+    for i in range(60):
+        rows += [(2 * i + k, " ".join(x)) for k, x in enumerate(edited(rng, kind))]
+    for one, other in zip(rows[::2], rows[1::2], strict=True):
+        a, b = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (one[1].split(), other[1].split()))
+        assert 0.8 <= len(a & b) / len(a | b) <= 0.85
+    found, want = grouped_by_hand(spark, rows)
+    assert len(set(want.values())) == 60
+    assert found == want
