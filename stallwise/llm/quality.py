@@ -176,14 +176,18 @@ def learned(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """The model of at most ``sample`` labelled documents, chosen by a hash of doc_id.
 
     ``labels`` (doc_id, quality): null labels are ignored; a document with several labels
-    counts as good if most of them say so. Held-out documents and null ids are not used.
+    counts as good if most of them say so. Held-out documents and null ids are not used. Of
+    rows with the same doc_id the text of the smallest hash is used.
     """
     usable = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").filter(~held_out(F.col("doc_id")))
     marked = usable.groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("double").alias("label"))
     present = marked.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
     chosen = present.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     # Bounded by the sample size.
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("label", "text")
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    # One row of each document, whatever its id repeats.
+    own = F.struct(F.xxhash64("text").alias("hash"), "text")
+    texts = texts.groupBy("doc_id").agg(F.first("label").alias("label"), F.min(own).alias("own")).select("label", "own.text")
     rows = texts.mapInArrow(encoding, "label double, bag binary").collect()
     rows = sorted(((r["label"], bytes(r["bag"])) for r in rows), key=lambda r: (r[1], r[0]))
     bags = [np.frombuffer(b).reshape(-1, FEATURES) for _, b in rows]

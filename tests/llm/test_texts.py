@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from stallwise.llm import bpe, html_text, quality, vocabularies
 from stallwise.llm.queries import QUERIES
@@ -207,3 +208,16 @@ def test_quality_of_odd_and_no_rows(spark, odd_docs, no_docs, odd_rows):
     scores = [r["score"] for r in found.collect()]
     assert len(scores) == len(odd_rows) and all(0 <= s <= 1 for s in scores)
     assert quality.scored(no_docs, quality.learned(no_docs, labels)).count() == 0
+
+
+def test_quality_learns_from_one_row_of_a_repeated_id(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"word{i} text") for i in range(20)] + [(3, f"again {i}") for i in range(500)], "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda bags, y: seen.append((bags, y)))
+    for one in (docs, docs.repartition(7, "text")):
+        quality.learned(one, labels)
+    used = labels.filter(~quality.held_out(F.col("doc_id"))).count()
+    assert 3 in [r[0] for r in labels.filter(~quality.held_out(F.col("doc_id"))).collect()]
+    assert [len(b) for b, _ in seen] == [used, used]
+    assert all((a == b).all() for a, b in zip(seen[0][0], seen[1][0], strict=True))
