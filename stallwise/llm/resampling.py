@@ -2,8 +2,8 @@
 
 Features are words and pairs of neighbouring words, hashed into buckets by CRC-32. The frequent
 words and pairs of the whole corpus are broadcast, words with the CRC state after them and
-pairs with their bucket; a feature outside this head is hashed directly, a pair from the state
-of its first word on. Both give the same buckets, so the totals are exact whatever the head is.
+pairs with their bucket; a word outside this head is hashed directly, a pair goes on from the
+state of its first word. Both give the same buckets, so the totals are exact whatever the head is.
 
 A bucket's gain is the log of its share in the target over its share in the corpus, a
 document's weight the mean gain of its features. Weights get noise from a hash of the id and the
@@ -18,9 +18,10 @@ from __future__ import annotations
 import hashlib
 import math
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -44,65 +45,67 @@ def words_of(text: str | None) -> list[bytes]:
 # ---- the head ------------------------------------------------------------------
 
 
-def thinned(counts: Counter, size: int) -> None:
-    """Misra-Gries: at most ``size`` counters stay, lowered by the first that has to go."""
-    cut = sorted(counts.values(), reverse=True)[size]
-    for key in [k for k, n in counts.items() if n <= cut]:
-        del counts[key]
-    counts.subtract(dict.fromkeys(counts, cut))
-
-
-def frequent(texts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counters of the frequent words and pairs of a task's texts, in bounded memory."""
-    single: Counter[bytes] = Counter()
-    double: Counter[tuple[bytes, bytes]] = Counter()
-    for batch in texts:
-        for text in batch.column("text"):
-            words = words_of(text.as_py())
-            single.update(words)
-            double.update(zip(words, words[1:]))
-            for counts, size in ((single, HEAD_WORDS), (double, HEAD_PAIRS)):
-                if len(counts) > 8 * size:
-                    thinned(counts, 4 * size)
-    rows = [(w, None, n) for w, n in single.most_common(2 * HEAD_WORDS) if len(w) <= LONGEST]
-    rows += [(a, b, n) for (a, b), n in double.most_common(2 * HEAD_PAIRS) if len(a) <= LONGEST and len(b) <= LONGEST]
-    first, second, n = zip(*rows, strict=True) if rows else ((), (), ())
-    yield pa.RecordBatch.from_arrays([pa.array(first, pa.binary()), pa.array(second, pa.binary()), pa.array(n, pa.int64())], ["first", "second", "n"])
+def thinned(counts: dict, size: int) -> dict:
+    """Misra-Gries: at most ``size`` counters stay, lowered by the largest that goes."""
+    cut = np.partition(np.fromiter(counts.values(), np.int64, len(counts)), -size - 1)[-size - 1]
+    return {k: n - int(cut) for k, n in counts.items() if n > cut}
 
 
-class States(dict):
-    """CRC-32 after a word; words outside the head are hashed when asked for and not kept."""
+def batch_words(batch: pa.RecordBatch) -> tuple[list[bytes], np.ndarray]:
+    """The words of all texts of a batch, and how many each text has."""
+    texts = [words_of(text.as_py()) for text in batch.column("text")]
+    return list(chain.from_iterable(texts)), np.fromiter(map(len, texts), np.int64, len(texts))
 
-    def __missing__(self, word: bytes) -> int:
-        return zlib.crc32(word)
 
+def neighbours(sizes: np.ndarray) -> np.ndarray:
+    """Positions of the words that have a next word in their own text."""
+    inside = np.ones(int(sizes.sum()), bool)
+    ends = np.cumsum(sizes)
+    inside[ends[sizes > 0] - 1] = False
+    return np.flatnonzero(inside)
 
-class Pairs(dict):
-    """Bucket of a pair of words; a pair outside the head goes on from its first word's state."""
 
-    def __init__(self, states: States, buckets: int):
-        super().__init__()
-        self.states, self.buckets = states, buckets
+def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counters of the frequent words and pairs of a task's texts, in bounded memory.
 
-    def __missing__(self, pair: tuple[bytes, bytes]) -> int:
-        return zlib.crc32(b" " + pair[1], self.states[pair[0]]) % self.buckets
+    A pair that a batch has once is not counted, so counts of pairs are too low by one a batch
+    at most; they only choose the head.
+    """
+    single: dict[bytes, int] = {}
+    double: dict[tuple[bytes, bytes], int] = {}
+    for batch in batches:
+        words, sizes = batch_words(batch)
+        index: dict[bytes, int] = defaultdict(count().__next__)
+        ids = np.fromiter(map(index.__getitem__, words), np.int64, len(words))
+        distinct = list(index)
+        for word, n in zip(distinct, np.bincount(ids).tolist(), strict=True):
+            single[word] = single.get(word, 0) + n
+        at = neighbours(sizes)
+        pairs, counts = np.unique(ids[at] * len(index) + ids[at + 1], return_counts=True)
+        again = counts > 1
+        for pair, n in zip(pairs[again].tolist(), counts[again].tolist(), strict=True):
+            key = (distinct[pair // len(index)], distinct[pair % len(index)])
+            double[key] = double.get(key, 0) + n
+        if len(single) > 8 * HEAD_WORDS:
+            single = thinned(single, 4 * HEAD_WORDS)
+        if len(double) > 8 * HEAD_PAIRS:
+            double = thinned(double, 4 * HEAD_PAIRS)
+    rows = [(w, None, n) for w, n in Counter(single).most_common(2 * HEAD_WORDS) if len(w) <= LONGEST]
+    rows += [(a, b, n) for (a, b), n in Counter(double).most_common(2 * HEAD_PAIRS) if len(a) <= LONGEST and len(b) <= LONGEST]
+    first, second, n = zip(*rows, strict=True) if rows else ((), (), ())
+    yield pa.RecordBatch.from_arrays([pa.array(first, pa.binary()), pa.array(second, pa.binary()), pa.array(n, pa.int64())], ["first", "second", "n"])
 
 
 @dataclass
 class Head:
-    """The broadcast vocabulary: frequent words and pairs as bytes."""
+    """The broadcast vocabulary: frequent words with their CRC states, frequent pairs with their buckets."""
 
     words: list[bytes]
+    states: list[int]
     pairs: list[tuple[bytes, bytes]]
+    pair_buckets: list[int]
     buckets: int
 
-    def tables(self) -> tuple[States, Pairs]:
-        states = States((w, zlib.crc32(w)) for w in self.words)
-        pairs = Pairs(states, self.buckets)
-        for pair in self.pairs:
-            pairs[pair] = pairs[pair]
-        return states, pairs
-
 
 def head_of(texts: DataFrame, buckets: int) -> Head:
     """The most frequent words and pairs of all texts, as far as the tasks' counters show them."""
@@ -114,29 +117,98 @@ def head_of(texts: DataFrame, buckets: int) -> Head:
 
     words = [bytes(r["first"]) for r in top(summed.filter("second IS NULL"), HEAD_WORDS)]
     pairs = [(bytes(r["first"]), bytes(r["second"])) for r in top(summed.filter("second IS NOT NULL"), HEAD_PAIRS)]
-    return Head(words, pairs, buckets)
+    held = set(words)
+    pairs = [(a, b) for a, b in pairs if a in held and b in held]
+    return Head(words, [zlib.crc32(w) for w in words], pairs, [zlib.crc32(a + b" " + b) % buckets for a, b in pairs], buckets)
 
 
-# ---- totals and scores -----------------------------------------------------------
+# ---- buckets of features ---------------------------------------------------------
+
 
+def shift_tables(longest: int) -> np.ndarray:
+    """[length, byte of a CRC, value]: what that byte becomes after ``length`` zero bytes."""
+    step = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        step = np.where(step & 1, np.uint32(0xEDB88320) ^ (step >> 1), step >> 1)
+    now = np.arange(256, dtype=np.uint32)[None, :] << (8 * np.arange(4, dtype=np.uint32))[:, None]
+    tables = [now]
+    for _ in range(longest):
+        now = step[now & 255] ^ (now >> 8)
+        tables.append(now)
+    return np.stack(tables)
 
-def features(words: list[bytes], states: States, pairs: Pairs, buckets: int) -> np.ndarray:
-    """The bucket of every word and every pair of neighbours of a text."""
-    single = np.fromiter(map(states.__getitem__, words), np.int64, len(words)) % buckets
-    double = np.fromiter(map(pairs.__getitem__, zip(words, words[1:])), np.int64, max(0, len(words) - 1))
-    return np.concatenate([single, double])
+
+class Features:
+    """Buckets of words and pairs from the head, and directly where it does not have them.
+
+    A CRC is linear: that of two texts in a row is the first one's, moved on by the length of
+    the second, xor the second one's. So a pair outside the head needs the states of its words.
+    """
+
+    def __init__(self, head: Head):
+        self.buckets = head.buckets
+        self.index = {w: i for i, w in enumerate(head.words)}
+        self.states = np.array(head.states, np.uint32)
+        self.shift = shift_tables(LONGEST + 1)
+        blank = np.array([zlib.crc32(b" ")], np.uint32)
+        self.blanks = np.array([self.moved(blank, np.array([n]))[0] for n in range(LONGEST + 1)], np.uint32)
+        # Pairs of the head by a slot of their own; of two in one slot the rarer is not kept.
+        self.slots = 1 << max(1, 3 + len(head.pairs)).bit_length()
+        self.keys = np.full(self.slots, -1, np.int64)
+        self.known = np.zeros(self.slots, np.int64)
+        first, second = (np.array([self.index[p[k]] for p in head.pairs], np.int64)[::-1] for k in (0, 1))
+        keys = self.key(first, second)
+        self.keys[self.slot(keys)] = keys
+        mine = self.keys[self.slot(keys)] == keys
+        self.known[self.slot(keys)[mine]] = np.array(head.pair_buckets, np.int64)[::-1][mine]
+
+    def key(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        return first * np.int64(HEAD_WORDS) + second
+
+    def slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.int64(0x9E3779B1)) >> 7) & (self.slots - 1)
+
+    def moved(self, states: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """CRC states after so many zero bytes."""
+        t = self.shift
+        return t[lengths, 0, states & 255] ^ t[lengths, 1, (states >> 8) & 255] ^ t[lengths, 2, (states >> 16) & 255] ^ t[lengths, 3, states >> 24]
+
+    def __call__(self, words: list[bytes], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Buckets of all words, the positions of those with a next word, and the buckets of these pairs."""
+        get = self.index.get
+        ids = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+        states = self.states[ids] if len(self.states) else np.zeros(len(words), np.uint32)
+        tail = np.flatnonzero(ids < 0)
+        states[tail] = np.fromiter((zlib.crc32(words[i]) for i in tail.tolist()), np.uint32, len(tail))
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        at = neighbours(sizes)
+        keys = self.key(ids[at], ids[at + 1])
+        slots = self.slot(keys)
+        pairs = self.known[slots]
+        unseen = np.flatnonzero((ids[at] < 0) | (ids[at + 1] < 0) | (self.keys[slots] != keys))
+        first, second = at[unseen], at[unseen] + 1
+        short = lengths[second] <= LONGEST
+        a, b = first[short], second[short]
+        crc = self.moved(states[a], lengths[b] + 1) ^ self.blanks[lengths[b]] ^ states[b]
+        pairs[unseen[short]] = crc % np.uint32(self.buckets)
+        for i in unseen[~short].tolist():  # long words, one by one
+            pairs[i] = zlib.crc32(b" " + words[at[i] + 1], int(states[at[i]])) % self.buckets
+        return (states % np.uint32(self.buckets)).astype(np.int64), at, pairs
+
+
+# ---- totals and scores -----------------------------------------------------------
 
 
 def totalling(head):
     """Texts to (bucket, n): the features of all texts of a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = head.value.buckets
-        states, pairs = head.value.tables()
-        total = np.zeros(size, np.int64)
+        features = Features(head.value)
+        total = np.zeros(features.buckets, np.int64)
         for batch in batches:
-            for text in batch.column("text"):
-                total += np.bincount(features(words_of(text.as_py()), states, pairs, size), minlength=size)
+            single, _, double = features(*batch_words(batch))
+            for found in (single, double):
+                total += np.bincount(found, minlength=features.buckets)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], ["bucket", "n"])
 
@@ -172,15 +244,18 @@ def scoring(head, gain: np.ndarray, seed: int):
     """(doc, key, text) to (doc, n_words, n_features, weight, score)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        states, pairs = head.value.tables()
+        features = Features(head.value)
         for batch in batches:
-            rows = []
-            for key, text in zip(batch.column("key").to_pylist(), batch.column("text"), strict=True):
-                words = words_of(text.as_py())
-                found = features(words, states, pairs, len(gain))
-                weight = int(gain[found].sum()) // len(found) if len(found) else 0
-                rows.append((len(words), len(found), weight, weight + noise(seed, key)))
-            columns = [pa.array([r[k] for r in rows], pa.int64()) for k in range(4)]
+            words, sizes = batch_words(batch)
+            single, at, double = features(words, sizes)
+            each = gain[single]
+            each[at] += gain[double]
+            upto = np.concatenate([[0], np.cumsum(each)])
+            ends = np.cumsum(sizes)
+            number = sizes + np.maximum(sizes - 1, 0)
+            weight = (upto[ends] - upto[ends - sizes]) // np.maximum(number, 1)
+            score = weight + np.array([noise(seed, key) for key in batch.column("key").to_pylist()], np.int64)
+            columns = [pa.array(x, pa.int64()) for x in (sizes, number, weight, score)]
             yield pa.RecordBatch.from_arrays([batch.column("doc"), *columns], ["doc", "n_words", "n_features", "weight", "score"])
 
     return run

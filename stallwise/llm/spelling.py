@@ -331,16 +331,15 @@ def roots(links: DataFrame) -> DataFrame:
     Each round doubles the steps that are known. Forms lead to commoner words only, so there
     is no circle and rounds are few.
     """
-    now = staged(links.select("word", F.col("form").alias("root")), "forms")
-    while True:
+    now = staged(links.select("word", F.col("form").alias("root"), F.lit(True).alias("moved")), "forms")
+    while now.filter("moved").head(1):
         ahead = now.select(F.col("word").alias("root"), F.col("root").alias("further"))
-        step = now.join(ahead, "root", "left")
-        after = staged(step.select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")), "forms")
+        step = now.drop("moved").join(ahead, "root", "left")
+        moved = F.col("further").isNotNull()
+        after = staged(step.select("word", F.coalesce("further", "root").alias("root"), moved.alias("moved")), "forms")
         dropped(now)
-        if not after.filter("moved").head(1):
-            return after.select("word", "root")
-        now = staged(after.select("word", "root"), "forms")
-        dropped(after)
+        now = after
+    return now.select("word", "root")
 
 
 def variants(words: DataFrame, times: int = 2) -> DataFrame:
