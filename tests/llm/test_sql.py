@@ -18,13 +18,16 @@ COLUMNS = {
     "op8_quality": "doc_id held_out score predicted",
     "op9_simhash": "doc_id fingerprint component_id",
     "op10_vantage_trees": "query_id rank vec_id score",
+    "op11_spelling": "word form root n n_near form_n",
+    "op12_resampling": "doc_id n_features weight score rank",
+    "op13_chat": "conv_id n_turns turns_sha256 loss_chars loss_sha256 formatted_chars",
 }
 
 
 @pytest.fixture(scope="module")
 def con():
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "benchmark", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     return con
 
