@@ -350,6 +350,9 @@ SQL = {
     "employee_phones": "SELECT DISTINCT CAST(c_custkey AS VARCHAR) AS mobile FROM customer WHERE c_mktsegment = 'MACHINERY'",
     "write_read_back": """
         SELECT ordr_id, shop_id, CAST(act_amt AS DOUBLE) AS act_amt, month_id FROM m_sales WHERE month_id = '1998-03'""",
+    "daily_loads": """
+        SELECT id, store_id, profile_id, dt FROM m_track WHERE dt BETWEEN '20240104' AND '20240111' AND (
+          dt = '20240105' OR (dt <= '20240110' AND CAST(id AS BIGINT) % 2 = 0) OR (dt >= '20240108' AND CAST(id AS BIGINT) % 2 = 1))""",
     "category_backfill": """
         WITH j AS (
           SELECT act_amt, actual_area, cont_cat1_name AS o1, cont_cat2_name AS o2, cont_cat3_name AS o3,
@@ -597,6 +600,41 @@ SQL = {
         WITH s AS (SELECT CAST('0x' || substr(md5('666|' || ordr_id), 1, 8) AS BIGINT) % 100 < 90 AS first FROM m_sales)
         SELECT 'train' AS part, count(*) AS n FROM s WHERE first UNION ALL SELECT 'test', count(*) FROM s WHERE NOT first
         UNION ALL SELECT 'both', 0""",
+    "classifier_folds": """
+        WITH r AS (SELECT unnest([0, 1, 2]) AS repeat),
+        t AS (SELECT partner_code FROM m_labelled WHERE relation_record_estimate_real IS NOT NULL
+          AND partner_code IN (SELECT partner_code FROM m_sales GROUP BY 1 HAVING count(DISTINCT ordr_date) > 1)
+          AND CAST('0x' || substr(md5('666|' || partner_code), 1, 8) AS BIGINT) % 100 < 90)
+        SELECT partner_code, CAST(repeat AS BIGINT) AS repeat, CAST('0x' || substr(md5((666 + repeat) || '|' || partner_code), 1, 8) AS BIGINT) % 10 AS fold
+        FROM t, r""",
+    "self_training_pairs": """
+        WITH RECURSIVE lines AS (SELECT *, row_number() OVER () AS id FROM lineitem),
+        p AS (
+          SELECT id, l_returnflag AS t, CASE WHEN l_linenumber = 1 THEN l_returnflag END AS label, unnest([0, 1, 2]) AS pair,
+            unnest([l_quantity / 50, l_extendedprice / 100000, l_discount * 10])::DOUBLE AS u,
+            unnest([l_extendedprice / 100000, l_discount * 10, l_tax * 10])::DOUBLE AS v FROM lines),
+        m AS (
+          SELECT 0 AS round, pair, label, avg(u) AS u, avg(v) AS v FROM p WHERE label IS NOT NULL GROUP BY pair, label
+          UNION ALL
+          SELECT round + 1, pair, label, avg(u), avg(v) FROM (
+            SELECT m.round, p.pair, p.id, any_value(p.u) AS u, any_value(p.v) AS v,
+              coalesce(any_value(p.label), arg_min(m.label, ((p.u - m.u) * (p.u - m.u) + (p.v - m.v) * (p.v - m.v), m.label))) AS label
+            FROM p JOIN m ON p.pair = m.pair WHERE m.round < 60 GROUP BY m.round, p.pair, p.id) g
+          GROUP BY round, pair, label),
+        same AS (
+          SELECT a.pair, a.round FROM m a JOIN m b ON a.pair = b.pair AND a.label = b.label AND b.round = a.round - 1
+          GROUP BY ALL HAVING bool_and(abs(a.u - b.u) <= 1e-12 AND abs(a.v - b.v) <= 1e-12)),
+        stop AS (SELECT pair, min(round) AS rounds FROM same GROUP BY pair),
+        d AS (
+          SELECT p.pair, p.id, p.t, m.label, m.round, s.rounds, (p.u - m.u) * (p.u - m.u) + (p.v - m.v) * (p.v - m.v) AS d
+          FROM p JOIN stop s USING (pair) JOIN m ON m.pair = p.pair AND (m.round = 0 OR m.round = s.rounds)),
+        e AS (
+          SELECT pair, rounds, id, any_value(t) AS t, arg_min(label, (d, label)) FILTER (round = 0) AS before,
+            arg_min(label, (d, label)) FILTER (round = rounds) AS after FROM d GROUP BY pair, rounds, id)
+        SELECT ['quantity', 'price', 'discount'][pair + 1] AS feature_u, ['price', 'discount', 'tax'][pair + 1] AS feature_v,
+          CAST(rounds AS BIGINT) AS rounds, round(avg(CASE WHEN before <> t THEN 1.0 ELSE 0.0 END), 6) AS error_before,
+          round(avg(CASE WHEN after <> t THEN 1.0 ELSE 0.0 END), 6) AS error_after
+        FROM e GROUP BY pair, rounds""",
     "nearest_mean_error": """
         WITH p AS (SELECT l_returnflag AS t, l_linenumber AS i, l_quantity / 50 AS q, l_extendedprice / 100000 AS x FROM lineitem),
         m AS (SELECT t AS label, avg(q) AS mq, avg(x) AS mx FROM p WHERE i = 1 GROUP BY 1),
@@ -688,7 +726,15 @@ SQL = {
           SELECT 1 FROM m_visits v WHERE v.store_id = o.shop_id AND v.enter_date = o.date_id)
         UNION ALL SELECT ordr_id, 'shop' FROM m_shop_orders o WHERE NOT EXISTS (SELECT 1 FROM m_visits v WHERE v.store_id = o.shop_id)""",
     "visit_attribution": """
-        SELECT ordr_id, visit_id, shop_id, date_id, round(duration, 6) AS duration FROM m_pairs WHERE person_related = 1""",
+        SELECT 'order' AS kind, ordr_id AS id, shop_id, date_id, place AS first, place AS last,
+          (SELECT count(*) FROM m_pairs p WHERE p.person_related = 1 AND p.ordr_id = o.ordr_id) AS links
+        FROM (SELECT *, count(*) OVER (PARTITION BY shop_id, date_id ORDER BY ordr_date) AS place FROM m_shop_orders) o
+        UNION ALL SELECT 'visit', v.id, store_id, enter_date,
+          1 + count(o.ordr_id) FILTER (o.ordr_date < v.enter_time), count(o.ordr_id) FILTER (o.ordr_date <= v.exit_time),
+          count(o.ordr_id) FILTER (o.ordr_date BETWEEN v.enter_time AND v.exit_time)
+        FROM m_visits v LEFT JOIN m_shop_orders o ON o.shop_id = v.store_id AND o.date_id = v.enter_date GROUP BY v.id, store_id, enter_date""",
+    "visit_pairs_of_one_shop": """
+        SELECT ordr_id, visit_id, shop_id, date_id FROM m_pairs WHERE person_related = 1 AND shop_id = '2'""",
     "orders_per_visit": """
         SELECT v.id, store_id AS shop_id, enter_date AS date_id, count(o.ordr_id) AS related FROM m_visits v LEFT JOIN m_shop_orders o
           ON o.shop_id = v.store_id AND o.date_id = v.enter_date AND o.ordr_date BETWEEN v.enter_time AND v.exit_time GROUP BY ALL""",

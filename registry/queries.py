@@ -14,6 +14,7 @@ from stallwise.functions import dates, nullsafe, texts
 from stallwise.operators import (
     dealers,
     enrich,
+    ensembles,
     floors,
     footfall,
     learning,
@@ -23,7 +24,7 @@ from stallwise.operators import (
 )
 from stallwise.operators.joins import keep_matching
 from stallwise.plans import jobs
-from stallwise.session import prepare, shared_folder
+from stallwise.session import prepare, scratch, shared_folder
 from stallwise.sources import sinks, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -185,6 +186,18 @@ def write_read_back(spark, sf):
     return tables.visits_of_month(spark, folder, "1998-03")
 
 
+@query
+def daily_loads(spark, sf):
+    """Days loaded in part, one of them again in full, and late rows for old and new days."""
+    rows = frames.track(spark, sf).select("id", "store_id", "profile_id", "dt")
+    even = F.col("id").cast("bigint") % 2 == 0
+    folder = scratch(spark, "visits-by-day")
+    sinks.load_days(rows.filter(even & (F.col("dt") <= "20240110")), folder)
+    sinks.load_days(rows.filter("dt = '20240105'"), folder)
+    sinks.add_late(rows.filter(~even & F.col("dt").between("20240108", "20240112")), folder, ["id"])
+    return tables.kept_days(spark, folder, "20240104", "20240111")
+
+
 # ---- enrichment and row rules ------------------------------------------------
 
 
@@ -727,8 +740,15 @@ def unmatched_orders(spark, sf):
 
 @query
 def visit_attribution(spark, sf):
-    pairs = footfall.contained_pairs(orders_of(spark, sf), visits_of(spark, sf))
-    return pairs.select("ordr_id", F.col("id").alias("visit_id"), "shop_id", "date_id", "duration")
+    """Orders and the visits under way, as places in the line of a shop-day's orders."""
+    return footfall.visit_links(orders_of(spark, sf), visits_of(spark, sf))
+
+
+@query
+def visit_pairs_of_one_shop(spark, sf):
+    """The pairs of one shop that the places stand for."""
+    links = footfall.visit_links(orders_of(spark, sf), visits_of(spark, sf))
+    return footfall.linked_pairs(links.filter("shop_id = '2'"))
 
 
 @query
@@ -856,9 +876,9 @@ def cross_month_test(spark, sf):
     first = clustered.groupBy("shop_id").agg(F.max_by("cluster", "period").alias("cluster"))
     train_ids, test_ids = shaping.hash_split(first, ["shop_id"], 80)
     train = keep_matching(clustered, train_ids, ["shop_id"])
-    models = learning.fit_classifiers(train, "cluster", segments.RATIOS)
+    models = ensembles.fit_classifiers(train, "cluster", segments.RATIOS, ["shop_id", "period"], learning.FOLDS, learning.REPEATS)
     test = segments.next_period_test(test_ids, rows.filter("period = 3"))
-    return learning.predictions(models, test, "cluster", ["shop_id"])
+    return models.predictions(test, "cluster", ["shop_id"])
 
 
 # ---- learning ----------------------------------------------------------------
@@ -908,6 +928,17 @@ def self_training(spark, sf):
     return learning.confusion(found)
 
 
+@query
+def self_training_pairs(spark, sf):
+    """Rounds and errors of self-training for all neighbouring pairs of four features."""
+    rows = frames.table(spark, sf, "lineitem").selectExpr(
+        "l_returnflag AS true_value", "if(l_linenumber = 1, l_returnflag, null) AS label", "l_quantity / 50 AS quantity",
+        "l_extendedprice / 100000 AS price", "l_discount * 10 AS discount", "l_tax * 10 AS tax",
+    )
+    scores, _ = learning.self_training_pairs(rows, "label", "true_value", ["quantity", "price", "discount", "tax"])
+    return scores.withColumn("rounds", F.col("rounds").cast("bigint"))
+
+
 @query
 def rmse(spark, sf):
     """Two guesses of a line's price."""
@@ -956,12 +987,24 @@ def split(spark, sf):
     return out
 
 
+def reported(spark, sf):
+    survey = tables.dealer_survey(frames.dealer_survey(spark, sf))
+    return jobs.reported_sales(frames.sales(spark, sf), survey, None, "1996-01-01", "1998-12-31")["model"]
+
+
+@query
+def classifier_folds(spark, sf):
+    """Which dealers the sweep trains on, and the fold of each in every repeat."""
+    train, _ = jobs.reported_training(reported(spark, sf))
+    folds = ensembles.folds_of([dealers.KEY], learning.FOLDS, learning.REPEATS, learning.SEED)
+    found = train.select(dealers.KEY, F.posexplode(folds).alias("repeat", "fold"))
+    return found.select(dealers.KEY, F.col("repeat").cast("bigint").alias("repeat"), F.col("fold").cast("bigint").alias("fold"))
+
+
 @query
 def classifier_sweep(spark, sf):
     """All classifiers on the whole model table, repeated folds, scores over the held-out dealers."""
-    survey = tables.dealer_survey(frames.dealer_survey(spark, sf))
-    found = jobs.reported_sales(frames.sales(spark, sf), survey, None, "1996-01-01", "1998-12-31")
-    swept = jobs.reported_models(found["model"])
+    swept = jobs.reported_models(reported(spark, sf))
     validated = F.create_map(*[F.lit(x) for pair in swept["validated"].items() for x in pair])
     return swept["scores"].withColumn("validated", validated[F.col("model")])
 

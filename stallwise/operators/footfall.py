@@ -218,12 +218,72 @@ def longest_stay_around(visits: DataFrame, orders: DataFrame) -> DataFrame:
     )
 
 
-def contained_pairs(orders: DataFrame, visits: DataFrame) -> DataFrame:
-    """Orders with each visit that was under way in their shop at their time."""
-    covered = _placed(visits).filter("exit_us >= enter_us")
-    covered = covered.select("*", F.inline(blocks_of_interval("enter_us", "exit_us")))
-    placed = orders.filter("order_us is not null").select("*", F.inline(blocks_of_point("order_us")))
-    return placed.join(covered, [*SHOP_DAY, "size", "block"]).drop("size", "block")
+def visit_links(orders: DataFrame, visits: DataFrame) -> DataFrame:
+    """Which orders were made during which visits, without listing the pairs.
+
+    The orders of a shop-day stand in a line by time; orders of one microsecond share a place,
+    the number of orders up to then. A visit covers the places ``first`` to ``last``, an order
+    is at one place (``first`` = ``last``): the order was made during the visit exactly if its
+    place is covered. ``links`` counts the partners of a row. One row per order and per visit
+    (``kind``); a visit without an order has ``first`` above ``last``. Orders without a time
+    and visits that end before they begin have no places, rows without shop or day neither.
+    """
+    line = shop_day_line(visits, orders)
+    at = line.select(*SHOP_DAY, F.col("at").alias("order_us"), "orders_upto", "inside")
+    start = line.select(*SHOP_DAY, F.col("at").alias("enter_us"), (F.col("orders_upto") - F.col("orders")).alias("orders_before"))
+    end = line.select(*SHOP_DAY, F.col("at").alias("exit_us"), F.col("orders_upto").alias("last"))
+    from_orders = (
+        orders.select(*SHOP_DAY, "order_us", F.col("ordr_id").cast("string").alias("id"))
+        .join(at, [*SHOP_DAY, "order_us"], "left")
+        .select(
+            F.lit("order").alias("kind"), "id", *SHOP_DAY, F.col("orders_upto").alias("first"), F.col("orders_upto").alias("last"),
+            F.coalesce("inside", F.lit(0)).cast("bigint").alias("links"),
+        )
+    )
+    valid = F.col("exit_us") >= F.col("enter_us")
+    from_visits = (
+        _placed(visits)
+        .select(*SHOP_DAY, F.col("id").cast("string").alias("id"), F.when(valid, F.col("enter_us")).alias("enter_us"), F.when(valid, F.col("exit_us")).alias("exit_us"))
+        .join(start, [*SHOP_DAY, "enter_us"], "left")
+        .join(end, [*SHOP_DAY, "exit_us"], "left")
+        .select(
+            F.lit("visit").alias("kind"), "id", *SHOP_DAY, (F.col("orders_before") + 1).alias("first"), "last",
+            F.coalesce(F.col("last") - F.col("orders_before"), F.lit(0)).cast("bigint").alias("links"),
+        )
+    )
+    return from_orders.unionByName(from_visits)
+
+
+def shop_day_line(visits: DataFrame, orders: DataFrame) -> DataFrame:
+    """Per shop, day and instant: the orders then and up to then, and the visits under way."""
+    none = F.lit(0).cast("bigint")
+    one = F.lit(1).cast("bigint")
+
+    def point(at: str, enters: Column, exits: Column) -> Column:
+        return F.struct(F.col(at).alias("at"), enters.alias("enters"), exits.alias("exits"))
+
+    ends = F.array(point("enter_us", one, none), point("exit_us", none, one))
+    from_visits = _placed(visits).filter("exit_us >= enter_us").select(*SHOP_DAY, F.inline(ends)).withColumn("orders", none)
+    from_orders = orders.filter("order_us is not null").select(
+        *SHOP_DAY, F.col("order_us").alias("at"), none.alias("enters"), none.alias("exits"), one.alias("orders")
+    )
+    counts = ["enters", "exits", "orders"]
+    rows = from_visits.unionByName(from_orders).groupBy(*SHOP_DAY, "at").agg(*[F.sum(c).alias(c) for c in counts])
+    rows = rows.na.drop(subset=SHOP_DAY).withColumn("second", F.floor(F.col("at") / SECOND))
+    rows = with_running_sums(rows, SHOP_DAY, "second", "at", {f"upto_{c}": F.col(c) for c in counts})
+    inside = F.col("upto_enters") - F.col("upto_exits") + F.col("exits")
+    return checkpointed(rows.select(*SHOP_DAY, "at", "orders", F.col("upto_orders").alias("orders_upto"), inside.alias("inside")))
+
+
+def linked_pairs(links: DataFrame) -> DataFrame:
+    """(ordr_id, visit_id, shop_id, date_id) of all pairs that :func:`visit_links` stands for.
+
+    As many rows as there are links: for a few shop-days, not for a whole mall.
+    """
+    visits = links.filter("kind = 'visit' and links > 0")
+    placed = visits.select(F.col("id").alias("visit_id"), *SHOP_DAY, F.explode(F.sequence("first", "last")).alias("first"))
+    orders = links.filter("kind = 'order' and links > 0").select(F.col("id").alias("ordr_id"), *SHOP_DAY, "first")
+    return orders.join(placed, [*SHOP_DAY, "first"]).select("ordr_id", "visit_id", *SHOP_DAY)
 
 
 def order_visit_features(

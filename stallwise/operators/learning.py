@@ -1,26 +1,18 @@
-"""Models on Spark ML, nearest-mean classification and scores."""
+"""Training rows, scores, clusters and nearest-mean classification."""
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from math import log
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (
-    DecisionTreeClassifier,
-    GBTClassifier,
-    NaiveBayes,
-    RandomForestClassifier,
-)
 from pyspark.ml.clustering import GaussianMixture, KMeans
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
-from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
-from pyspark.ml.regression import DecisionTreeRegressor, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.ml.feature import VectorAssembler
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stallwise.functions.nullsafe import ratio
+from stallwise.operators.ensembles import REGRESSORS, Regressors
+from stallwise.operators.nearest import with_nearest
 from stallwise.operators.shaping import complete_rows, hash_split
 from stallwise.session import checkpointed
 
@@ -46,135 +38,12 @@ def training_sets(
     return hash_split(checkpointed(kept), keys, percent, seed)
 
 
-def _stages(features: Sequence[str]) -> list:
-    gather = VectorAssembler(inputCols=list(features), outputCol="_raw", handleInvalid="keep")
-    scale = StandardScaler(inputCol="_raw", outputCol="features", withMean=True, withStd=True)
-    return [gather, scale]
-
-
-def _in_order(rows: DataFrame) -> DataFrame:
-    """Rows sorted by all columns: a forest's samples must not depend on how they were laid out."""
-    return rows.orderBy(*[F.col(f"`{c}`") for c in rows.columns])
-
-
-def classifiers(seed: int = SEED, boosts: int = 20) -> dict:
-    """The classifiers of the sweep; boosted trees handle two classes only."""
-    return {
-        "decision_tree": DecisionTreeClassifier(labelCol="_label", seed=seed),
-        "random_forest": RandomForestClassifier(labelCol="_label", seed=seed),
-        "bagged_trees": RandomForestClassifier(
-            labelCol="_label", featureSubsetStrategy="all", seed=seed
-        ),
-        "boosted_trees": GBTClassifier(labelCol="_label", maxIter=boosts, seed=seed),
-        "naive_bayes": NaiveBayes(labelCol="_label", modelType="gaussian"),
-    }
-
-
-def regressors(seed: int = SEED) -> dict:
-    return {
-        "decision_tree": DecisionTreeRegressor(labelCol="_label", seed=seed),
-        "random_forest": RandomForestRegressor(labelCol="_label", seed=seed),
-    }
-
-
-def fit_classifiers(
-    train: DataFrame,
-    label: str,
-    features: Sequence[str],
-    estimators: Mapping | None = None,
-    folds: int = FOLDS,
-    repeats: int = REPEATS,
-    seed: int = SEED,
-) -> dict[str, tuple[PipelineModel, float]]:
-    """Fit every classifier on scaled features with its cross-validated accuracy.
-
-    Estimators that cannot handle the number of classes are left out.
-    """
-    index = StringIndexer(
-        inputCol=label, outputCol="_label", handleInvalid="keep", stringOrderType="alphabetAsc"
-    ).fit(train.withColumn(label, F.col(label).cast("string")))
-    classes = len(index.labels)
-    data = _in_order(train.withColumn(label, F.col(label).cast("string"))).persist()
-    judge = MulticlassClassificationEvaluator(labelCol="_label", metricName="accuracy")
-    fitted = {}
-    for name, estimator in (estimators or classifiers(seed)).items():
-        if classes > 2 and isinstance(estimator, GBTClassifier):
-            continue
-        line = Pipeline(stages=[index, *_stages(features), estimator])
-        scores = []
-        for repeat in range(repeats):
-            folded = CrossValidator(
-                estimator=line,
-                estimatorParamMaps=ParamGridBuilder().build(),
-                evaluator=judge,
-                numFolds=folds,
-                seed=seed + repeat,
-                parallelism=8,
-            )
-            scores.append(folded.fit(data).avgMetrics[0])
-        fitted[name] = (line.fit(data), sum(scores) / len(scores) if scores else float("nan"))
-    data.unpersist()
-    return fitted
-
-
-def predictions(models: Mapping, rows: DataFrame, label: str, keys: Sequence[str]) -> DataFrame:
-    """Predicted and true label per model and row."""
-    out = rows.withColumn(label, F.col(label).cast("string"))
-    kept = out.columns
-    for name, (model, _) in models.items():
-        labels = F.array(*[F.lit(x) for x in model.stages[0].labels])
-        guess = F.get(labels, F.col("prediction").cast("int"))
-        kept = [*kept, f"_m_{name}"]
-        out = model.transform(out).withColumn(f"_m_{name}", guess).select(*kept)
-    pairs = [F.struct(F.lit(m).alias("model"), F.col(f"_m_{m}").alias("pred_value")) for m in models]
-    return out.select(*keys, F.col(label).alias("true_value"), F.inline(F.array(*pairs)))
-
-
-def fit_regressors(
-    train: DataFrame,
-    label: str,
-    features: Sequence[str],
-    estimators: Mapping | None = None,
-) -> dict[str, PipelineModel]:
-    """Fit every regressor on scaled features."""
-    data = _in_order(train.withColumn("_label", F.col(label).cast("double"))).persist()
-    models = {
-        name: Pipeline(stages=[*_stages(features), estimator]).fit(data)
-        for name, estimator in (estimators or regressors()).items()
-    }
-    data.unpersist()
-    return models
-
-
-def cross_validated_rmse(
-    train: DataFrame, label: str, features: Sequence[str], estimator, folds: int = FOLDS,
-    repeats: int = REPEATS, seed: int = SEED,
-) -> float:
-    """Mean RMSE of a regressor over repeated folds."""
-    data = _in_order(train.withColumn("_label", F.col(label).cast("double"))).persist()
-    judge = RegressionEvaluator(labelCol="_label", metricName="rmse")
-    line = Pipeline(stages=[*_stages(features), estimator])
-    scores = []
-    for repeat in range(repeats):
-        folded = CrossValidator(
-            estimator=line, estimatorParamMaps=ParamGridBuilder().build(), evaluator=judge,
-            numFolds=folds, seed=seed + repeat, parallelism=8,
-        )
-        scores.append(folded.fit(data).avgMetrics[0])
-    data.unpersist()
-    return sum(scores) / len(scores)
-
-
-def comparison(
-    models: Mapping[str, PipelineModel], rows: DataFrame, label: str, keys: Sequence[str]
-) -> DataFrame:
-    """Every model's prediction next to the real value."""
-    out = rows
-    for name, model in models.items():
-        out = model.transform(out).withColumnRenamed("prediction", f"{name}_predict")
-        out = out.drop("_raw", "features")
-    wanted = [f"{name}_predict" for name in models]
-    return out.select(*keys, *wanted, F.col(label).cast("double").alias("real"))
+def comparison(models: Regressors, rows: DataFrame, label: str, keys: Sequence[str]) -> DataFrame:
+    """Every regressor's prediction next to the real value."""
+    found = models.predict(rows)
+    return found.select(
+        *keys, *[F.col(m).alias(f"{m}_predict") for m in REGRESSORS], F.col(label).cast("double").alias("real")
+    )
 
 
 def rmse(rows: DataFrame, predicted: Sequence[str], real: str) -> DataFrame:
@@ -333,10 +202,6 @@ def _chosen(method: str, scores: Mapping[int, float]) -> int:
 # ---- nearest mean ------------------------------------------------------------
 
 
-# Classes that meet the rows at a time.
-CLASS_BLOCK = 10_000
-
-
 def class_means(rows: DataFrame, label: str | Column, features: Sequence[str]) -> DataFrame:
     """(label, means): the fitted nearest-mean model, one row per class."""
     name = F.col(label) if isinstance(label, str) else label
@@ -349,40 +214,9 @@ def class_means(rows: DataFrame, label: str | Column, features: Sequence[str]) -
     )
 
 
-def with_nearest_class(
-    rows: DataFrame, means: DataFrame, features: Sequence[str], name: str = "pred_value"
-) -> DataFrame:
-    """Add the class with the closest mean; the first label wins a tie.
-
-    Missing features give null. The classes meet the rows as one row of arrays, a
-    block of classes at a time, so their number is not limited.
-    """
-    best, nth = F.lit(None).cast("struct<d double, label string>"), Window.orderBy("label")
-    found = rows.withColumn("_best", best)
-    number = means.count()
-    placed = means.withColumn("_block", F.floor((F.row_number().over(nth) - 1) / CLASS_BLOCK))
-    own = F.array(*[F.col(c).cast("double") for c in features])
-
-    def distance(x: Column) -> Column:
-        parts = F.zip_with(own, x["means"], lambda a, b: (a - b) * (a - b))
-        return F.struct(F.aggregate(parts, F.lit(0.0), lambda s, d: s + d).alias("d"), x["label"].alias("label"))
-
-    for block in range(-(-number // CLASS_BLOCK)):
-        classes = placed.filter(F.col("_block") == block).agg(
-            F.collect_list(F.struct("label", "means")).alias("_classes")
-        )
-        found = found.crossJoin(F.broadcast(classes))  # one row
-        closest = F.array_min(F.transform("_classes", distance))
-        found = found.withColumn("_best", F.least("_best", closest)).drop("_classes")
-    complete = F.lit(True)
-    for c in features:
-        complete = complete & F.col(c).isNotNull()
-    return found.withColumn(name, F.when(complete, F.col("_best.label"))).drop("_best")
-
-
 def nearest_mean(rows: DataFrame, label: str, features: Sequence[str]) -> DataFrame:
     """Rows with the label predicted from the class means of the labelled rows."""
-    return with_nearest_class(rows, checkpointed(class_means(rows, label, features)), features)
+    return with_nearest(rows, class_means(rows, label, features), features)
 
 
 def self_training(rows: DataFrame, label: str, features: Sequence[str]) -> tuple[DataFrame, int]:
@@ -396,24 +230,104 @@ def self_training(rows: DataFrame, label: str, features: Sequence[str]) -> tuple
     used = 0
     while True:
         used += 1
-        guessed = with_nearest_class(rows, means, features, "_guess")
+        guessed = with_nearest(rows, means, features, "_guess")
         guess = F.coalesce(F.col(label).cast("string"), F.col("_guess"))
         moved = checkpointed(class_means(guessed, guess, features))
         if _same_means(means, moved):
-            return with_nearest_class(rows, moved, features), used
+            return with_nearest(rows, moved, features), used
         means = moved
 
 
 def _same_means(a: DataFrame, b: DataFrame) -> bool:
     """Whether two tables have the same classes with equal means, up to rounding."""
     both = a.join(b.withColumnRenamed("means", "others"), "label", "full")
-    close = F.zip_with(
-        "means", "others",
-        lambda x, y: F.abs(x - y) <= F.greatest(F.greatest(F.abs(x), F.abs(y)) * 1e-12, F.lit(1e-15)),
-    )
+    close = F.zip_with("means", "others", same_mean)
     return both.filter(~F.coalesce(F.forall(close, lambda c: c), F.lit(False))).isEmpty()
 
 
+def same_mean(x: Column, y: Column) -> Column:
+    return F.abs(x - y) <= F.greatest(F.greatest(F.abs(x), F.abs(y)) * 1e-12, F.lit(1e-15))
+
+
+# ---- self-training over pairs of features --------------------------------------
+
+
+def paired_rows(rows: DataFrame, label: str, true: str, features: Sequence[str]) -> DataFrame:
+    """(pair, label, true, u, v): every row once per pair of neighbouring features that it has both of."""
+    pairs = [
+        F.struct(F.lit(i).alias("pair"), F.col(a).cast("double").alias("u"), F.col(b).cast("double").alias("v"))
+        for i, (a, b) in enumerate(zip(features, features[1:]))
+    ]
+    long = rows.select(F.col(label).cast("string").alias("label"), F.col(true).cast("string").alias("true"), F.inline(F.array(*pairs)))
+    return long.filter("u is not null and v is not null and not isnan(u) and not isnan(v)")
+
+
+def nearest_of_pair(model: str) -> Column:
+    """The nearest class of a row's pair in ``model``: an array of classes (label, u, v)."""
+    tried = F.transform(
+        model, lambda c: F.struct(((F.col("u") - c["u"]) * (F.col("u") - c["u"]) + (F.col("v") - c["v"]) * (F.col("v") - c["v"])).alias("d"), c["label"].alias("label"))
+    )
+    return F.array_min(tried)["label"]
+
+
+def pair_means(long: DataFrame, label: Column) -> DataFrame:
+    """(pair, model): per pair the classes with their means, ordered by label."""
+    means = long.select("pair", label.alias("label"), "u", "v").filter("label is not null").groupBy("pair", "label")
+    return means.agg(F.avg("u").alias("u"), F.avg("v").alias("v")).groupBy("pair").agg(F.sort_array(F.collect_list(F.struct("label", "u", "v"))).alias("model"))
+
+
+def same_class(a: Column, b: Column) -> Column:
+    """Whether two classes (label, u, v) are the same with equal means; a new one is not."""
+    same = (a["label"] == b["label"]) & same_mean(a["u"], b["u"]) & same_mean(a["v"], b["v"])
+    return F.coalesce(same, F.lit(False))
+
+
+def self_training_pairs(
+    rows: DataFrame, label: str, true: str, features: Sequence[str]
+) -> tuple[DataFrame, DataFrame]:
+    """Self-training by nearest mean for every pair of neighbouring features, all pairs at once.
+
+    A round is one aggregation over the rows of the pairs that still move; a pair whose means
+    stay is done and leaves. The classes should be few: a pair's means are one row.
+
+    Returns the pairs with ``rounds`` and the share of rows (with a true label) that the
+    supervised and the self-trained means get wrong, and the boundaries between any two
+    classes before and after: the points with ``w_u * u + w_v * v = c`` are as far from one as
+    from the other. Pairs without a labelled row are left out.
+    """
+    long = checkpointed(paired_rows(rows, label, true, features))
+    first = checkpointed(pair_means(long, F.col("label")))
+    state = first.select("pair", "model", F.lit(0).alias("rounds"), F.lit(False).alias("still"))
+    while not state.filter("not still").isEmpty():
+        active = state.filter("not still")
+        guess = F.coalesce(F.col("label"), nearest_of_pair("model"))
+        moved = pair_means(long.join(active.select("pair", "model"), "pair"), guess).withColumnRenamed("model", "after")
+        equal = F.forall(F.zip_with("model", "after", same_class), lambda c: c)
+        stepped = active.join(moved, "pair").select(
+            "pair", F.col("after").alias("model"), (F.col("rounds") + 1).alias("rounds"), equal.alias("still")
+        )
+        state = checkpointed(stepped.unionByName(state.filter("still")))
+    both = state.select("pair", "rounds", F.col("model").alias("last")).join(first.select("pair", F.col("model").alias("first")), "pair")
+
+    def wrong(model: str) -> Column:
+        return F.avg((nearest_of_pair(model) != F.col("true")).cast("double"))
+
+    errors = long.join(both, "pair").groupBy("pair").agg(F.first("rounds").alias("rounds"), wrong("first").alias("error_before"), wrong("last").alias("error_after"))
+    names = [F.lit(f) for f in features]
+    name_of = {"feature_u": F.get(F.array(*names), F.col("pair")), "feature_v": F.get(F.array(*names), F.col("pair") + 1)}
+    scores = errors.select(*[c.alias(n) for n, c in name_of.items()], "rounds", "error_before", "error_after")
+    stages = [F.struct(F.lit(n).alias("stage"), F.col(c).alias("model")) for n, c in (("supervised", "first"), ("self_trained", "last"))]
+    models = both.select("pair", F.inline(F.array(*stages)))
+    lines = models.select("*", F.inline(F.expr("flatten(transform(model, (a, i) -> transform(filter(model, b -> b.label > a.label), b -> struct(a, b))))"))).toDF("pair", "stage", "model", "a", "b")
+    w_u, w_v = F.col("b.u") - F.col("a.u"), F.col("b.v") - F.col("a.v")
+    middle = (w_u * (F.col("a.u") + F.col("b.u")) + w_v * (F.col("a.v") + F.col("b.v"))) / 2
+    boundaries = lines.select(
+        *[c.alias(n) for n, c in name_of.items()], "stage", F.col("a.label").alias("class_a"), F.col("b.label").alias("class_b"),
+        w_u.alias("w_u"), w_v.alias("w_v"), middle.alias("c"),
+    )
+    return scores, boundaries
+
+
 def error_rate(rows: DataFrame, predicted: str, true: str) -> DataFrame:
     wrong = (F.col(predicted).cast("string") != F.col(true).cast("string")).cast("double")
     return rows.agg(F.avg(wrong).alias("error_rate"))

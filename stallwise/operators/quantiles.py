@@ -1,17 +1,35 @@
-"""Exact quantiles (linear interpolation) without gathering a group in one task."""
+"""Exact quantiles (linear interpolation) without sorting a column or gathering a group.
+
+One pass sketches every group, which puts each wanted rank between two values that only a few
+ten-thousandths of the group lie between. A second pass counts what lies below, between and above
+these values and keeps the values in between apart; only those are ranked.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stallwise.operators.joins import null_safe_join
-from stallwise.operators.ordered import laid_out
 from stallwise.session import checkpointed
 
 OCTILES = [i / 8 for i in range(9)]
+# The sketch's rank error is 1 / ACCURACY of the group; the bounds leave four times as much on either side.
+ACCURACY = 10_000
+# Groups of so few rows are ranked whole.
+SMALL = 20_000
+
+
+def brackets(probs: Sequence[float]) -> tuple[list[float], Column]:
+    """The sketch's probes, and an array of (low, high) around the wanted ranks of a group of ``n``."""
+    margin = 4 / ACCURACY
+    probes = [min(1.0, max(0.0, p + m)) for p in probs for m in (-margin, margin)]
+    at = F.col("_sketch")
+    around = F.array(*[F.struct(at[2 * i].alias("low"), at[2 * i + 1].alias("high")) for i in range(len(probs))])
+    everything = F.array(F.struct(F.lit(float("-inf")).alias("low"), F.lit(float("inf")).alias("high")))
+    return probes, F.when(F.col("n") <= SMALL, everything).otherwise(around)
 
 
 def group_quantiles(
@@ -19,52 +37,54 @@ def group_quantiles(
 ) -> DataFrame:
     """One row per group with ``n`` and the array ``quantiles``.
 
-    Equal values are counted together, the counted values are sorted over the
-    cluster, and only the sorted partitions that hold a wanted rank are ranked.
+    Missing values and NaN do not count; a group without a value has no row. ``df`` is read twice.
     """
-    by = list(by) or ["_all"]
-    source = df.select(*[c for c in by if c != "_all"], F.col(value).cast("double").alias("_v"))
-    if by == ["_all"]:
-        source = source.withColumn("_all", F.lit(1))
-    counted = (
-        source.filter("_v is not null").groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    by = list(by)
+    groups = by or ["_all"]
+    source = df.select(*by, *([] if by else [F.lit(1).alias("_all")]), F.col(value).cast("double").alias("_v"))
+    source = source.filter("_v is not null and not isnan(_v)")
+    probes, around = brackets(probs)
+    sketched = source.groupBy(*groups).agg(
+        F.count(F.lit(1)).alias("n"), F.percentile_approx("_v", probes, ACCURACY).alias("_sketch")
     )
-    laid = laid_out(counted, [*by, "_v"])
+    sketched = sketched.select(*groups, "n", around.alias("_between"))
 
-    # One row per group and sorted partition.
-    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy(*by)
-    parts = (
-        laid.groupBy(*by, "_part")
+    # Zones follow each other by value; in each either all values are kept or none.
+    kept = F.exists("_between", lambda b: (F.col("_v") >= b["low"]) & (F.col("_v") <= b["high"]))
+    zone = F.size(F.filter("_between", lambda b: b["low"] <= F.col("_v"))) + F.size(F.filter("_between", lambda b: b["high"] < F.col("_v")))
+    counted = (
+        null_safe_join(source, sketched, groups)
+        .select(*groups, "n", zone.alias("_zone"), F.when(kept, F.col("_v")).alias("_v"))
+        .groupBy(*groups, "n", "_zone", "_v")
+        .agg(F.count(F.lit(1)).alias("_n"))
+    )
+    before = Window.partitionBy(*groups).orderBy("_zone").rowsBetween(Window.unboundedPreceding, -1)
+    zones = (
+        counted.groupBy(*groups, "_zone")
         .agg(F.sum("_n").alias("_size"))
-        .withColumn("_start", F.coalesce(F.sum("_size").over(before), F.lit(0)))
-        .withColumn("n", F.sum("_size").over(everything))
+        .select(*groups, "_zone", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
     )
-    wanted = parts.withColumn("_p", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
-    wanted = wanted.withColumn("_h", (F.col("n") - 1) * F.col("_p"))
-    wanted = wanted.withColumn(
-        "_rank", F.explode(F.array_distinct(F.array(F.floor("_h"), F.ceil("_h"))))
-    ).filter("_rank >= _start and _rank < _start + _size")
-
-    inside = Window.partitionBy(*by, "_part").orderBy("_row")
-    needed = wanted.select(*by, "_part", "_start").distinct()
-    ranked = null_safe_join(laid, needed, [*by, "_part"]).withColumn(
+    inside = Window.partitionBy(*groups, "_zone").orderBy("_v")
+    placed = null_safe_join(counted, zones, [*groups, "_zone"]).withColumn(
         "_to", F.col("_start") + F.sum("_n").over(inside)
     )
-    hit = null_safe_join(
-        wanted.select(*by, "_part", "n", "_p", "_h", "_rank"),
-        ranked.select(*by, "_part", "_v", (F.col("_to") - F.col("_n")).alias("_from"), "_to"),
-        [*by, "_part"],
-    ).filter("_rank >= _from and _rank < _to")
-    one = hit.groupBy(*by, "n", "_p", "_h").agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    h = [(F.lit(float(p)), (F.col("n") - 1) * float(p)) for p in probs]
+    wanted = F.array_distinct(
+        F.array(*[F.struct(p.alias("_p"), x.alias("_h"), f(x).alias("_rank")) for p, x in h for f in (F.floor, F.ceil)])
+    )
+    mine = F.filter(wanted, lambda w: (w["_rank"] >= F.col("_to") - F.col("_n")) & (w["_rank"] < F.col("_to")))
+    hit = placed.select(*groups, "n", "_v", F.inline(mine))
+    # Cannot happen while the sketch keeps its bound; a wrong value must not pass.
+    lost = F.raise_error(F.lit("a quantile lies outside the sketch's bounds"))
+    sure = F.when(F.col("_v").isNull(), lost.cast("double")).otherwise(F.col("_v"))
+    one = hit.groupBy(*groups, "n", "_p", "_h").agg(F.min(sure).alias("_lo"), F.max(sure).alias("_hi"))
     one = one.withColumn(
         "_q", F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (F.col("_h") - F.floor("_h"))
     )
-    out = one.groupBy(*by, "n").agg(
+    out = one.groupBy(*groups, "n").agg(
         F.array_sort(F.collect_list(F.struct("_p", "_q"))).alias("_all_q")
     )
-    out = out.withColumn("quantiles", F.col("_all_q._q")).drop("_all_q")
-    return out.drop("_all")
+    return out.select(*by, "n", F.col("_all_q._q").alias("quantiles"))
 
 
 def breaks(df: DataFrame, value: str, probs: Sequence[float] = OCTILES) -> list[float]:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stallwise.functions.dates import month
-from stallwise.operators import dealers, enrich, footfall, learning, productivity, segments
+from stallwise.operators import dealers, enrich, ensembles, footfall, learning, productivity, segments
 from stallwise.sources import tables
 
 
@@ -97,9 +97,22 @@ REPORTED = [
 ]
 
 
+REPORTED_LABEL = "relation_record_estimate_real"
+
+
+def reported_features(model: DataFrame) -> list[str]:
+    """Every number of the model table but the survey's own."""
+    return [c for c in model.columns if c not in REPORTED]
+
+
+def reported_training(model: DataFrame, label: str = REPORTED_LABEL) -> tuple[DataFrame, DataFrame]:
+    """Labelled and complete rows of the model table to train and to test on."""
+    return learning.training_sets(model, label, reported_features(model), [dealers.KEY])
+
+
 def reported_models(
     model: DataFrame,
-    label: str = "relation_record_estimate_real",
+    label: str = REPORTED_LABEL,
     folds: int = learning.FOLDS,
     repeats: int = learning.REPEATS,
 ) -> dict[str, object]:
@@ -108,13 +121,13 @@ def reported_models(
     Every number of the table but the survey's own is a feature. ``scores`` has accuracy,
     kappa and Rand index per model, ``validated`` the cross-validated accuracy.
     """
-    features = [c for c in model.columns if c not in REPORTED]
-    train, test = learning.training_sets(model, label, features, [dealers.KEY])
-    models = learning.fit_classifiers(train, label, features, folds=folds, repeats=repeats)
-    predicted = learning.predictions(models, test, label, [dealers.KEY])
+    features = reported_features(model)
+    train, test = reported_training(model, label)
+    models = ensembles.fit_classifiers(train, label, features, [dealers.KEY], folds, repeats)
+    predicted = models.predictions(test, label, [dealers.KEY])
     return {
         "models": models,
-        "validated": {name: accuracy for name, (_, accuracy) in models.items()},
+        "validated": models.accuracy,
         "predictions": predicted,
         "scores": learning.model_scores(predicted),
     }
@@ -141,9 +154,13 @@ SHOP_FEATURES = [
 ]
 
 
+# What names a row of the shop analysis.
+SHOP_ROW = ["shop_id", "period", "cont_cat3_name", "cont_main_brand_name"]
+
+
 def order_number_model(
     shops: DataFrame, test_period, folds: int = learning.FOLDS, repeats: int = learning.REPEATS
-) -> tuple[dict, DataFrame, DataFrame]:
+) -> tuple[ensembles.Regressors, DataFrame, DataFrame]:
     """Predict a shop's orders from its traffic; one period is held out.
 
     The score has each model's RMSE over the held-out period and over repeated folds of
@@ -152,12 +169,11 @@ def order_number_model(
     rows = shops.na.drop(subset=SHOP_FEATURES)
     test = rows.filter(F.col("period") == test_period)
     train = rows.filter(F.col("period") != test_period)
-    models = learning.fit_regressors(train, "order_num", SHOP_FEATURES)
+    models = ensembles.fit_regressors(train, "order_num", SHOP_FEATURES, SHOP_ROW, folds, repeats)
     compared = learning.comparison(models, test, "order_num", ["shop_id"])
-    score = learning.rmse(compared, [f"{m}_predict" for m in models], "real")
+    score = learning.rmse(compared, [f"{m}_predict" for m in models.rmse], "real")
     if folds:
-        for name, estimator in learning.regressors().items():
-            found = learning.cross_validated_rmse(train, "order_num", SHOP_FEATURES, estimator, folds, repeats)
+        for name, found in models.rmse.items():
             score = score.withColumn(f"{name}_validated_rmse", F.lit(found))
     return models, compared, score
 

@@ -135,6 +135,11 @@ def visits_of_month(spark: SparkSession, folder: str, month_id: str) -> DataFram
     return spark.read.parquet(folder).filter(F.col("month_id") == month_id)
 
 
+def kept_days(spark: SparkSession, folder: str, first: str, last: str) -> DataFrame:
+    """The days ``first`` to ``last`` of the table that ``sinks.load_days`` keeps; other days are not read."""
+    return spark.read.parquet(folder).withColumn("dt", F.col("dt").cast("string")).filter(F.col("dt").between(first, last))
+
+
 def staff(profiles: DataFrame) -> DataFrame:
     """Distinct profiles that are valid and belong to staff."""
     return (

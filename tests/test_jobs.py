@@ -1,12 +1,11 @@
 """Readers, writers, models, and the four jobs end to end."""
 
 import pytest
-from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier
 from pyspark.sql import functions as F
 
 from registry import frames
 from stallwise.functions import dates
-from stallwise.operators import footfall, learning, segments, shaping
+from stallwise.operators import ensembles, footfall, learning, segments, shaping
 from stallwise.plans import jobs
 from stallwise.sources import schemas, sinks, tables
 
@@ -22,6 +21,28 @@ def test_write_and_read_by_month(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(month_id" in plan
 
 
+def test_days_are_kept_reloaded_and_completed(spark, tmp_path):
+    def rows(*of):
+        return spark.createDataFrame(of, "id string, stay long, dt string")
+
+    def kept(first="20240101", last="20240109"):
+        found = tables.kept_days(spark, folder, first, last)
+        return sorted((r["id"], r["stay"], r["dt"]) for r in found.collect())
+
+    folder = str(tmp_path / "days")
+    sinks.load_days(rows(("a", 1, "20240101"), ("b", 2, "20240102")), folder)
+    sinks.load_days(rows(("c", 3, "20240102"), ("d", 4, "20240102")), folder)
+    sinks.load_days(rows(("c", 3, "20240102"), ("d", 4, "20240102")), folder)  # once more
+    assert kept() == [("a", 1, "20240101"), ("c", 3, "20240102"), ("d", 4, "20240102")]
+    sinks.add_late(rows(("d", 5, "20240102"), ("d", 5, "20240102"), ("e", 6, "20240102"), ("f", 7, "20240103")), folder, ["id"])
+    assert kept("20240102") == [("c", 3, "20240102"), ("d", 5, "20240102"), ("e", 6, "20240102"), ("f", 7, "20240103")]
+    assert kept("20240101", "20240101") == [("a", 1, "20240101")]
+    sinks.add_late(rows(("g", 8, "20240104")), str(tmp_path / "new"), ["id"])
+    assert tables.kept_days(spark, str(tmp_path / "new"), "20240104", "20240104").count() == 1
+    plan = tables.kept_days(spark, folder, "20240103", "20240103")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(dt" in plan or "PartitionFilters: [(cast(dt" in plan
+
+
 @pytest.mark.parametrize("fmt", ["parquet", "csv", "orc", "json"])
 def test_write_and_read_table(spark, tmp_path, fmt):
     rows = spark.createDataFrame([("0001", "1F", 1, 2)], "contract_code string, floor string, row int, col int")
@@ -141,37 +162,12 @@ def test_nearest_mean_ignores_incomplete_rows(spark):
     assert found.filter("pred_value is null").count() == 1
 
 
-def test_classifiers(spark):
-    train, test = learning.training_sets(blobs(spark), "g", ["x", "y"], ["id"])
-    assert train.count() + test.count() == 300
-    wanted = {
-        "tree": DecisionTreeClassifier(labelCol="_label", seed=1),
-        "boosted": GBTClassifier(labelCol="_label", maxIter=2),
-    }
-    models = learning.fit_classifiers(train, "g", ["x", "y"], wanted, folds=2, repeats=1)
-    assert set(models) == {"tree"}  # three classes
-    found = learning.predictions(models, test, "g", ["id"])
-    score = learning.agreement(learning.confusion(found)).first()
-    assert score["accuracy"] > 0.95 and score["kappa"] > 0.9 and score["adjusted_rand"] > 0.9
-
-
-def test_default_sweep_has_all_classifiers():
-    assert len(learning.classifiers()) == 5 and len(learning.regressors()) == 2
-
-
 def test_split_is_stable(spark):
     a = {r[0] for r in shaping.hash_split(blobs(spark), ["id"], 90)[0].select("id").collect()}
     b = {r[0] for r in shaping.hash_split(blobs(spark).repartition(7), ["id"], 90)[0].select("id").collect()}
     assert a == b
 
 
-def test_more_classes_than_a_block(spark, monkeypatch):
-    monkeypatch.setattr(learning, "CLASS_BLOCK", 400)
-    rows = spark.range(2010).select(F.col("id").cast("string").alias("g"), F.col("id").cast("double").alias("x"))
-    found = learning.nearest_mean(rows, "g", ["x"])
-    assert found.filter("pred_value = g").count() == 2010
-
-
 @pytest.mark.parametrize("method, ks", [("sse", [2, 3]), ("calinski", []), ("calinski", [2, 300]), ("gaussian", [1, 2])])
 def test_unusable_numbers_of_clusters_are_reported(spark, method, ks):
     with pytest.raises(ValueError):
@@ -187,5 +183,5 @@ def test_reported_models_end_to_end(spark):
     )
     swept = jobs.reported_models(found["model"], folds=2, repeats=1)
     scores = {r["model"]: r["accuracy"] for r in swept["scores"].collect()}
-    assert set(scores) == set(swept["validated"]) == set(learning.classifiers())
+    assert set(scores) == set(swept["validated"]) == set(ensembles.CLASSIFIERS)
     assert all(0 <= x <= 1 for x in scores.values())

@@ -226,7 +226,7 @@ def test_containment_includes_both_ends(spark):
     at = [dt.datetime(2019, 1, 1, 10), dt.datetime(2019, 1, 1, 11), dt.datetime(2019, 1, 1, 11, 0, 1)]
     rows = [(str(i), "1", day("2019-01-01"), t) for i, t in enumerate(at)]
     orders = spark.createDataFrame(rows, "ordr_id string, shop_id string, date_id date, ordr_date timestamp")
-    pairs = footfall.contained_pairs(footfall.prepare_orders(orders), footfall.prepare_visits(track))
+    pairs = footfall.linked_pairs(footfall.visit_links(footfall.prepare_orders(orders), footfall.prepare_visits(track)))
     assert values(pairs, "ordr_id") == [("0",), ("1",)]
 
 
@@ -300,7 +300,7 @@ def test_containment_to_the_microsecond(spark):
     rows = [(str(i), "1", day("2019-01-01"), t) for i, t in enumerate([enter - tick, enter, leave, leave + tick])]
     orders = footfall.prepare_orders(spark.createDataFrame(rows, "ordr_id string, shop_id string, date_id date, ordr_date timestamp"))
     visits = footfall.prepare_visits(track)
-    assert values(footfall.contained_pairs(orders, visits), "ordr_id") == [("1",), ("2",)]
+    assert values(footfall.linked_pairs(footfall.visit_links(orders, visits)), "ordr_id") == [("1",), ("2",)]
     line = footfall.timeline(visits, orders)
     assert footfall.orders_per_visit(visits, line).first()["related"] == 2
     assert sorted(r["distance"] for r in line.filter("orders > 0").collect()) == [0, 0, 1, 1]

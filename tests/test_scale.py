@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -26,8 +27,10 @@ def test_positions_over_partitions(spark):
     assert [r["place"] for r in expected] == list(range(1, 5001))
 
 
+@pytest.mark.parametrize("small", [0, 20_000])
 @pytest.mark.parametrize("coalesce", ["true", "false"])
-def test_group_quantiles(spark, coalesce):
+def test_group_quantiles(spark, coalesce, small, monkeypatch):
+    monkeypatch.setattr(quantiles, "SMALL", max(small, 3000))
     rng = random.Random(5)
     rows = [("hot", float(rng.randrange(400)) / 7) for _ in range(4000)]
     rows += [(f"g{i % 9}", rng.random() * 10) for i in range(500)]
@@ -49,6 +52,24 @@ def test_group_quantiles(spark, coalesce):
         assert r["quantiles"] == pytest.approx(list(np.quantile(by[r["g"]], probs)))
 
 
+def test_quantiles_of_large_and_odd_columns(spark):
+    """Sketched groups: heavy tails, one value for most rows, negative and huge numbers."""
+    n = 60_000
+    rows = spark.range(n).select(
+        F.when(F.col("id") % 2 == 0, F.lit("tail")).otherwise(F.lit("same")).alias("g"),
+        F.when(F.col("id") % 2 == 0, F.exp(F.pmod(F.xxhash64("id"), F.lit(100_000)) / 200.0) * F.when(F.col("id") % 3 == 0, -1).otherwise(1))
+        .otherwise(F.when(F.col("id") % 50 == 1, F.col("id") / 7).otherwise(F.lit(5.0))).alias("x"),
+    )
+    probs = [0, 0.001, 0.125, 0.25, 0.5, 0.75, 0.9999, 1]
+    found = {r["g"]: r for r in quantiles.group_quantiles(rows, "x", probs, ["g"]).collect()}
+    for g in ("tail", "same"):
+        values = [r["x"] for r in rows.filter(F.col("g") == g).collect()]
+        assert found[g]["n"] == len(values) > quantiles.SMALL
+        assert found[g]["quantiles"] == pytest.approx(list(np.quantile(values, probs)), rel=1e-12)
+    plan = quantiles.group_quantiles(rows, "x", probs, ["g"])._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan
+
+
 def test_neighbours_and_running_sums(spark):
     rng = random.Random(3)
     rows = {("hot", t) for t in rng.sample(range(5000), 1500)}
@@ -138,11 +159,31 @@ def crowd(spark, n_visits=400, n_orders=250, seed=1):
 
 def test_pairs_against_nested_loop(spark):
     visits, orders, v, o = crowd(spark)
-    found = sorted((r["ordr_id"], r["id"]) for r in footfall.contained_pairs(o, v).collect())
+    links = footfall.visit_links(o, v).cache()
+    assert links.count() == len(visits) + len(orders)
+    found = sorted((r["ordr_id"], r["visit_id"]) for r in footfall.linked_pairs(links).collect())
     expected = sorted(
         (q[0], p[0]) for q in orders for p in visits if q[1] == p[1] and p[3] <= q[3] <= p[4]
     )
     assert found == expected
+    for kind, n in (("order", 0), ("visit", 1)):
+        counts = {r["id"]: r["links"] for r in links.collect() if r["kind"] == kind and r["links"]}
+        assert counts == Counter(pair[n] for pair in expected)
+
+
+def test_links_of_a_crowd_are_one_row_each(spark):
+    """A third of all orders at one instant, inside every visit: the pairs are never listed."""
+    n = 3000
+    at = MIDNIGHT + dt.timedelta(hours=12)
+    visits = [(f"v{i}", "1", "p", at - dt.timedelta(seconds=i), at + dt.timedelta(seconds=i), 0) for i in range(n)]
+    orders = [(f"o{i}", "1", DAY, at + dt.timedelta(seconds=max(0, i - n // 3))) for i in range(n)]
+    v = spark.createDataFrame(visits, "id string, store_id string, profile_id string, enter_time timestamp, exit_time timestamp, event_type int")
+    o = spark.createDataFrame(orders, "ordr_id string, shop_id string, date_id date, ordr_date timestamp")
+    links = footfall.visit_links(footfall.prepare_orders(o), footfall.prepare_visits(v)).cache()
+    assert links.count() == 2 * n
+    total = {r["kind"]: r["n"] for r in links.groupBy("kind").agg(F.sum("links").alias("n")).collect()}
+    shifts = [max(0, i - n // 3) for i in range(n)]
+    assert total["order"] == total["visit"] == sum(sum(1 for s in shifts if s <= i) for i in range(n))
 
 
 def test_order_features_against_nested_loop(spark):
@@ -202,6 +243,6 @@ def test_related_visits_against_row_order(spark):
 def test_no_pair_table_in_the_plan(spark):
     """The hot shop-day is joined second by second: no nested loop, no cartesian product."""
     _, _, v, o = crowd(spark)
-    for df in (footfall.order_visit_features(o, v), footfall.contained_pairs(o, v)):
+    for df in (footfall.order_visit_features(o, v), footfall.visit_links(o, v)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "NestedLoop" not in plan and "Cartesian" not in plan
