@@ -189,7 +189,7 @@ def write_read_back(spark, sf):
 @query
 def daily_loads(spark, sf):
     """Days loaded in part, one of them again in full, and late rows for old and new days."""
-    rows = frames.track(spark, sf).select("id", "store_id", "profile_id", "dt")
+    rows = frames.track(spark, sf).select("id", F.col("store_id").cast("string").alias("store_id"), "profile_id", "dt")
     even = F.col("id").cast("bigint") % 2 == 0
     folder = scratch(spark, "visits-by-day")
     sinks.load_days(rows.filter(even & (F.col("dt") <= "20240110")), folder)

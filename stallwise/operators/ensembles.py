@@ -11,11 +11,12 @@ All sums are whole numbers, so a tree does not depend on how the rows were laid
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from dataclasses import dataclass
 from math import log
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stallwise.operators.quantiles import group_quantiles
@@ -27,7 +28,7 @@ UNIT = 1 << 30
 # Chances of at most 0, 1, 2, ... draws of a row in a sample with replacement (Poisson, mean 1).
 DRAWS = [0.367879, 0.735759, 0.919699, 0.981012, 0.996340, 0.999406, 0.999917]
 # Rows of (row, lane, feature) that one task works on.
-TASK_ROWS = 5_000_000
+TASK_ROWS = 200_000
 
 
 # ---- rows ----------------------------------------------------------------------
@@ -117,6 +118,11 @@ def spread_out(rows: DataFrame, lanes: int, features: int) -> DataFrame:
 # ---- growing -------------------------------------------------------------------
 
 
+def one_row(spark: SparkSession, row: dict, schema: str) -> DataFrame:
+    """A model as a table of one row of arrays."""
+    return spark.range(1).select(F.from_json(F.lit(json.dumps(row)), schema).alias("m")).select("m.*")
+
+
 @dataclass
 class Trees:
     """Per lane and node (1 is the root, 2n and 2n + 1 are below n): split and sums."""
@@ -137,11 +143,11 @@ class Trees:
     def table(self, spark: SparkSession, value=None) -> DataFrame:
         """The trees as one row of arrays, with ``value`` of every node's sums."""
         schema = "m_feature array<array<int>>, m_cut array<array<int>>"
-        row: tuple = (self.feature, self.cut)
+        row = {"m_feature": self.feature, "m_cut": self.cut}
         if value:
             schema += ", m_value array<array<array<double>>>"
-            row = (*row, [[value(s) if s else None for s in lane] for lane in self.sums])
-        return spark.createDataFrame([row], schema, verifySchema=False)
+            row["m_value"] = [[value(s) if s else None for s in lane] for lane in self.sums]
+        return one_row(spark, row, schema)
 
 
 def walk(lane: str, steps: int) -> str:
@@ -152,15 +158,50 @@ def walk(lane: str, steps: int) -> str:
     return f"aggregate(sequence(1, {steps}), 1, (n, i) -> if({feature} < 0, n, 2 * n + if(bins[{feature}] <= {cut}, 0, 1)))"
 
 
-def gini(sums: Sequence[Column]) -> Column:
-    """Purity of class counts: squares over the total."""
-    total = sum(sums[1:], sums[0])
-    return sum((c.cast("double") * c for c in sums[1:]), sums[0].cast("double") * sums[0]) / total
+def gini(sums: Sequence[str]) -> str:
+    """SQL: purity of class counts, squares over the total."""
+    return f"(({' + '.join(f'cast({c} as double) * ({c})' for c in sums)}) / ({all_rows(sums)}))"
+
+
+def all_rows(sums: Sequence[str]) -> str:
+    return "(" + " + ".join(sums) + ")"
+
+
+def squares(sums: Sequence[str]) -> str:
+    """SQL: what a mean explains, the squared sum over the number of rows (the first two sums)."""
+    return f"(cast({sums[1]} as double) * ({sums[1]}) / ({sums[0]}))"
 
 
-def squares(sums: Sequence[Column]) -> Column:
-    """What a mean explains: the squared sum over the number of rows (the first two sums)."""
-    return sums[1].cast("double") * sums[1] / sums[0]
+def first_sum(sums: Sequence[str]) -> str:
+    return f"({sums[0]})"
+
+
+def level_query(lanes: int, level: int, counts: str, stats: Sequence[str], score, size, allowed: str | None, seed: int) -> str:
+    """SQL: the best split of every node of one level, from {rows} and the trees so far in {model}."""
+    names = [f"s{i}" for i in range(len(stats))]
+    low, all_ = [f"l_{n}" for n in names], [f"t_{n}" for n in names]
+    high = [f"({t} - {l})" for t, l in zip(all_, low, strict=True)]
+    some = f", dense_rank() OVER (PARTITION BY lane, node ORDER BY xxhash64({seed}, lane, node, feature), feature) AS nth" if allowed else ""
+    return f"""
+        WITH placed AS (
+          SELECT /*+ BROADCAST(m) */ r.*, lane, node FROM {{rows}} r CROSS JOIN {{model}} m
+            LATERAL VIEW posexplode(transform(sequence(0, {lanes - 1}), l -> {walk("l", level)})) AS lane, node),
+        counted AS (
+          SELECT lane, node, bins, {", ".join(f"cast({s} AS bigint) AS {n}" for s, n in zip(stats, names, strict=True))}
+          FROM placed WHERE node >= {1 << level} AND {counts}),
+        summed AS (
+          SELECT /*+ REPARTITION(lane, node) */ lane, node, feature, bin, {", ".join(f"sum({n}) AS {n}" for n in names)}
+          FROM counted LATERAL VIEW posexplode(bins) AS feature, bin GROUP BY lane, node, feature, bin),
+        chosen AS (SELECT *{some} FROM summed),
+        split AS (
+          SELECT lane, node, feature, bin, {", ".join(f"sum({n}) OVER upto AS l_{n}, sum({n}) OVER whole AS t_{n}" for n in names)}
+          FROM chosen {f"WHERE nth <= {allowed}" if allowed else ""}
+          WINDOW whole AS (PARTITION BY lane, node, feature),
+            upto AS (PARTITION BY lane, node, feature ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+        SELECT lane, node, first(array({", ".join(all_)})) AS all, max(struct(
+            CASE WHEN {size(low)} > 0 AND {size(high)} > 0 THEN {score(low)} + {score(high)} - {score(all_)} ELSE -1D END AS gain,
+            -feature AS f, -bin AS b, array({", ".join(low)}) AS low)) AS best
+        FROM split GROUP BY lane, node"""
 
 
 def grow(
@@ -183,29 +224,8 @@ def grow(
     """
     spark = rows.sparkSession
     trees = Trees.empty(lanes, depth)
-    names = [f"s{i}" for i in range(len(stats))]
-    node = ["lane", "node"]
-    one_feature = Window.partitionBy(*node, "feature")
-    upto = one_feature.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     for level in range(depth):
-        nodes = F.expr(f"transform(sequence(0, {lanes - 1}), l -> {walk('l', level)})")
-        placed = rows.crossJoin(F.broadcast(trees.table(spark))).select(*rows.columns, F.posexplode(nodes).alias(*node))
-        counted = placed.filter(f"node >= {1 << level} and {counts}")
-        long = counted.selectExpr(*node, "bins", *[f"cast({s} as bigint) as {n}" for s, n in zip(stats, names, strict=True)])
-        long = long.select(*node, *names, F.posexplode("bins").alias("feature", "bin"))
-        summed = long.groupBy(*node, "feature", "bin").agg(*[F.sum(n).alias(n) for n in names]).repartition(*node)
-        if allowed:
-            chosen = Window.partitionBy(*node).orderBy(F.xxhash64(F.lit(seed), *node, "feature"), "feature")
-            summed = summed.withColumn("nth", F.dense_rank().over(chosen)).filter(f"nth <= {allowed}")
-        left = summed.select(
-            *node, "feature", "bin",
-            *[F.sum(n).over(upto).alias(f"l_{n}") for n in names], *[F.sum(n).over(one_feature).alias(f"t_{n}") for n in names],
-        )
-        low, all_ = ([F.col(f"{p}_{n}") for n in names] for p in ("l", "t"))
-        high = [a - b for a, b in zip(all_, low, strict=True)]
-        gain = F.when((size(low) > 0) & (size(high) > 0), score(low) + score(high) - score(all_))
-        choice = F.struct(F.coalesce(gain, F.lit(-1.0)).alias("gain"), (-F.col("feature")).alias("f"), (-F.col("bin")).alias("b"), F.array(*low).alias("low"))
-        best = left.groupBy(*node).agg(F.max(choice).alias("best"), F.first(F.array(*all_)).alias("all"))
+        best = spark.sql(level_query(lanes, level, counts, stats, score, size, allowed, seed), rows=rows, model=trees.table(spark))
         split = False
         for r in best.collect():  # at most one row a node of every lane
             lane, at, found, total = r["lane"], r["node"], r["best"], list(r["all"])
@@ -274,7 +294,7 @@ def grow_classifiers(rows: DataFrame, runs: Runs, classes: int, features: int, s
     trees = grow(
         rows, runs.count * width, settings.depth,
         f"{runs.trains(run)} and {drawn} > 0", [f"if(y = {k}, {drawn}, 0)" for k in range(classes)],
-        gini, lambda sums: sum(sums[1:], sums[0]),
+        gini, all_rows,
         f"if(lane % {width} > {settings.trees}, {some}, {features})", settings.seed,
     )
     return trees, width
@@ -302,7 +322,7 @@ def boost(rows: DataFrame, runs: Runs, classes: int, settings: Settings) -> tupl
         trees = grow(
             rows, lanes, settings.boost_depth, runs.trains(run),
             ["1", f"round({UNIT} * (if(y = {k}, 1, 0) - {chance}))", f"round({UNIT} * {chance} * (1 - {chance}))"],
-            squares, lambda sums: sums[0],
+            squares, first_sum,
         )
         rounds.append(trees)
         rows = checkpointed(stepped(rows, trees, lanes, step))
@@ -331,9 +351,9 @@ class Bayes:
 
     def guess(self, rows: DataFrame, run: str) -> DataFrame:
         """Rows with the likeliest class under a normal distribution of every feature."""
-        row = (self.prior, self.mean, self.variance)
+        row = {"b_prior": self.prior, "b_mean": self.mean, "b_var": self.variance}
         schema = "b_prior array<array<double>>, b_mean array<array<array<double>>>, b_var array<array<array<double>>>"
-        table = rows.sparkSession.createDataFrame([row], schema, verifySchema=False)
+        table = one_row(rows.sparkSession, row, schema)
         at = f"[{run}][c]"
         term = f"-0.5D * ln(2 * pi() * b_var{at}[j]) - pow(x[j] - b_mean{at}[j], 2) / (2 * b_var{at}[j])"
         one = f"aggregate(sequence(0, size(x) - 1), b_prior{at}, (a, j) -> a + coalesce({term}, 0D))"
@@ -502,7 +522,7 @@ def fit_regressors(
     some = max(1, -(-len(features) // 3))
     trees = grow(
         rows, runs.count * width, settings.depth, f"{runs.trains(run)} and {drawn} > 0", [drawn, f"{drawn} * units"],
-        squares, lambda sums: sums[0], f"if(lane % {width} > 0, {some}, {len(features)})", settings.seed,
+        squares, first_sum, f"if(lane % {width} > 0, {some}, {len(features)})", settings.seed,
     )
     tested = means_of(rows.select("y", "bins", F.explode(F.expr(runs.held_out())).alias("run")), trees, width, "run", unit)
     per_run = tested.groupBy("run").agg(*[F.sqrt(F.avg(F.pow(F.col(m) - F.col("y"), 2))).alias(m) for m in REGRESSORS])

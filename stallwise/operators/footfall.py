@@ -18,7 +18,7 @@ from stallwise.functions.dates import MINUTE, SECOND, micros_of_day, minutes_bet
 from stallwise.functions.nullsafe import distinct_with_null, ratio
 from stallwise.operators.intervals import blocks_of_interval, blocks_of_point
 from stallwise.operators.joins import keep_unmatched, null_safe_join
-from stallwise.operators.ordered import with_extremes, with_running_sums
+from stallwise.operators.ordered import with_extremes, with_running, with_running_sums
 from stallwise.operators.quantiles import group_quantiles
 from stallwise.session import checkpointed
 
@@ -130,9 +130,8 @@ def timeline(visits: DataFrame, orders: DataFrame, minutes: float = CUSTOMER_MIN
 
     rows = rows.na.drop(subset=SHOP_DAY).withColumn("second", F.floor(F.col("at") / SECOND))
     sums = {f"upto_{c}": F.col(c) for c in [*counts, "orders"]}
-    rows = with_running_sums(rows, SHOP_DAY, "second", "at", sums)
-    rows = with_extremes(
-        rows, SHOP_DAY, "second", "at",
+    rows = with_running(
+        rows, SHOP_DAY, "second", "at", sums,
         {"left_at": F.when(F.col("long_exits") > 0, F.col("at"))},
         {"comes_at": F.when(F.col("long_enters") > 0, F.col("at"))},
     )

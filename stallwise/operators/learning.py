@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from math import log
+from itertools import combinations
+from math import isclose, log
 
 from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.feature import VectorAssembler
@@ -11,8 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stallwise.functions.nullsafe import ratio
-from stallwise.operators.ensembles import REGRESSORS, Regressors
-from stallwise.operators.nearest import with_nearest
+from stallwise.operators.ensembles import REGRESSORS, Regressors, one_row
+from stallwise.operators.nearest import FEW, nearest_label, with_nearest
 from stallwise.operators.shaping import complete_rows, hash_split
 from stallwise.session import checkpointed
 
@@ -222,10 +223,36 @@ def nearest_mean(rows: DataFrame, label: str, features: Sequence[str]) -> DataFr
 def self_training(rows: DataFrame, label: str, features: Sequence[str]) -> tuple[DataFrame, int]:
     """Label the unlabelled rows by nearest mean and refit until nothing moves.
 
-    Given labels never change. The state is the written table of class means; every
-    round is one aggregation over the input, so the plan does not grow. Returns the
-    rows with ``pred_value`` and the rounds used.
+    Given labels never change. Every round is one aggregation over the input, so the plan does
+    not grow. The state is the class means: numbers for a few classes, a written table for
+    many. Returns the rows with ``pred_value`` and the rounds used.
     """
+    few = class_means(rows, label, features).limit(FEW + 1).collect()  # at most FEW + 1 rows
+    if len(few) > FEW:
+        return _self_training_of_many(rows, label, features)
+    means, used = sorted_means(few), 0
+    while True:
+        used += 1
+        guess = F.coalesce(F.col(label).cast("string"), nearest_label(means, features))
+        moved = sorted_means(class_means(rows, guess, features).collect())  # no more classes than before
+        if same_numbers(means, moved):
+            return rows.withColumn("pred_value", nearest_label(moved, features)), used
+        means = moved
+
+
+def sorted_means(rows: Sequence) -> list[tuple[str, list[float]]]:
+    """Classes with their means in order of label, but for those with a missing mean."""
+    return sorted((r["label"], list(r["means"])) for r in rows if all(m is not None and m == m for m in r["means"]))
+
+
+def same_numbers(a: Sequence, b: Sequence) -> bool:
+    """Whether two lists of (label, means) are the same up to rounding."""
+    return [x[0] for x in a] == [x[0] for x in b] and all(
+        isclose(p, q, rel_tol=1e-12, abs_tol=1e-15) for x, y in zip(a, b, strict=True) for p, q in zip(x[1], y[1], strict=True)
+    )
+
+
+def _self_training_of_many(rows: DataFrame, label: str, features: Sequence[str]) -> tuple[DataFrame, int]:
     means = checkpointed(class_means(rows, label, features))
     used = 0
     while True:
@@ -262,24 +289,24 @@ def paired_rows(rows: DataFrame, label: str, true: str, features: Sequence[str])
     return long.filter("u is not null and v is not null and not isnan(u) and not isnan(v)")
 
 
-def nearest_of_pair(model: str) -> Column:
-    """The nearest class of a row's pair in ``model``: an array of classes (label, u, v)."""
-    tried = F.transform(
-        model, lambda c: F.struct(((F.col("u") - c["u"]) * (F.col("u") - c["u"]) + (F.col("v") - c["v"]) * (F.col("v") - c["v"])).alias("d"), c["label"].alias("label"))
-    )
-    return F.array_min(tried)["label"]
+def nearest_of_pair(pairs: str) -> Column:
+    """The nearest class of a row's pair; ``pairs`` has the classes (label, u, v) of each."""
+
+    def tried(c: Column) -> Column:
+        u, v = F.col("u") - c["u"], F.col("v") - c["v"]
+        return F.struct((u * u + v * v).alias("d"), c["label"].alias("label"))
+
+    return F.array_min(F.transform(F.get(F.col(pairs), F.col("pair")), tried))["label"]
 
 
-def pair_means(long: DataFrame, label: Column) -> DataFrame:
-    """(pair, model): per pair the classes with their means, ordered by label."""
-    means = long.select("pair", label.alias("label"), "u", "v").filter("label is not null").groupBy("pair", "label")
-    return means.agg(F.avg("u").alias("u"), F.avg("v").alias("v")).groupBy("pair").agg(F.sort_array(F.collect_list(F.struct("label", "u", "v"))).alias("model"))
+PAIR_MODEL = "array<array<struct<label: string, u: double, v: double>>>"
 
 
-def same_class(a: Column, b: Column) -> Column:
-    """Whether two classes (label, u, v) are the same with equal means; a new one is not."""
-    same = (a["label"] == b["label"]) & same_mean(a["u"], b["u"]) & same_mean(a["v"], b["v"])
-    return F.coalesce(same, F.lit(False))
+def pair_means(long: DataFrame, label: Column) -> dict[int, list[tuple[str, list[float]]]]:
+    """Per pair, the classes with their means."""
+    rows = long.select("pair", label.alias("label"), "u", "v").filter("label is not null")
+    found = rows.groupBy("pair", "label").agg(F.array(F.avg("u"), F.avg("v")).alias("means")).collect()  # pairs x classes
+    return {p: sorted_means([r for r in found if r["pair"] == p]) for p in sorted({r["pair"] for r in found})}
 
 
 def self_training_pairs(
@@ -288,44 +315,59 @@ def self_training_pairs(
     """Self-training by nearest mean for every pair of neighbouring features, all pairs at once.
 
     A round is one aggregation over the rows of the pairs that still move; a pair whose means
-    stay is done and leaves. The classes should be few: a pair's means are one row.
+    stay is done and leaves. The classes should be few: the means of all pairs are one row.
 
     Returns the pairs with ``rounds`` and the share of rows (with a true label) that the
     supervised and the self-trained means get wrong, and the boundaries between any two
     classes before and after: the points with ``w_u * u + w_v * v = c`` are as far from one as
     from the other. Pairs without a labelled row are left out.
     """
+    spark = rows.sparkSession
     long = checkpointed(paired_rows(rows, label, true, features))
-    first = checkpointed(pair_means(long, F.col("label")))
-    state = first.select("pair", "model", F.lit(0).alias("rounds"), F.lit(False).alias("still"))
-    while not state.filter("not still").isEmpty():
-        active = state.filter("not still")
-        guess = F.coalesce(F.col("label"), nearest_of_pair("model"))
-        moved = pair_means(long.join(active.select("pair", "model"), "pair"), guess).withColumnRenamed("model", "after")
-        equal = F.forall(F.zip_with("model", "after", same_class), lambda c: c)
-        stepped = active.join(moved, "pair").select(
-            "pair", F.col("after").alias("model"), (F.col("rounds") + 1).alias("rounds"), equal.alias("still")
-        )
-        state = checkpointed(stepped.unionByName(state.filter("still")))
-    both = state.select("pair", "rounds", F.col("model").alias("last")).join(first.select("pair", F.col("model").alias("first")), "pair")
+
+    def with_models(frame: DataFrame, **models: Mapping[int, Sequence]) -> DataFrame:
+        row = {
+            name: [[{"label": c, "u": m[0], "v": m[1]} for c, m in of.get(i, [])] for i in range(len(features) - 1)]
+            for name, of in models.items()
+        }
+        return frame.crossJoin(F.broadcast(one_row(spark, row, ", ".join(f"{n} {PAIR_MODEL}" for n in row))))
+
+    first = pair_means(long, F.col("label"))
+    now, rounds, moving = dict(first), dict.fromkeys(first, 0), set(first)
+    while moving:
+        active = with_models(long.filter(F.col("pair").isin(sorted(moving))), model=now)
+        moved = pair_means(active, F.coalesce(F.col("label"), nearest_of_pair("model")))
+        for pair in sorted(moving):
+            rounds[pair] += 1
+            if same_numbers(now[pair], moved[pair]):
+                moving.discard(pair)
+            now[pair] = moved[pair]
+
+    kept = with_models(long.filter(F.col("pair").isin(sorted(first))), first=first, last=now)
 
     def wrong(model: str) -> Column:
         return F.avg((nearest_of_pair(model) != F.col("true")).cast("double"))
 
-    errors = long.join(both, "pair").groupBy("pair").agg(F.first("rounds").alias("rounds"), wrong("first").alias("error_before"), wrong("last").alias("error_after"))
-    names = [F.lit(f) for f in features]
-    name_of = {"feature_u": F.get(F.array(*names), F.col("pair")), "feature_v": F.get(F.array(*names), F.col("pair") + 1)}
-    scores = errors.select(*[c.alias(n) for n, c in name_of.items()], "rounds", "error_before", "error_after")
-    stages = [F.struct(F.lit(n).alias("stage"), F.col(c).alias("model")) for n, c in (("supervised", "first"), ("self_trained", "last"))]
-    models = both.select("pair", F.inline(F.array(*stages)))
-    lines = models.select("*", F.inline(F.expr("flatten(transform(model, (a, i) -> transform(filter(model, b -> b.label > a.label), b -> struct(a, b))))"))).toDF("pair", "stage", "model", "a", "b")
-    w_u, w_v = F.col("b.u") - F.col("a.u"), F.col("b.v") - F.col("a.v")
-    middle = (w_u * (F.col("a.u") + F.col("b.u")) + w_v * (F.col("a.v") + F.col("b.v"))) / 2
-    boundaries = lines.select(
-        *[c.alias(n) for n, c in name_of.items()], "stage", F.col("a.label").alias("class_a"), F.col("b.label").alias("class_b"),
-        w_u.alias("w_u"), w_v.alias("w_v"), middle.alias("c"),
-    )
-    return scores, boundaries
+    used = spark.createDataFrame(sorted(rounds.items()), "pair int, rounds int")
+    errors = kept.groupBy("pair").agg(wrong("first").alias("error_before"), wrong("last").alias("error_after")).join(used, "pair")
+    names = F.array(*[F.lit(f) for f in features])
+    scores = errors.select(
+        F.get(names, F.col("pair")).alias("feature_u"), F.get(names, F.col("pair") + 1).alias("feature_v"), "rounds", "error_before", "error_after"
+    )
+    lines = [
+        (features[pair], features[pair + 1], stage, a, b, *boundary(p, q))
+        for stage, models in (("supervised", first), ("self_trained", now))
+        for pair, classes in sorted(models.items())
+        for (a, p), (b, q) in combinations(classes, 2)
+    ]
+    schema = "feature_u string, feature_v string, stage string, class_a string, class_b string, w_u double, w_v double, c double"
+    return scores, spark.createDataFrame(lines, schema)
+
+
+def boundary(a: Sequence[float], b: Sequence[float]) -> tuple[float, float, float]:
+    """(w_u, w_v, c) of the points that are as far from ``a`` as from ``b``."""
+    w_u, w_v = b[0] - a[0], b[1] - a[1]
+    return w_u, w_v, (w_u * (a[0] + b[0]) + w_v * (a[1] + b[1])) / 2
 
 
 def error_rate(rows: DataFrame, predicted: str, true: str) -> DataFrame:

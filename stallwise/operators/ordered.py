@@ -43,30 +43,53 @@ def with_neighbours(
     )
 
 
+def with_running(
+    df: DataFrame,
+    keys: Sequence[str],
+    segment: str,
+    at: str,
+    sums: Mapping[str, Column] | None = None,
+    last: Mapping[str, Column] | None = None,
+    first: Mapping[str, Column] | None = None,
+) -> DataFrame:
+    """Add running values of a key: ``sums`` over the rows up to and with each row, the highest
+    ``last`` of the rows before it and the lowest ``first`` of those after it.
+
+    All of them take one pass inside segments, one table of segments and one join.
+    """
+    before, upto = (Window.unboundedPreceding, -1), (Window.unboundedPreceding, Window.currentRow)
+    forwards = (F.col, lambda c: F.col(c).desc())
+    kinds = [(n, v, F.sum, 0, upto) for n, v in (sums or {}).items()]
+    kinds += [(n, v, F.max, 0, before) for n, v in (last or {}).items()]
+    kinds += [(n, v, F.min, 1, before) for n, v in (first or {}).items()]
+
+    def window(by: Sequence[str], order: str, way: int, frame: tuple[int, int]):
+        return Window.partitionBy(*by).orderBy(forwards[way](order)).rowsBetween(*frame)
+
+    valued = df.select("*", *[v.alias(f"_v_{n}") for n, v, *_ in kinds])
+    borders = valued.groupBy(*keys, segment).agg(*[f(f"_v_{n}").alias(f"_t_{n}") for n, _, f, *_ in kinds])
+    borders = borders.select(
+        *keys, segment, *[f(f"_t_{n}").over(window(keys, segment, way, before)).alias(f"_b_{n}") for n, _, f, way, _ in kinds]
+    )
+    rows = valued.select(
+        "*", *[f(f"_v_{n}").over(window([*keys, segment], at, way, frame)).alias(f"_w_{n}") for n, _, f, way, frame in kinds]
+    )
+    joined = rows.join(borders, [*keys, segment])
+
+    def merged(n: str, f) -> Column:
+        border, inside = F.col(f"_b_{n}"), F.col(f"_w_{n}")
+        if f is F.sum:
+            return F.coalesce(border, F.lit(0)) + inside
+        return (F.greatest if f is F.max else F.least)(border, inside)
+
+    return joined.select(*df.columns, *[merged(n, f).alias(n) for n, _, f, *_ in kinds])
+
+
 def with_running_sums(
     df: DataFrame, keys: Sequence[str], segment: str, at: str, sums: Mapping[str, Column]
 ) -> DataFrame:
     """Add, per name, the sum over all rows of the key up to and with the row."""
-    inside = Window.partitionBy(*keys, segment).orderBy(at).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    before = Window.partitionBy(*keys).orderBy(segment).rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    valued = df.select("*", *[v.alias(f"_v_{n}") for n, v in sums.items()])
-    totals = valued.groupBy(*keys, segment).agg(
-        *[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums]
-    )
-    starts = totals.select(
-        *keys,
-        segment,
-        *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_s_{n}") for n in sums],
-    )
-    rows = valued.select("*", *[F.sum(f"_v_{n}").over(inside).alias(f"_w_{n}") for n in sums])
-    joined = rows.join(starts, [*keys, segment])
-    return joined.select(
-        *df.columns, *[(F.col(f"_s_{n}") + F.col(f"_w_{n}")).alias(n) for n in sums]
-    )
+    return with_running(df, keys, segment, at, sums)
 
 
 def with_extremes(
@@ -78,29 +101,7 @@ def with_extremes(
     first: Mapping[str, Column] | None = None,
 ) -> DataFrame:
     """Add, per name, the highest ``last`` of the rows before and the lowest ``first`` of those after."""
-    first = first or {}
-    upto = (Window.unboundedPreceding, -1)
-
-    def windows(*by: str, order: str) -> dict:
-        line = Window.partitionBy(*by)
-        return {
-            "last": line.orderBy(order).rowsBetween(*upto),
-            "first": line.orderBy(F.col(order).desc()).rowsBetween(*upto),
-        }
-
-    valued = df.select("*", *[v.alias(f"_v_{n}") for n, v in [*last.items(), *first.items()]])
-    kinds = [("last", F.max, F.greatest, n) for n in last] + [("first", F.min, F.least, n) for n in first]
-    across = windows(*keys, order=segment)
-    borders = valued.groupBy(*keys, segment).agg(*[f(f"_v_{n}").alias(f"_t_{n}") for _, f, _, n in kinds])
-    borders = borders.select(
-        *keys, segment, *[f(f"_t_{n}").over(across[k]).alias(f"_b_{n}") for k, f, _, n in kinds]
-    )
-    inside = windows(*keys, segment, order=at)
-    rows = valued.select("*", *[f(f"_v_{n}").over(inside[k]).alias(f"_w_{n}") for k, f, _, n in kinds])
-    joined = rows.join(borders, [*keys, segment])
-    return joined.select(
-        *df.columns, *[best(F.col(f"_b_{n}"), F.col(f"_w_{n}")).alias(n) for _, _, best, n in kinds]
-    )
+    return with_running(df, keys, segment, at, None, last, first)
 
 
 def laid_out(df: DataFrame, order: Sequence) -> DataFrame:
