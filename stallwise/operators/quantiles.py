@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stallwise.operators.joins import null_safe_join
@@ -22,14 +22,21 @@ ACCURACY = 10_000
 SMALL = 20_000
 
 
-def brackets(probs: Sequence[float]) -> tuple[list[float], Column]:
-    """The sketch's probes, and an array of (low, high) around the wanted ranks of a group of ``n``."""
+def probes_of(probs: Sequence[float]) -> list[float]:
+    """What the sketch is asked: a little below and above every wanted share."""
     margin = 4 / ACCURACY
-    probes = [min(1.0, max(0.0, p + m)) for p in probs for m in (-margin, margin)]
-    at = F.col("_sketch")
-    around = F.array(*[F.struct(at[2 * i].alias("low"), at[2 * i + 1].alias("high")) for i in range(len(probs))])
-    everything = F.array(F.struct(F.lit(float("-inf")).alias("low"), F.lit(float("inf")).alias("high")))
-    return probes, F.when(F.col("n") <= SMALL, everything).otherwise(around)
+    return [min(1.0, max(0.0, p + m)) for p in probs for m in (-margin, margin)]
+
+
+# Array of (low, high) around the wanted ranks of a group of ``n`` with the sketch's answers.
+AROUND = """if(n <= {small}, array(struct(double('-infinity') AS low, double('infinity') AS high)),
+    transform(sequence(0, size(_sketch) div 2 - 1), i -> struct(_sketch[2 * i] AS low, _sketch[2 * i + 1] AS high)))"""
+KEPT = "exists(_between, b -> _v >= b.low AND _v <= b.high)"
+ZONE = "size(filter(_between, b -> b.low <= _v)) + size(filter(_between, b -> b.high < _v))"
+# The ranks that a share needs, of these the ones among the places _to - _n up to _to.
+WANTED = """filter(array_distinct(flatten(transform({probs}, p -> array(
+    struct(p AS _p, (n - 1) * p AS _h, floor((n - 1) * p) AS _rank), struct(p AS _p, (n - 1) * p AS _h, ceil((n - 1) * p) AS _rank))))),
+    w -> w._rank >= _to - _n AND w._rank < _to)"""
 
 
 def group_quantiles(
@@ -43,18 +50,15 @@ def group_quantiles(
     groups = by or ["_all"]
     source = df.select(*by, *([] if by else [F.lit(1).alias("_all")]), F.col(value).cast("double").alias("_v"))
     source = source.filter("_v is not null and not isnan(_v)")
-    probes, around = brackets(probs)
     sketched = source.groupBy(*groups).agg(
-        F.count(F.lit(1)).alias("n"), F.percentile_approx("_v", probes, ACCURACY).alias("_sketch")
+        F.count(F.lit(1)).alias("n"), F.percentile_approx("_v", probes_of(probs), ACCURACY).alias("_sketch")
     )
-    sketched = sketched.select(*groups, "n", around.alias("_between"))
+    sketched = sketched.select(*groups, "n", F.expr(AROUND.format(small=SMALL)).alias("_between"))
 
     # Zones follow each other by value; in each either all values are kept or none.
-    kept = F.exists("_between", lambda b: (F.col("_v") >= b["low"]) & (F.col("_v") <= b["high"]))
-    zone = F.size(F.filter("_between", lambda b: b["low"] <= F.col("_v"))) + F.size(F.filter("_between", lambda b: b["high"] < F.col("_v")))
     counted = (
         null_safe_join(source, sketched, groups)
-        .select(*groups, "n", zone.alias("_zone"), F.when(kept, F.col("_v")).alias("_v"))
+        .select(*groups, "n", F.expr(ZONE).alias("_zone"), F.when(F.expr(KEPT), F.col("_v")).alias("_v"))
         .groupBy(*groups, "n", "_zone", "_v")
         .agg(F.count(F.lit(1)).alias("_n"))
     )
@@ -68,12 +72,8 @@ def group_quantiles(
     placed = null_safe_join(counted, zones, [*groups, "_zone"]).withColumn(
         "_to", F.col("_start") + F.sum("_n").over(inside)
     )
-    h = [(F.lit(float(p)), (F.col("n") - 1) * float(p)) for p in probs]
-    wanted = F.array_distinct(
-        F.array(*[F.struct(p.alias("_p"), x.alias("_h"), f(x).alias("_rank")) for p, x in h for f in (F.floor, F.ceil)])
-    )
-    mine = F.filter(wanted, lambda w: (w["_rank"] >= F.col("_to") - F.col("_n")) & (w["_rank"] < F.col("_to")))
-    hit = placed.select(*groups, "n", "_v", F.inline(mine))
+    shares = "array(" + ", ".join(f"double('{float(p)!r}')" for p in probs) + ")"
+    hit = placed.select(*groups, "n", "_v", F.inline(F.expr(WANTED.format(probs=shares))))
     # Cannot happen while the sketch keeps its bound; a wrong value must not pass.
     lost = F.raise_error(F.lit("a quantile lies outside the sketch's bounds"))
     sure = F.when(F.col("_v").isNull(), lost.cast("double")).otherwise(F.col("_v"))
