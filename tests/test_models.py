@@ -49,7 +49,7 @@ def test_every_fold_has_the_tree_that_a_plain_loop_grows(spark):
     data = [([rng.randint(-1, 6) for _ in range(3)], rng.randint(0, 2), [rng.randint(0, 2), rng.randint(0, 2)]) for _ in range(120)]
     rows = spark.createDataFrame(data, "bins array<int>, y int, folds array<int>").repartition(5)
     runs = ensembles.Runs(3, 2)
-    trees = ensembles.grow(rows, runs.count, 3, runs.trains("lane"), [f"if(y = {k}, 1, 0)" for k in range(3)], ensembles.gini, lambda s: s[0] + s[1] + s[2])
+    trees = ensembles.grow(rows, runs.count, 3, runs.trains("lane"), [f"if(y = {k}, 1, 0)" for k in range(3)], ensembles.gini, ensembles.all_rows)
     for run in range(runs.count):
         mine = [(b, y) for b, y, folds in data if run == 0 or folds[(run - 1) // 3] != (run - 1) % 3]
         for node, (feature, cut, counts) in brute_tree(mine, 3, 3).items():
@@ -60,7 +60,7 @@ def test_every_fold_has_the_tree_that_a_plain_loop_grows(spark):
 def test_forests_look_at_some_features_only(spark):
     data = [([i % 5, i % 7, i % 3, i % 2], i % 2) for i in range(200)]
     rows = spark.createDataFrame(data, "bins array<int>, y int")
-    trees = ensembles.grow(rows, 40, 1, "true", ["if(y = 0, 1, 0)", "if(y = 1, 1, 0)"], ensembles.gini, lambda s: s[0] + s[1], "if(lane < 20, 4, 1)", 3)
+    trees = ensembles.grow(rows, 40, 1, "true", ["if(y = 0, 1, 0)", "if(y = 1, 1, 0)"], ensembles.gini, ensembles.all_rows, "if(lane < 20, 4, 1)", 3)
     assert all(trees.feature[lane][1] == 3 for lane in range(20))
     assert len({trees.feature[lane][1] for lane in range(20, 40)}) > 1
 
