@@ -56,15 +56,16 @@ def marking(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             marks = [fingerprint(x.as_py(), shingle) for x in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(marks, pa.int64())], ["doc_id", "mark"])
+            keys = [c for c in batch.schema.names if c != "text"]
+            yield pa.RecordBatch.from_arrays([*map(batch.column, keys), pa.array(marks, pa.int64())], [*keys, "mark"])
 
     return run
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, mark) of every row."""
-    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, mark long"
-    return docs.select("doc_id", "text").mapInArrow(marking(shingle), schema)
+    """``docs`` with ``mark`` in place of ``text``."""
+    keys = [f"`{c}` {kind}" for c, kind in docs.dtypes if c != "text"]
+    return docs.mapInArrow(marking(shingle), ", ".join([*keys, "mark long"]))
 
 
 def variants(mark: Column) -> Column:
@@ -83,16 +84,37 @@ def links(marks: DataFrame) -> DataFrame:
     return met.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2).select("a", "b")
 
 
+def rooted(marks: DataFrame) -> DataFrame:
+    """(mark, root) of distinct ``mark``: the same root for all marks reachable over steps of two bits."""
+    found = components(links(marks))
+    return marks.join(found, marks["mark"] == found["node"], "left").select("mark", F.coalesce("component", "mark").alias("root"))
+
+
 def linked(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """(doc_id, mark, component_id): the smallest doc_id reachable over marks two bits apart.
 
     One row per row of ``docs``. Texts without words, null ones too, have mark zero and are
     linked like any other. A null doc_id never is the smallest.
     """
-    marked = staged(fingerprints(docs, shingle), "marks")
+    marked = staged(fingerprints(docs.select("doc_id", "text"), shingle), "marks")
     marks = staged(marked.groupBy("mark").agg(F.min("doc_id").alias("first")), "distinct-marks")
-    found = components(links(marks))
-    rooted = marks.join(found, marks["mark"] == found["node"], "left").select("mark", "first", F.coalesce("component", "mark").alias("root"))
-    rooted = staged(rooted, "roots")
-    ids = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    return marked.join(rooted.join(ids, "root").select("mark", "component_id"), "mark")
+    roots = staged(marks.join(rooted(marks.select("mark")), "mark"), "roots")
+    ids = roots.groupBy("root").agg(F.min("first").alias("component_id"))
+    return marked.join(roots.join(ids, "root").select("mark", "component_id"), "mark")
+
+
+def one_of_each(docs: DataFrame, shingle: int = 3) -> DataFrame:
+    """``docs`` with one row of each group of texts linked over marks two bits apart.
+
+    It is the row of the smallest doc_id, ids before null; of several rows with that id, the one
+    whose columns have the smallest hash, so equal rows count once. Texts without words, null
+    ones too, are one group. Only ids, hashes and marks are grouped; whole rows travel once.
+    """
+    row = F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns])), 256)
+    hashed = docs.select("doc_id", row.alias("row"), "text")
+    marked = staged(fingerprints(hashed, shingle), "marks")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
+    marks = staged(marked.groupBy("mark").agg(first), "distinct-marks")
+    kept = marks.join(rooted(marks.select("mark")), "mark").groupBy("root").agg(F.min("first").alias("first"))
+    out = docs.withColumn("_row", row).join(kept.select(F.col("first.row").alias("_row")), "_row", "left_semi")
+    return out.dropDuplicates(["_row"]).drop("_row")

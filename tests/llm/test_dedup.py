@@ -6,7 +6,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from stallwise.llm import line_dedup, near_copies, simhash, substring
+from stallwise.llm import line_dedup, simhash, substring
 from stallwise.llm.components import components
 from stallwise.llm.cuckoo import CuckooFilter
 
@@ -210,97 +210,42 @@ def test_links_reach_every_close_pair(spark):
                 assert found[a] == found[b]
 
 
-def near_by_hand(rows, least=0.8):
-    def shingles(text):
-        w = (text or "").encode().lower().split()
-        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
-
-    sets = [shingles(t) for _, t in rows]
+def kept_by_hand(rows):
+    """The smallest id of each group of marks that steps of two bits connect."""
+    marks = [simhash.fingerprint(t, 3) & (1 << 64) - 1 for _, t in rows]
     group = list(range(len(rows)))
     for i in range(len(rows)):
         for j in range(i):
-            same = (rows[i][1] or "") == (rows[j][1] or "")
-            union = len(sets[i] | sets[j])
-            if same or union and len(sets[i] & sets[j]) / union >= least:
+            if (marks[i] ^ marks[j]).bit_count() <= 2:
                 a, b = group[i], group[j]
                 group = [min(a, b) if g in (a, b) else g for g in group]
-    return group
+    return sorted(min(rows[i][0] for i in range(len(rows)) if group[i] == g) for g in set(group))
 
 
-def test_near_copies_are_grouped_and_one_stays(spark):
+def test_one_of_each_group_stays(spark):
     rng = random.Random(10)
     rows = []
     for i in range(25):
-        words = [f"t{rng.randint(0, 3000)}" for _ in range(rng.randint(60, 200))]
-        rows.append((3 * i, " ".join(words)))
-        for k in range(rng.randint(0, 2)):
-            copy = list(words)
-            for at in rng.sample(range(len(copy)), max(1, len(copy) // 60)):
-                copy[at] = "other"
-            rows.append((3 * i + k + 1, " ".join(copy)))
+        words = [f"t{rng.randint(0, 3000)}" for _ in range(rng.randint(100, 600))]
+        rows.append((4 * i, " ".join(words)))
+        for k in range(rng.randint(0, 3)):
+            words[rng.randrange(len(words))] = "other"
+            rows.append((4 * i + k + 1, " ".join(words)))
     docs = spark.createDataFrame(rows, SCHEMA).repartition(4)
-    group = near_by_hand(rows)
-    least = {g: min(rows[i][0] for i in range(len(rows)) if group[i] == g) for g in set(group)}
-    found = {r["doc"]["doc_id"]: r["first"] for r in near_copies.near_copy_groups(docs).collect()}
-    assert found == {rows[i][0]: least[group[i]] for i in range(len(rows))}
-    kept = sorted(r["doc_id"] for r in near_copies.without_near_copies(docs).collect())
-    assert kept == sorted(set(least.values()))
+    kept = sorted(r["doc_id"] for r in simhash.one_of_each(docs).collect())
+    assert kept == kept_by_hand(rows) and 25 <= len(kept) < len(rows)
 
 
-def test_near_copies_of_odd_and_no_rows(odd_docs, no_docs):
-    kept = near_copies.without_near_copies(odd_docs)
+def test_one_of_each_of_odd_and_no_rows(odd_docs, no_docs):
+    kept = simhash.one_of_each(odd_docs)
     assert kept.columns == odd_docs.columns
     ids = [r["doc_id"] for r in kept.select("doc_id").collect()]
     # Texts without words are one group: null, empty and blank ones.
     assert sorted(x for x in ids if x is not None) == [1, 3, 4, 7, 8, 9, 10, 11] and len(ids) == 9
-    assert near_copies.without_near_copies(no_docs).count() == 0
-    assert near_copies.near_copy_groups(odd_docs).filter(F.col("doc.text").isNull()).select("first").distinct().collect()[0][0] == 4
-
-
-def grouped_by_hand(spark, rows, **how):
-    """The groups found, and those by hand, as the smallest id of each row's group."""
-    group = near_by_hand(rows)
-    least = {g: min(rows[i][0] for i in range(len(rows)) if group[i] == g) for g in set(group)}
-    docs = spark.createDataFrame(rows, SCHEMA).repartition(4)
-    found = {r["doc"]["doc_id"]: r["first"] for r in near_copies.near_copy_groups(docs, **how).collect()}
-    return found, {rows[i][0]: least[group[i]] for i in range(len(rows))}
+    assert simhash.one_of_each(no_docs).count() == 0
 
 
-def test_near_copies_beside_an_unlike_leader_are_found(spark):
-    # Fingerprints of four bits: all texts share a few variants, whose smallest text is like almost none.
-    rng = random.Random(31)
-    rows = []
-    for i in range(30):
-        words = [f"u{rng.randint(0, 5000)}" for _ in range(120)]
-        rows.append((2 * i, " ".join(words)))
-        words[rng.randint(0, 119)] = "other"
-        rows.append((2 * i + 1, " ".join(words)))
-    found, want = grouped_by_hand(spark, rows, width=4)
-    assert len(set(want.values())) == 30
-    assert found == want
-
-
-def edited(rng, kind):
-    """A text, and a copy of similarity 0.8 to 0.85 edited in one block or with repeated passages."""
-    words = [f"v{rng.randint(0, 9000)}" for _ in range(200)]
-    new = [f"n{rng.randint(0, 9000)}" for _ in range(45)]
-    at = rng.randint(20, 150)
-    if kind == "replaced":
-        return words, words[:at] + new[:16] + words[at + 16 :]
-    if kind == "appended":
-        return words, words + new[: rng.randint(36, 45)]
-    return words, words + new[:32] * 12
-
-
-@pytest.mark.parametrize("kind", ["replaced", "appended", "repeated"])
-def test_near_copies_by_block_edits_are_found(spark, kind):
-    rng = random.Random(kind)
-    rows = []
-    for i in range(60):
-        rows += [(2 * i + k, " ".join(x)) for k, x in enumerate(edited(rng, kind))]
-    for one, other in zip(rows[::2], rows[1::2], strict=True):
-        a, b = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (one[1].split(), other[1].split()))
-        assert 0.8 <= len(a & b) / len(a | b) <= 0.85
-    found, want = grouped_by_hand(spark, rows)
-    assert len(set(want.values())) == 60
-    assert found == want
+def test_one_of_rows_with_the_same_id_is_defined(spark):
+    rows = [(1, "a b c d", "x"), (1, "a b c d", "y"), (None, "a b c d", "w"), (1, "a b c d", "x")]
+    kept = [simhash.one_of_each(spark.createDataFrame(order, "doc_id long, text string, z string")).collect() for order in (rows, rows[::-1])]
+    assert kept[0] == kept[1] and len(kept[0]) == 1 and kept[0][0]["doc_id"] == 1
