@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stallwise.llm import line_dedup, near_copies, packing, quality, substring, vocabularies
+from stallwise.llm import line_dedup, packing, quality, simhash, substring, vocabularies
 from stallwise.llm.common import ready, table
 from stallwise.llm.queries import GOOD, SEQUENCE
 from stallwise.session import scratch
@@ -37,9 +37,9 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, similarity 0.8 or more."""
+    """One document of each group whose fingerprints over three-word shingles are linked at two bits."""
     ready(spark)
-    return near_copies.without_near_copies(docs, 0.8, 5)
+    return simhash.one_of_each(docs, 3)
 
 
 def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
