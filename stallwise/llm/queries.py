@@ -103,7 +103,7 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
 # How much stronger than the triangle inequality the trees prune.
-PRUNING = 1.5
+PRUNING = 3.7
 
 
 @query

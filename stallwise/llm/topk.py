@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stallwise.llm.common import staged
-from stallwise.llm.vectors import BLOCK_ROWS, QUERY_ROWS, best, blocks, finite, numbers, objects, pairs, ranked
+from stallwise.llm.vectors import BLOCK_ROWS, QUERY_ROWS, best, block_of, blocks, count_of, finite, numbers, objects, pairs, ranked
 
 CHUNK = 128
 LISTS = "qobj long, part int, block int, least double, objs binary, scores binary"
@@ -162,16 +162,16 @@ def exact_top(vectors: DataFrame, is_query, keep: int, factor: int = 64, parts:
     n, n_asked = objs.count(), asked.select("qobj").distinct().count()
     if not n_asked:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    n_blocks = -(-n_asked // QUERY_ROWS)
+    n_blocks = count_of(n, BLOCK_ROWS)
     left = staged(blocks(objs, n, BLOCK_ROWS, "block"), "blocks")
     ask = objs.join(asked.select(F.col("qobj").alias("obj")).distinct(), "obj")
     right = staged(blocks(ask, n_asked, QUERY_ROWS, "query"), "query-blocks")
-    by_query = F.pmod(F.xxhash64("qobj"), F.lit(n_blocks)).cast("int").alias("query")
+    by_query = block_of(F.col("qobj"), n_asked, QUERY_ROWS).alias("query")
     most = parallelism(spark)
 
     def answers(needs: DataFrame) -> DataFrame:
         asking = needs.groupBy("block", by_query).agg(F.collect_list(F.struct("qobj", "objs")).alias("needs"))
-        return pairs(left, right, n_blocks, most).join(asking, ["block", "query"]).mapInArrow(node_answers(parts), LISTS)
+        return pairs(left, right, n_blocks, most, asking).mapInArrow(node_answers(parts), LISTS)
 
     first = staged(pairs(left, right, n_blocks, most).mapInArrow(node_lists(parts, keep + 1), LISTS), "local-lists")
     least = first.groupBy("qobj", "part").agg(F.min("least").alias("least"))

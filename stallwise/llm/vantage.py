@@ -1,11 +1,13 @@
 """Vantage-point trees, one per shard, for the largest inner product.
 
 Inner products become distances by one more component that gives all vectors the same
-length: the nearest of the lengthened vectors has the largest inner product. A tree splits
-its points by their distance to a vantage point, the nearer half inside, the other outside;
-both sides keep the range of those distances. A side is skipped for a query when, by the
-triangle inequality, all its points are farther than the best so far. ``factor`` multiplies
-that lower bound: one is exact, more skips more.
+length: the nearest of the lengthened vectors has the largest inner product. A node takes a
+few vantage points out of its points and splits the rest by their distance to the first one,
+the nearer half inside, the other outside; both sides keep the range of those distances, and
+every point keeps its distances to all vantage points above it. By the triangle inequality
+the largest difference between those and the query's own distances is a lower bound. A side
+or a point whose bound exceeds the best so far is not scored. ``factor`` multiplies the
+bound: one is exact, more skips more.
 """
 
 from __future__ import annotations
@@ -20,13 +22,15 @@ from pyspark.sql import functions as F
 
 from stallwise.llm.common import staged
 from stallwise.llm.topk import parallelism
-from stallwise.llm.vectors import QUERY_ROWS, best, blocks, finite, numbers, objects, pairs, ranked
+from stallwise.llm.vectors import QUERY_ROWS, best, blocks, count_of, finite, numbers, objects, pairs, ranked
 
-LEAF = 512
+LEAF = 64
+VANTAGES = 4  # vantage points of a node
 SHARD_ROWS = 16_384
 SLACK = 1e-9
-NODE = np.dtype([("start", "i8"), ("end", "i8"), ("inside", "i8"), ("outside", "i8"), ("vantage", "i8"), ("near", "f8", 2), ("far", "f8", 2)])
-INDEX = "block int, block_objs binary, block_data binary, nodes binary"
+ROUNDING = 1e-5  # more than single precision takes from a distance between vectors of length one
+NODE = np.dtype([("start", "i8"), ("end", "i8"), ("inside", "i8"), ("outside", "i8"), ("near", "f8", 2), ("far", "f8", 2)])
+INDEX = "block int, block_objs binary, block_data binary, nodes binary, paths binary"
 FOUND = "qobj long, objs binary, scores binary"
 
 
@@ -40,36 +44,47 @@ def lengthened(data: np.ndarray, longest: float) -> np.ndarray:
     return np.concatenate([data, rest[:, None]], 1)
 
 
-def grown(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The order of the points and the nodes of their tree; leaves hold LEAF points at most.
+def grown(points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order of the points, the nodes of their tree, and the distances of each to its vantage points.
 
-    The vantage point is the one farthest from the first: points at the rim split best. Halves
-    are cut by rank, so equal distances do no harm.
+    Leaves hold LEAF points at most. A node's range begins with its vantage points: the one
+    farthest from the first point, then always the one farthest from those taken. Halves are
+    cut by rank, so equal distances do no harm.
     """
     order, nodes = np.arange(len(points)), []
+    columns: list[np.ndarray] = []
 
-    def grow(start: int, end: int) -> int:
+    def grow(start: int, end: int, depth: int) -> int:
         number = len(nodes)
-        nodes.append((start, end, -1, -1, -1, (0, 0), (0, 0)))
-        if end - start > LEAF:
-            mine = order[start:end]
-            rim = mine[np.argmax(((points[mine] - points[mine[0]]) ** 2).sum(1))]
-            d = np.sqrt(((points[mine] - points[rim]) ** 2).sum(1))
-            by = np.argsort(d, kind="stable")
-            order[start:end], d = mine[by], d[by]
-            half = len(d) // 2
-            inside = grow(start, start + half)
-            outside = grow(start + half, end)
-            nodes[number] = (start, end, inside, outside, rim, (d[0], d[half - 1]), (d[half], d[-1]))
+        nodes.append((start, end, -1, -1, (0, 0), (0, 0)))
+        if end - start <= LEAF:
+            return number
+        mine = order[start:end]
+        farthest = ((points[mine] - points[mine[0]]) ** 2).sum(1)
+        taken, away = [], []
+        for _ in range(VANTAGES):
+            taken.append(int(np.argmax(farthest)))
+            away.append(np.sqrt(((points[mine] - points[mine[taken[-1]]]) ** 2).sum(1)))
+            farthest = np.minimum(away[-1], farthest) if len(taken) > 1 else away[-1].copy()
+            farthest[taken] = -1
+        while len(columns) < (depth + 1) * VANTAGES:
+            columns.append(np.zeros(len(points), np.float32))
+        for i, d in enumerate(away):
+            columns[depth * VANTAGES + i][mine] = d
+        rest = np.ones(len(mine), bool)
+        rest[taken] = False
+        by = np.flatnonzero(rest)
+        by = by[np.argsort(away[0][by], kind="stable")]
+        order[start:end] = np.concatenate([mine[taken], mine[by]])
+        d, first = away[0][by], start + VANTAGES
+        half = len(by) // 2
+        inside, outside = grow(first, first + half, depth + 1), grow(first + half, end, depth + 1)
+        nodes[number] = (start, end, inside, outside, (d[0], d[half - 1]), (d[half], d[-1]))
         return number
 
-    grow(0, len(points))
-    table = np.array(nodes, NODE)
-    place = np.empty(len(order), np.int64)
-    place[order] = np.arange(len(order))
-    inner = table["vantage"] >= 0
-    table["vantage"][inner] = place[table["vantage"][inner]]
-    return order, table
+    grow(0, len(points), 0)
+    paths = np.stack(columns, 1)[order] if columns else np.zeros((len(points), 0), np.float32)
+    return order, np.array(nodes, NODE), paths
 
 
 def indexing(longest: float):
@@ -77,57 +92,89 @@ def indexing(longest: float):
         for batch in batches:
             for row in batch.to_pylist():
                 objs, data = numbers(row["block_objs"], row["block_data"])
-                order, nodes = grown(lengthened(data, longest))
-                names = ["block", "block_objs", "block_data", "nodes"]
-                values = [row["block"], objs[order].tobytes(), data[order].tobytes(), nodes.tobytes()]
-                kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+                order, nodes, paths = grown(lengthened(data, longest))
+                names = ["block", "block_objs", "block_data", "nodes", "paths"]
+                values = [row["block"], *(x.tobytes() for x in (objs[order], data[order], nodes, paths))]
+                kinds = [pa.int32(), *[pa.binary()] * 4]
                 yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names)
 
     return run
 
 
 class Search:
-    """The nearest points of one tree for a block of queries, found together."""
+    """The nearest points of one tree for a block of queries, found together.
 
-    def __init__(self, data: np.ndarray, nodes: np.ndarray, longest: float, wanted: np.ndarray, keep: int, factor: float):
-        self.data, self.nodes, self.wanted, self.keep, self.factor = data, nodes, wanted, keep, factor
-        self.lift = lengthened(data, longest)[:, -1]
+    ``scored`` counts the pairs of a query and a point whose inner product was taken.
+    """
+
+    def __init__(self, data: np.ndarray, nodes: np.ndarray, paths: np.ndarray, longest: float, wanted: np.ndarray, keep: int, factor: float):
+        self.data, self.nodes, self.paths, self.wanted, self.keep, self.factor = data, nodes, paths, wanted, keep, factor
         self.shift = (wanted**2).sum(1) + longest**2
+        self.rounding = ROUNDING * float(np.sqrt(self.shift.max(initial=0.0)))
         self.scores = np.full((len(wanted), keep), -np.inf)
         self.at = np.full((len(wanted), keep), -1, np.int64)
-        self.visit(0, np.arange(len(wanted)))
+        self.scored = 0
+        self.home = np.full(len(wanted), -1, np.int64)  # where the leaf begins that a query itself falls into
+        # First every query goes down to its own leaf alone, so that the others can be skipped by what it finds.
+        for down in (True, False):
+            self.visit(0, np.arange(len(wanted)), np.zeros((len(wanted), 0), np.float32), down)
 
     def reach(self, asked: np.ndarray) -> np.ndarray:
         """The distance within which a point would be among the best so far."""
         worst = self.scores[asked].min(1)
         return np.where(np.isinf(worst), np.inf, np.sqrt(np.maximum(self.shift[asked] - 2 * worst, 0.0)))
 
-    def visit(self, number: int, asked: np.ndarray) -> None:
+    def visit(self, number: int, asked: np.ndarray, away: np.ndarray, down: bool) -> None:
+        """``away``: distances of the queries ``asked`` to the vantage points above the node."""
         node = self.nodes[number]
         if not len(asked):
             return
+        start, end = int(node["start"]), int(node["end"])
+        new = (self.home[asked] < start) | (self.home[asked] >= end)
         if node["inside"] < 0:
-            self.scan(int(node["start"]), int(node["end"]), asked)
+            if down:
+                self.home[asked] = start
+            self.scan(start, end, asked[new], away[new])
             return
-        v = int(node["vantage"])
-        d = np.sqrt(np.maximum(self.shift[asked] - 2 * (self.wanted[asked] @ self.data[v]), 0.0))
-        sides = ((int(node["inside"]), node["near"]), (int(node["outside"]), node["far"]))
+        scores = self.wanted[asked] @ self.data[start : start + VANTAGES].T
+        self.scored += int(new.sum()) * VANTAGES
+        self.offer(asked[new], scores[new], start)
+        all_d = np.sqrt(np.maximum(self.shift[asked, None] - 2 * scores, 0.0))
+        away = np.concatenate([away, all_d.astype(np.float32)], 1)
+        d = all_d[:, 0]
         nearer = d <= (node["near"][1] + node["far"][0]) / 2
-        # Each query's own side first, so that the other can be skipped by what was found.
-        for mine, (first, second) in ((nearer, sides), (~nearer, sides[::-1])):
-            for side, (low, high) in (first, second):
-                gap = np.maximum(np.maximum(low - d[mine], d[mine] - high), 0.0)
-                ask = asked[mine]
-                self.visit(side, ask[gap * self.factor <= self.reach(ask) + SLACK])
-
-    def scan(self, start: int, end: int, asked: np.ndarray) -> None:
-        scores = self.wanted[asked] @ self.data[start:end].T
-        some = scores.max(1) >= self.scores[asked].min(1) - SLACK
+        for side, (low, high), own in ((int(node["inside"]), node["near"], nearer), (int(node["outside"]), node["far"], ~nearer)):
+            if down:
+                go = own
+            else:
+                gap = np.maximum(np.maximum(low - d, d - high), 0.0)
+                go = gap * self.factor <= self.reach(asked) + SLACK
+            self.visit(side, asked[go], away[go], down)
+
+    def scan(self, start: int, end: int, asked: np.ndarray, away: np.ndarray) -> None:
+        """Scores the points of a leaf whose lower bound lets them be among the best."""
+        bound = np.zeros((end - start, len(asked)), np.float32)
+        gap = np.empty_like(bound)
+        for own, points in zip(np.ascontiguousarray(away.T), self.paths[start:end].T[: away.shape[1]], strict=True):
+            np.subtract(points[:, None], own, out=gap)
+            np.maximum(bound, np.abs(gap, out=gap), out=bound)
+        limit = self.reach(asked) / self.factor + self.rounding
+        wanted, scores = self.wanted[asked], np.full((len(asked), end - start), -np.inf)
+        for p, near in enumerate(bound <= limit.astype(np.float32)):
+            q = np.flatnonzero(near)
+            scores[q, p] = wanted[q] @ self.data[start + p]
+            self.scored += len(q)
+        self.offer(asked, scores, start)
+
+    def offer(self, asked: np.ndarray, scores: np.ndarray, start: int) -> None:
+        """Takes ``scores`` of the points from ``start`` on into the lists of the best."""
+        some = scores.max(1, initial=-np.inf) > self.scores[asked].min(1) - SLACK
         asked, scores = asked[some], scores[some]
         if not len(asked):
             return
+        places = np.where(np.isinf(scores), -1, np.arange(start, start + scores.shape[1]))
         scores = np.concatenate([self.scores[asked], scores], 1)
-        at = np.concatenate([self.at[asked], np.broadcast_to(np.arange(start, end), (len(asked), end - start))], 1)
+        at = np.concatenate([self.at[asked], places], 1)
         top = np.argpartition(scores, scores.shape[1] - self.keep, axis=1)[:, -self.keep :]
         self.scores[asked] = np.take_along_axis(scores, top, 1)
         self.at[asked] = np.take_along_axis(at, top, 1)
@@ -144,9 +191,10 @@ def searching(longest: float, keep: int, factor: float):
             for row in batch.to_pylist():
                 objs, data = numbers(row["block_objs"], row["block_data"])
                 nodes = np.frombuffer(row["nodes"], NODE)
+                paths = np.frombuffer(row["paths"], np.float32).reshape(len(objs), -1)
                 asked, wanted = numbers(row["query_objs"], row["query_data"])
                 # A few more than asked for: near ties are settled by the exact scores.
-                found = Search(data, nodes, longest, wanted, keep + 4, factor)
+                found = Search(data, nodes, paths, longest, wanted, keep + 4, factor)
                 out = []
                 for i, q in enumerate(asked):
                     at = found.at[i][found.at[i] >= 0]
@@ -198,8 +246,7 @@ def nearest(vectors: DataFrame, is_query, keep: int, factor: float = 1.0) -> Dat
     trees, longest = index(objs.select("obj", "vector"), n)
     ask = objs.join(asked.select(F.col("qobj").alias("obj")).distinct(), "obj")
     right = staged(blocks(ask, n_asked, QUERY_ROWS, "query"), "query-blocks")
-    n_blocks = -(-n_asked // QUERY_ROWS)
-    both = pairs(trees, right, n_blocks, parallelism(spark))
+    both = pairs(trees, right, count_of(n, SHARD_ROWS), parallelism(spark))
     lists = both.mapInArrow(searching(longest, keep + 1, factor), FOUND)
     found = lists.groupBy("qobj").applyInPandas(best_of(keep + 1), "qobj long, obj long, score double")
     return ranked(found, objs, asked, keep)

@@ -43,7 +43,7 @@ def objects(vectors: DataFrame, keep: int) -> DataFrame:
 
 
 def block_of(key: Column, rows: int, size: int) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(max(1, -(-rows // size)))).cast("int")
+    return F.pmod(F.xxhash64(key), F.lit(count_of(rows, size))).cast("int")
 
 
 def packing_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,10 +71,23 @@ def numbers(objs: bytes, data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return ids, np.frombuffer(data, np.float64).reshape(len(ids), len(data) // 8 // max(1, len(ids)))
 
 
-def pairs(left: DataFrame, right: DataFrame, n_right: int, parallel: int) -> DataFrame:
-    """Every block of ``left`` beside every block of ``right``; one row per two blocks."""
-    spread = left.withColumn("query", F.explode(F.sequence(F.lit(0), F.lit(n_right - 1))))
-    return spread.join(right, "query").repartition(parallel, "block", "query")
+def count_of(rows: int, size: int) -> int:
+    """How many blocks ``rows`` make."""
+    return max(1, -(-rows // size))
+
+
+def pairs(left: DataFrame, right: DataFrame, n_left: int, parallel: int, asking: DataFrame | None = None) -> DataFrame:
+    """Every block of ``left`` beside every query block of ``right``; one row per two blocks.
+
+    The query blocks, the smaller ones, go to each of the ``n_left`` blocks; a block itself
+    travels once. Tasks grow in number with the blocks. ``asking`` keeps the pairs of (block,
+    query) that it has, and adds its columns.
+    """
+    spread = right.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_left - 1))))
+    if asking is not None:
+        spread = spread.join(asking, ["block", "query"])
+    tasks = max(parallel, n_left)
+    return left.repartition(tasks, "block").join(spread.repartition(tasks, "block"), "block")
 
 
 def best(scores: np.ndarray, objs: np.ndarray, keep: int) -> np.ndarray:

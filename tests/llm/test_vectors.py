@@ -100,11 +100,52 @@ def test_nearest_of_odd_rows(spark):
     assert vantage.nearest(vectors.filter(F.col("id") == 6), "id = 6", 3).count() == 0
 
 
+def tree_of(points):
+    """A tree over ``points`` and the points in its order."""
+    longest = np.sqrt((points**2).sum(1).max()) * (1 + 1e-12)
+    order, nodes, paths = vantage.grown(vantage.lengthened(points, longest))
+    return points[order], nodes, paths, longest
+
+
+def test_most_points_need_no_score(spark):
+    """The trees prune at the registered factor, factor one loses nothing."""
+    from stallwise.llm.queries import PRUNING, embeddings
+
+    data = np.array([r["vector"] for r in embeddings(spark, "/root/testdata/check_l").orderBy("id").filter("size(vector) = 64").collect() if np.isfinite(r["vector"]).all()])
+    data = np.unique(data, axis=0)[: vantage.SHARD_ROWS]
+    points, nodes, paths, longest = tree_of(data)
+    wanted = points[:: len(points) // 100]
+    best = np.sort(wanted @ points.T, 1)[:, -21:]
+    shares, recalls = {}, {}
+    for factor in (1.0, PRUNING):
+        found = vantage.Search(points, nodes, paths, longest, wanted, 21, factor)
+        shares[factor] = found.scored / len(wanted) / len(points)
+        recalls[factor] = (found.scores >= best[:, :1] - 1e-12).mean()
+        assert all(len(set(x)) == 21 for x in found.at)
+        if factor == 1:
+            assert np.allclose(np.sort(found.scores, 1), best, atol=1e-9)
+    assert shares[PRUNING] < 0.75 and recalls[PRUNING] >= 0.9
+
+
+def test_clustered_points_are_mostly_skipped():
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(60, 8))
+    data = np.concatenate([c + rng.normal(scale=0.05, size=(100, 8)) for c in centres])
+    points, nodes, paths, longest = tree_of(data)
+    wanted = points[::60]
+    found = vantage.Search(points, nodes, paths, longest, wanted, 10, 1.0)
+    assert np.allclose(np.sort(found.scores, 1), np.sort(wanted @ points.T, 1)[:, -10:], atol=1e-9)
+    assert found.scored < 0.5 * len(wanted) * len(points)
+
+
 def test_tree_keeps_every_point():
     rng = np.random.default_rng(5)
     for points in (rng.normal(size=(1, 3)), rng.normal(size=(2000, 3)), np.ones((1500, 3))):
-        order, nodes = vantage.grown(points)
-        assert sorted(order) == list(range(len(points)))
-        leaves = sorted((n["start"], n["end"]) for n in nodes if n["inside"] < 0)
-        assert leaves[0][0] == 0 and leaves[-1][1] == len(points)
-        assert all(a[1] == b[0] for a, b in zip(leaves, leaves[1:], strict=False))
+        order, nodes, paths = vantage.grown(points)
+        assert sorted(order) == list(range(len(points))) and len(paths) == len(points)
+        ranges = [(n["start"], n["end"] if n["inside"] < 0 else n["start"] + vantage.VANTAGES) for n in nodes]
+        ranges.sort()
+        assert ranges[0][0] == 0 and ranges[-1][1] == len(points)
+        assert all(a[1] == b[0] for a, b in zip(ranges, ranges[1:], strict=False))
+        d = np.sqrt(((points[order] - points[order[0]]) ** 2).sum(1))
+        assert not paths.size or np.allclose(paths[:, 0], d, atol=1e-5)
