@@ -10,6 +10,7 @@ emits every token that ends before them, and forgets it.
 from __future__ import annotations
 
 import codecs
+import hashlib
 import json
 import unicodedata
 from array import array
@@ -19,9 +20,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-# Words remembered by one task; the memory is emptied when it is full.
+# Pieces remembered by one task, none longer than SHORT; the memory is emptied when it is full.
 REMEMBERED = 500_000
-LONG_WORD = 64
+SHORT = 64
 SEGMENT = 1 << 16
 STEP = 64
 # White space as the Unicode property has it; str.split also cuts at these four.
@@ -140,11 +141,6 @@ class WordPieces:
             yield self.inside[b]
         yield self.ends[data[-1]]
 
-    def word(self, word: str) -> Iterable[int]:
-        if len(word) > LONG_WORD:
-            return self.merges.stream(self.symbols(word))
-        return self.merges.merged(list(self.symbols(word)))
-
     def piece(self, piece: str) -> bytes:
         """Ids of a text without white space, as little-endian unsigned 32-bit numbers."""
         out = array("I")
@@ -155,7 +151,7 @@ class WordPieces:
                 # Lower case letter by letter: a final sigma is not told apart.
                 plain = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
                 for word in self.words.findall(plain):
-                    out.extend(self.word(word))
+                    out.extend(self.merges.stream(self.symbols(word)))
         return out.tobytes()
 
     def segments(self, text: str) -> Iterator[str]:
@@ -179,7 +175,7 @@ class WordPieces:
                 ids = known.get(piece)
                 if ids is None:
                     ids = self.piece(piece)
-                    if len(piece) <= LONG_WORD:
+                    if len(piece) <= SHORT:
                         if len(known) >= REMEMBERED:
                             known.clear()
                         known[piece] = ids
@@ -234,6 +230,36 @@ def coding(make: Callable[[], WordPieces]):
     return run
 
 
+def digesting(make: Callable[[], WordPieces]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = make()
+        for batch in batches:
+            counts, ids, texts = [], [], []
+            for text in batch.column("text"):
+                decoder, n, id_hash, text_hash = words.decoder(), 0, hashlib.sha256(), hashlib.sha256()
+                for part in words.encode(text.as_py() or ""):
+                    n += len(part) // 4
+                    id_hash.update(part)
+                    text_hash.update(decoder.feed(part).encode())
+                text_hash.update(decoder.finish().encode())
+                counts.append(n)
+                ids.append(id_hash.hexdigest())
+                texts.append(text_hash.hexdigest())
+            columns = [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return run
+
+
+def round_trip_digests(docs: DataFrame, make: Callable[[], WordPieces]) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row, as :func:`round_trip` would give them.
+
+    The hashes take in ids and text as they come out, so that neither is held whole.
+    """
+    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return docs.select("doc_id", "text").mapInArrow(digesting(make), schema)
+
+
 def round_trip(docs: DataFrame, make: Callable[[], WordPieces]) -> DataFrame:
     """(doc_id, ids, decoded) of every row: the ids of its text and the text they decode to.
 

@@ -12,14 +12,16 @@ from __future__ import annotations
 import html
 import math
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-MARKUP = re.compile(
-    r"<!--(?:.*?--!?>|.*\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.DOTALL
-)
+OPENS = re.compile(r"<(?:(!--)|(/?)([a-zA-Z][^\s/>]*)|([!?/]))")
+COMMENT_END = re.compile(r"--!?>")
+TAG_END = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 
 # Names of the HTML standard.
@@ -62,6 +64,61 @@ FURNITURE_WORDS = frozenset(
 CORE_WORDS = frozenset(["article", "main", "content", "post", "entry", "story"])
 
 
+class Markup:
+    """The tags of a page one after the other, in time that grows with its length alone.
+
+    A ``<`` without an end that counts is text. Quotes hide a ``>``. Where one tag turns out to
+    have no end, the ends of all others are worked out from the back in one pass, so that
+    none is searched for twice.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.last = page, page.rfind(">")
+        self.places: list[int] | None = None
+        self.ends: list[int] = []
+
+    def work_out(self) -> None:
+        """For every ``>`` and quote, where a tag ends that gets there outside of quotes; -1 for never."""
+        self.places = [m.start() for m in re.finditer("[>\"']", self.page)]
+        self.ends = [-1] * (len(self.places) + 1)
+        following = {'"': len(self.places), "'": len(self.places)}
+        for i in range(len(self.places) - 1, -1, -1):
+            sign = self.page[self.places[i]]
+            if sign == ">":
+                self.ends[i] = self.places[i] + 1
+            else:
+                shut, following[sign] = following[sign], i
+                self.ends[i] = self.ends[shut + 1] if shut < len(self.places) else -1
+
+    def end_of(self, at: int) -> int:
+        """Where the tag ends whose name ends at ``at``; -1 if it does not."""
+        if at > self.last:
+            return -1
+        if self.places is None:
+            found = TAG_END.match(self.page, at)
+            if found:
+                return found.end()
+            self.work_out()
+        return self.ends[bisect_left(self.places, at)]
+
+    def next(self, at: int) -> tuple[int, int, bool, str | None, str] | None:
+        """(start, end, closing, name, attributes) of the first markup from ``at`` on; no name for comments and the like."""
+        while found := OPENS.search(self.page, at):
+            at = found.end()
+            if found[1]:
+                shut = COMMENT_END.search(self.page, at)
+                return found.start(), shut.end() if shut else len(self.page), False, None, ""
+            if found[4]:
+                end = self.page.find(">", at) + 1 if at <= self.last else 0
+                if end:
+                    return found.start(), end, False, None, ""
+            else:
+                end = self.end_of(at)
+                if end >= 0:
+                    return found.start(), end, bool(found[2]), found[3], self.page[at : end - 1]
+        return None
+
+
 class Element:
     __slots__ = ("tag", "parent", "parts", "chars", "tags", "link_chars", "link_tags", "density", "total", "marked", "core", "cut")
 
@@ -98,12 +155,14 @@ def is_furniture(tag: str, text: str, inside_core: bool) -> bool:
     return bool(words & FURNITURE_WORDS) and not words & CORE_WORDS
 
 
-def closed(here: Element, tag: str) -> Element | None:
+def closed(here: Element, tag: str, opened: Counter) -> Element | None:
     """The open element that a closing tag ends, if any; the root stays open.
 
     The end of an element around furniture ends the furniture too, but for tables and the like
     in between, and an inline element does not end a block of the furniture.
     """
+    if not opened[tag]:
+        return None
     walls = frozenset(["table", "template"]) if tag in TABLE_PARTS else SCOPES
     if tag == "li":
         walls = walls | ENDS["li"][1]
@@ -124,72 +183,77 @@ def parsed(page: str) -> Element:
     Works without recursion, so that the depth of a page is no limit. Furniture is opened and
     closed like anything else, but hangs on no parent: its elements are ``cut``.
     """
-    root = body = Element("body", None)
-    at, here, core = 0, root, 0
-    found = MARKUP.search(page)
+    root = Element("body", None)
+    at, here, markup = 0, root, Markup(page)
+    opened: Counter[str] = Counter()  # open elements by tag
+    core = 0
+
+    def back_to(node: Element) -> None:
+        """Ends all open elements inside ``node``."""
+        nonlocal here, core
+        while here is not node:
+            core -= here.core
+            opened[here.tag] -= 1
+            here = here.parent
+
     while True:
-        text = page[at : found.start() if found else len(page)]
+        found = markup.next(at)
+        text = page[at : found[0] if found else len(page)]
         if here.tag == "head" and text.strip():
-            here = here.parent
+            back_to(here.parent)
         if text and not here.cut:
             here.parts.append(html.unescape(text) if "&" in text else text)
         if not found:
-            return body
-        at = found.end()
-        closing, tag, rest = found[1], found[2], found[3]
+            return root
+        _, at, closing, tag, rest = found
         if tag is None:
-            found = MARKUP.search(page, at)
             continue
         tag = tag.lower()
         if closing:
-            node = closed(here, tag)
+            node = closed(here, tag, opened)
             if node is not None:
-                while here is not node.parent:
-                    core -= here.core
-                    here = here.parent
-        else:
-            bare = rest.endswith("/") or tag in VOID
-            if tag in RAW and not bare:
-                end = re.compile(rf"</{re.escape(tag)}\b", re.IGNORECASE).search(page, at)
-                at = end.start() if end else len(page)
-            if here.cut and (tag == "body" or here.tag == "head" and tag not in HEAD_CONTENT):
-                node = here
-                while node is not root and node.tag != "head":
-                    node = node.parent
-                if node is not root:
-                    here = node.parent
-            if tag == "br" or tag == "wbr":
-                if not here.cut:
-                    here.parts.append(" " if tag == "br" else "")
-            elif tag not in ("html", "body") and not bare:
-                ends, stops = ENDS.get(tag, (frozenset(), frozenset()))
-                if tag in BLOCKS:
-                    ends, stops = ends | {"p"}, stops | {"table", "button"}
+                back_to(node.parent)
+            continue
+        bare = rest.endswith("/") or tag in VOID
+        if tag in RAW and not bare:
+            end = re.compile(rf"</{re.escape(tag)}\b", re.IGNORECASE).search(page, at)
+            at = end.start() if end else len(page)
+        if here.cut and opened["head"] and (tag == "body" or here.tag == "head" and tag not in HEAD_CONTENT):
+            node = here
+            while node.tag != "head":
+                node = node.parent
+            back_to(node.parent)
+        if tag == "br" or tag == "wbr":
+            if not here.cut:
+                here.parts.append(" " if tag == "br" else "")
+        elif tag not in ("html", "body") and not bare:
+            ends, stops = ENDS.get(tag, (frozenset(), frozenset()))
+            if tag in BLOCKS:
+                ends, stops = ends | {"p"}, stops | {"table", "button"}
+            if any(opened[x] for x in ends):
                 node, last = here, None
-                while ends and node is not root and node.tag not in stops:
+                while node is not root and node.tag not in stops:
                     if node.tag in ends:
                         last = node
                     elif node.tag in BLOCKS or node.cut and not node.parent.cut:
                         break
                     node = node.parent
                 if last is not None:
-                    while here is not last.parent:
-                        core -= here.core
-                        here = here.parent
-                if here.cut:
-                    here = Element(tag, here, cut=True)
-                elif is_furniture(tag, rest, core > 0):
-                    if tag in BLOCKS:
-                        here.parts.append(Element("hr", here))
-                    here = Element(tag, here, cut=True)
-                else:
-                    child = Element(tag, here, tag in ("article", "main"))
-                    core += child.core
-                    here.parts.append(child)
-                    here = child
-            elif tag == "hr" and not here.cut:
-                here.parts.append(Element("hr", here))
-        found = MARKUP.search(page, at)
+                    back_to(last.parent)
+            opened[tag] += 1
+            if here.cut:
+                here = Element(tag, here, cut=True)
+            elif is_furniture(tag, rest, core > 0):
+                if tag in BLOCKS:
+                    here.parts.append(Element("hr", here))
+                here = Element(tag, here, cut=True)
+            else:
+                child = Element(tag, here, tag in ("article", "main"))
+                core += child.core
+                here.parts.append(child)
+                here = child
+        elif tag == "hr" and not here.cut:
+            here.parts.append(Element("hr", here))
 
 
 def ordered(root: Element) -> list[Element]:

@@ -115,13 +115,7 @@ def op10_vantage_trees(spark, sf_dir):
 @query
 def op6_bpe(spark, sf_dir):
     """Ids of every whole text under the word vocabulary, and what they decode to."""
-    found = bpe.round_trip(table(spark, sf_dir, "documents"), vocabularies.word_pieces)
-    return found.select(
-        "doc_id",
-        F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
-        F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    return bpe.round_trip_digests(table(spark, sf_dir, "documents"), vocabularies.word_pieces)
 
 
 @query

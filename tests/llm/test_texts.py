@@ -1,4 +1,7 @@
+import hashlib
+import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -41,6 +44,28 @@ def test_bpe_equals_the_library(words, library, monkeypatch):
         same(words, library, text)
 
 
+def test_all_ids_come_from_the_stream(words, monkeypatch):
+    streamed = []
+    stream = bpe.Merges.stream
+
+    def counted(self, symbols):
+        for token in stream(self, symbols):
+            streamed.append(token)
+            yield token
+
+    monkeypatch.setattr(bpe.Merges, "stream", counted)
+    monkeypatch.setattr(words, "known", {})
+    text = "A river of stones, 12 winters old; isn't it " + "x" * 300
+    assert np.frombuffer(b"".join(words.encode(text)), "<u4").tolist() == streamed
+
+
+def test_digests_are_those_of_ids_and_text(odd_docs):
+    rows = bpe.round_trip(odd_docs, vocabularies.word_pieces).collect()
+    want = sorted((str(r[0]), len(r[1]) // 4, hashlib.sha256(r[1]).hexdigest(), hashlib.sha256(r[2].encode()).hexdigest()) for r in rows)
+    found = bpe.round_trip_digests(odd_docs, vocabularies.word_pieces).collect()
+    assert sorted((str(r[0]), *r[1:]) for r in found) == want
+
+
 def test_stream_equals_whole_for_any_merge_list():
     rng = random.Random(2)
     for _ in range(300):
@@ -157,6 +182,88 @@ def test_closed_furniture_ends_only_there(page):
     assert html_text.main_text(page).split() == ["real", "text"]
 
 
+def neutral_page(seed):
+    """A page whose names say nothing, and its paragraphs: only the densities can tell them from the boxes of links."""
+    rng = random.Random(seed)
+
+    def some(n):
+        return " ".join(rng.choice("river stone market winter garden letter morning window".split()) for _ in range(n))
+
+    def links(n):
+        return "".join(f'<li><a href="/{i}">{some(2)}</a></li>' for i in range(n))
+
+    body = [some(rng.randint(30, 70)).capitalize() + "." for _ in range(3 + seed % 8)]
+    text = "".join(f"<p>{x}</p>" for x in body)
+    return (
+        f'<body><div class="k1"><ul>{links(12)}</ul></div><div class="k2"><div class="k3">{text}</div>'
+        f'<div class="k4"><ul>{links(8)}</ul></div></div><div class="k5"><a href="/a">{some(2)}</a> <a href="/b">{some(1)}</a></div></body>',
+        body,
+    )
+
+
+def test_densities_choose_where_names_say_nothing(monkeypatch):
+    pages = [neutral_page(seed) for seed in range(40)]
+    assert all(html_text.main_text(page) == "\n\n".join(body) for page, body in pages)
+    monkeypatch.setattr(html_text, "marked", lambda nodes: [nodes[0]])
+    assert not any(html_text.main_text(page) == "\n\n".join(body) for page, body in pages)
+
+
+def test_densities_against_recursion():
+    """Characters, tags and sums of every element, counted by hand from its own subtree."""
+
+    def size(node):
+        return sum(len("".join(x.split())) if isinstance(x, str) else size(x) for x in node.parts)
+
+    def tags(node):
+        return sum(1 + tags(x) for x in node.parts if not isinstance(x, str))
+
+    def links(node):
+        inner = [links(x) for x in node.parts if not isinstance(x, str)]
+        return (size(node), 1 + tags(node)) if node.tag == "a" else tuple(map(sum, zip(*inner, strict=True))) if inner else (0, 0)
+
+    for seed in range(10):
+        nodes = html_text.ordered(html_text.parsed(neutral_page(seed)[0]))
+        html_text.measure(nodes)
+        body = nodes[0]
+        for node in nodes:
+            assert (node.chars, node.tags) == (size(node), tags(node))
+            assert (node.link_chars, node.link_tags) == links(node)
+            c, t, lc, lt = node.chars, max(1, node.tags), node.link_chars, max(1, node.link_tags)
+            if c:
+                base = math.log(c / max(1, c - lc) * lc + body.link_chars / body.chars * c + math.e) + math.e - 1
+                assert node.density == pytest.approx(c / t * math.log(c / max(1, lc) * t / lt + math.e, base))
+            assert node.total == pytest.approx(sum(x.density for x in node.parts if not isinstance(x, str)))
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<a " * 300_000, '<a "' * 250_000 + "'>", "<a '\"" * 150_000 + "'>" * 9, "<" * 10**6, "<!" * 500_000, "<div>" * 90_000 + "</span>" * 60_000, "<b>" * 60_000 + "<p></p>x" * 60_000],
+)
+def test_hostile_pages_take_seconds(page):
+    began = time.monotonic()
+    html_text.main_text(page)
+    assert time.monotonic() - began < 20
+
+
+def ends_by_hand(page, at):
+    """Where a tag ends whose name ends at ``at``: the first ``>`` outside of quotes."""
+    quote = None
+    for i in range(at, len(page)):
+        if quote is None and page[i] == ">":
+            return i + 1
+        if page[i] in "\"'" and quote in (None, page[i]):
+            quote = None if quote else page[i]
+    return -1
+
+
+def test_ends_of_tags_against_a_scan():
+    rng = random.Random(4)
+    for _ in range(300):
+        page = "".join(rng.choices("<a b>\"'", k=40))
+        markup = html_text.Markup(page)
+        assert [markup.end_of(i) for i in range(40)] == [ends_by_hand(page, i) for i in range(40)]
+
+
 def test_pages_of_the_table(spark):
     found = QUERIES["op7_html_text"](spark, SF)
     rows = found.join(spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "html"), "page_id").collect()
