@@ -20,9 +20,8 @@ from pyspark.sql import types as T
 from stallwise.llm.rolling import Powers, Words
 
 PASSAGE = 50
-# The fit uses at most so many labelled documents, and of a longer one so many passages, evenly spread.
+# The fit uses at most so many labelled documents, all passages of each.
 SAMPLE = 4_000
-BAG = 256
 HIDDEN, GATES = 16, 8
 EPOCHS, BATCH, RATE, DECAY = 40, 128, 0.01, 1e-4
 FOLDS = 5
@@ -143,12 +142,7 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, seed: int = 1) -> Model:
 def encoding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     powers = Powers()
     for batch in batches:
-        out = []
-        for text in batch.column("text"):
-            rows = passages(text.as_py(), powers)
-            if len(rows) > BAG:
-                rows = rows[np.linspace(0, len(rows) - 1, BAG).astype(int)]
-            out.append(rows.tobytes())
+        out = [passages(text.as_py(), powers).tobytes() for text in batch.column("text")]
         yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(out, pa.binary())], ["label", "bag"])
 
 
@@ -168,8 +162,8 @@ def scoring(model: Model):
 
 
 def held_out(doc_id: Column) -> Column:
-    """Rows from which nothing is learned."""
-    return F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == 0
+    """Rows from which nothing is learned; a null id counts as an empty one and is one of them."""
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % FOLDS == 0
 
 
 def learned(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
@@ -183,7 +177,7 @@ def learned(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     marked = usable.groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("double").alias("label"))
     present = marked.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
     chosen = present.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    # Bounded by the sample size.
+    # Bounded by the sample size; a passage of 50 words comes back as 128 bytes.
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     # One row of each document, whatever its id repeats.
     own = F.struct(F.xxhash64("text").alias("hash"), "text")

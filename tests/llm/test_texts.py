@@ -4,6 +4,7 @@ import random
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -285,6 +286,18 @@ def test_held_out_quality(spark):
     assert sum(r["predicted"] == r["quality"] for r in rows) / len(rows) > 0.95
 
 
+def test_fit_sees_all_passages_of_a_long_text():
+    text = "calm words of a long text " * 20_000
+    batch = pa.RecordBatch.from_arrays([pa.array([1.0]), pa.array([text])], ["label", "text"])
+    bag = np.frombuffer(next(quality.encoding([batch])).column("bag")[0].as_py()).reshape(-1, quality.FEATURES)
+    assert len(bag) == 120_000 // quality.PASSAGE
+
+
+def test_null_id_is_held_out(spark):
+    row = spark.createDataFrame([(None,)], "doc_id long").select(quality.held_out(F.col("doc_id"))).first()
+    assert row[0] is True
+
+
 def test_gradients_are_those_of_the_loss():
     rng = np.random.default_rng(4)
     bags = [rng.normal(size=(n, quality.FEATURES)) for n in (1, 3, 5)]
