@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from stallwise.functions.dates import MINUTE, SECOND, micros_of_day, minutes_between, month
 from stallwise.functions.nullsafe import distinct_with_null, ratio
 from stallwise.operators.intervals import blocks_of_interval, blocks_of_point
-from stallwise.operators.joins import keep_unmatched, null_safe_join
+from stallwise.operators.joins import join_shuffled, keep_unmatched, null_safe_join
 from stallwise.operators.ordered import with_extremes, with_running, with_running_sums
 from stallwise.operators.quantiles import group_quantiles
 from stallwise.session import checkpointed
@@ -161,9 +161,8 @@ def orders_per_visit(visits: DataFrame, line: DataFrame) -> DataFrame:
     start = line.select(*SHOP_DAY, F.col("at").alias("enter_us"), "orders_before")
     end = line.select(*SHOP_DAY, F.col("at").alias("exit_us"), "orders_upto")
     rows = _placed(visits)
-    joined = rows.join(start, [*SHOP_DAY, "enter_us"], "left").join(
-        end, [*SHOP_DAY, "exit_us"], "left"
-    )
+    joined = join_shuffled(rows, start, [*SHOP_DAY, "enter_us"], "left")
+    joined = join_shuffled(joined, end, [*SHOP_DAY, "exit_us"], "left")
     made = F.coalesce(F.col("orders_upto") - F.col("orders_before"), F.lit(0))
     related = F.when(F.col("exit_us") >= F.col("enter_us"), made).otherwise(0)
     return joined.select(*rows.columns, related.cast("bigint").alias("related"))
@@ -211,7 +210,7 @@ def longest_stay_around(visits: DataFrame, orders: DataFrame) -> DataFrame:
     moments = orders.select(*SHOP_DAY, F.col("order_us").alias("at")).na.drop().distinct()
     placed = moments.select("*", F.inline(blocks_of_point("at")))
     return (
-        placed.join(blocks, [*SHOP_DAY, "size", "block"])
+        join_shuffled(placed, blocks, [*SHOP_DAY, "size", "block"])
         .groupBy(*SHOP_DAY, "at")
         .agg(F.max("stay").alias("longest"))
     )
@@ -232,20 +231,21 @@ def visit_links(orders: DataFrame, visits: DataFrame) -> DataFrame:
     start = line.select(*SHOP_DAY, F.col("at").alias("enter_us"), (F.col("orders_upto") - F.col("orders")).alias("orders_before"))
     end = line.select(*SHOP_DAY, F.col("at").alias("exit_us"), F.col("orders_upto").alias("last"))
     from_orders = (
-        orders.select(*SHOP_DAY, "order_us", F.col("ordr_id").cast("string").alias("id"))
-        .join(at, [*SHOP_DAY, "order_us"], "left")
+        join_shuffled(
+            orders.select(*SHOP_DAY, "order_us", F.col("ordr_id").cast("string").alias("id")), at, [*SHOP_DAY, "order_us"], "left"
+        )
         .select(
             F.lit("order").alias("kind"), "id", *SHOP_DAY, F.col("orders_upto").alias("first"), F.col("orders_upto").alias("last"),
             F.coalesce("inside", F.lit(0)).cast("bigint").alias("links"),
         )
     )
     valid = F.col("exit_us") >= F.col("enter_us")
+    placed = _placed(visits).select(
+        *SHOP_DAY, F.col("id").cast("string").alias("id"), F.when(valid, F.col("enter_us")).alias("enter_us"), F.when(valid, F.col("exit_us")).alias("exit_us")
+    )
+    covered = join_shuffled(join_shuffled(placed, start, [*SHOP_DAY, "enter_us"], "left"), end, [*SHOP_DAY, "exit_us"], "left")
     from_visits = (
-        _placed(visits)
-        .select(*SHOP_DAY, F.col("id").cast("string").alias("id"), F.when(valid, F.col("enter_us")).alias("enter_us"), F.when(valid, F.col("exit_us")).alias("exit_us"))
-        .join(start, [*SHOP_DAY, "enter_us"], "left")
-        .join(end, [*SHOP_DAY, "exit_us"], "left")
-        .select(
+        covered.select(
             F.lit("visit").alias("kind"), "id", *SHOP_DAY, (F.col("orders_before") + 1).alias("first"), "last",
             F.coalesce(F.col("last") - F.col("orders_before"), F.lit(0)).cast("bigint").alias("links"),
         )
@@ -329,15 +329,10 @@ def order_visit_features(
     numbers = orders.groupBy(*SHOP_DAY).agg(F.count_distinct("ordr_id").alias("order_num_perday"))
     # Everything about the shop-day goes to the instants of its orders first, so that
     # the join with the orders themselves is on the instant and not on a busy day.
-    moments = (
-        line.filter("orders > 0")
-        .select(*SHOP_DAY, "at", "inside", "inside_stay", "distance")
-        .join(shop_day, SHOP_DAY)
-        .join(numbers, SHOP_DAY)
-        .join(longest_stay_around(visits, orders), [*SHOP_DAY, "at"], "left")
-        .withColumnRenamed("at", "order_us")
-    )
-    rows = orders.join(moments, [*SHOP_DAY, "order_us"])
+    moments = line.filter("orders > 0").select(*SHOP_DAY, "at", "inside", "inside_stay", "distance")
+    moments = join_shuffled(join_shuffled(moments, shop_day, SHOP_DAY), numbers, SHOP_DAY)
+    moments = join_shuffled(moments, longest_stay_around(visits, orders), [*SHOP_DAY, "at"], "left")
+    rows = join_shuffled(orders, moments.withColumnRenamed("at", "order_us"), [*SHOP_DAY, "order_us"])
     minute = F.lit(float(MINUTE))
     found = rows.groupBy(*keys, "order_num_perday").agg(
         F.sum("visits").alias("visit_times"),

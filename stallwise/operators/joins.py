@@ -3,7 +3,7 @@
 Fact tables may have one key on a third of their rows. No side is marked for
 broadcast here: adaptive execution knows the real size of a dimension when it joins
 it, broadcasts a small one and splits the hot partitions of a shuffle join
-(``stallwise.session``).
+(``stallwise.session``). Tables as long as the facts meet in :func:`join_shuffled`.
 """
 
 from __future__ import annotations
@@ -21,6 +21,15 @@ def lookup(facts: DataFrame, dim: DataFrame, on) -> DataFrame:
     return facts.join(dim, on, "left")
 
 
+def join_shuffled(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi join of two tables that both grow with the facts; neither is ever broadcast.
+
+    Before a stage has run, its size is guessed from the compressed files it reads, and an
+    exploded or staged table would pass for a small one and go through the driver.
+    """
+    return left.join(right.hint("merge"), list(on), how)
+
+
 def null_safe_join(
     left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner"
 ) -> DataFrame:

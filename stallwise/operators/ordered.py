@@ -13,6 +13,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stallwise.operators.joins import join_shuffled
 from stallwise.session import checkpointed
 
 
@@ -36,7 +37,7 @@ def with_neighbours(
         "*", F.lag(at).over(inside).alias("_lag"), F.lead(at).over(inside).alias("_lead")
     )
     return (
-        rows.join(borders, [*keys, segment])
+        join_shuffled(rows, borders, [*keys, segment])
         .withColumn("previous", F.coalesce("_lag", "_before"))
         .withColumn("next", F.coalesce("_lead", "_after"))
         .drop("_lag", "_lead", "_before", "_after")
@@ -74,7 +75,7 @@ def with_running(
     rows = valued.select(
         "*", *[f(f"_v_{n}").over(window([*keys, segment], at, way, frame)).alias(f"_w_{n}") for n, _, f, way, frame in kinds]
     )
-    joined = rows.join(borders, [*keys, segment])
+    joined = join_shuffled(rows, borders, [*keys, segment])
 
     def merged(n: str, f) -> Column:
         border, inside = F.col(f"_b_{n}"), F.col(f"_w_{n}")

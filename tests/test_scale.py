@@ -246,3 +246,11 @@ def test_no_pair_table_in_the_plan(spark):
     for df in (footfall.order_visit_features(o, v), footfall.visit_links(o, v)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_tables_of_instants_are_not_broadcast(spark):
+    """Their size before a run is a guess from compressed files; a large one would go through the driver."""
+    _, _, v, o = crowd(spark)
+    for df in (footfall.order_visit_features(o, v), footfall.visit_links(o, v)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
