@@ -740,8 +740,9 @@ def unmatched_orders(spark, sf):
 
 @query
 def visit_attribution(spark, sf):
-    """Orders and the visits under way, as places in the line of a shop-day's orders."""
-    return footfall.visit_links(orders_of(spark, sf), visits_of(spark, sf))
+    """Orders with every visit under way, and how long it was."""
+    pairs = footfall.contained_pairs(orders_of(spark, sf), visits_of(spark, sf))
+    return pairs.select("ordr_id", F.col("id").alias("visit_id"), "shop_id", "date_id", "duration")
 
 
 @query

@@ -216,6 +216,14 @@ def longest_stay_around(visits: DataFrame, orders: DataFrame) -> DataFrame:
     )
 
 
+def contained_pairs(orders: DataFrame, visits: DataFrame) -> DataFrame:
+    """Orders with each visit that was under way in their shop at their time: one row per pair."""
+    covered = _placed(visits).filter("exit_us >= enter_us")
+    covered = covered.select("*", F.inline(blocks_of_interval("enter_us", "exit_us")))
+    placed = orders.filter("order_us is not null").select("*", F.inline(blocks_of_point("order_us")))
+    return join_shuffled(placed, covered, [*SHOP_DAY, "size", "block"]).drop("size", "block")
+
+
 def visit_links(orders: DataFrame, visits: DataFrame) -> DataFrame:
     """Which orders were made during which visits, without listing the pairs.
 
