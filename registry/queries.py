@@ -273,11 +273,7 @@ def staff_purchases(spark, sf):
 @query
 def complete_rows(spark, sf):
     rows = frames.sales(spark, sf).select("ordr_id", "booth_id", "house_no", "cont_unit_price")
-    some = shaping.complete_rows(rows, ["booth_id", "house_no"])
-    every = shaping.complete_rows(rows)
-    return some.withColumn("kind", F.lit("subset")).unionByName(
-        every.withColumn("kind", F.lit("all"))
-    )
+    return shaping.complete_kinds(rows, {"subset": ["booth_id", "house_no"], "all": None})
 
 
 @query

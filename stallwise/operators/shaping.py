@@ -40,6 +40,21 @@ def complete_rows(rows: DataFrame, subset: Sequence[str] | None = None) -> DataF
     return rows.na.drop(subset=list(subset) if subset else None)
 
 
+def complete_kinds(rows: DataFrame, subsets: Mapping[str, Sequence[str] | None]) -> DataFrame:
+    """:func:`complete_rows` of several subsets of columns (None: all) by ``kind``; ``rows`` are read once."""
+    kinds = []
+    for kind, subset in subsets.items():
+        full = F.lit(True)
+        for c in subset or rows.columns:
+            value = F.col(c)
+            full = full & value.isNotNull()
+            if isinstance(rows.schema[c].dataType, (T.DoubleType, T.FloatType)):
+                full = full & ~F.isnan(value)
+        kinds.append(F.when(full, F.lit(kind)))
+    found = rows.select("*", F.explode(F.array(*kinds)).alias("kind"))
+    return found.filter("kind is not null")
+
+
 def without_texts(rows: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Drop the text columns except the named ones."""
     return rows.select(

@@ -39,3 +39,13 @@ def test_every_pair_is_listed(spark):
     found = sorted((r["ordr_id"], r["id"], round(r["duration"], 6)) for r in footfall.contained_pairs(o, v).collect())
     expected = sorted((q[0], p[0], round(minutes[p[0]], 6)) for q in orders for p in visits if q[1] == p[1] and p[3] <= q[3] <= p[4])
     assert expected and found == expected
+
+
+def test_complete_kinds_as_complete_rows(spark):
+    rows = spark.createDataFrame([("a", "b", 1.0), (None, "b", 1.0), ("a", None, 2.0), ("a", "b", float("nan")), ("a", "b", 1.0)], "x string, y string, z double")
+    kinds = {"subset": ["x", "y"], "all": None}
+    found = shaping.complete_kinds(rows, kinds)
+    for kind, subset in kinds.items():
+        mine = sorted(map(str, found.filter(F.col("kind") == kind).drop("kind").collect()))
+        assert mine == sorted(map(str, shaping.complete_rows(rows, subset).collect()))
+    assert "Union" not in found._jdf.queryExecution().executedPlan().toString()
