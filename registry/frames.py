@@ -153,11 +153,14 @@ def employees(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def dealer_survey(spark: SparkSession, sf: str) -> DataFrame:
-    """Suppliers as surveyed dealers; the estimate is a multiple of the recorded total."""
-    recorded = sales(spark, sf).groupBy("partner_code", "partner_name").agg(
-        F.sum("act_amt").cast("double").alias("recorded")
-    )
+def dealer_survey(spark: SparkSession, sf: str, sums: DataFrame | None = None) -> DataFrame:
+    """Suppliers as surveyed dealers; the estimate is a multiple of the recorded total.
+
+    ``sums`` are the amounts per dealer and name (``sum_act_amt``) where they are known.
+    """
+    if sums is None:
+        sums = sales(spark, sf).groupBy("partner_code", "partner_name").agg(F.sum("act_amt").alias("sum_act_amt"))
+    recorded = sums.select("partner_code", "partner_name", F.col("sum_act_amt").cast("double").alias("recorded"))
     key = "cast(partner_code as bigint)"
     return recorded.selectExpr(
         f"lpad(cast({key} + {key} % 3 * 1000000 as string), 10, '0') AS business_num",

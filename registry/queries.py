@@ -24,7 +24,7 @@ from stallwise.operators import (
 )
 from stallwise.operators.joins import keep_matching
 from stallwise.plans import jobs
-from stallwise.session import prepare, scratch, shared_folder
+from stallwise.session import checkpointed, prepare, scratch, shared_folder
 from stallwise.sources import sinks, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,9 +105,10 @@ def orders_of(spark, sf):
 
 
 def labelled(spark, sf):
-    """Dealers with the survey's labels."""
-    totals = dealers.dealer_totals(frames.sales(spark, sf))
-    return dealers.survey_labels(totals, tables.dealer_survey(frames.dealer_survey(spark, sf)))
+    """Dealers with the survey's labels; one pass over the orders gives totals and survey."""
+    sums = checkpointed(dealers.dealer_sums(frames.sales(spark, sf)))
+    survey = tables.dealer_survey(frames.dealer_survey(spark, sf, sums))
+    return dealers.survey_labels(dealers.totals_of_sums(sums), survey)
 
 
 # ---- scans -------------------------------------------------------------------

@@ -55,14 +55,22 @@ def dealer_totals(orders: DataFrame, places: Sequence[str] = ()) -> DataFrame:
     With ``places`` the first step also keeps them, as one row per dealer and
     place with the first order day.
     """
-    first = orders.groupBy(KEY, "partner_name", *places).agg(
+    first = dealer_sums(orders, places)
+    return first if places else totals_of_sums(first)
+
+
+def dealer_sums(orders: DataFrame, places: Sequence[str] = ()) -> DataFrame:
+    """Number of orders, exact amount and first order day per dealer, name and place."""
+    return orders.groupBy(KEY, "partner_name", *places).agg(
         F.min("date_id").alias("min_date_id"),
         F.sum("act_amt").alias("sum_act_amt"),
         F.count("act_amt").alias("freq"),
     )
-    if places:
-        return first
-    total = first.groupBy(KEY).agg(
+
+
+def totals_of_sums(sums: DataFrame) -> DataFrame:
+    """:func:`dealer_totals` from the sums per dealer and name."""
+    total = sums.groupBy(KEY).agg(
         F.sum("freq").alias("freq"),
         F.sum("sum_act_amt").cast("double").alias("sum_act_amt"),
         F.max("partner_name").alias("partner_name"),

@@ -49,3 +49,12 @@ def test_complete_kinds_as_complete_rows(spark):
         mine = sorted(map(str, found.filter(F.col("kind") == kind).drop("kind").collect()))
         assert mine == sorted(map(str, shaping.complete_rows(rows, subset).collect()))
     assert "Union" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_totals_and_survey_share_one_pass(spark, reads):
+    found = {r["partner_code"]: r for r in dealers.totals_of_sums(dealers.dealer_sums(frames.sales(spark, ""))).collect()}
+    assert (found["d1"]["freq"], found["d1"]["sum_act_amt"], found["d1"]["partner_name"]) == (2, 14.75 / 10000, "Other")
+    assert (found["d2"]["freq"], found["d2"]["partner_name"]) == (1, None)
+    reads.clear()
+    queries.labelled(spark, "")
+    assert len(reads) == 1
