@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stallwise.operators.joins import join_shuffled
 from stallwise.sources.tables import read
 
 # Column types of the delivered tables; nothing is inferred on read.
@@ -30,19 +31,24 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return read(spark, f"{sf}/{name}.parquet", SCHEMAS[name])
 
 
+MALL_COLUMNS = {
+    "shop_name": "s_name",
+    "mall_name": "r_name",
+    "mall_city_name": "n_name",
+    "partner_name": "concat('Dealer ', cast(s_suppkey - if(s_suppkey % 4 = 1, 1, 0) as string))",
+}
+
+
+def with_mall(spark: SparkSession, sf: str, rows: DataFrame) -> DataFrame:
+    """Rows with a supplier's columns and the mall (region) and city (nation) it is in."""
+    nation = rows.join(table(spark, sf, "nation"), F.expr("s_nationkey = n_nationkey"))
+    region = nation.join(table(spark, sf, "region"), F.expr("n_regionkey = r_regionkey"))
+    return region.withColumns({name: F.expr(of) for name, of in MALL_COLUMNS.items()})
+
+
 def malls(spark: SparkSession, sf: str) -> DataFrame:
     """Supplier with the mall (region) and city (nation) it is in."""
-    nation = table(spark, sf, "nation").join(
-        table(spark, sf, "region"), F.expr("n_regionkey = r_regionkey")
-    )
-    joined = table(spark, sf, "supplier").join(nation, F.expr("s_nationkey = n_nationkey"))
-    return joined.selectExpr(
-        "s_suppkey",
-        "s_name AS shop_name",
-        "r_name AS mall_name",
-        "n_name AS mall_city_name",
-        "concat('Dealer ', cast(s_suppkey - if(s_suppkey % 4 = 1, 1, 0) as string)) AS partner_name",
-    )
+    return with_mall(spark, sf, table(spark, sf, "supplier")).select("s_suppkey", *MALL_COLUMNS)
 
 
 def sales(spark: SparkSession, sf: str) -> DataFrame:
@@ -50,11 +56,11 @@ def sales(spark: SparkSession, sf: str) -> DataFrame:
     lines = table(spark, sf, "lineitem").drop("l_shipdate")
     orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")
     part = table(spark, sf, "part").select("p_partkey", "p_name", "p_type", "p_brand", "p_size")
-    joined = (
-        lines.join(orders, F.expr("l_orderkey = o_orderkey"))
-        .join(part, F.expr("l_partkey = p_partkey"))
-        .join(malls(spark, sf), F.expr("l_suppkey = s_suppkey"))
-    )
+    # The dealers are met one small table after the other while the lines are still narrow: a join of
+    # these tables among themselves passes for a large one, and every line would be shuffled for it.
+    facts = join_shuffled(lines, orders.withColumnRenamed("o_orderkey", "l_orderkey"), ["l_orderkey"])
+    placed = with_mall(spark, sf, facts.join(table(spark, sf, "supplier"), F.expr("l_suppkey = s_suppkey")))
+    joined = join_shuffled(placed, part.withColumnRenamed("p_partkey", "l_partkey"), ["l_partkey"])
     return joined.selectExpr(
         "cast(l_orderkey as string) AS ordr_id",
         "cast(o_orderdate as date) AS date_id",

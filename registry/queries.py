@@ -86,6 +86,12 @@ def stall_months_of(spark, sf):
     )
 
 
+def split_booth_months(spark, sf, *columns):
+    """Columns of the stall months with their booth code, written once: rows and dictionary both read them."""
+    rows = stall_months_of(spark, sf).withColumn("booth_code", F.regexp_replace("booth_name", "N", "B"))
+    return checkpointed(rows.select("booth_name", "booth_code", "booth_grade", "contract_code", "begin_date", "saleperarea", *columns))
+
+
 def stalls_of(spark, sf):
     return productivity.stall_metrics(stall_months_of(spark, sf), "1998-01", "1999-06-30")
 
@@ -549,17 +555,13 @@ def split_booths(spark, sf):
 
 @query
 def booth_many_to_many(spark, sf):
-    rows = stall_months_of(spark, sf).withColumn(
-        "booth_code", F.regexp_replace("booth_name", "N", "B")
-    )
+    rows = split_booth_months(spark, sf)
     return floors.stalls_by_split_booth(rows, floors.booth_dictionary(rows))
 
 
 @query
 def split_booth_metrics(spark, sf):
-    rows = stall_months_of(spark, sf).withColumn(
-        "booth_code", F.regexp_replace("booth_name", "N", "B")
-    )
+    rows = split_booth_months(spark, sf, "month_id", "finish_date", "series_name", "category_name_3", "brand_name")
     return floors.split_booth_metrics(rows, floors.booth_dictionary(rows), "1998-01", "1999-06-30")
 
 
@@ -986,8 +988,11 @@ def split(spark, sf):
 
 
 def reported(spark, sf):
-    survey = tables.dealer_survey(frames.dealer_survey(spark, sf))
-    return jobs.reported_sales(frames.sales(spark, sf), survey, None, "1996-01-01", "1998-12-31")["model"]
+    """The joined orders are written once; sums, survey and features read their columns."""
+    rows = checkpointed(frames.sales(spark, sf).select("partner_name", *dealers.FEATURE_COLUMNS))
+    sums = checkpointed(dealers.dealer_sums(rows))
+    survey = tables.dealer_survey(frames.dealer_survey(spark, sf, sums))
+    return jobs.reported_sales(rows, survey, None, "1996-01-01", "1998-12-31", sums)["model"]
 
 
 @query

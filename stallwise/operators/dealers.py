@@ -35,6 +35,11 @@ AGREED_STATES = ["15", "3", "Y"]
 RUNS = {"max_cont_hit": (SHORT_GAP, True), "max_cont_hit_nozero": (SHORT_GAP, False)}
 
 KEY = "partner_code"
+# What the features of a dealer are made of.
+FEATURE_COLUMNS = [
+    KEY, "ordr_date", "date_id", "act_amt", "booth_id", "cust_name", "cont_cat3_name", "ordr_status",
+    "house_no", "cont_unit_price",
+]
 
 
 def city_orders(orders: DataFrame, city: str, begin: str, finish: str) -> DataFrame:

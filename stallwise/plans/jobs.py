@@ -73,14 +73,15 @@ def trusted_productivity(
 
 
 def reported_sales(
-    orders: DataFrame, survey: DataFrame, city: str | None, begin: str, finish: str
+    orders: DataFrame, survey: DataFrame, city: str | None, begin: str, finish: str, sums: DataFrame | None = None
 ) -> dict[str, DataFrame]:
     """Dealer features with the survey labels, the trusted dealers, and a model table.
 
-    Without a city all orders count.
+    Without a city all orders count. ``sums`` are their :func:`dealers.dealer_sums`, where known.
     """
     rows = orders if city is None else dealers.city_orders(orders, city, begin, finish)
-    labelled = dealers.survey_labels(dealers.dealer_totals(rows), survey)
+    totals = dealers.dealer_totals(rows) if sums is None or city is not None else dealers.totals_of_sums(sums)
+    labelled = dealers.survey_labels(totals, survey)
     features = dealers.dealer_features(rows)
     merged = features.join(labelled, dealers.KEY, "left")
     return {
