@@ -24,7 +24,7 @@ from stallwise.operators import (
 )
 from stallwise.operators.joins import keep_matching
 from stallwise.plans import jobs
-from stallwise.session import checkpointed, prepare, scratch, shared_folder
+from stallwise.session import bounded_tasks, checkpointed, prepare, scratch, shared_folder
 from stallwise.sources import sinks, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,7 +58,7 @@ def tidy(df: DataFrame, places: int = 6) -> DataFrame:
 
 def query(fn: Callable[[SparkSession, str], DataFrame]):
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        return tidy(fn(prepare(spark), sf), PLACES.get(fn.__name__, 6))
+        return tidy(fn(bounded_tasks(prepare(spark)), sf), PLACES.get(fn.__name__, 6))
 
     QUERIES[fn.__name__] = run
     return fn

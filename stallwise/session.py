@@ -17,6 +17,25 @@ RUNTIME_SETTINGS = {
 }
 
 
+# What one task reads, before and after a shuffle, whatever the input.
+TASK_SETTINGS = {
+    "spark.sql.files.maxPartitionBytes": "16m",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m",
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "800",
+}
+
+
+def bounded_tasks(spark: SparkSession) -> SparkSession:
+    """Let the number of tasks grow with the tables instead of the memory of each.
+
+    By default a task takes up to 128 MB of compressed files, or 64 MB of a compressed shuffle in at most
+    200 parts, which sorts and hash tables turn into several times as much memory.
+    """
+    for key, value in TASK_SETTINGS.items():
+        spark.conf.set(key, value)
+    return spark
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """Pin the time zone and the adaptive settings on a running session."""
     for key, value in RUNTIME_SETTINGS.items():

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from registry import frames, queries
+from stallwise import session
 from stallwise.operators import dealers, footfall, shaping
 from tests.test_scale import crowd
 
@@ -58,3 +59,37 @@ def test_totals_and_survey_share_one_pass(spark, reads):
     reads.clear()
     queries.labelled(spark, "")
     assert len(reads) == 1
+
+
+def test_facts_are_shuffled_for_facts_only(spark, monkeypatch):
+    def one(spark, sf, name):
+        schema = spark.createDataFrame([], frames.SCHEMAS[name]).schema
+        return spark.range(1).select(*[F.col("id").cast("string").cast(f.dataType).alias(f.name) for f in schema])
+
+    monkeypatch.setattr(frames, "table", one)
+    plan = frames.sales(spark, "")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 2 and plan.count("BroadcastHashJoin") == 3
+    assert "hashpartitioning(l_orderkey" in plan and "hashpartitioning(l_partkey" in plan and "hashpartitioning(l_suppkey" not in plan
+
+
+def test_features_sums_and_survey_read_one_written_table(spark, reads):
+    queries.reported(spark, "")
+    assert len(reads) == 1
+
+
+def test_split_booths_read_written_months(spark, monkeypatch):
+    row = ("N1", "A", "c", dt.date(1998, 1, 1), 2.0)
+    months = spark.createDataFrame([row], "booth_name string, booth_grade string, contract_code string, begin_date date, saleperarea double")
+    monkeypatch.setattr(queries, "stall_months_of", lambda session, sf: months)
+    found = queries.QUERIES["booth_many_to_many"](spark, "")
+    assert sorted((r["booth_code"], r["saleperarea"]) for r in found.collect()) == [("B1", 2.0)]
+    plan = queries.split_booth_months(spark, "")._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan parquet" in plan
+
+
+def test_queries_bound_their_tasks(spark):
+    other, kept = spark.newSession(), dict(queries.QUERIES)
+    queries.query(lambda spark, sf: spark.range(1))
+    added = queries.QUERIES.pop("<lambda>")
+    assert queries.QUERIES == kept and added(other, "").count() == 1
+    assert all(other.conf.get(k) == v for k, v in session.TASK_SETTINGS.items())
