@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 from itertools import combinations
-from math import isclose, log
+from math import dist, frexp, inf, isclose, isfinite, log
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.feature import VectorAssembler
@@ -12,8 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stallwise.functions.nullsafe import ratio
-from stallwise.operators.ensembles import REGRESSORS, Regressors, one_row
-from stallwise.operators.nearest import FEW, nearest_label, with_nearest
+from stallwise.operators.ensembles import REGRESSORS, Regressors
+from stallwise.operators.nearest import FEW, complete, nearest_label, squared_distance, with_nearest
 from stallwise.operators.shaping import complete_rows, hash_split
 from stallwise.session import checkpointed
 
@@ -223,26 +226,151 @@ def nearest_mean(rows: DataFrame, label: str, features: Sequence[str]) -> DataFr
 def self_training(rows: DataFrame, label: str, features: Sequence[str]) -> tuple[DataFrame, int]:
     """Label the unlabelled rows by nearest mean and refit until nothing moves.
 
-    Given labels never change. Every round is one aggregation over the input, so the plan does
-    not grow. The state is the class means: numbers for a few classes, a written table for
-    many. Returns the rows with ``pred_value`` and the rounds used.
+    Given labels never change. The rows are written once with their features. The state is the
+    class means: numbers for a few classes (:func:`moved_means`), a written table for many.
+    Returns the rows with ``pred_value`` and the rounds used.
     """
     few = class_means(rows, label, features).limit(FEW + 1).collect()  # at most FEW + 1 rows
     if len(few) > FEW:
         return _self_training_of_many(rows, label, features)
-    means, used = sorted_means(few), 0
+    _, last, used = moved_means(_kept(rows, label, features), len(features))
+    return rows.withColumn("pred_value", nearest_label(last, features)), used
+
+
+def _kept(rows: DataFrame, label: str, features: Sequence[str], *more: Column) -> DataFrame:
+    values = [F.col(f).cast("double").alias(f"_x{i}") for i, f in enumerate(features)]
+    return checkpointed(rows.select(F.col(label).cast("string").alias("_label"), *more, *values))
+
+
+# Steps as long as the last one that settled rows can bear.
+AHEAD = 16
+# Rows in doubt from which it pays to set the settled ones apart.
+MANY = 500_000
+# Whole units in the highest place of a feature, and of these in turn.
+PLACE = 1 << 30
+
+
+@dataclass
+class Settled:
+    """Rows that may change their class while every mean stays within half of ``margin`` from
+    ``means``, and the sums per class of all others."""
+
+    rows: DataFrame
+    margin: float
+    means: list[tuple[str, list[float]]]
+    sums: dict[str, list[tuple[int, int]]]
+
+
+def moved_means(rows: DataFrame, width: int) -> tuple[list, list, int]:
+    """Class means of the rows with a ``_label``, after self-training, and its rounds; features are ``_x0``, ``_x1``, ...
+
+    A round adds up the rows without a label by nearest mean. Rows whose two nearest means differ
+    by more than the means can move in the next rounds are added up once, and only the others are
+    read until the means have moved that far; the steps shrink, and with them the rows in doubt.
+    Sums are whole numbers, so it makes no difference which rows are added up together.
+    """
+    names = [f"_x{i}" for i in range(width)]
+    units = units_of(rows, names)
+    given = class_sums(rows.filter("_label is not null"), F.col("_label"), names, units)
+    first = now = means_of_sums([given], units)
+    levels = [Settled(rows.filter("_label is null").filter(complete(names)).select(*names), inf, first, {})]
+    used, in_doubt = 0, MANY
     while True:
         used += 1
-        guess = F.coalesce(F.col(label).cast("string"), nearest_label(means, features))
-        moved = sorted_means(class_means(rows, guess, features).collect())  # no more classes than before
-        if same_numbers(means, moved):
-            return rows.withColumn("pred_value", nearest_label(moved, features)), used
-        means = moved
+        while len(levels) > 1 and not 2 * movement(levels[-1].means, now) < levels[-1].margin:
+            levels.pop()
+        top = levels[-1]
+        nearest = nearest_of(now, names, in_doubt >= MANY) if now else F.lit(None).cast("string")
+        open_sums = class_sums(top.rows, nearest, names, units)
+        in_doubt = sum(max(n for n, _ in sums) for sums in open_sums.values())
+        moved = means_of_sums([given, top.sums, open_sums], units)
+        if same_numbers(now, moved):
+            return first, moved, used
+        margin = 2 * AHEAD * movement(now, moved)
+        now = moved
+        if in_doubt >= MANY and margin < top.margin / 8 and margin < closest(now) / 4:
+            near, clear = nearest_of(now, names), clearly_nearest(now, names, margin)
+            settled = class_sums(top.rows.filter(clear), near, names, units)
+            levels.append(Settled(checkpointed(top.rows.filter(~clear)), margin, now, added([top.sums, settled])))
+
+
+def units_of(rows: DataFrame, names: Sequence[str]) -> list[float | None]:
+    """Per feature, a power of two that every value has at most PLACE of; none where values are not finite."""
+    tops = rows.agg(*[F.max(F.abs(F.col(c))).alias(c) for c in names]).first()
+    return [2.0 ** max(frexp(m)[1] - 30, -900) if isfinite(m) else None for m in (tops[c] or 0.0 for c in names)]
+
+
+def class_sums(rows: DataFrame, label: Column, names: Sequence[str], units: Sequence[float | None]) -> dict[str, list[tuple]]:
+    """Per class, (number, sum) of the values of every feature, in units divided by PLACE."""
+    columns = []
+    for c, unit in zip(names, units, strict=True):
+        whole = F.rint(F.col(c) / unit) if unit else None
+        columns += [
+            F.count(c),
+            F.sum(whole.cast("bigint")) if unit else F.sum(c),
+            F.sum(F.rint((F.col(c) / unit - whole) * PLACE).cast("bigint")) if unit else F.lit(0),
+        ]
+    found = rows.groupBy(label.alias("label")).agg(*[col.alias(f"s{i}") for i, col in enumerate(columns)])
+    return {
+        r["label"]: [(r[f"s{i}"], (r[f"s{i + 1}"] or 0) * PLACE + (r[f"s{i + 2}"] or 0)) for i in range(0, len(columns), 3)]
+        for r in found.collect()  # one a class
+        if r["label"] is not None
+    }
+
+
+def added(parts: Sequence[Mapping[str, list[tuple]]]) -> dict[str, list[tuple]]:
+    out: dict[str, list[tuple]] = {}
+    for part in parts:
+        for label, sums in part.items():
+            mine = out.get(label, [(0, 0)] * len(sums))
+            out[label] = [(n + m, s + t) for (n, s), (m, t) in zip(mine, sums, strict=True)]
+    return out
 
 
-def sorted_means(rows: Sequence) -> list[tuple[str, list[float]]]:
+def means_of_sums(parts: Sequence[Mapping[str, list[tuple]]], units: Sequence[float | None]) -> list[tuple[str, list[float]]]:
     """Classes with their means in order of label, but for those with a missing mean."""
-    return sorted((r["label"], list(r["means"])) for r in rows if all(m is not None and m == m for m in r["means"]))
+    found = []
+    for label, sums in added(parts).items():
+        means = [s / n * (unit or 1.0) / PLACE if n else float("nan") for (n, s), unit in zip(sums, units, strict=True)]
+        found.append((label, means))
+    return sorted((label, means) for label, means in found if all(m == m for m in means))
+
+
+def movement(a: Sequence, b: Sequence) -> float:
+    """The longest way of a mean from ``a`` to ``b``."""
+    if [x[0] for x in a] != [x[0] for x in b]:
+        return inf
+    return max((dist(x[1], y[1]) for x, y in zip(a, b, strict=True)), default=0.0)
+
+
+def closest(means: Sequence) -> float:
+    """The shortest distance between two means; 0 for a single one."""
+    return min((dist(x[1], y[1]) for x, y in combinations(means, 2)), default=0.0)
+
+
+def tried_classes(means: Sequence, names: Sequence[str], compiled: bool = True) -> Column:
+    """Array of (squared distance, label) of all classes; ``compiled`` code is quicker but made anew for other means."""
+    own = [F.col(c) for c in names]
+    if compiled and len(means) <= FEW:
+        return F.array(*[F.struct(squared_distance(own, [F.lit(m) for m in at]).alias("d"), F.lit(c).alias("label")) for c, at in means])
+    classes = F.from_json(F.lit(json.dumps([{"label": c, "at": list(at)} for c, at in means])), "array<struct<label: string, at: array<double>>>")
+    return F.transform(
+        classes, lambda c: F.struct(squared_distance(own, [c["at"][i] for i in range(len(own))]).alias("d"), c["label"].alias("label"))
+    )
+
+
+def nearest_of(means: Sequence, names: Sequence[str], compiled: bool = True) -> Column:
+    """The nearest class of a complete row, the first label of equals."""
+    if compiled and len(means) <= FEW:
+        return nearest_label(means, names)
+    return F.array_min(tried_classes(means, names, False))["label"]
+
+
+def clearly_nearest(means: Sequence, names: Sequence[str], margin: float) -> Column:
+    """Whether the second mean is farther than the nearest by more than ``margin``, rounding apart."""
+    tried = F.sort_array(tried_classes(means, names))
+    near, second = F.sqrt(tried[0]["d"]), F.sqrt(tried[1]["d"])
+    return (second < F.lit(inf)) & (second - near > F.lit(margin) + second * 1e-9)
 
 
 def same_numbers(a: Sequence, b: Sequence) -> bool:
@@ -279,43 +407,13 @@ def same_mean(x: Column, y: Column) -> Column:
 # ---- self-training over pairs of features --------------------------------------
 
 
-def paired_rows(rows: DataFrame, label: str, true: str, features: Sequence[str]) -> DataFrame:
-    """(pair, label, true, u, v): every row once per pair of neighbouring features that it has both of."""
-    pairs = [
-        F.struct(F.lit(i).alias("pair"), F.col(a).cast("double").alias("u"), F.col(b).cast("double").alias("v"))
-        for i, (a, b) in enumerate(zip(features, features[1:]))
-    ]
-    long = rows.select(F.col(label).cast("string").alias("label"), F.col(true).cast("string").alias("true"), F.inline(F.array(*pairs)))
-    return long.filter("u is not null and v is not null and not isnan(u) and not isnan(v)")
-
-
-def nearest_of_pair(pairs: str) -> Column:
-    """The nearest class of a row's pair; ``pairs`` has the classes (label, u, v) of each."""
-
-    def tried(c: Column) -> Column:
-        u, v = F.col("u") - c["u"], F.col("v") - c["v"]
-        return F.struct((u * u + v * v).alias("d"), c["label"].alias("label"))
-
-    return F.array_min(F.transform(F.get(F.col(pairs), F.col("pair")), tried))["label"]
-
-
-PAIR_MODEL = "array<array<struct<label: string, u: double, v: double>>>"
-
-
-def pair_means(long: DataFrame, label: Column) -> dict[int, list[tuple[str, list[float]]]]:
-    """Per pair, the classes with their means."""
-    rows = long.select("pair", label.alias("label"), "u", "v").filter("label is not null")
-    found = rows.groupBy("pair", "label").agg(F.array(F.avg("u"), F.avg("v")).alias("means")).collect()  # pairs x classes
-    return {p: sorted_means([r for r in found if r["pair"] == p]) for p in sorted({r["pair"] for r in found})}
-
-
 def self_training_pairs(
     rows: DataFrame, label: str, true: str, features: Sequence[str]
 ) -> tuple[DataFrame, DataFrame]:
-    """Self-training by nearest mean for every pair of neighbouring features, all pairs at once.
+    """Self-training by nearest mean for every pair of neighbouring features.
 
-    A round is one aggregation over the rows of the pairs that still move; a pair whose means
-    stay is done and leaves. The classes should be few: the means of all pairs are one row.
+    A pair takes the rows that have both features. The rows are written once; rounds read only
+    what is in doubt (:func:`moved_means`). The classes should be few: their means are numbers.
 
     Returns the pairs with ``rounds`` and the share of rows (with a true label) that the
     supervised and the self-trained means get wrong, and the boundaries between any two
@@ -323,45 +421,33 @@ def self_training_pairs(
     from the other. Pairs without a labelled row are left out.
     """
     spark = rows.sparkSession
-    long = checkpointed(paired_rows(rows, label, true, features))
-
-    def with_models(frame: DataFrame, **models: Mapping[int, Sequence]) -> DataFrame:
-        row = {
-            name: [[{"label": c, "u": m[0], "v": m[1]} for c, m in of.get(i, [])] for i in range(len(features) - 1)]
-            for name, of in models.items()
-        }
-        return frame.crossJoin(F.broadcast(one_row(spark, row, ", ".join(f"{n} {PAIR_MODEL}" for n in row))))
-
-    first = pair_means(long, F.col("label"))
-    now, rounds, moving = dict(first), dict.fromkeys(first, 0), set(first)
-    while moving:
-        active = with_models(long.filter(F.col("pair").isin(sorted(moving))), model=now)
-        moved = pair_means(active, F.coalesce(F.col("label"), nearest_of_pair("model")))
-        for pair in sorted(moving):
-            rounds[pair] += 1
-            if same_numbers(now[pair], moved[pair]):
-                moving.discard(pair)
-            now[pair] = moved[pair]
-
-    kept = with_models(long.filter(F.col("pair").isin(sorted(first))), first=first, last=now)
-
-    def wrong(model: str) -> Column:
-        return F.avg((nearest_of_pair(model) != F.col("true")).cast("double"))
-
-    used = spark.createDataFrame(sorted(rounds.items()), "pair int, rounds int")
-    errors = kept.groupBy("pair").agg(wrong("first").alias("error_before"), wrong("last").alias("error_after")).join(used, "pair")
-    names = F.array(*[F.lit(f) for f in features])
-    scores = errors.select(
-        F.get(names, F.col("pair")).alias("feature_u"), F.get(names, F.col("pair") + 1).alias("feature_v"), "rounds", "error_before", "error_after"
-    )
+    kept = _kept(rows, label, features, F.col(true).cast("string").alias("_true"))
+    both = ["_x0", "_x1"]
+
+    def trained(i: int) -> tuple | None:
+        pair = kept.select("_label", "_true", F.col(f"_x{i}").alias("_x0"), F.col(f"_x{i + 1}").alias("_x1")).filter(complete(both))
+        first, last, rounds = moved_means(pair, 2)
+        if not first:
+            return None
+        models = {"supervised": first, "self_trained": last}
+        wrong = [F.avg((nearest_of(m, both) != F.col("_true")).cast("double")).alias(stage) for stage, m in models.items()]
+        return features[i], features[i + 1], rounds, pair.agg(*wrong).first(), models
+
+    # The rounds of a pair are short jobs; those of a few pairs run side by side.
+    with ThreadPool(4) as pool:
+        found = [x for x in pool.map(trained, range(len(features) - 1)) if x]
+    scores = [(u, v, rounds, *wrong) for u, v, rounds, wrong, _ in found]
     lines = [
-        (features[pair], features[pair + 1], stage, a, b, *boundary(p, q))
-        for stage, models in (("supervised", first), ("self_trained", now))
-        for pair, classes in sorted(models.items())
+        (u, v, stage, a, b, *boundary(p, q))
+        for u, v, _, _, models in found
+        for stage, classes in models.items()
         for (a, p), (b, q) in combinations(classes, 2)
     ]
     schema = "feature_u string, feature_v string, stage string, class_a string, class_b string, w_u double, w_v double, c double"
-    return scores, spark.createDataFrame(lines, schema)
+    return (
+        spark.createDataFrame(scores, "feature_u string, feature_v string, rounds int, error_before double, error_after double"),
+        spark.createDataFrame(sorted(lines, key=lambda x: x[2] != "supervised"), schema),
+    )
 
 
 def boundary(a: Sequence[float], b: Sequence[float]) -> tuple[float, float, float]:

@@ -234,3 +234,37 @@ def test_self_training_of_all_pairs(spark):
         at = [(p + q) / 2 for p, q in zip(a, b)]  # half way between the means
         assert r["w_u"] * at[0] + r["w_v"] * at[1] == pytest.approx(r["c"])
         assert (r["w_u"], r["w_v"]) == pytest.approx((b[0] - a[0], b[1] - a[1]))
+
+
+def test_settled_rows_are_not_read_again(spark, monkeypatch):
+    """A slow walk of the means: same rounds and means as by brute force, few rows in most rounds."""
+    rng = random.Random(4)
+    data = [{"u": rng.random(), "v": rng.random() * 3, "true": "abc"[i % 3], "label": "abc"[i % 3] if i < 90 else None} for i in range(3000)]
+    rows = spark.createDataFrame([(r["u"], r["v"], r["true"], r["label"]) for r in data], "u double, v double, true string, label string")
+    expected = brute_pairs(data, ["u", "v"])[("u", "v")]
+    read, whole = [], learning.class_sums
+
+    def counted(rows, *rest):
+        read.append(rows.count())
+        return whole(rows, *rest)
+
+    monkeypatch.setattr(learning, "class_sums", counted)
+    monkeypatch.setattr(learning, "MANY", 100)
+    first, last, rounds = learning.moved_means(learning._kept(rows, "label", ["u", "v"]), 2)
+    assert rounds == expected[0] > 8
+    for label, at in last:
+        assert at == pytest.approx(expected[3][label], rel=1e-12)
+    assert sum(n < 1500 for n in read) > rounds // 3
+    assert learning.self_training(rows, "label", ["u", "v"])[1] == rounds
+
+
+def test_self_training_of_odd_rows(spark):
+    """Missing, NaN and infinite features, a label with no mean, and no labels at all."""
+    nan, big = float("nan"), float("inf")
+    data = [(0.0, 0.0, "a"), (None, 2.0, "a"), (5.0, 5.0, "b"), (nan, 1.0, "c"), (None, None, "d"), (1.0, 1.0, None), (4.0, None, None), (nan, 3.0, None), (4.5, 4.0, None)]
+    rows = spark.createDataFrame(data, "x double, y double, label string")
+    found = {(str(r["x"]), str(r["y"])): r["pred_value"] for r in learning.self_training(rows, "label", ["x", "y"])[0].collect()}
+    assert (found[("1.0", "1.0")], found[("4.5", "4.0")], found[("4.0", "None")], found[("nan", "3.0")]) == ("a", "b", None, None)
+    assert learning.self_training(rows.withColumn("label", F.lit(None).cast("string")), "label", ["x", "y"])[1] == 1
+    more = rows.unionByName(spark.createDataFrame([(big, 1.0, "z")], rows.schema))
+    assert learning.self_training(more, "label", ["x", "y"])[0].filter("pred_value is null").count() == 5
