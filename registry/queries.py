@@ -1014,7 +1014,7 @@ def classifier_sweep(spark, sf):
 
 @query
 def order_regression(spark, sf):
-    shops = footfall.shop_analysis(orders_of(spark, sf), visits_of(spark, sf), dates.iso_week)
+    shops = checkpointed(footfall.shop_analysis(orders_of(spark, sf), visits_of(spark, sf), dates.iso_week))
     last = shops.agg(F.max("period")).first()[0]
     _, _, score = jobs.order_number_model(shops, last)
     return score

@@ -1,10 +1,11 @@
 """Trees of many models grown together.
 
 A lane is one tree of one model: of the fit to all rows, or of one fold of one repeat of a
-cross-validation. Rows are binned once. One level of all lanes is one pass over the rows: a row
-finds its node in every lane it counts in, sums per (lane, node, feature, bin) are added up over
-the cluster, and the best split of every node comes back. What the driver holds is the trees
-themselves, whose size is given by lanes and depth and not by the rows.
+cross-validation. Rows are binned once. One level of all lanes is one pass over the rows: in every
+lane that it counts in a row finds its node, a task adds up its rows per (lane, node, feature, bin)
+(:mod:`histograms`), Spark adds up the tasks' sums, and the best split of every node comes back.
+What the driver holds is the trees themselves, whose size is given by lanes and depth and not by
+the rows.
 
 All sums are whole numbers, so a tree does not depend on how the rows were laid out.
 """
@@ -16,19 +17,21 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from math import log
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stallwise.operators import histograms
 from stallwise.operators.quantiles import group_quantiles
-from stallwise.session import checkpointed
+from stallwise.session import checkpointed, discard, scratch
 
 BINS = 32
 # Whole units in one: residuals and scaled targets are rounded to these.
 UNIT = 1 << 30
 # Chances of at most 0, 1, 2, ... draws of a row in a sample with replacement (Poisson, mean 1).
 DRAWS = [0.367879, 0.735759, 0.919699, 0.981012, 0.996340, 0.999406, 0.999917]
-# Rows of (row, lane, feature) that one task works on.
-TASK_ROWS = 200_000
+# Cells of (row, lane, feature) in one file of the rows.
+TASK_CELLS = 150_000_000
 
 
 # ---- rows ----------------------------------------------------------------------
@@ -93,6 +96,10 @@ class Runs:
             return "true"
         return f"({run} = 0 or folds[cast(({run} - 1) div {self.folds} as int)] <> ({run} - 1) % {self.folds})"
 
+    def lanes(self, width: int) -> histograms.Lanes:
+        """So many lanes for every run."""
+        return histograms.Lanes(self.folds if self.count > 1 else 0, width)
+
     def held_out(self) -> str:
         """SQL: array of the runs that leave a row out."""
         if self.count == 1:
@@ -111,7 +118,7 @@ def named(rows: DataFrame, **columns: Column) -> DataFrame:
 
 def spread_out(rows: DataFrame, lanes: int, features: int) -> DataFrame:
     """Rows written in as many parts as their work for all lanes asks for."""
-    parts = max(1, rows.count() * lanes * features // TASK_ROWS)
+    parts = max(1, rows.count() * lanes * features // TASK_CELLS)
     return checkpointed(rows.repartition(parts))
 
 
@@ -140,6 +147,10 @@ class Trees:
     def of_lanes(self, lanes: range) -> Trees:
         return Trees(*([part[i] for i in lanes] for part in (self.feature, self.cut, self.sums)), self.depth)
 
+    def splits(self) -> tuple[np.ndarray, np.ndarray]:
+        """Features and cuts by lane and node."""
+        return np.array(self.feature, np.int32), np.array(self.cut, np.int32)
+
     def table(self, spark: SparkSession, value=None) -> DataFrame:
         """The trees as one row of arrays, with ``value`` of every node's sums."""
         schema = "m_feature array<array<int>>, m_cut array<array<int>>"
@@ -176,26 +187,32 @@ def first_sum(sums: Sequence[str]) -> str:
     return f"({sums[0]})"
 
 
-def level_query(lanes: int, level: int, counts: str, stats: Sequence[str], score, size, allowed: str | None, seed: int) -> str:
-    """SQL: the best split of every node of one level, from {rows} and the trees so far in {model}."""
-    names = [f"s{i}" for i in range(len(stats))]
+def chosen_features(spark: SparkSession, lanes: int, depth: int, features: int, allowed: str, seed: int) -> dict[int, np.ndarray]:
+    """Per lane whose nodes look at ``allowed`` (SQL) features only, those of every node, chosen by a hash."""
+    ranked = f"transform(sequence(0, {features - 1}), feature -> struct(xxhash64({seed}, lane, node, feature) AS h, feature AS f))"
+    found = spark.sql(f"""
+        SELECT lane, node, slice(array_sort({ranked}).f, 1, cast({allowed} AS int)) AS few
+        FROM (SELECT cast(l.id AS int) AS lane, cast(n.id AS int) AS node FROM range({lanes}) l CROSS JOIN range(1, {1 << depth}) n)
+        WHERE {allowed} < {features}""")
+    out: dict[int, np.ndarray] = {}
+    for r in found.collect():  # at most one row a node of every lane
+        out.setdefault(r["lane"], np.zeros((1 << depth, len(r["few"])), np.int32))[r["node"]] = r["few"]
+    return out
+
+
+def level_query(sums: int, score, size) -> str:
+    """SQL: the best split of every node of one level, from the tasks' sums in {found}."""
+    names = [f"s{i}" for i in range(sums)]
     low, all_ = [f"l_{n}" for n in names], [f"t_{n}" for n in names]
     high = [f"({t} - {l})" for t, l in zip(all_, low, strict=True)]
-    some = f", dense_rank() OVER (PARTITION BY lane, node ORDER BY xxhash64({seed}, lane, node, feature), feature) AS nth" if allowed else ""
     return f"""
-        WITH placed AS (
-          SELECT /*+ BROADCAST(m) */ r.*, lane, node FROM {{rows}} r CROSS JOIN {{model}} m
-            LATERAL VIEW posexplode(transform(sequence(0, {lanes - 1}), l -> {walk("l", level)})) AS lane, node),
-        counted AS (
-          SELECT lane, node, bins, {", ".join(f"cast({s} AS bigint) AS {n}" for s, n in zip(stats, names, strict=True))}
-          FROM placed WHERE node >= {1 << level} AND {counts}),
+        WITH placed AS (SELECT /*+ REPARTITION(lane, node) */ * FROM {{found}}),
         summed AS (
-          SELECT /*+ REPARTITION(lane, node) */ lane, node, feature, bin, {", ".join(f"sum({n}) AS {n}" for n in names)}
-          FROM counted LATERAL VIEW posexplode(bins) AS feature, bin GROUP BY lane, node, feature, bin),
-        chosen AS (SELECT *{some} FROM summed),
+          SELECT lane, node, feature, bin, {", ".join(f"sum({n}) AS {n}" for n in names)}
+          FROM placed GROUP BY lane, node, feature, bin),
         split AS (
           SELECT lane, node, feature, bin, {", ".join(f"sum({n}) OVER upto AS l_{n}, sum({n}) OVER whole AS t_{n}" for n in names)}
-          FROM chosen {f"WHERE nth <= {allowed}" if allowed else ""}
+          FROM summed
           WINDOW whole AS (PARTITION BY lane, node, feature),
             upto AS (PARTITION BY lane, node, feature ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
         SELECT lane, node, first(array({", ".join(all_)})) AS all, max(struct(
@@ -215,25 +232,42 @@ def grow(
     allowed: str | None = None,
     seed: int = 0,
 ) -> Trees:
+    """:func:`grow_lanes` where ``counts`` says in SQL whether a row counts in ``lane`` and ``stats`` what it adds there."""
+
+    def each(of: str, name: str) -> Column:
+        return F.expr(f"transform(sequence(0, {lanes - 1}), lane -> {of})").alias(name)
+
+    sums = [each(f"cast({s} AS bigint)", f"s{i}") for i, s in enumerate(stats)]
+    rows = rows.select("bins", each(f"if({counts}, 1, 0)", "counted"), *sums)
+    return grow_lanes(rows, lanes, depth, histograms.given(len(stats)), len(stats), score, size, allowed, seed)
+
+
+def grow_lanes(
+    rows: DataFrame, lanes: int, depth: int, adds: histograms.Adds, sums: int, score, size, allowed: str | None = None, seed: int = 0,
+) -> Trees:
     """Grow a tree in every lane by the largest gain in ``score``.
 
-    ``rows`` have ``bins``; ``counts`` says in SQL whether a row counts in ``lane`` and ``stats``
-    what it adds there, in whole numbers. ``size`` gives the number of rows of some sums. With
-    ``allowed`` a node looks at so many features of a lane, chosen by a hash. The lower
-    feature and then the lower bin wins a tie.
+    ``rows`` have ``bins`` and what ``adds`` reads to say which rows count in a lane and what they
+    add to its ``sums``, in whole numbers (below 2^53 in the sums of one slab). ``size`` gives the
+    number of rows of some sums. With ``allowed`` a node looks at so many features of a lane, chosen
+    by a hash. The lower feature and then the lower bin wins a tie.
     """
     spark = rows.sparkSession
     trees = Trees.empty(lanes, depth)
+    first = rows.select(F.size("bins").alias("n")).first() if allowed else None
+    chosen = chosen_features(spark, lanes, depth, first["n"], allowed, seed) if first else {}
+    schema = "lane int, node int, feature int, bin int, " + ", ".join(f"s{i} long" for i in range(sums))
+    query = level_query(sums, score, size)
     for level in range(depth):
-        best = spark.sql(level_query(lanes, level, counts, stats, score, size, allowed, seed), rows=rows, model=trees.table(spark))
+        found = rows.mapInArrow(histograms.cells(lanes, level, *trees.splits(), sums, adds, chosen), schema)
         split = False
-        for r in best.collect():  # at most one row a node of every lane
-            lane, at, found, total = r["lane"], r["node"], r["best"], list(r["all"])
+        for r in spark.sql(query, found=found).collect():  # at most one row a node of every lane
+            lane, at, best, total = r["lane"], r["node"], r["best"], list(r["all"])
             trees.sums[lane][at] = total
-            if found["gain"] > 1e-9 * max(1.0, abs(sum(total))):
-                trees.feature[lane][at], trees.cut[lane][at] = -found["f"], -found["b"]
-                trees.sums[lane][2 * at] = list(found["low"])
-                trees.sums[lane][2 * at + 1] = [a - b for a, b in zip(total, found["low"], strict=True)]
+            if best["gain"] > 1e-9 * max(1.0, abs(sum(total))):
+                trees.feature[lane][at], trees.cut[lane][at] = -best["f"], -best["b"]
+                trees.sums[lane][2 * at] = list(best["low"])
+                trees.sums[lane][2 * at + 1] = [a - b for a, b in zip(total, best["low"], strict=True)]
                 split = True
         if not split:
             break
@@ -288,13 +322,10 @@ def tree_guesses(rows: DataFrame, trees: Trees, classes: int, width: int, run: s
 def grow_classifiers(rows: DataFrame, runs: Runs, classes: int, features: int, settings: Settings) -> tuple[Trees, int]:
     """One tree, bagged trees and a random forest of every run; returns the trees and the lanes a run has."""
     width = 1 + 2 * settings.trees
-    run, tree = f"cast(lane div {width} as int)", f"cast(lane % {width} as int)"
-    drawn = f"if({tree} = 0, 1, draws[({tree} - 1) % {settings.trees}])"
     some = max(1, round(features**0.5))
-    trees = grow(
-        rows, runs.count * width, settings.depth,
-        f"{runs.trains(run)} and {drawn} > 0", [f"if(y = {k}, {drawn}, 0)" for k in range(classes)],
-        gini, all_rows,
+    trees = grow_lanes(
+        rows.select("bins", "y", "folds", "draws"), runs.count * width, settings.depth,
+        histograms.class_counts(runs.lanes(width)), classes, gini, all_rows,
         f"if(lane % {width} > {settings.trees}, {some}, {features})", settings.seed,
     )
     return trees, width
@@ -307,35 +338,42 @@ def boost(rows: DataFrame, runs: Runs, classes: int, settings: Settings) -> tupl
     with ``margins`` per run and class, and the rounds' trees.
     """
     lanes = runs.count * classes
-    run, k = f"cast(lane div {classes} as int)", f"lane % {classes}"
-    top = f"array_max(slice(margins, 1 + {run} * {classes}, {classes}))"
-    total = f"aggregate(slice(margins, 1 + {run} * {classes}, {classes}), 0D, (a, m) -> a + exp(m - {top}))"
-    chance = f"exp(margins[lane] - {top}) / {total}"
-    rows = checkpointed(rows.withColumn("margins", F.array_repeat(F.lit(0.0), lanes)))
-    rounds = []
+    rows = rows.drop("draws").withColumn("margins", F.array_repeat(F.lit(0.0), lanes))
+    rounds, last = [], None
     shrink = settings.rate * (classes - 1) / classes
 
-    def step(sums: list[int]) -> list[float]:
-        return [shrink * sums[1] / max(sums[2], 1)]
+    def step(sums: list[int]) -> float:
+        return shrink * sums[1] / max(sums[2], 1)
 
     for _ in range(settings.boosts):
-        trees = grow(
-            rows, lanes, settings.boost_depth, runs.trains(run),
-            ["1", f"round({UNIT} * (if(y = {k}, 1, 0) - {chance}))", f"round({UNIT} * {chance} * (1 - {chance}))"],
-            squares, first_sum,
+        rows, path = with_chances(rows, runs.count, classes)
+        if last:
+            discard(rows.sparkSession, last)
+        last = path
+        trees = grow_lanes(
+            rows.select("bins", "y", "folds", "chances"), lanes, settings.boost_depth,
+            histograms.what_is_left(runs.lanes(classes), UNIT), 3, squares, first_sum,
         )
         rounds.append(trees)
-        rows = checkpointed(stepped(rows, trees, lanes, step))
-    return rows, rounds
+        rows = stepped(rows.drop("chances"), trees, step)
+    return checkpointed(rows), rounds
+
+
+def with_chances(rows: DataFrame, runs: int, classes: int) -> tuple[DataFrame, str]:
+    """Rows written with the ``chances`` that their margins give every class in every run, and the folder."""
+    mine = f"slice(margins, 1 + run * {classes}, {classes})"
+    exps = f"transform(sequence(0, {runs - 1}), run -> transform({mine}, m -> exp(m - array_max({mine}))))"
+    shares = f"flatten(transform({exps}, e -> transform(e, x -> x / aggregate(e, 0D, (a, v) -> a + v))))"
+    spark, path = rows.sparkSession, scratch(rows.sparkSession, "boosted")
+    out = rows.withColumn("chances", F.expr(shares))
+    out.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(out.schema).parquet(path), path
 
 
-def stepped(rows: DataFrame, trees: Trees, lanes: int, step) -> DataFrame:
+def stepped(rows: DataFrame, trees: Trees, step) -> DataFrame:
     """Rows with ``margins`` moved by the leaves of one round; a lane without a tree stays."""
-    leaf = f"m_value[l][{walk('l', trees.depth)}]"
-    moved = F.expr(f"transform(sequence(0, {lanes - 1}), l -> margins[l] + coalesce({leaf}[0], 0D))")
-    return rows.crossJoin(F.broadcast(trees.table(rows.sparkSession, step))).select(
-        *[c for c in rows.columns if c != "margins"], moved.alias("margins")
-    )
+    value = np.array([[step(s) if s else 0.0 for s in lane] for lane in trees.sums])
+    return rows.mapInArrow(histograms.stepping(*trees.splits(), value, trees.depth), rows.schema)
 
 
 @dataclass
@@ -517,12 +555,11 @@ def fit_regressors(
     )
     width = 1 + settings.trees
     rows = spread_out(rows.withColumn("units", F.round(F.col("y") / unit).cast("bigint")), runs.count * width, len(features))
-    run, tree = f"cast(lane div {width} as int)", f"cast(lane % {width} as int)"
-    drawn = f"if({tree} = 0, 1, draws[{tree} - 1])"
     some = max(1, -(-len(features) // 3))
-    trees = grow(
-        rows, runs.count * width, settings.depth, f"{runs.trains(run)} and {drawn} > 0", [drawn, f"{drawn} * units"],
-        squares, first_sum, f"if(lane % {width} > 0, {some}, {len(features)})", settings.seed,
+    trees = grow_lanes(
+        rows.select("bins", "units", "folds", "draws"), runs.count * width, settings.depth,
+        histograms.count_and_sum(runs.lanes(width)), 2, squares, first_sum,
+        f"if(lane % {width} > 0, {some}, {len(features)})", settings.seed,
     )
     tested = means_of(rows.select("y", "bins", F.explode(F.expr(runs.held_out())).alias("run")), trees, width, "run", unit)
     per_run = tested.groupBy("run").agg(*[F.sqrt(F.avg(F.pow(F.col(m) - F.col("y"), 2))).alias(m) for m in REGRESSORS])

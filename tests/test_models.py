@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from stallwise.operators import ensembles, learning, nearest
+from stallwise.operators import ensembles, histograms, learning, nearest
 
 
 def blobs(spark, n=300):
@@ -65,6 +65,46 @@ def test_forests_look_at_some_features_only(spark):
     assert len({trees.feature[lane][1] for lane in range(20, 40)}) > 1
 
 
+def labelled_bins(spark, n=600, parts=4):
+    """Rows of three classes with bins, folds, draws and units."""
+    h = lambda seed, mod: F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(mod)).cast("int")
+    rows = spark.range(n).select("id", h(0, 3).alias("y"), F.array(h(1, 9) - 1, h(2, 7) + h(0, 3), h(3, 4), h(4, 9)).alias("bins"), h(5, 1 << 30).cast("bigint").alias("units"))
+    return rows.withColumns({"folds": ensembles.folds_of(["id"], 3, 2, 1), "draws": ensembles.draws_of(["id"], 2, 1)}).repartition(parts).cache()
+
+
+def test_lanes_add_what_their_sql_says(spark):
+    """Counts, sums and residuals in tasks' arrays give the trees of the same sums in SQL."""
+    rows, runs = labelled_bins(spark), ensembles.Runs(3, 2)
+    width = 3
+    run, drawn = f"cast(lane div {width} as int)", f"if(lane % {width} = 0, 1, draws[cast(lane % {width} as int) - 1])"
+    counts, few, n = f"{runs.trains(run)} and {drawn} > 0", f"if(lane % {width} > 1, 2, 4)", runs.count * width
+    for adds, stats, score, size in [
+        (histograms.class_counts, [f"if(y = {k}, {drawn}, 0)" for k in range(3)], ensembles.gini, ensembles.all_rows),
+        (histograms.count_and_sum, [drawn, f"{drawn} * units"], ensembles.squares, ensembles.first_sum),
+    ]:
+        mine = ensembles.grow_lanes(rows, n, 3, adds(runs.lanes(width)), len(stats), score, size, few, 5)
+        assert mine == ensembles.grow(rows, n, 3, counts, stats, score, size, few, 5)
+    rows = rows.withColumn("chances", F.expr(f"transform(sequence(0, {n - 1}), l -> pmod(xxhash64(id, l), 1000) / 1000)"))
+    mine = ensembles.grow_lanes(rows, n, 2, histograms.what_is_left(runs.lanes(3), 1 << 30), 3, ensembles.squares, ensembles.first_sum)
+    left = ["1", f"round({1 << 30} * (if(y = lane % 3, 1, 0) - chances[lane]))", f"round({1 << 30} * chances[lane] * (1 - chances[lane]))"]
+    assert mine == ensembles.grow(rows, n, 2, runs.trains(run), left, ensembles.squares, ensembles.first_sum)
+
+
+@pytest.mark.parametrize("limit", [1 << 17, 50])
+def test_tasks_send_sums_and_not_rows(spark, monkeypatch, limit):
+    """What leaves a slab is at most one row a cell, and the rows lie in few files."""
+    monkeypatch.setattr(histograms, "SLAB_ROWS", limit)
+    rows, runs = labelled_bins(spark, 6000, 2), ensembles.Runs(3, 2)
+    none = ensembles.Trees.empty(21, 1)
+    tasks = histograms.cells(21, 0, *none.splits(), 3, histograms.class_counts(runs.lanes(3)), {})
+    found = rows.select("bins", "y", "folds", "draws").mapInArrow(tasks, "lane int, node int, feature int, bin int, s0 long, s1 long, s2 long").cache()
+    if limit > 6000:
+        assert found.count() <= 2 * 21 * (9 + 9 + 4 + 9)
+    sums = found.groupBy("lane", "feature").agg((F.sum("s0") + F.sum("s1") + F.sum("s2")).alias("n"))
+    assert {r["n"] for r in sums.filter("lane = 0").collect()} == {6000}
+    assert len(ensembles.spread_out(rows, 1271, 40).inputFiles()) <= 3
+
+
 def test_bins(spark):
     rows = spark.createDataFrame([(float(i), None if i < 3 else 1.0) for i in range(64)], "a double, b double")
     breaks = ensembles.breaks_of(rows, ["a", "b"])
