@@ -373,11 +373,13 @@ def dealer_features(
     ts: str = "ordr_date",
     missing: Sequence[str] = ("house_no", "cont_unit_price"),
     states: Sequence[str] = STATES,
+    written: bool = False,
 ) -> DataFrame:
-    """All behaviour features of a dealer in one row."""
+    """All behaviour features of a dealer in one row; ``written`` orders are read as they are, again and again."""
     needed = [KEY, ts, "date_id", "act_amt", "booth_id", "cust_name", "cont_cat3_name", "ordr_status"]
     # The orders are read once; every step reads its columns of the written projection.
-    rows = checkpointed(orders.select(*dict.fromkeys([*needed, *missing])))
+    rows = orders.select(*dict.fromkeys([*needed, *missing]))
+    rows = rows if written else checkpointed(rows)
     # Read three times; one row per dealer and instant.
     gaps = checkpointed(order_gaps(rows, ts))
     pieces = [

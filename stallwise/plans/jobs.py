@@ -77,12 +77,14 @@ def reported_sales(
 ) -> dict[str, DataFrame]:
     """Dealer features with the survey labels, the trusted dealers, and a model table.
 
-    Without a city all orders count. ``sums`` are their :func:`dealers.dealer_sums`, where known.
+    Without a city all orders count. ``sums`` are the :func:`dealers.dealer_sums` of all of them, where
+    known; the orders must then be a written table, which every step reads without writing it again.
     """
     rows = orders if city is None else dealers.city_orders(orders, city, begin, finish)
-    totals = dealers.dealer_totals(rows) if sums is None or city is not None else dealers.totals_of_sums(sums)
+    summed = sums is not None and city is None
+    totals = dealers.totals_of_sums(sums) if summed else dealers.dealer_totals(rows)
     labelled = dealers.survey_labels(totals, survey)
-    features = dealers.dealer_features(rows)
+    features = dealers.dealer_features(rows, written=summed)
     merged = features.join(labelled, dealers.KEY, "left")
     return {
         "features": merged,

@@ -105,6 +105,16 @@ def test_tasks_send_sums_and_not_rows(spark, monkeypatch, limit):
     assert len(ensembles.spread_out(rows, 1271, 40).inputFiles()) <= 3
 
 
+def test_written_orders_are_not_written_again(spark, monkeypatch):
+    from registry import queries
+    from stallwise.operators import dealers
+
+    plain, columns = dealers.checkpointed, []
+    monkeypatch.setattr(dealers, "checkpointed", lambda df: columns.append(df.columns) or plain(df))
+    assert queries.reported(spark, "/root/testdata/sf0.001").count() > 0
+    assert columns and not any("house_no" in c for c in columns)
+
+
 def test_bins(spark):
     rows = spark.createDataFrame([(float(i), None if i < 3 else 1.0) for i in range(64)], "a double, b double")
     breaks = ensembles.breaks_of(rows, ["a", "b"])
