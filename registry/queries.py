@@ -871,7 +871,7 @@ def shop_clusters(spark, sf):
 @query
 def cross_month_test(spark, sf):
     """Shops sampled in the first weeks with their cluster, tested on a later week."""
-    rows = segments.min_max_scaled(ratios(spark, sf), segments.RATIOS)
+    rows = segments.min_max_scaled(checkpointed(ratios(spark, sf)), segments.RATIOS)
     clustered, _ = learning.shop_clusters(rows.filter("period <= 2"), segments.RATIOS)
     first = clustered.groupBy("shop_id").agg(F.max_by("cluster", "period").alias("cluster"))
     train_ids, test_ids = shaping.hash_split(first, ["shop_id"], 80)
