@@ -30,8 +30,9 @@ BINS = 32
 UNIT = 1 << 30
 # Chances of at most 0, 1, 2, ... draws of a row in a sample with replacement (Poisson, mean 1).
 DRAWS = [0.367879, 0.735759, 0.919699, 0.981012, 0.996340, 0.999406, 0.999917]
-# Cells of (row, lane, feature) in one file of the rows.
-TASK_CELLS = 150_000_000
+# Cells of (row, lane, feature) in one file of the rows: the fewest that pay for a task, and those from
+# which more files are written than two a core.
+LEAST_CELLS, TASK_CELLS = 10_000_000, 150_000_000
 
 
 # ---- rows ----------------------------------------------------------------------
@@ -118,8 +119,10 @@ def named(rows: DataFrame, **columns: Column) -> DataFrame:
 
 def spread_out(rows: DataFrame, lanes: int, features: int) -> DataFrame:
     """Rows written in as many parts as their work for all lanes asks for."""
-    parts = max(1, rows.count() * lanes * features // TASK_CELLS)
-    return checkpointed(rows.repartition(parts))
+    work = rows.count() * lanes * features
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    parts = min(work // LEAST_CELLS, max(2 * cores, work // TASK_CELLS))
+    return checkpointed(rows.repartition(max(1, parts)))
 
 
 # ---- growing -------------------------------------------------------------------

@@ -102,7 +102,8 @@ def test_tasks_send_sums_and_not_rows(spark, monkeypatch, limit):
         assert found.count() <= 2 * 21 * (9 + 9 + 4 + 9)
     sums = found.groupBy("lane", "feature").agg((F.sum("s0") + F.sum("s1") + F.sum("s2")).alias("n"))
     assert {r["n"] for r in sums.filter("lane = 0").collect()} == {6000}
-    assert len(ensembles.spread_out(rows, 1271, 40).inputFiles()) <= 3
+    assert 1 < len(ensembles.spread_out(rows, 1271, 40).inputFiles()) <= 16  # two a core
+    assert len(ensembles.spread_out(rows.limit(100), 1271, 4).inputFiles()) == 1
 
 
 def test_written_orders_are_not_written_again(spark, monkeypatch):
