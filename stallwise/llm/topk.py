@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from stallwise.llm.common import staged
 from stallwise.llm.vectors import BLOCK_ROWS, QUERY_ROWS, best, block_of, blocks, count_of, finite, numbers, objects, pairs, ranked
+from stallwise.operators.joins import join_shuffled
 
 CHUNK = 128
 LISTS = "qobj long, part int, block int, least double, objs binary, scores binary"
@@ -158,13 +159,14 @@ def exact_top(vectors: DataFrame, is_query, keep: int, factor: int = 64, parts:
     good = vectors.filter(finite(F.col("vector"))).select("id", scaled(F.col("vector"), factor).alias("vector"))
     objs = staged(objects(good, keep + 1), "objects")
     asked = good.filter(is_query).select(F.col("id").alias("query_id"), "vector")
-    asked = staged(asked.join(objs.select("obj", "vector"), "vector").select(F.col("obj").alias("qobj"), "query_id").distinct(), "asked")
+    of_query = join_shuffled(asked, objs.select("obj", "vector"), ["vector"])
+    asked = staged(of_query.select(F.col("obj").alias("qobj"), "query_id").distinct(), "asked")
     n, n_asked = objs.count(), asked.select("qobj").distinct().count()
     if not n_asked:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     n_blocks = count_of(n, BLOCK_ROWS)
     left = staged(blocks(objs, n, BLOCK_ROWS, "block"), "blocks")
-    ask = objs.join(asked.select(F.col("qobj").alias("obj")).distinct(), "obj")
+    ask = join_shuffled(objs, asked.select(F.col("qobj").alias("obj")).distinct(), ["obj"])
     right = staged(blocks(ask, n_asked, QUERY_ROWS, "query"), "query-blocks")
     by_query = block_of(F.col("qobj"), n_asked, QUERY_ROWS).alias("query")
     most = parallelism(spark)
@@ -176,12 +178,14 @@ def exact_top(vectors: DataFrame, is_query, keep: int, factor: int = 64, parts:
     first = staged(pairs(left, right, n_blocks, most).mapInArrow(node_lists(parts, keep + 1), LISTS), "local-lists")
     least = first.groupBy("qobj", "part").agg(F.min("least").alias("least"))
     shifts = least.groupBy("qobj").agg(F.sort_array(F.collect_list(F.struct("part", "least"))).alias("by_part"))
-    known = answers(first.select("qobj", "block", "objs")).join(shifts.select("qobj", F.col("by_part.least").alias("shifts")), "qobj")
+    known = join_shuffled(
+        answers(first.select("qobj", "block", "objs")), shifts.select("qobj", F.col("by_part.least").alias("shifts")), ["qobj"]
+    )
     cutoffs = staged(known.groupBy("qobj").applyInPandas(cutoff_of(parts, keep + 1), "qobj long, cutoff binary"), "cutoffs")
 
     named = cutoffs.groupBy(by_query).agg(F.map_from_entries(F.collect_list(F.struct("qobj", "cutoff"))).alias("known"))
-    sent = right.join(named, "query").mapInArrow(with_cutoffs, "query int, query_objs binary, query_data binary, cutoffs binary")
-    second = pairs(left, sent, n_blocks, most).mapInArrow(node_lists(parts, None), LISTS).join(cutoffs, "qobj")
+    sent = join_shuffled(right, named, ["query"]).mapInArrow(with_cutoffs, "query int, query_objs binary, query_data binary, cutoffs binary")
+    second = join_shuffled(pairs(left, sent, n_blocks, most).mapInArrow(node_lists(parts, None), LISTS), cutoffs, ["qobj"])
     needs = second.groupBy("qobj").applyInPandas(needs_of(parts, keep + 1), "qobj long, block int, objs binary")
     found = answers(needs).groupBy("qobj").applyInPandas(best_of(keep + 1), "qobj long, obj long, score long")
     return ranked(found, objs, asked, keep)

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stallwise.llm.common import staged
+from stallwise.operators.joins import join_shuffled
 
 BLOCK_ROWS = 8192
 QUERY_ROWS = 1024
@@ -81,13 +82,14 @@ def pairs(left: DataFrame, right: DataFrame, n_left: int, parallel: int, asking:
 
     The query blocks, the smaller ones, go to each of the ``n_left`` blocks; a block itself
     travels once. Tasks grow in number with the blocks. ``asking`` keeps the pairs of (block,
-    query) that it has, and adds its columns.
+    query) that it has, and adds its columns. The copies of the query blocks pass for a table as
+    small as their file, so these joins are shuffled; a task holds one block while they pass by.
     """
     spread = right.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_left - 1))))
     if asking is not None:
-        spread = spread.join(asking, ["block", "query"])
+        spread = join_shuffled(spread, asking, ["block", "query"])
     tasks = max(parallel, n_left)
-    return left.repartition(tasks, "block").join(spread.repartition(tasks, "block"), "block")
+    return join_shuffled(spread.repartition(tasks, "block"), left.repartition(tasks, "block"), ["block"])
 
 
 def best(scores: np.ndarray, objs: np.ndarray, keep: int) -> np.ndarray:
@@ -101,9 +103,9 @@ def ranked(found: DataFrame, objs: DataFrame, asked: DataFrame, keep: int) -> Da
     ``found`` (qobj, obj, score) has ``keep`` + 1 objects at most per query object, ``asked``
     (qobj, query_id) the queries. Every object gives at most ``keep`` + 1 ids.
     """
-    rows = found.join(objs.select("obj", F.explode("ids").alias("vec_id")), "obj")
+    rows = join_shuffled(found, objs.select("obj", F.explode("ids").alias("vec_id")), ["obj"])
     nth = F.row_number().over(Window.partitionBy("qobj").orderBy(F.desc("score"), "vec_id"))
     few = staged(rows.withColumn("nth", nth).filter(F.col("nth") <= keep + 1).select("qobj", "vec_id", "score"), "nearest")
-    own = asked.join(few, "qobj").filter("vec_id != query_id")
+    own = join_shuffled(asked, few, ["qobj"]).filter("vec_id != query_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return own.withColumn("rank", rank).filter(F.col("rank") <= keep).select("query_id", "rank", "vec_id", "score")

@@ -61,6 +61,25 @@ def test_exact_top_of_odd_rows(spark):
     assert topk.exact_top(vectors.filter("id = 9"), "id = 9", 3).count() == 0
 
 
+def test_exact_top_sends_nothing_through_the_driver(spark, monkeypatch):
+    """Query blocks are copied to all blocks, so the size of their file says nothing about the join."""
+    plans = []
+
+    def staged(df, label, write=topk.staged):
+        plans.append((label, df._jdf.queryExecution().executedPlan().toString()))
+        return write(df, label)
+
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 60)
+    monkeypatch.setattr(topk, "staged", staged)
+    monkeypatch.setattr("stallwise.llm.vectors.staged", staged)
+    rows = [(i, [float(i % 7), float(i % 11)]) for i in range(300)]
+    top = topk.exact_top(spark.createDataFrame(rows, SCHEMA), "id % 20 = 0", 3)
+    plans.append(("ranked", top._jdf.queryExecution().executedPlan().toString()))
+    assert {"asked", "query-blocks", "local-lists", "cutoffs", "nearest"} <= {label for label, _ in plans}
+    assert not [label for label, plan in plans if "Broadcast" in plan]
+    assert found(top) == by_hand({i: scaled(v) for i, v in rows}, 3, lambda a, b: int(a @ b))
+
+
 def test_factor_one_is_exact(spark, monkeypatch):
     monkeypatch.setattr(vantage, "LEAF", 8)
     monkeypatch.setattr(vantage, "SHARD_ROWS", 100)
