@@ -40,50 +40,56 @@ MALL_COLUMNS = {
 
 
 def with_mall(spark: SparkSession, sf: str, rows: DataFrame) -> DataFrame:
-    """Rows with a supplier's columns and the mall (region) and city (nation) it is in."""
+    """Rows with a supplier's columns beside the region and the nation it is in."""
     nation = rows.join(table(spark, sf, "nation"), F.expr("s_nationkey = n_nationkey"))
-    region = nation.join(table(spark, sf, "region"), F.expr("n_regionkey = r_regionkey"))
-    return region.withColumns({name: F.expr(of) for name, of in MALL_COLUMNS.items()})
+    return nation.join(table(spark, sf, "region"), F.expr("n_regionkey = r_regionkey"))
 
 
 def malls(spark: SparkSession, sf: str) -> DataFrame:
     """Supplier with the mall (region) and city (nation) it is in."""
-    return with_mall(spark, sf, table(spark, sf, "supplier")).select("s_suppkey", *MALL_COLUMNS)
+    rows = with_mall(spark, sf, table(spark, sf, "supplier"))
+    return rows.select("s_suppkey", *[F.expr(of).alias(name) for name, of in MALL_COLUMNS.items()])
 
 
 def sales(spark: SparkSession, sf: str) -> DataFrame:
     """Order lines as mall orders."""
-    lines = table(spark, sf, "lineitem").drop("l_shipdate")
+    # What is asked of a line is a few yes or no: these pack better in a shuffle than what they are made of.
+    lines = table(spark, sf, "lineitem").selectExpr(
+        "l_orderkey", "l_partkey", "l_suppkey AS s_suppkey", "l_linenumber", "l_extendedprice", "l_quantity >= 49 AS no_booth",
+        "l_quantity < 5 AS no_house", "l_tax = 0 AS untaxed", "l_returnflag = 'R' AS returned", "l_linestatus = 'F' AS finished",
+    )
     orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")
     part = table(spark, sf, "part").select("p_partkey", "p_name", "p_type", "p_brand", "p_size")
     # The dealers are met one small table after the other while the lines are still narrow: a join of
     # these tables among themselves passes for a large one, and every line would be shuffled for it.
+    # Names and numbers made of a key are made last, so that they are not shuffled.
     facts = join_shuffled(lines, orders.withColumnRenamed("o_orderkey", "l_orderkey"), ["l_orderkey"])
-    placed = with_mall(spark, sf, facts.join(table(spark, sf, "supplier"), F.expr("l_suppkey = s_suppkey")))
+    placed = with_mall(spark, sf, facts.join(table(spark, sf, "supplier"), "s_suppkey"))
     joined = join_shuffled(placed, part.withColumnRenamed("p_partkey", "l_partkey"), ["l_partkey"])
+    mall = {name: f"{of} AS {name}" for name, of in MALL_COLUMNS.items()}
     return joined.selectExpr(
         "cast(l_orderkey as string) AS ordr_id",
         "cast(o_orderdate as date) AS date_id",
         "cast(o_orderdate as timestamp) AS ordr_date",
         "date_format(o_orderdate, 'yyyy-MM') AS month_id",
-        "mall_name",
-        "mall_city_name",
+        mall["mall_name"],
+        mall["mall_city_name"],
         "p_name AS prod_name",
-        "cast(l_suppkey as string) AS shop_id",
-        "shop_name",
-        "if(l_quantity >= 49, null, concat('B', cast(l_partkey div 2 as string))) AS booth_id",
-        "if(l_quantity < 5, null, concat('H', cast(l_partkey div 2 as string))) AS house_no",
-        "lpad(cast(l_suppkey as string), 10, '0') AS partner_code",
-        "partner_name",
+        "cast(s_suppkey as string) AS shop_id",
+        mall["shop_name"],
+        "if(no_booth, null, concat('B', cast(l_partkey div 2 as string))) AS booth_id",
+        "if(no_house, null, concat('H', cast(l_partkey div 2 as string))) AS house_no",
+        "lpad(cast(s_suppkey as string), 10, '0') AS partner_code",
+        mall["partner_name"],
         "cast(o_custkey as string) AS cust_name",
         "cast(o_custkey as string) AS mobile",
         "lpad(cast(l_partkey as string), 10, '0') AS contract_code",
         "cast(l_extendedprice as decimal(18,2)) AS act_amt",
-        "cast(if(l_returnflag = 'R', 0, l_extendedprice) as decimal(18,2)) AS trade_amt",
-        "if(l_tax = 0, null, cast(l_extendedprice as decimal(18,2))) AS cont_unit_price",
-        "if(l_linestatus = 'F', 'OMS', 'POS') AS type",
+        "cast(if(returned, 0, l_extendedprice) as decimal(18,2)) AS trade_amt",
+        "if(untaxed, null, cast(l_extendedprice as decimal(18,2))) AS cont_unit_price",
+        "if(finished, 'OMS', 'POS') AS type",
         """CASE WHEN o_orderstatus = 'F' THEN '3' WHEN o_orderstatus = 'P' THEN '15'
-                WHEN l_returnflag = 'R' THEN 'X' ELSE 'Y' END AS ordr_status""",
+                WHEN returned THEN 'X' ELSE 'Y' END AS ordr_status""",
         "p_type AS cont_cat1_name",
         "concat(p_type, '-', cast(p_size % 4 as string)) AS cont_cat2_name",
         "p_name AS cont_cat3_name",

@@ -19,7 +19,7 @@ from stallwise.functions.nullsafe import (
 from stallwise.operators.joins import match_any
 from stallwise.operators.ordered import with_neighbours, with_running_sums
 from stallwise.operators.shaping import without_texts
-from stallwise.session import checkpointed
+from stallwise.session import checkpointed, dropped
 from stallwise.sources.tables import valid_order
 
 # Seconds in a day, the gap that still counts as a run, a big order.
@@ -156,7 +156,12 @@ def order_gaps(orders: DataFrame, ts: str = "ordr_date") -> DataFrame:
     previous instant with orders (null for the first), and ``zero_gaps`` between
     the orders of that instant.
     """
-    rows = with_neighbours(order_moments(orders, ts), [KEY], "minute", "at")
+    return gaps_of_moments(order_moments(orders, ts))
+
+
+def gaps_of_moments(moments: DataFrame) -> DataFrame:
+    """:func:`order_gaps` from :func:`order_moments`."""
+    rows = with_neighbours(moments, [KEY], "minute", "at")
     return rows.select(
         KEY,
         "minute",
@@ -194,7 +199,8 @@ def longest_runs(gaps: DataFrame, kinds: Mapping[str, tuple[int, bool]]) -> Data
 
     A kind is (seconds a gap has to stay below, whether a zero gap counts).
     Every gap that does not count ends the current island; islands are numbered
-    by a running count, all kinds in one pass.
+    by a running count, all kinds in one pass. Gaps that are no hit add nothing to an
+    island, so they share one that is none.
     """
     columns, ends, tokens = {}, {}, []
     for name, (below, zero_counts) in kinds.items():
@@ -207,7 +213,7 @@ def longest_runs(gaps: DataFrame, kinds: Mapping[str, tuple[int, bool]]) -> Data
         tokens.append(
             F.struct(
                 F.lit(name).alias("kind"),
-                (F.col(f"ends_{name}") - F.col(f"after_{name}")).alias("island"),
+                F.when(F.col(f"hits_{name}") > 0, F.col(f"ends_{name}") - F.col(f"after_{name}")).alias("island"),
                 F.col(f"hits_{name}").cast("bigint").alias("hits"),
             )
         )
@@ -375,14 +381,21 @@ def dealer_features(
     states: Sequence[str] = STATES,
     written: bool = False,
 ) -> DataFrame:
-    """All behaviour features of a dealer in one row; ``written`` orders are read as they are, again and again."""
+    """All behaviour features of a dealer in one row; ``written`` orders are read as they are, again and again.
+
+    Every step is run at once and leaves one row per dealer: no two steps have their shuffle files on disk
+    together, and nothing that grows with the orders is left at the end.
+    """
     needed = [KEY, ts, "date_id", "act_amt", "booth_id", "cust_name", "cont_cat3_name", "ordr_status"]
     # The orders are read once; every step reads its columns of the written projection.
     rows = orders.select(*dict.fromkeys([*needed, *missing]))
-    rows = rows if written else checkpointed(rows)
+    rows = rows if written else checkpointed(rows, release=True)
+    moments = checkpointed(order_moments(rows, ts), release=True)
     # Read three times; one row per dealer and instant.
-    gaps = checkpointed(order_gaps(rows, ts))
-    pieces = [
+    gaps = checkpointed(gaps_of_moments(moments), release=True)
+    dropped(moments)
+    steps = [
+        peak_day(rows),
         gap_statistics(gaps),
         longest_runs(gaps, RUNS),
         isolated_orders(gaps).select(KEY, "isolated_perc"),
@@ -390,7 +403,10 @@ def dealer_features(
         customer_entropy(rows),
         top_category(rows, "cont_cat3_name", ts, "cat3"),
     ]
-    table = peak_day(rows)
+    table, *pieces = [checkpointed(step, release=True) for step in steps]
+    dropped(gaps)
+    if not written:
+        dropped(rows)
     for piece in pieces:
         table = table.join(piece, KEY, "left")
     return table

@@ -20,28 +20,23 @@ from stallwise.session import checkpointed
 def with_neighbours(
     df: DataFrame, keys: Sequence[str], segment: str, at: str
 ) -> DataFrame:
-    """Add ``previous`` and ``next``: the neighbouring instants of the same key."""
+    """Add ``previous`` and ``next``: the neighbouring instants of the same key.
+
+    Only the first and last row of a segment have a neighbour in another, and that is the
+    last or first row there: these rows alone are put in line per key.
+    """
     inside = Window.partitionBy(*keys, segment).orderBy(at)
-    across = Window.partitionBy(*keys).orderBy(segment)
-    borders = (
-        df.groupBy(*keys, segment)
-        .agg(F.min(at).alias("_first"), F.max(at).alias("_last"))
-        .select(
-            *keys,
-            segment,
-            F.lag("_last").over(across).alias("_before"),
-            F.lead("_first").over(across).alias("_after"),
-        )
-    )
+    across = Window.partitionBy(*keys).orderBy(at)
     rows = df.select(
-        "*", F.lag(at).over(inside).alias("_lag"), F.lead(at).over(inside).alias("_lead")
+        "*", F.lag(at).over(inside).alias("previous"), F.lead(at).over(inside).alias("next")
     )
-    return (
-        join_shuffled(rows, borders, [*keys, segment])
-        .withColumn("previous", F.coalesce("_lag", "_before"))
-        .withColumn("next", F.coalesce("_lead", "_after"))
-        .drop("_lag", "_lead", "_before", "_after")
+    border = F.col("previous").isNull() | F.col("next").isNull()
+    borders = rows.filter(border).select(
+        *df.columns,
+        F.coalesce("previous", F.lag(at).over(across)).alias("previous"),
+        F.coalesce("next", F.lead(at).over(across)).alias("next"),
     )
+    return rows.filter(~border).unionByName(borders)
 
 
 def with_running(

@@ -1,7 +1,8 @@
 """The four jobs: category productivity, reported sales, footfall, segmentation.
 
 Each takes the source tables and returns its result tables by name; nothing runs
-until a result is used, except the statistics that a plan needs as numbers.
+until a result is used, except the statistics that a plan needs as numbers and the
+dealer features, which are written step by step.
 """
 
 from __future__ import annotations
@@ -78,7 +79,8 @@ def reported_sales(
     """Dealer features with the survey labels, the trusted dealers, and a model table.
 
     Without a city all orders count. ``sums`` are the :func:`dealers.dealer_sums` of all of them, where
-    known; the orders must then be a written table, which every step reads without writing it again.
+    known; the orders must then be a written table, which every step reads without writing it again, and
+    which no result reads any more.
     """
     rows = orders if city is None else dealers.city_orders(orders, city, begin, finish)
     summed = sums is not None and city is None

@@ -24,6 +24,9 @@ TASK_SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "800",
 }
 
+# An execution's shuffle files are deleted at its end.
+RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def bounded_tasks(spark: SparkSession) -> SparkSession:
     """Let the number of tasks grow with the tables instead of the memory of each.
@@ -80,13 +83,29 @@ def discard(spark: SparkSession, path: str) -> None:
     system.delete(place, True)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
+def checkpointed(df: DataFrame, release: bool = False) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back.
 
     Cuts the lineage and outlives a lost executor; later reads prune columns and push
-    filters down, which a row checkpoint does not.
+    filters down, which a row checkpoint does not. With ``release`` the shuffle files behind it
+    go once it is written, not when the driver next collects its garbage; as that is a setting
+    of the session, not for several threads at once.
     """
     spark = df.sparkSession
     path = scratch(spark, "staged")
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(RELEASE, "false")
+    if release:
+        spark.conf.set(RELEASE, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if release:
+            spark.conf.set(RELEASE, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
+
+
+def dropped(df: DataFrame) -> None:
+    """Deletes a checkpointed table early; all that was made of it must be written itself."""
+    discard(df.sparkSession, df.staged_path)

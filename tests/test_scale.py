@@ -1,7 +1,10 @@
 """Distributed steps against brute force, with one key holding most rows."""
 
 import datetime as dt
+import glob
+import os
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -9,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stallwise.operators import dealers, footfall, intervals, ordered, quantiles
+from stallwise.session import RELEASE
 
 DAY = dt.date(2019, 1, 1)
 MIDNIGHT = dt.datetime(2019, 1, 1)
@@ -120,6 +124,40 @@ def test_runs_and_isolated_orders(spark):
         assert alone[d] == sum(a > 300 and b > 300 for a, b in zip(padded, padded[1:]))
 
 
+def left_on_disk(spark):
+    """Shuffle files and folders of checkpointed tables."""
+    dirs = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().localDirsString()
+    files = {f for d in dirs for at, _, names in os.walk(d) for f in (f"{at}/{n}" for n in names) if "/shuffle_" in f}
+    return files, set(glob.glob(spark.conf.get("spark.checkpoint.dir") + "/staged-*"))
+
+
+def test_features_leave_nothing_that_grows(spark):
+    """Shuffle files go with the step that wrote them, orders and gaps with the last step that reads them."""
+    rng = random.Random(4)
+    rows = [(f"d{i % 3}", MIDNIGHT + dt.timedelta(seconds=rng.randrange(900_000)), DAY, float(i), *"bchs", None, 1.0) for i in range(600)]
+    types = "string, ordr_date timestamp, date_id date, act_amt double, booth_id string, cust_name string, cont_cat3_name string"
+    orders = spark.createDataFrame(rows, f"partner_code {types}, ordr_status string, house_no string, cont_unit_price double")
+    files, folders = left_on_disk(spark)
+    features = dealers.dealer_features(orders)
+    until = time.time() + 20
+    while (more := left_on_disk(spark)[0] - files) and time.time() < until:
+        time.sleep(0.5)
+    assert not more
+    made = left_on_disk(spark)[1] - folders
+    assert made and all(spark.read.parquet(f).count() <= 3 for f in made)
+    assert [(r["partner_code"], r["below_500_sum"] + r["over_500_sum"]) for r in features.orderBy("partner_code").collect()] == [(f"d{i}", 200) for i in range(3)]
+    assert spark.conf.get(RELEASE) == "false"
+
+
+def test_neighbours_take_two_shuffles(spark):
+    """Only the first and last rows of the segments are shuffled again, and nothing is joined."""
+    df = spark.range(1000).select(F.lit("k").alias("k"), F.col("id").alias("at"), F.floor(F.col("id") / 100).alias("seg"))
+    found = ordered.with_neighbours(df.repartition(4), ["k"], "seg", "at")
+    rows = {r["at"]: (r["previous"], r["next"]) for r in found.collect()}
+    assert rows == {i: (i - 1 if i else None, i + 1 if i < 999 else None) for i in range(1000)}
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_interval_blocks(spark):
     rng = random.Random(7)
     rows = [(0, 0), (0, 65535), (0, 65536), (1, 65536), (5, 4), (86000, 300000), (131071, 131072)]
