@@ -24,7 +24,7 @@ from stallwise.operators import (
 )
 from stallwise.operators.joins import keep_matching
 from stallwise.plans import jobs
-from stallwise.session import bounded_tasks, checkpointed, dropped, prepare, scratch, shared_folder
+from stallwise.session import bounded_tasks, checkpointed, dropped, prepare, releasing, scratch, shared_folder
 from stallwise.sources import sinks, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -989,8 +989,9 @@ def split(spark, sf):
 
 def reported(spark, sf):
     """The joined orders are written once; sums, survey and features read their columns."""
-    rows = checkpointed(frames.sales(spark, sf).select("partner_name", *dealers.FEATURE_COLUMNS), release=True)
-    sums = checkpointed(dealers.dealer_sums(rows), release=True)
+    with releasing(spark):
+        rows = checkpointed(frames.sales(spark, sf).select("partner_name", *dealers.FEATURE_COLUMNS))
+        sums = checkpointed(dealers.dealer_sums(rows))
     survey = tables.dealer_survey(frames.dealer_survey(spark, sf, sums))
     model = jobs.reported_sales(rows, survey, None, "1996-01-01", "1998-12-31", sums)["model"]
     dropped(rows)

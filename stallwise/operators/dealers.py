@@ -19,7 +19,7 @@ from stallwise.functions.nullsafe import (
 from stallwise.operators.joins import match_any
 from stallwise.operators.ordered import with_neighbours, with_running_sums
 from stallwise.operators.shaping import without_texts
-from stallwise.session import checkpointed, dropped
+from stallwise.session import checkpointed, dropped, releasing
 from stallwise.sources.tables import valid_order
 
 # Seconds in a day, the gap that still counts as a run, a big order.
@@ -389,21 +389,22 @@ def dealer_features(
     needed = [KEY, ts, "date_id", "act_amt", "booth_id", "cust_name", "cont_cat3_name", "ordr_status"]
     # The orders are read once; every step reads its columns of the written projection.
     rows = orders.select(*dict.fromkeys([*needed, *missing]))
-    rows = rows if written else checkpointed(rows, release=True)
-    moments = checkpointed(order_moments(rows, ts), release=True)
-    # Read three times; one row per dealer and instant.
-    gaps = checkpointed(gaps_of_moments(moments), release=True)
-    dropped(moments)
-    steps = [
-        peak_day(rows),
-        gap_statistics(gaps),
-        longest_runs(gaps, RUNS),
-        isolated_orders(gaps).select(KEY, "isolated_perc"),
-        counted_features(rows, missing, states),
-        customer_entropy(rows),
-        top_category(rows, "cont_cat3_name", ts, "cat3"),
-    ]
-    table, *pieces = [checkpointed(step, release=True) for step in steps]
+    with releasing(orders.sparkSession):
+        rows = rows if written else checkpointed(rows)
+        moments = checkpointed(order_moments(rows, ts))
+        # Read three times; one row per dealer and instant.
+        gaps = checkpointed(gaps_of_moments(moments))
+        dropped(moments)
+        steps = [
+            peak_day(rows),
+            gap_statistics(gaps),
+            longest_runs(gaps, RUNS),
+            isolated_orders(gaps).select(KEY, "isolated_perc"),
+            counted_features(rows, missing, states),
+            customer_entropy(rows),
+            top_category(rows, "cont_cat3_name", ts, "cat3"),
+        ]
+        table, *pieces = [checkpointed(step) for step in steps]
     dropped(gaps)
     if not written:
         dropped(rows)

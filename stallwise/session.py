@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -83,24 +85,29 @@ def discard(spark: SparkSession, path: str) -> None:
     system.delete(place, True)
 
 
-def checkpointed(df: DataFrame, release: bool = False) -> DataFrame:
+@contextmanager
+def releasing(spark: SparkSession) -> Iterator[None]:
+    """The shuffle files of a write inside go at its end, not when the driver next collects its garbage.
+
+    This is a setting of the session, so it is not for several threads at once.
+    """
+    before = spark.conf.get(RELEASE, "false")
+    spark.conf.set(RELEASE, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(RELEASE, before)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back.
 
     Cuts the lineage and outlives a lost executor; later reads prune columns and push
-    filters down, which a row checkpoint does not. With ``release`` the shuffle files behind it
-    go once it is written, not when the driver next collects its garbage; as that is a setting
-    of the session, not for several threads at once.
+    filters down, which a row checkpoint does not.
     """
     spark = df.sparkSession
     path = scratch(spark, "staged")
-    before = spark.conf.get(RELEASE, "false")
-    if release:
-        spark.conf.set(RELEASE, "true")
-    try:
-        df.write.option("compression", "zstd").parquet(path)
-    finally:
-        if release:
-            spark.conf.set(RELEASE, before)
+    df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_path = path
     return out
